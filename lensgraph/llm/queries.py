@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lensgraph.llm import lm_scoring
+from lensgraph.llm import lm_scoring, mixing, packing, token_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     documents = lambda spark, sf_dir: _table(spark, sf_dir, "documents")
     return {
         "op1_lm_scoring": lambda spark, sf_dir: lm_scoring.op1(documents(spark, sf_dir)),
+        "op2_token_codes": lambda spark, sf_dir: token_codes.op2(documents(spark, sf_dir)),
+        "op3_mixing": lambda spark, sf_dir: mixing.op3(documents(spark, sf_dir)),
+        "op7_packing": lambda spark, sf_dir: packing.op7(documents(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": mixing.ORACLE_SQL}
