@@ -33,6 +33,10 @@ from lensgraph.shared import new_folder, partitions, written
 END = np.uint64(0x5BD1E9955BD1E995)
 #: Keys that a counting task gathers before it sorts them.
 HELD_KEYS = 4_000_000
+#: Word numbers whose sums one task gathers into one file of each kind.
+PART_WORDS = 1 << 17
+#: Of a word as context: its occurrences, and how many words follow it once, twice, more often; then the distinct words before it.
+KINDS = ("total", "one", "two", "more", "before")
 _SHARDS = pa.schema([("shard", pa.int32()), ("kind", pa.string()), ("blob", pa.binary())])
 
 
@@ -49,7 +53,6 @@ class Model:
     word_discounts: list[float]
     continuations: int
     word_kinds: list[int]
-    per: int
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -148,7 +151,7 @@ def _count_pairs(df: DataFrame, table: arrays.Sharded, bits: int) -> DataFrame:
     return df.select("text").mapInArrow(run, "shard int, kind string, blob binary")
 
 
-def _write_pairs(df: DataFrame, uri: str, bits: int, size: int, per: int) -> DataFrame:
+def _write_pairs(df: DataFrame, uri: str, bits: int, size: int) -> DataFrame:
     """Writes each pair shard; returns the sums of its words as blobs for the shards of word numbers."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -161,32 +164,39 @@ def _write_pairs(df: DataFrame, uri: str, bits: int, size: int, per: int) -> Dat
         kinds = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         rows = {"part": [-1], "kind": ["shard"], "shard": [shard], "n": [len(keys)], "kinds": [kinds], "blob": [None]}
         ones = np.ones(len(keys), np.int64)
-        for kind, ids, value in (("total", before, counts), ("one", before[counts == 1], ones[counts == 1]), ("two", before[counts == 2], ones[counts == 2]), ("more", before[counts > 2], ones[counts > 2]), ("before", after, ones)):
+        held: dict[int, list[bytes]] = {}
+        for ids, value in ((before, counts), (before[counts == 1], ones[counts == 1]), (before[counts == 2], ones[counts == 2]), (before[counts > 2], ones[counts > 2]), (after, ones)):
             ids, value = arrays.merged(ids.astype(np.uint64), value)
-            part = (ids // np.uint64(per)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                for name, x in (("part", int(part[a])), ("kind", kind), ("shard", shard), ("n", int(b - a)), ("kinds", None), ("blob", arrays.pack(ids[a:b], value[a:b]))):
-                    rows[name].append(x)
+            part = (ids // np.uint64(PART_WORDS)).astype(np.int64)
+            cuts = np.searchsorted(part, np.arange(size // PART_WORDS + 2))
+            for p in range(size // PART_WORDS + 1):
+                held.setdefault(p, []).append(arrays.pack(ids[cuts[p] : cuts[p + 1]], value[cuts[p] : cuts[p + 1]]))
+        for p, blobs in held.items():
+            for name, x in (("part", p), ("kind", "sums"), ("shard", shard), ("n", 0), ("kinds", None), ("blob", b"".join(len(x).to_bytes(4, "little") + x for x in blobs))):
+                rows[name].append(x)
         return pa.table([pa.array(rows["part"], pa.int32()), pa.array(rows["kind"]), pa.array(rows["shard"], pa.int32()), pa.array(rows["n"], pa.int64()), pa.array(rows["kinds"], pa.list_(pa.int64())), pa.array(rows["blob"], pa.binary())], names=list(rows))
 
     return df.groupBy("shard").applyInArrow(run, "part int, kind string, shard int, n long, kinds array<long>, blob binary")
 
 
-def _write_sums(df: DataFrame, uri: str, size: int, per: int) -> DataFrame:
+def _write_sums(df: DataFrame, uri: str, size: int) -> DataFrame:
     """Per range of word numbers, dense arrays of the sums; returns counts of continuation counts."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        first = part * per
-        n = min(per, size + 1 - first)
-        sums = {kind: np.zeros(n, np.int64) for kind in ("total", "one", "two", "more", "before")}
-        for kind, blob in zip(table["kind"], table["blob"], strict=True):
-            ids, value = arrays.unpack(blob.as_py())
-            sums[kind.as_py()][ids.astype(np.int64) - first] += value
+        first = part * PART_WORDS
+        n = min(PART_WORDS, size + 1 - first)
+        sums = {kind: np.zeros(n, np.int64) for kind in KINDS}
+        for blob in table["blob"]:
+            blob, at = blob.as_py(), 0
+            for kind in KINDS:
+                n_bytes = int.from_bytes(blob[at : at + 4], "little")
+                ids, value = arrays.unpack(blob[at + 4 : at + 4 + n_bytes])
+                sums[kind][ids.astype(np.int64) - first] += value
+                at += 4 + n_bytes
         for kind, value in sums.items():
             arrays.save(f"{uri}/{kind}-{part:05d}.npy", arrays.least(value))
-        kinds = [int((sums["before"] == k).sum()) for k in (1, 2, 3)] + [int((sums["before"] == 4).sum())]
+        kinds = [int((sums["before"] == k).sum()) for k in (1, 2, 3, 4)]
         return pa.table({"part": pa.array([part], pa.int32()), "continuations": [int(sums["before"].sum())], "more": [int((sums["before"] > 2).sum())], "kinds": pa.array([kinds], pa.list_(pa.int64()))})
 
     return df.groupBy("part").applyInArrow(run, "part int, continuations long, more long, kinds array<long>")
@@ -200,14 +210,13 @@ def train(corpus: DataFrame) -> Model:
     rows = _write_words(_count_words(corpus, bits), f"{uri}/words", bits).collect()  # one small row a shard
     table = arrays.Sharded(f"{uri}/words", bits, {r.shard: r.n for r in rows})
     tokens, size = sum(r.total for r in rows), table.size
-    per = max(1, -(-(size + 1) // (1 << bits)))
-    sums = written(_write_pairs(_count_pairs(corpus, table, bits), f"{uri}/pairs", bits, size, per), "lm-sums")
+    sums = written(_write_pairs(_count_pairs(corpus, table, bits), f"{uri}/pairs", bits, size), "lm-sums")
     rows = sums.filter("kind = 'shard'").collect()
     pairs = arrays.Sharded(f"{uri}/pairs", bits, {r.shard: r.n for r in rows})
     kinds = [sum(r.kinds[k] for r in rows) for k in range(4)]
-    ends = _write_sums(sums.filter("kind <> 'shard'").select("part", "kind", "blob"), f"{uri}/sums", size, per).collect()
+    ends = _write_sums(sums.filter("kind = 'sums'").select("part", "blob"), f"{uri}/sums", size).collect()
     low = [sum(r.kinds[k] for r in ends) for k in range(4)]
-    return Model(uri, table, pairs, tokens, size, discounts(kinds), discounts(low), sum(r.continuations for r in ends), [low[0], low[1], sum(r.more for r in ends)], per)
+    return Model(uri, table, pairs, tokens, size, discounts(kinds), discounts(low), sum(r.continuations for r in ends), [low[0], low[1], sum(r.more for r in ends)])
 
 
 class Scorer:
@@ -221,11 +230,11 @@ class Scorer:
     def sums(self, ids: np.ndarray, *kinds: str) -> list[np.ndarray]:
         """Values of sorted word numbers."""
         out = [np.zeros(len(ids), np.int64) for _ in kinds]
-        part = ids // self.m.per
+        part = ids // PART_WORDS
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             for value, kind in zip(out, kinds, strict=True):
-                value[a:b] = arrays.load(f"{self.m.uri}/sums/{kind}-{int(part[a]):05d}.npy")[ids[a:b] - part[a] * self.m.per]
+                value[a:b] = arrays.load(f"{self.m.uri}/sums/{kind}-{int(part[a]):05d}.npy")[ids[a:b] - part[a] * PART_WORDS]
         return out
 
     def texts(self, seq: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:
@@ -237,7 +246,7 @@ class Scorer:
         # what is asked of each distinct word, in the order of the word numbers; at the end the start of a text
         order = np.argsort(ids[known])
         asked = np.append(ids[known][order], m.known) if m.tokens else np.zeros(0, np.int64)
-        total, one, two, more, before = self.sums(asked, "total", "one", "two", "more", "before")
+        total, one, two, more, before = self.sums(asked, *KINDS)
         slot = np.full(len(distinct), -1, np.int64)
         slot[np.flatnonzero(known)[order]] = np.arange(int(known.sum()))
         low = np.full(len(distinct), self.rest / (m.known + 1))
