@@ -10,10 +10,15 @@ from __future__ import annotations
 import io
 import os
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 
+#: Keys that a task gathers before it sorts them.
+HELD_KEYS = 4_000_000
+SHARDS = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
 _OPEN: dict[str, np.ndarray] = {}
 
 
@@ -131,3 +136,36 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw) // (8 + width)
     keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
     return keys, np.ascontiguousarray(raw[8 * n :].reshape(width, n).T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def blobs(keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    cuts = np.searchsorted(shard_of(keys, bits), np.arange((1 << bits) + 1))
+    for s in range(1 << bits):
+        if cuts[s] < cuts[s + 1]:
+            blob = pack(keys[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob])], schema=SHARDS)
+
+
+class Held:
+    """Keys gathered until there are enough to sort and send off."""
+
+    def __init__(self, bits: int):
+        self.bits, self.parts, self.n = bits, [], 0
+
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(keys)
+        self.n += len(keys)
+        if self.n >= HELD_KEYS:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            keys = np.concatenate(self.parts)
+            self.parts, self.n = [], 0
+            yield from blobs(*merged(keys, np.ones(len(keys), np.int64)), self.bits)
+
+
+def joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All blobs of one shard as sorted keys with counts."""
+    parts = [unpack(x.as_py()) for x in table["blob"]]
+    return merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))

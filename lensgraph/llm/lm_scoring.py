@@ -31,13 +31,10 @@ from lensgraph.shared import new_folder, partitions, written
 
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0x5BD1E9955BD1E995)
-#: Keys that a counting task gathers before it sorts them.
-HELD_KEYS = 4_000_000
 #: Word numbers whose sums one task gathers into one file of each kind.
 PART_WORDS = 1 << 17
 #: Of a word as context: its occurrences, and how many words follow it once, twice, more often; then the distinct words before it.
 KINDS = ("total", "one", "two", "more", "before")
-_SHARDS = pa.schema([("shard", pa.int32()), ("kind", pa.string()), ("blob", pa.binary())])
 
 
 @dataclass
@@ -80,54 +77,21 @@ def _sequences(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield row, end, out, begins
 
 
-def _blobs(keys: np.ndarray, counts: np.ndarray, bits: int, kind: str) -> Iterator[pa.RecordBatch]:
-    cuts = np.searchsorted(arrays.shard_of(keys, bits), np.arange((1 << bits) + 1))
-    for s in range(1 << bits):
-        if cuts[s] < cuts[s + 1]:
-            blob = arrays.pack(keys[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind]), pa.array([blob])], schema=_SHARDS)
-
-
-class _Held:
-    """Keys gathered until there are enough to sort and send off."""
-
-    def __init__(self, bits: int, kind: str):
-        self.bits, self.kind, self.parts, self.n = bits, kind, [], 0
-
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append(keys)
-        self.n += len(keys)
-        if self.n >= HELD_KEYS:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if self.n:
-            keys = np.concatenate(self.parts)
-            self.parts, self.n = [], 0
-            yield from _blobs(*arrays.merged(keys, np.ones(len(keys), np.int64)), self.bits, self.kind)
-
-
-def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """All blobs of one shard as sorted keys with counts."""
-    parts = [arrays.unpack(x.as_py()) for x in table["blob"]]
-    return arrays.merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-
-
 def _count_words(df: DataFrame, bits: int) -> DataFrame:
     def run(batches):
-        held = _Held(bits, "words")
+        held = arrays.Held(bits)
         for batch in batches:
             for _, _, seq, _ in _sequences(batch.column(0)):
                 yield from held.add(seq)
         yield from held.flush()
 
-    return df.select("text").mapInArrow(run, "shard int, kind string, blob binary")
+    return df.select("text").mapInArrow(run, "shard int, blob binary")
 
 
 def _write_words(df: DataFrame, uri: str, bits: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        keys, counts = _joined(table)
+        keys, counts = arrays.joined(table)
         arrays.save(f"{uri}/keys-{shard:05d}.npy", keys)
         arrays.save(f"{uri}/counts-{shard:05d}.npy", arrays.least(counts))
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
@@ -137,7 +101,7 @@ def _write_words(df: DataFrame, uri: str, bits: int) -> DataFrame:
 
 def _count_pairs(df: DataFrame, table: arrays.Sharded, bits: int) -> DataFrame:
     def run(batches):
-        held, size = _Held(bits, "pairs"), table.size
+        held, size = arrays.Held(bits), table.size
         for batch in batches:
             for _, _, seq, begins in _sequences(batch.column(0)):
                 distinct, where = np.unique(seq, return_inverse=True)
@@ -148,7 +112,7 @@ def _count_pairs(df: DataFrame, table: arrays.Sharded, bits: int) -> DataFrame:
                 yield from held.add(words.mix(before.astype(np.uint64) * np.uint64(size + 1) + ids.astype(np.uint64)))
         yield from held.flush()
 
-    return df.select("text").mapInArrow(run, "shard int, kind string, blob binary")
+    return df.select("text").mapInArrow(run, "shard int, blob binary")
 
 
 def _write_pairs(df: DataFrame, uri: str, bits: int, size: int) -> DataFrame:
@@ -156,7 +120,7 @@ def _write_pairs(df: DataFrame, uri: str, bits: int, size: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        keys, counts = _joined(table)
+        keys, counts = arrays.joined(table)
         arrays.save(f"{uri}/keys-{shard:05d}.npy", keys)
         arrays.save(f"{uri}/counts-{shard:05d}.npy", arrays.least(counts))
         packed = words.unmix(keys)
