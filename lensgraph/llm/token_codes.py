@@ -39,9 +39,10 @@ READ_TOKENS = 1_000_000
 
 def widths(ids: np.ndarray) -> list[int]:
     """Chunk widths of least size for these ids, by dynamic programming over the bits already stored."""
-    ids = ids.astype(np.uint64)
+    values, counts = np.unique(ids, return_counts=True) if len(ids) and ids.max() >= 1 << 24 else (None, np.bincount(ids))
     bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    longer = [int((ids >> np.uint64(s) > 0).sum()) if s else len(ids) for s in range(bits + 1)]
+    above = lambda s: counts[1 << s :].sum() if values is None else counts[values >> s > 0].sum()
+    longer = [int(above(s)) if s else len(ids) for s in range(bits + 1)]
     best: list[tuple[float, list[int]]] = [(0.0, [])] * (bits + 1)
     for s in range(bits - 1, -1, -1):
         best[s] = min((longer[s] * (w + (1 + 32 / BLOCK) * (s + w < bits)) + best[s + w][0], [w, *best[s + w][1]]) for w in range(1, min(16, bits - s) + 1))
