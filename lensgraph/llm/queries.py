@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lensgraph.llm import lm_scoring, mixing, packing, token_codes
+from lensgraph.llm import embedding_dedup, lm_scoring, mixing, ngram_join, packing, pii, token_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lm_scoring": lambda spark, sf_dir: lm_scoring.op1(documents(spark, sf_dir)),
         "op2_token_codes": lambda spark, sf_dir: token_codes.op2(documents(spark, sf_dir)),
         "op3_mixing": lambda spark, sf_dir: mixing.op3(documents(spark, sf_dir)),
+        "op5_pii": lambda spark, sf_dir: pii.op5(documents(spark, sf_dir)),
         "op7_packing": lambda spark, sf_dir: packing.op7(documents(spark, sf_dir)),
+        "op9_ngram_join": lambda spark, sf_dir: ngram_join.op9(documents(spark, sf_dir)),
+        "op10_embedding_dedup": lambda spark, sf_dir: embedding_dedup.op10(_table(spark, sf_dir, "embeddings")),
     }
 
 
