@@ -99,6 +99,18 @@ def mix(docs: DataFrame, weights: list[int], share: float, most: int = 2, keep:
     )
 
 
+def mixed(docs: DataFrame, weights: list[int], share: float, most: int = 2) -> DataFrame:
+    """The rows of `docs` as the mix takes them: a row as often as it is taken whole, then cut after the words left over."""
+    got = mix(docs, weights, share, most, docs.columns)
+    whole, rest = F.expr("taken div greatest(size, 1)"), F.expr("taken % greatest(size, 1)")
+    # cut after _rest words: what a split at that many words leaves as its last piece goes
+    head = F.expr(r"left(text, length(text) - length(element_at(split(text, '[^\\x20\\x09-\\x0D]+', cast(_rest + 1 AS int)), -1)))")
+    rows = got.withColumn("_rest", rest).withColumn("_times", whole + (F.col("_rest") > 0).cast("long")).filter("_times > 0")
+    rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    cut = (F.col("_rest") > 0) & (F.col("_n") == F.col("_times"))
+    return rows.withColumn("text", F.when(cut, head).otherwise(F.col("text"))).select(*docs.columns)
+
+
 def op3(docs: DataFrame) -> DataFrame:
     """All documents, weights 3, 1, 2 in turn, 150% of all words, twice a source at most."""
     return mix(docs, [3, 1, 2], 1.5)
