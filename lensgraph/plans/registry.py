@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from lensgraph.plans import graphs
+
+MODULES = (graphs,)
+
 
 def queries() -> dict:
-    return {}
+    """Query name -> function of (spark, sf_dir)."""
+    return {name: run for module in MODULES for name, (run, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Query name -> SQL, where SQL can express it."""
+    return {name: sql for module in MODULES for name, (_, sql) in module.QUERIES.items() if sql}
