@@ -56,12 +56,22 @@ def weighted(scores: list[Column], weights: list[float]) -> Column:
     return out
 
 
+def _summed(vectors: list[Column], weights: list[Column]) -> Column:
+    """Component-wise sum of weighted vectors."""
+    out = None
+    for v, w in zip(vectors, weights, strict=True):
+        own = _scaled(v, w)
+        out = own if out is None else F.zip_with(out, own, lambda x, y: x + y)
+    return out
+
+
+def _scaled(v: Column, w: Column) -> Column:
+    return F.transform(doubles(v), lambda x: x * w)
+
+
 def fuse_weighted(vectors: list[Column], weights: list[float]) -> Column:
     """Component-wise weighted sum of vectors of one width."""
-    out = F.transform(doubles(vectors[0]), lambda x: x * weights[0])
-    for v, w in zip(vectors[1:], weights[1:], strict=True):
-        out = F.zip_with(out, doubles(v), lambda x, y, w=w: x + y * w)
-    return out
+    return _summed(vectors, [F.lit(w) for w in weights])
 
 
 def fuse_attention(query: Column, vectors: list[Column]) -> Column:
@@ -70,10 +80,7 @@ def fuse_attention(query: Column, vectors: list[Column]) -> Column:
     top = F.greatest(*logits)
     exps = [F.exp(x - top) for x in logits]
     total = sum(exps[1:], exps[0])
-    out = F.transform(doubles(vectors[0]), lambda x: x * exps[0] / total)
-    for v, e in zip(vectors[1:], exps[1:], strict=True):
-        out = F.zip_with(out, doubles(v), lambda x, y, e=e: x + y * e / total)
-    return out
+    return _summed(vectors, [e / total for e in exps])
 
 
 def manifold_distance(distances: list[Column]) -> Column:

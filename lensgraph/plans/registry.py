@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lensgraph.plans import graphs
+from lensgraph.plans import graphs, indexing, vectors
 
-MODULES = (graphs,)
+MODULES = (graphs, vectors, indexing)
 
 
 def queries() -> dict:
