@@ -10,7 +10,8 @@ A target above the source's size takes all rows once and repeats those below the
 
 Edge cases: a null or empty text has size 0 and gives nothing; a null source is a source, the last; rows with one key
 (repeated ids) share what the boundary has left in proportion to their sizes, rounded down; a source without words has
-target 0; an empty table gives no rows; other columns are kept if asked for.
+target 0; an empty table gives no rows; other columns are
+kept if asked for, whatever their names.
 """
 
 from __future__ import annotations
@@ -81,10 +82,9 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: list[int], share: float, most: int = 2, keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` (default doc_id), size, source_size, target, taken of every row of documents."""
-    keep = keep or ["doc_id"]
-    named = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
-    sized = written(docs.select(*named, "source", word_count(F.col("text")).alias("size"), key_of(F.col("doc_id")).alias("key")), "sized")
+    """row (a struct of the columns `keep`), size, source_size, target, taken of every row of documents."""
+    row = F.struct(*(keep or ["doc_id"])).alias("row")
+    sized = written(docs.select(row, "source", word_count(F.col("text")).alias("size"), key_of(F.col("doc_id")).alias("key")), "sized")
     rows = sized.select("source", "size", "key")
     goal = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     budget = F.floor("target").cast("long")
@@ -94,26 +94,24 @@ def mix(docs: DataFrame, weights: list[int], share: float, most: int = 2, keep:
     cut = cut.withColumnRenamed("source", "s")
     plan = goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s")
     extra = F.when(F.col("below").isNull() | (F.col("times") >= most), 0).when(F.col("key") < F.col("below"), F.col("size")).when(F.col("key") == F.col("edge"), F.expr("size * rest div tied")).otherwise(0)
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select(
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", (F.col("times") * F.col("size") + extra).cast("long").alias("taken")
-    )
+    return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("row", "size", "source_size", "target", (F.col("times") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: list[int], share: float, most: int = 2) -> DataFrame:
     """The rows of `docs` as the mix takes them: a row as often as it is taken whole, then cut after the words left over."""
     got = mix(docs, weights, share, most, docs.columns)
-    whole, rest = F.expr("taken div greatest(size, 1)"), F.expr("taken % greatest(size, 1)")
-    # cut after _rest words: what a split at that many words leaves as its last piece goes
-    head = F.expr(r"left(text, length(text) - length(element_at(split(text, '[^\\x20\\x09-\\x0D]+', cast(_rest + 1 AS int)), -1)))")
-    rows = got.withColumn("_rest", rest).withColumn("_times", whole + (F.col("_rest") > 0).cast("long")).filter("_times > 0")
-    rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
-    cut = (F.col("_rest") > 0) & (F.col("_n") == F.col("_times"))
-    return rows.withColumn("text", F.when(cut, head).otherwise(F.col("text"))).select(*docs.columns)
+    rows = got.select("row", F.expr("taken div greatest(size, 1)").alias("whole"), F.expr("taken % greatest(size, 1)").alias("rest"))
+    rows = rows.withColumn("times", F.col("whole") + (F.col("rest") > 0).cast("long")).filter("times > 0")
+    rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    # cut after `rest` words: what a split at that many words leaves as its last piece goes
+    head = F.expr(r"left(row.text, length(row.text) - length(element_at(split(row.text, '[^\\x20\\x09-\\x0D]+', cast(rest + 1 AS int)), -1)))")
+    text = F.when((F.col("rest") > 0) & (F.col("n") == F.col("times")), head).otherwise(F.col("row.text"))
+    return rows.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op3(docs: DataFrame) -> DataFrame:
     """All documents, weights 3, 1, 2 in turn, 150% of all words, twice a source at most."""
-    return mix(docs, [3, 1, 2], 1.5)
+    return mix(docs, [3, 1, 2], 1.5).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE_SQL = r"""

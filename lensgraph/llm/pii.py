@@ -16,7 +16,7 @@ Positions are code points, ends exclusive. The base patterns use possessive quan
 find what the plain patterns find, in linear time.
 
 Edge cases: null and empty texts have no spans; repeated rows are found one by one; a table without candidates keeps
-just the seeds; an empty table gives no rows; names of other columns may clash with none but those that begin with _.
+just the seeds; an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -72,9 +72,9 @@ def spans_of(kind: str, pattern: str, need: str | None) -> Column:
 
 
 def seeds(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns `keep`, then _base (the seeds' spans, by kind and start) and _other (candidates that touch none of them)."""
+    """_keep (a struct of `keep`), then _base (the seeds' spans, by kind and start) and _other (candidates that touch none of them)."""
     text = F.coalesce("text", F.lit("")).alias("_t")
-    rows = docs.select(*keep, text).withColumn("_digits", F.col("_t").rlike("[0-9]"))
+    rows = docs.select(F.struct(*keep).alias("_keep"), text).withColumn("_digits", F.col("_t").rlike("[0-9]"))
     base = F.concat(*[spans_of(k, p, need) for k, (need, p) in PATTERNS.items()])
     rows = rows.withColumn("_base", base).withColumn("_other", spans_of("", CANDIDATE, "@ or digits"))
     return rows.withColumn("_other", F.expr("filter(_other, x -> NOT exists(_base, b -> b.start < x.end AND x.start < b.end))")).drop("_t", "_digits")
@@ -115,7 +115,7 @@ def bootstrap(found: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns `keep`, then base and spans: arrays of SPAN by kind as listed and start; spans holds the found ones too."""
+    """_keep (a struct of `keep`), then base and spans: arrays of SPAN by kind as listed and start; spans holds the found ones too."""
     found = written(seeds(docs, keep).withColumn("_row", F.monotonically_increasing_id()), "found")
     sure = bootstrap(found.select("_base", "_other"))
     hits = found.filter("size(_other) > 0").select("_row", F.explode("_other").alias("s")).withColumn("text", F.col("s.text"))
@@ -124,7 +124,7 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     out = found.join(more, "_row", "left").withColumn("_all", F.when(F.col("_more").isNull(), F.col("_base")).otherwise(F.concat("_base", F.col("_more"))))
     order = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS))
     ranked = f"array_sort(_all, (x, y) -> CASE WHEN x.kind = y.kind THEN cast(sign(x.start - y.start) AS int) ELSE cast(sign((CASE x.kind {order} END) - (CASE y.kind {order} END)) AS int) END)"
-    return out.select(*keep, F.col("_base").alias("base"), F.expr(f"CASE WHEN _more IS NULL THEN _base ELSE {ranked} END").alias("spans"))
+    return out.select("_keep", F.col("_base").alias("base"), F.expr(f"CASE WHEN _more IS NULL THEN _base ELSE {ranked} END").alias("spans"))
 
 
 def joined(spans: str) -> Column:
@@ -137,14 +137,14 @@ def redact(docs: DataFrame) -> DataFrame:
     found = find(docs, docs.columns)
     merged = "array_sort(spans, (x, y) -> CASE WHEN x.start <> y.start THEN cast(sign(x.start - y.start) AS int) ELSE cast(sign(y.end - x.end) AS int) END)"
     fold = f"""aggregate({merged}, named_struct('at', 0L, 'out', cast('' AS string)), (s, x) -> CASE WHEN x.start < s.at THEN named_struct('at', greatest(s.at, x.end), 'out', s.out)
-        ELSE named_struct('at', x.end, 'out', concat(s.out, substring(text, cast(s.at + 1 AS int), cast(x.start - s.at AS int)), '[', upper(x.kind), ']')) END,
-        s -> concat(s.out, substring(text, cast(s.at + 1 AS int), length(text))))"""
-    text = F.expr(f"CASE WHEN text IS NULL OR size(spans) = 0 THEN text ELSE {fold} END")
-    return found.withColumn("text", text).select(*docs.columns)
+        ELSE named_struct('at', x.end, 'out', concat(s.out, substring(_keep.text, cast(s.at + 1 AS int), cast(x.start - s.at AS int)), '[', upper(x.kind), ']')) END,
+        s -> concat(s.out, substring(_keep.text, cast(s.at + 1 AS int), length(_keep.text))))"""
+    text = F.expr(f"CASE WHEN _keep.text IS NULL OR size(spans) = 0 THEN _keep.text ELSE {fold} END")
+    return found.select(*[(text if c == "text" else F.col("_keep").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5(docs: DataFrame) -> DataFrame:
     """Spans of all documents."""
     found = find(docs, ["doc_id"])
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS long)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("_keep.doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))

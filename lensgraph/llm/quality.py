@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lensgraph.llm import words
 from lensgraph.shared import written
@@ -115,8 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 
 def evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Columns `keep` and evidence, each document's own log odds of being good."""
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    """Columns `keep` and _evidence, each document's own log odds of being good."""
+    fields = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_evidence", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
@@ -124,7 +125,7 @@ def evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 z = np.clip((features(data, offsets) - model.centre) / model.scale, -8, 8) @ model.weights + model.bias
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, end - row) for k in range(len(keep))), pa.array(np.clip(z, -20, 20))], names=[*keep, "_evidence"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ", ".join([*kept, "_evidence double"]))
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, fields)
 
 
 def _strength(groups: DataFrame, mean: float) -> float:
@@ -151,23 +152,23 @@ def site_rates(scored: DataFrame) -> tuple[DataFrame, float]:
 
 
 def classified(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep: list[str]) -> DataFrame:
-    """Columns `keep`, then doc_score (own probability), site_rate and quality_score (posterior)."""
-    rows = docs.withColumns({"_host": host, "_path": path})
-    scored = written(evidence(rows, train(docs, labels), [*keep, "_host", "_path"]), "scored")
+    """_keep (a struct of `keep`), doc_score (own probability), site_rate and quality_score (posterior)."""
+    rows = docs.select(F.struct(*keep).alias("_keep"), host.alias("_host"), path.alias("_path"), "text")
+    scored = written(evidence(rows, train(docs, labels), ["_keep", "_host", "_path"]), "scored")
     rate, mean = site_rates(scored.select("_host", "_path", "_evidence"))
     rate = written(rate.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "rate"), "rates")
     out = scored.join(rate, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
     odds = F.col("_evidence") + F.log(F.col("rate") / (1 - F.col("rate"))) - math.log(mean / (1 - mean))
-    return out.select(*keep, (1 / (1 + F.exp(-F.col("_evidence")))).alias("doc_score"), F.col("rate").alias("site_rate"), (1 / (1 + F.exp(-odds))).alias("quality_score"))
+    return out.select("_keep", (1 / (1 + F.exp(-F.col("_evidence")))).alias("doc_score"), F.col("rate").alias("site_rate"), (1 / (1 + F.exp(-odds))).alias("quality_score"))
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """All documents: host is the source, path the language within it."""
     out = classified(docs, labels, F.col("source"), F.col("lang"), ["doc_id"])
-    return out.withColumn("predicted", (F.col("quality_score") >= KEEP).cast("int"))
+    return out.select("_keep.doc_id", "doc_score", "site_rate", "quality_score", (F.col("quality_score") >= KEEP).cast("int").alias("predicted"))
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are not rejected."""
     out = classified(docs, labels, F.col("source"), F.col("lang"), docs.columns)
-    return out.filter(F.col("quality_score") >= KEEP).select(*docs.columns)
+    return out.filter(F.col("quality_score") >= KEEP).select(*[F.col("_keep").getField(c).alias(c) for c in docs.columns])
