@@ -84,15 +84,16 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: list[int], share: float, most: int = 2, keep: list[str] | None = None) -> DataFrame:
     """row (a struct of the columns `keep`), size, source_size, target, taken of every row of documents."""
     row = F.struct(*(keep or ["doc_id"])).alias("row")
-    sized = written(docs.select(row, "source", word_count(F.col("text")).alias("size"), key_of(F.col("doc_id")).alias("key")), "sized")
-    rows = sized.select("source", "size", "key")
+    sized = docs.select(row, "source", word_count(F.col("text")).alias("size"), key_of(F.col("doc_id")).alias("key"))
+    rows = written(sized.select("source", "size", "key"), "sized")
     goal = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     budget = F.floor("target").cast("long")
     times = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("times", times)
     cut = thresholds(rows, goal.select("source", (budget - F.col("times") * F.col("source_size")).alias("budget")))
     cut = cut.withColumnRenamed("source", "s")
-    plan = goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s")
+    # one row a source, written so that the planner knows its size before it deals with the texts
+    plan = written(goal.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumnRenamed("source", "s"), "plan")
     extra = F.when(F.col("below").isNull() | (F.col("times") >= most), 0).when(F.col("key") < F.col("below"), F.col("size")).when(F.col("key") == F.col("edge"), F.expr("size * rest div tied")).otherwise(0)
     return sized.join(plan, F.col("source").eqNullSafe(F.col("s"))).select("row", "size", "source_size", "target", (F.col("times") * F.col("size") + extra).cast("long").alias("taken"))
 
