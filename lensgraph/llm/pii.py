@@ -91,7 +91,7 @@ def fits(kind: Column, text: Column) -> Column:
 def bootstrap(found: DataFrame) -> DataFrame:
     """(text, kind, confidence) of the sure candidates. found: rows with _base and _other."""
     seen = F.explode(F.concat("_base", "_other")).alias("s")
-    hits = found.filter("size(_base) + size(_other) > 0").select(seen).select("s.*")
+    hits = found.select(seen).select("s.*")
     contexts = F.explode(F.array(F.struct(F.lit("before").alias("side"), "before", F.lit("").alias("after")), F.struct(F.lit("after").alias("side"), F.lit("").alias("before"), "after"), F.struct(F.lit("both").alias("side"), "before", "after"))).alias("p")
     edges = written(hits.select("kind", "text", contexts).filter("p.before <> '' or p.after <> ''").filter("p.side <> 'both' or (p.before <> '' and p.after <> '')").distinct(), "edges")
     graph = written(edges.select("p", "text").distinct(), "graph")
@@ -116,7 +116,9 @@ def bootstrap(found: DataFrame) -> DataFrame:
 
 def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     """_keep (a struct of `keep`), then base and spans: arrays of SPAN by kind as listed and start; spans holds the found ones too."""
-    found = written(seeds(docs, keep).withColumn("_row", F.monotonically_increasing_id()), "found")
+    rows = seeds(docs, keep)
+    held = F.size("_base") + F.size("_other")
+    found = written(rows.filter(held > 0).withColumn("_row", F.monotonically_increasing_id()), "found")
     sure = bootstrap(found.select("_base", "_other"))
     hits = found.filter("size(_other) > 0").select("_row", F.explode("_other").alias("s")).withColumn("text", F.col("s.text"))
     more = hits.join(sure.withColumnRenamed("kind", "k"), "text").select("_row", F.expr(f"cast(named_struct('kind', k, 'start', s.start, 'end', s.end, 'text', s.text, 'before', s.before, 'after', s.after) AS {SPAN})").alias("s"))
@@ -124,7 +126,9 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     out = found.join(more, "_row", "left").withColumn("_all", F.when(F.col("_more").isNull(), F.col("_base")).otherwise(F.concat("_base", F.col("_more"))))
     order = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS))
     ranked = f"array_sort(_all, (x, y) -> CASE WHEN x.kind = y.kind THEN cast(sign(x.start - y.start) AS int) ELSE cast(sign((CASE x.kind {order} END) - (CASE y.kind {order} END)) AS int) END)"
-    return out.select("_keep", F.col("_base").alias("base"), F.expr(f"CASE WHEN _more IS NULL THEN _base ELSE {ranked} END").alias("spans"))
+    out = out.select("_keep", F.col("_base").alias("base"), F.expr(f"CASE WHEN _more IS NULL THEN _base ELSE {ranked} END").alias("spans"))
+    # most rows have neither seeds nor candidates; they are found again rather than written or shuffled
+    return out.unionByName(rows.filter(held == 0).select("_keep", F.col("_base").alias("base"), F.col("_base").alias("spans")))
 
 
 def joined(spans: str) -> Column:
