@@ -152,11 +152,15 @@ def site_rates(scored: DataFrame) -> tuple[DataFrame, float]:
 
 
 def classified(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep: list[str]) -> DataFrame:
-    """_keep (a struct of `keep`), doc_score (own probability), site_rate and quality_score (posterior)."""
+    """_keep (a struct of `keep`), doc_score (own probability), site_rate and quality_score (posterior).
+
+    Evidence is computed for the rates and again for the rows, so that texts kept are neither written nor shuffled.
+    """
     rows = docs.select(F.struct(*keep).alias("_keep"), host.alias("_host"), path.alias("_path"), "text")
-    scored = written(evidence(rows, train(docs, labels), ["_keep", "_host", "_path"]), "scored")
-    rate, mean = site_rates(scored.select("_host", "_path", "_evidence"))
+    model = train(docs, labels)
+    rate, mean = site_rates(evidence(rows, model, ["_host", "_path"]))
     rate = written(rate.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "rate"), "rates")
+    scored = evidence(rows, model, ["_keep", "_host", "_path"])
     out = scored.join(rate, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
     odds = F.col("_evidence") + F.log(F.col("rate") / (1 - F.col("rate"))) - math.log(mean / (1 - mean))
     return out.select("_keep", (1 / (1 + F.exp(-F.col("_evidence")))).alias("doc_score"), F.col("rate").alias("site_rate"), (1 / (1 + F.exp(-odds))).alias("quality_score"))
