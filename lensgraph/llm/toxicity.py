@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensgraph.llm import words
+from lensgraph.llm import tokens, words
 
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 18, 12, (3, 4, 5, 6), 1
-SAMPLE, ROUNDS, EPOCHS, BATCH, RATE, SEED = 3000, 4, 6, 256, 0.5, 7
+SAMPLE, ROUNDS, EPOCHS, BATCH, RATE, SEED = 2000, 3, 6, 512, 0.5, 7
 #: Likelihood ratio of a word with label 1 from which it begins a first window.
 LIKELY = 30.0
+#: And how much more often toxic texts must hold it.
+RATIO = 5
 _PRIME = np.uint64(0x100000001B3)
 _FOLD = np.full(256, 0x20, np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256), 0x40]:
@@ -58,7 +60,8 @@ class Bags:
         self.start = np.flatnonzero(~gap[1:] & gap[:-1]) + 1
         self.end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
         self.begins = np.searchsorted(self.start, offsets + np.arange(texts + 1))
-        self.gaps = np.concatenate([[0], np.cumsum(gap)])
+        self.gaps = np.zeros(len(padded) + 1, np.int32)
+        np.cumsum(gap, out=self.gaps[1:])
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Where valid n-grams begin, and their buckets. Only the first and the last byte of one may be a gap."""
@@ -99,6 +102,9 @@ class Bags:
             where[owner[first]] = first
         return out, where
 
+    def word(self, i: int) -> bytes:
+        return self.padded[self.start[i] : self.end[i]].tobytes()
+
     def window(self, word: int) -> str:
         text = int(np.searchsorted(self.begins, word, "right")) - 1
         last = min(word + WINDOW, int(self.begins[text + 1])) - 1
@@ -133,33 +139,44 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     share = float(labels.mean()) if len(labels) else 0.0
     if len(np.unique(labels)) < 2:
         return Model(np.zeros(BUCKETS), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    bags = _bags(texts)
     # the first toxic windows begin at words that toxic texts hold far more often
-    owner = np.repeat(np.arange(len(texts)), np.diff(bags.begins))
-    spelt = np.array([bags.padded[a:b].tobytes() for a, b in zip(bags.start, bags.end, strict=True)], object)
-    _, word = np.unique(spelt.astype("S40"), return_inverse=True)
-    seen = np.unique(owner * (word.max() + 1) + word) if len(word) else np.zeros(0, np.int64)
-    held = [np.bincount(seen[labels[seen // (word.max() + 1)] == k] % (word.max() + 1), minlength=word.max() + 1) if len(word) else np.zeros(0) for k in (0, 1)]
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    expected = (held[0] + held[1]) * n1 / (n1 + n0)
-    likely = np.where(held[1] > expected, 2 * held[1] * np.log(np.maximum(held[1], 1) / np.maximum(expected, 1e-9)), 0)
+    held: dict[bytes, list[int]] = {}
+    for a, b in tokens.blocks(texts):  # a block at a time: the bags of all texts would not fit the driver
+        bags = _bags(texts[a:b])
+        for t in range(b - a):
+            for w in {bags.word(i) for i in range(bags.begins[t], bags.begins[t + 1])}:
+                held.setdefault(w, [0, 0])[labels[a + t]] += 1
+    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+
+    def likely(n: list[int]) -> bool:
+        expected = (n[0] + n[1]) * n1 / (n1 + n0)
+        return n[1] * n0 >= RATIO * n[0] * n1 and 2 * n[1] * np.log(n[1] / expected) >= LIKELY
+
+    marked = {w for w, n in held.items() if n[1] > 1 and likely(n)}
+    del held
     pool: dict[str, int] = {}
-    for i in np.flatnonzero((likely[word] >= LIKELY) & (labels[owner] == 1)) if len(word) else ():
-        text = bags.window(int(i))
-        pool[text] = pool.get(text, 0) + 1
+    toxic_texts = [t for t, y in zip(texts, labels, strict=True) if y]
+    for a, b in tokens.blocks(toxic_texts):
+        bags = _bags(toxic_texts[a:b])
+        for i in range(len(bags.start)):
+            if bags.word(i) in marked:
+                text = bags.window(i)
+                pool[text] = pool.get(text, 0) + 1
     weights, bias = np.zeros(BUCKETS), 0.0
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     soft, soft_bias = rng.normal(0, 0.1, (WIDTH, 2)), np.zeros(2)
     grown = [np.full(BUCKETS, 1e-3), np.full(soft.shape, 1e-3), np.full(2, 1e-3)]
     for turn in range(ROUNDS):
-        _, where = bags.best(weights, bias)
-        for t in np.flatnonzero((where >= 0) & ((labels == 0) | (turn > 0))):
-            text = bags.window(int(where[t]))
-            pool[text] = pool.get(text, 0) + (1 if labels[t] else -1)
-            if not labels[t]:  # and a word by chance
-                text = bags.window(int(rng.integers(bags.begins[t], bags.begins[t + 1])))
-                pool[text] = pool.get(text, 0) - 1
-        toxic = [x for x, n in pool.items() if n > 0 for _ in range(min(n, 100))]
+        for a, b in tokens.blocks(texts):
+            bags = _bags(texts[a:b])
+            _, where = bags.best(weights, bias)
+            for t in np.flatnonzero((where >= 0) & ((labels[a:b] == 0) | (turn > 0))):
+                text = bags.window(int(where[t]))
+                pool[text] = pool.get(text, 0) + (1 if labels[a + t] else -1)
+                if not labels[a + t]:  # and a word by chance
+                    text = bags.window(int(rng.integers(bags.begins[t], bags.begins[t + 1])))
+                    pool[text] = pool.get(text, 0) - 1
+        toxic = [x for x, n in pool.items() if n > 0 for _ in range(min(n, 50))]
         clean = [x for x, n in pool.items() if n < 0]
         rows = toxic + [misspelt(x, rng) for x in toxic] + [misspelt(misspelt(x, rng), rng) for x in toxic[::2]] + clean + [misspelt(x, rng) for x in clean]
         n_toxic = 2 * len(toxic) + len(toxic[::2])
@@ -174,22 +191,19 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
         bucket, row = bucket[order], row[order]
         cuts = np.searchsorted(row, np.arange(len(rows) + 1))
         for _ in range(EPOCHS):
-            for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // BATCH)):
+            for batch in np.array_split(rng.permutation(np.flatnonzero(np.diff(cuts))), max(1, len(rows) // BATCH)):
                 size = np.diff(cuts)[batch]
-                picks = np.concatenate([bucket[cuts[i] : cuts[i + 1]] for i in batch])
                 of = np.repeat(np.arange(len(batch)), size)
-                mean = np.zeros((len(batch), WIDTH))
-                np.add.at(mean, of, table[picks])
-                mean /= np.maximum(size, 1)[:, None]
+                picks = bucket[cuts[batch][of] + np.arange(len(of)) - (np.cumsum(size) - size)[of]]
+                mean = np.add.reduceat(table[picks], np.cumsum(size) - size) / size[:, None]
                 logit = mean @ soft + soft_bias
                 p = np.exp(logit - logit.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(batch)), goal[batch].astype(int)] -= 1
                 p *= weight[batch][:, None] / len(batch)
-                g_soft, g_bias, g_mean = mean.T @ p, p.sum(0), p @ soft.T / np.maximum(size, 1)[:, None]
+                g_soft, g_bias, g_mean = mean.T @ p, p.sum(0), p @ soft.T / size[:, None]
                 uniq, back = np.unique(picks, return_inverse=True)
-                g_table = np.zeros((len(uniq), WIDTH))
-                np.add.at(g_table, back, g_mean[of])
+                g_table = np.stack([np.bincount(back, weights=g_mean[of, k], minlength=len(uniq)) for k in range(WIDTH)], 1)
                 grown[0][uniq] += (g_table**2).mean(1)
                 table[uniq] -= RATE * g_table / np.sqrt(grown[0][uniq])[:, None]
                 grown[1] += g_soft**2
@@ -197,7 +211,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
                 grown[2] += g_bias**2
                 soft_bias -= RATE * 0.2 * g_bias / np.sqrt(grown[2])
         weights, bias = table @ (soft[:, 1] - soft[:, 0]), float(soft_bias[1] - soft_bias[0])
-    high, _ = bags.best(weights, bias)
+    high = np.concatenate([_bags(texts[a:b]).best(weights, bias)[0] for a, b in tokens.blocks(texts)])
     slope, shift = 1.0, 0.0
     for _ in range(50):  # Newton's steps of a logistic fit, held back by a prior on the slope
         p = 1 / (1 + np.exp(-np.clip(slope * high + shift, -30, 30)))
