@@ -216,7 +216,7 @@ def unwound(spark, d):
 def weighted_consensus(spark, d):
     """Weights .4, .35, .25 over three scores."""
     p = table(spark, d, "part")
-    return p.select("p_partkey", F.round(F.lit(0.4) * F.col("p_size") / 50 + F.lit(0.35) * F.col("p_retailprice") / 2000 + F.lit(0.25) * (F.col("p_partkey") % 10) / 10, 4).alias("score"))
+    return p.select("p_partkey", F.round(F.lit(0.4) * F.col("p_size") / 50 + F.lit(0.35) * F.col("p_retailprice") / 2000 + F.lit(0.25) * (F.col("p_partkey") % 10) / 10, 8).alias("score"))
 
 
 QUERIES = {
@@ -254,5 +254,5 @@ QUERIES = {
     "aggregate_entities": (entity_counts, "SELECT c_mktsegment, count(*) AS files, round(avg(c_acctbal), 6) AS mean, min(c_acctbal) AS least, max(c_acctbal) AS most, count(DISTINCT c_nationkey) AS domains FROM customer GROUP BY 1"),
     "filter_buggy": (buggy, "WITH e AS (SELECT user_id, round(avg((event_type = 'error')::INT), 6) AS bug_frequency FROM events GROUP BY 1) SELECT * FROM e WHERE bug_frequency > 0.1"),
     "unwind_words": (unwound, "WITH w AS (SELECT item_id, unnest(list_distinct(string_split(lower(text), ' '))) AS word FROM benchmark) SELECT word, count(*) AS items FROM w WHERE word <> '' GROUP BY 1 HAVING count(*) > 1"),
-    "consensus_weighted": (weighted_consensus, "SELECT p_partkey, round(0.4::DOUBLE * p_size / 50 + 0.35::DOUBLE * p_retailprice / 2000 + 0.25::DOUBLE * (p_partkey % 10) / 10, 4) AS score FROM part"),
+    "consensus_weighted": (weighted_consensus, "SELECT p_partkey, round(0.4::DOUBLE * p_size / 50 + 0.35::DOUBLE * p_retailprice / 2000 + 0.25::DOUBLE * (p_partkey % 10) / 10, 8) AS score FROM part"),
 }
