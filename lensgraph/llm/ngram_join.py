@@ -62,11 +62,11 @@ def _list(values: np.ndarray, begins: np.ndarray, kind: pa.DataType) -> pa.Array
 
 
 def sets(docs: DataFrame, table: arrays.Sharded, n: int, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, row, n_shingles, sig (of the set), tokens and places (of the prefix), shingles (if there are tokens)."""
+    """Per row: doc_id, n_shingles, sig (of the set), tokens and places (of the prefix), shingles (if there are tokens)."""
 
     def run(batches):
         for batch in batches:
-            for row, end, data, offsets in words.chunks(batch.column(2)):
+            for row, end, data, offsets in words.chunks(batch.column(1)):
                 value, begins = words.shingles(*words.hashes(data, offsets), n)
                 size = np.diff(begins)
                 owner = np.repeat(np.arange(len(size)), size)
@@ -82,12 +82,11 @@ def sets(docs: DataFrame, table: arrays.Sharded, n: int, num: int, den: int) ->
                 tokens, token_owner = value[order][keep], owner[order][keep]
                 starts = np.searchsorted(token_owner, np.arange(len(size) + 1))
                 has = np.diff(starts) > 0
-                cols = [batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(size, pa.int64()), pa.array(sig), _list(tokens.view(np.int64), starts, pa.int64()), _list(place[keep], starts, pa.int64())]
+                cols = [batch.column(0).slice(row, end - row), pa.array(size, pa.int64()), pa.array(sig), _list(tokens.view(np.int64), starts, pa.int64()), _list(place[keep], starts, pa.int64())]
                 cols.append(pa.array([value[begins[i] : begins[i + 1]].tobytes() if has[i] else None for i in range(len(size))], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "n_shingles", "sig", "tokens", "places", "shingles"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "sig", "tokens", "places", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
-    return rows.mapInArrow(run, "doc_id long, row long, n_shingles long, sig long, tokens array<long>, places array<long>, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig long, tokens array<long>, places array<long>, shingles binary")
 
 
 class Joined:
@@ -163,28 +162,32 @@ class Joined:
         return connected_components(second.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     def documents(self) -> DataFrame:
-        """doc_id, row, n_shingles, component_id of every row."""
+        """doc_id, n_shingles, component_id of every row."""
         nodes = self.linked()
         classes = self.reps.join(nodes, "node", "left").select("sig", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-        rows = self.sets.select("doc_id", "row", "n_shingles", "sig")
+        rows = self.sets.select("doc_id", "n_shingles", "sig")
         out = rows.join(classes, ["sig", "n_shingles"], "left")
-        return out.select("doc_id", "row", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: sets of n-word shingles link from a Jaccard similarity of num/den."""
-    return Joined(docs, n, num, den).documents().drop("row")
+    return Joined(docs, n, num, den).documents()
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of `docs` without all but one of each component: the least doc_id, of its rows the first.
+    """The rows of `docs` without all but one of each component: of the least doc_id, one row. Null doc_ids stay.
 
-    `docs` must read the same rows in the same order each time, as a written table does.
+    Rows are known by their doc_id alone, so that no second reading need give them in the same order or partitions. Of
+    the rows that share one, the least by a hash of the text stays.
     """
     found = Joined(docs, n, num, den).documents().filter("doc_id is not null")
-    keep = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("kept"))
-    found = written(found.join(keep, "component_id").filter("row <> kept").select("row"), "dropped")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(found.withColumnRenamed("row", "_row"), "_row", "left_anti").drop("_row")
+    ids = written(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1 or doc_id <> component_id"), "apart")
+    same = lambda which: which.select(F.col("doc_id").alias("_id"))
+    once = docs.join(same(ids), docs.doc_id == F.col("_id"), "left_anti")
+    again = docs.join(same(ids.filter("doc_id = component_id")), docs.doc_id == F.col("_id"), "left_semi")
+    least = again.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_hash"), *[F.col(c) for c in docs.columns])).alias("_row"))
+    return once.unionByName(least.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
 
 
 def op9(docs: DataFrame) -> DataFrame:
