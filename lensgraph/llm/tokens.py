@@ -14,7 +14,7 @@ import os
 import numpy as np
 
 #: Words in one generation of the memo.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
 #: Marks that the pre-tokenizer takes as one run after letters.
 _MARKS = ".,;:!?#$%&*()-/|+=@^_~`"
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
