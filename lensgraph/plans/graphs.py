@@ -186,8 +186,11 @@ COMPONENTS_SQL = f"""{REC}, strong AS (SELECT src, dst FROM edges WHERE frequenc
 
 
 def cycle_rank(spark, d):
+    return _cycle_rank(written(edges(spark, d).filter("frequency > 1 or weight >= 50"), "strong"))
+
+
+def _cycle_rank(e):
     """First Betti number of the undirected graph: links - nodes + components."""
-    e = written(edges(spark, d).filter("frequency > 1 or weight >= 50"), "strong")
     parts = connected_components(e, "src", "dst").agg(F.count("*").alias("nodes"), F.countDistinct("component").alias("components"))
     links = graph.undirected(e).filter("src < dst").agg(F.count("*").alias("links"))
     return parts.crossJoin(links).select("nodes", "links", "components", (F.col("links") - F.col("nodes") + F.col("components")).alias("cycle_rank"))
@@ -199,8 +202,25 @@ CYCLE_RANK_SQL = f"""{REC}, strong AS (SELECT src, dst FROM edges WHERE frequenc
 SELECT nodes, links, components, links - nodes + components AS cycle_rank FROM sizes, l"""
 
 
+def communities_whole(spark, d):
+    """communities() over all edges; its SQL is held to the strong ones, and so is that of the three after it."""
+    return graph.label_propagation(edges(spark, d), rounds=4)
+
+
+def components_whole(spark, d):
+    return connected_components(edges(spark, d), "src", "dst")
+
+
+def cycle_rank_whole(spark, d):
+    return _cycle_rank(written(edges(spark, d), "all"))
+
+
+def composition_whole(spark, d):
+    return graph.composed(edges(spark, d), [("CALLS", "IMPORTS", "INFLUENCES")])
+
+
 def coloring(spark, d):
-    e = written(edges(spark, d).filter("frequency > 1 or weight >= 50"), "strong")
+    e = written(edges(spark, d), "all")
     both = graph.undirected(e)
     degree = both.groupBy("src").agg(F.count("*").alias("d")).select(F.col("src").alias("id"), (-F.col("d")).alias("priority"))
     return graph.coloring(e, degree)
@@ -314,6 +334,10 @@ QUERIES = {
     "graph_modularity": (modularity, MODULARITY_SQL),
     "graph_components": (components, COMPONENTS_SQL),
     "graph_cycle_rank": (cycle_rank, CYCLE_RANK_SQL),
+    "graph_communities_whole": (communities_whole, None),
+    "graph_components_whole": (components_whole, None),
+    "graph_cycle_rank_whole": (cycle_rank_whole, None),
+    "graph_composition_whole": (composition_whole, None),
     "graph_coloring": (coloring, None),
     "graph_exclusions": (exclusions, None),
     "graph_betweenness": (betweenness, None),
