@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lensgraph.shared import written
+from lensgraph.shared import Scratch, written
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -194,33 +194,44 @@ def coloring(edges: DataFrame, priority: DataFrame) -> DataFrame:
     return done
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most: int = 20) -> DataFrame:
-    """(id, centrality): Brandes' sums over the shortest paths from the given sources, directed, up to `most` edges.
+def betweenness(edges: DataFrame, sources: DataFrame, block: int = 500) -> DataFrame:
+    """(id, centrality): Brandes' sums over the shortest paths from the given sources, directed, of any length.
 
     Forward, the number of shortest paths to each node is summed level by level; backward, the dependencies. State is
-    one row for each source and node reached.
+    one row for each source of a block of about `block` and node reached, and goes when the block is summed.
     """
     links = written(edges.select("src", "dst").filter("src <> dst").distinct(), "links")
-    front = written(sources.select(F.col("id").alias("s"), "id").distinct().select("s", "id", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")), "level")
+    ids = written(sources.select("id").distinct(), "sources")
+    blocks = -(-ids.count() // block)
+    sums = [_dependencies(links, ids.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)) for k in range(blocks)]
+    if not sums:
+        return ids.withColumn("centrality", F.lit(0.0))
+    return reduce(DataFrame.unionByName, sums).groupBy("id").agg(F.sum("delta").alias("centrality"))
+
+
+def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, delta) summed over the sources, of the nodes on their paths."""
+    held = Scratch(links.sparkSession, "block")
+    front = held.written(sources.select(F.col("id").alias("s"), "id", F.lit(0).alias("d"), F.lit(1.0).alias("sigma")))
     levels = [front]
     seen = front.select("s", "id")
-    for k in range(1, most + 1):
+    while True:
         step = front.join(links, front.id == links.src).groupBy("s", F.col("dst").alias("t")).agg(F.sum("sigma").alias("sigma")).withColumnRenamed("t", "id")
-        front = written(step.join(seen, ["s", "id"], "left_anti").select("s", "id", F.lit(k).alias("d"), "sigma"), "level")
+        front = held.written(step.join(seen, ["s", "id"], "left_anti").select("s", "id", F.lit(len(levels)).alias("d"), "sigma"))
         if not front.limit(1).count():
             break
         levels.append(front)
         seen = seen.unionByName(front.select("s", "id"))
-    delta, sums = None, []
+    delta, sums = None, [front.select("id", F.lit(0.0).alias("delta"))]
     for upper, lower in zip(reversed(levels[:-1]), reversed(levels[1:]), strict=True):
         low = lower.withColumn("delta", F.lit(0.0)) if delta is None else lower.join(delta, ["s", "id"], "left").na.fill(0.0, ["delta"])
         low = low.select(F.col("s").alias("ls"), F.col("id").alias("lid"), F.col("sigma").alias("lsigma"), "delta")
         pairs = upper.join(links, upper.id == links.src).join(low, (F.col("s") == F.col("ls")) & (F.col("dst") == F.col("lid")))
-        delta = written(pairs.groupBy("s", "id").agg(F.sum(F.col("sigma") / F.col("lsigma") * (1 + F.col("delta"))).alias("delta")), "delta")
+        delta = held.written(pairs.groupBy("s", "id").agg(F.sum(F.col("sigma") / F.col("lsigma") * (1 + F.col("delta"))).alias("delta")))
         sums.append(delta.filter("s <> id").select("id", "delta"))
-    if not sums:
-        return sources.select("id").filter("false").withColumn("centrality", F.lit(0.0))
-    return reduce(DataFrame.unionByName, sums).groupBy("id").agg(F.sum("delta").alias("centrality"))
+    out = written(reduce(DataFrame.unionByName, sums).groupBy("id").agg(F.sum("delta").alias("delta")), "betweenness")
+    held.drop()
+    return out
 
 
 def composed(edges: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:

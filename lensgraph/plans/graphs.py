@@ -90,6 +90,11 @@ def eigenvector_sql(rounds=5):
     return ", ".join(steps) + f" SELECT id, round(value, 6) AS value FROM v{rounds}"
 
 
+def eigenvector_converged(spark, d):
+    """eigenvector() until it moves no more than the operator's tolerance; its SQL is five rounds written out."""
+    return _round(graph.power_iteration(calls(spark, d).select("src", "dst", "weight"), rounds=100), "value")
+
+
 def erdos(spark, d):
     return graph.hops(calls(spark, d), starts(spark, d), 3, directed=False).groupBy("source", "hops").agg(F.count("*").alias("nodes"))
 
@@ -145,6 +150,11 @@ SELECT 2 AS length, a.src AS first, a.dst AS second, NULL::BIGINT AS third FROM
 UNION ALL SELECT 3, a.src, b.src, c.src FROM calls a JOIN calls b ON b.src = a.dst JOIN calls c ON c.src = b.dst AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src"""
 
 
+def cycles_to_five(spark, d):
+    """Cycles of 2 to 5 edges; the SQL of two_cycles() ends at 3."""
+    return graph.cycles(calls(spark, d), 5)
+
+
 def graph_shape(spark, d):
     return _round(graph.shape(edges(spark, d).filter("rel_type = 'CALLS'")), "density", "clustering")
 
@@ -232,7 +242,10 @@ def exclusions(spark, d):
 
 
 def betweenness(spark, d):
-    return _round(graph.betweenness(calls(spark, d), starts(spark, d)), "centrality", digits=4)
+    """From every node; 0 for those on no shortest path."""
+    n = nodes(spark, d).select("id")
+    found = graph.betweenness(calls(spark, d), n)
+    return _round(n.join(found, "id", "left").na.fill(0.0, ["centrality"]), "centrality", digits=4)
 
 
 def projection(spark, d):
@@ -324,11 +337,13 @@ QUERIES = {
     "graph_god_classes": (god_classes, f"{WITH}, ends AS (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) SELECT id, count(*) AS degree FROM ends GROUP BY id HAVING count(*) > 30"),
     "graph_pagerank": (pagerank, pagerank_sql()),
     "graph_eigenvector": (eigenvector, eigenvector_sql()),
+    "graph_eigenvector_converged": (eigenvector_converged, None),
     "graph_erdos_numbers": (erdos, ERDOS_SQL),
     "graph_impact_set": (impact, IMPACT_SQL),
     "graph_least_action": (action, ACTION_SQL),
     "graph_variable_paths": (variable_paths, PATHS_SQL),
     "graph_cycles": (two_cycles, CYCLES_SQL),
+    "graph_cycles_to_five": (cycles_to_five, None),
     "graph_shape": (graph_shape, SHAPE_SQL),
     "graph_communities": (communities, communities_sql()),
     "graph_modularity": (modularity, MODULARITY_SQL),

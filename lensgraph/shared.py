@@ -36,6 +36,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in one new folder, all dropped at once when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.uri, self.n = spark, new_folder(spark, what), 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.uri}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.uri)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the unit in which files and shards are cut."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

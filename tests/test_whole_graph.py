@@ -4,8 +4,10 @@ import collections
 import itertools
 
 import duckdb
+import numpy as np
 import pytest
 
+from lensgraph.operators import graph
 from lensgraph.plans import registry
 from lensgraph.sources.tables import LINKS_SQL
 
@@ -74,3 +76,72 @@ def test_coloring(spark, sf, near):
     assert dict(registry.queries()["graph_coloring"](spark, sf).collect()) == want
     most = max(want.values())
     assert tuple(registry.queries()["graph_exclusions"](spark, sf).first()) == (most, True, most - 1)
+
+
+def calls_of(links):
+    out = collections.defaultdict(set)
+    for a, b, kind, _ in links:
+        if kind == "CALLS":
+            out[a].add(b)
+    return out
+
+
+def test_betweenness_follows_long_paths(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(24)], "src long, dst long")
+    got = dict(graph.betweenness(e, spark.createDataFrame([(0,)], "id long")).collect())
+    assert got == {i: 24 - i for i in range(1, 24)}
+
+
+def test_betweenness_from_all_nodes(spark, sf, links):
+    out, ids = calls_of(links), sorted(r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect())
+    want = collections.Counter()
+    for s in ids:
+        dist, sigma, queue = {s: 0}, collections.Counter({s: 1}), [s]
+        for v in queue:
+            for w in out[v]:
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    queue.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+        delta = collections.Counter()
+        for v in reversed(queue):
+            delta[v] = sum(sigma[v] / sigma[w] * (1 + delta[w]) for w in out[v] if dist[w] == dist[v] + 1)
+            if v != s:
+                want[v] += delta[v]
+    got = dict(registry.queries()["graph_betweenness"](spark, sf).collect())
+    assert sorted(got) == ids and all(abs(got[i] - want[i]) < 1e-3 for i in ids)
+
+
+def test_betweenness_by_blocks(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 1), (2, 4)], "src long, dst long")
+    n = spark.createDataFrame([(i,) for i in range(1, 5)], "id long")
+    assert dict(graph.betweenness(e, n, block=1).collect()) == dict(graph.betweenness(e, n).collect())
+
+
+def test_eigenvector_has_converged(spark, sf, links):
+    at = {n: i for i, n in enumerate(sorted({x for a, b, kind, _ in links if kind == "CALLS" for x in (a, b)}))}
+    m = np.zeros((len(at), len(at)))
+    for a, b, kind, w in links:
+        if kind == "CALLS":
+            m[at[a], at[b]] += w
+            m[at[b], at[a]] += w
+    want = np.abs(np.linalg.eigh(m)[1][:, -1])
+    got = dict(registry.queries()["graph_eigenvector_converged"](spark, sf).collect())
+    assert set(got) == set(at) and np.linalg.norm(np.array([got[n] for n in at]) - want) < 1e-3
+
+
+def test_cycles_to_five(spark, sf, links):
+    out, want = calls_of(links), set()
+
+    def walk(path):
+        for w in out[path[-1]]:
+            if w == path[0] and len(path) > 1:
+                want.add((len(path), tuple(path)))
+            elif w > path[0] and w not in path and len(path) < 5:
+                walk([*path, w])
+
+    for s in list(out):
+        walk([s])
+    got = registry.queries()["graph_cycles_to_five"](spark, sf).collect()
+    assert len(got) == len(want) and {(r.length, tuple(r.nodes)) for r in got} == want and max(r.length for r in got) == 5
