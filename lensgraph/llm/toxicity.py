@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from lensgraph.llm import tokens, words
 
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 18, 12, (3, 4, 5, 6), 1
-SAMPLE, ROUNDS, EPOCHS, BATCH, RATE, SEED = 2000, 3, 6, 512, 0.5, 7
+SAMPLE, ROUNDS, EPOCHS, BATCH, RATE, SEED = 3000, 4, 6, 256, 0.5, 7
 #: Likelihood ratio of a word with label 1 from which it begins a first window.
 LIKELY = 30.0
-#: And how much more often toxic texts must hold it.
-RATIO = 5
+#: How often at most a toxic window counts in an epoch.
+REPEATS = 100
 _PRIME = np.uint64(0x100000001B3)
 _FOLD = np.full(256, 0x20, np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256), 0x40]:
@@ -150,7 +150,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
 
     def likely(n: list[int]) -> bool:
         expected = (n[0] + n[1]) * n1 / (n1 + n0)
-        return n[1] * n0 >= RATIO * n[0] * n1 and 2 * n[1] * np.log(n[1] / expected) >= LIKELY
+        return n[1] > expected and 2 * n[1] * np.log(n[1] / expected) >= LIKELY
 
     marked = {w for w, n in held.items() if n[1] > 1 and likely(n)}
     del held
@@ -176,7 +176,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
                 if not labels[a + t]:  # and a word by chance
                     text = bags.window(int(rng.integers(bags.begins[t], bags.begins[t + 1])))
                     pool[text] = pool.get(text, 0) - 1
-        toxic = [x for x, n in pool.items() if n > 0 for _ in range(min(n, 50))]
+        toxic = [x for x, n in pool.items() if n > 0 for _ in range(min(n, REPEATS))]
         clean = [x for x, n in pool.items() if n < 0]
         rows = toxic + [misspelt(x, rng) for x in toxic] + [misspelt(misspelt(x, rng), rng) for x in toxic[::2]] + clean + [misspelt(x, rng) for x in clean]
         n_toxic = 2 * len(toxic) + len(toxic[::2])
