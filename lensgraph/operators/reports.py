@@ -102,14 +102,15 @@ def pattern_library(outcomes: DataFrame, key: str, at: str, ok: str, context: st
     (key, uses, successes, confidence, examples): examples are the last `keep` contexts. Keys that never succeed are
     left out.
     """
-    from lensgraph.functions.scores import bayes_update
-
-    o = outcomes.select(key, F.struct(at, ok, context).alias("_o")).groupBy(key).agg(F.sort_array(F.collect_list("_o")).alias("_o"))
-    first = F.array_position(F.transform("_o", lambda x: x[ok]), True).cast("int")
-    o = o.withColumn("_f", first).filter("_f > 0").withColumn("_o", F.slice("_o", F.col("_f"), F.size("_o")))
-    later = F.slice("_o", 2, F.greatest(F.size("_o") - 1, F.lit(0)))
-    conf = F.aggregate(later, F.lit(0.6), lambda p, x: bayes_update(p, x[ok]))
-    return o.select(key, F.size("_o").alias("uses"), F.size(F.filter("_o", lambda x: x[ok])).alias("successes"), conf.alias("confidence"), F.transform(F.slice("_o", F.greatest(F.size("_o") - keep + 1, F.lit(1)), keep), lambda x: x[context]).alias("examples"))
+    w = Window.partitionBy(key).orderBy(F.desc("_o"))
+    o = outcomes.select(key, F.struct(at, ok, context).alias("_o")).withColumn("_r", F.row_number().over(w))
+    hit = F.col("_o")[ok]
+    last = F.collect_list(F.when(F.col("_r") <= keep, F.struct((-F.col("_r")).alias("r"), F.col("_o")[context].alias("c"))))
+    g = o.groupBy(key).agg(F.max(F.when(hit, F.col("_r"))).alias("uses"), F.count(F.when(hit, 1)).cast("int").alias("successes"), F.sum(F.when(hit, F.pow(F.lit(3.0), -F.col("_r"))).otherwise(0.0)).alias("_s"), last.alias("_l"))
+    # Bayes' update is (p + ok) / 3; the first success, of rank `uses`, gives .6 in place of its own third
+    conf = F.col("_s") + 0.8 * F.pow(F.lit(3.0), -F.col("uses"))
+    kept = F.filter(F.sort_array("_l"), lambda x: x["r"] >= -F.col("uses"))
+    return g.filter("uses is not null").select(key, "uses", "successes", conf.alias("confidence"), F.transform(kept, lambda x: x["c"]).alias("examples"))
 
 
 def last_rows(rows: DataFrame, key: str, at: str, n: int) -> DataFrame:
