@@ -32,7 +32,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source gives the words of its target; a document is repeated, or cut at a word, as the mix takes it."""
+    """Each source gives the words of its target; a document is repeated, whole, as the mix takes it."""
     return mixing.mixed(docs, [3, 1, 2], 1.5).withColumn("n_chars", F.length("text").cast("long"))
 
 

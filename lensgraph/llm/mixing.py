@@ -81,10 +81,10 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("source", "below", "edge", "rest", F.col("words").alias("tied"))
 
 
-def mix(docs: DataFrame, weights: list[int], share: float, most: int = 2, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: list[int], share: float, most: int = 2, keep: list[str] | None = None, key: Column | None = None) -> DataFrame:
     """row (a struct of the columns `keep`), size, source_size, target, taken of every row of documents."""
     row = F.struct(*(keep or ["doc_id"])).alias("row")
-    sized = docs.select(row, "source", word_count(F.col("text")).alias("size"), key_of(F.col("doc_id")).alias("key"))
+    sized = docs.select(row, "source", word_count(F.col("text")).alias("size"), key_of(F.col("doc_id") if key is None else key).alias("key"))
     rows = written(sized.select("source", "size", "key"), "sized")
     goal = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     budget = F.floor("target").cast("long")
@@ -99,15 +99,16 @@ def mix(docs: DataFrame, weights: list[int], share: float, most: int = 2, keep:
 
 
 def mixed(docs: DataFrame, weights: list[int], share: float, most: int = 2) -> DataFrame:
-    """The rows of `docs` as the mix takes them: a row as often as it is taken whole, then cut after the words left over."""
-    got = mix(docs, weights, share, most, docs.columns)
-    rows = got.select("row", F.expr("taken div greatest(size, 1)").alias("whole"), F.expr("taken % greatest(size, 1)").alias("rest"))
-    rows = rows.withColumn("times", F.col("whole") + (F.col("rest") > 0).cast("long")).filter("times > 0")
+    """The rows of `docs` as the mix takes them, always whole; the boundary row of a source counts where that is nearer to its target.
+
+    The key is of id and text, so that rows without an id are told apart; only exact copies go together.
+    """
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    got = mix(docs, weights, share, most, docs.columns, key)
+    times = F.expr("taken div greatest(size, 1) + CASE WHEN taken % greatest(size, 1) * 2 >= greatest(size, 1) THEN 1 ELSE 0 END")
+    rows = got.select("row", times.alias("times")).filter("times > 0")
     rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
-    # cut after `rest` words: what a split at that many words leaves as its last piece goes
-    head = F.expr(r"left(row.text, length(row.text) - length(element_at(split(row.text, '[^\\x20\\x09-\\x0D]+', cast(rest + 1 AS int)), -1)))")
-    text = F.when((F.col("rest") > 0) & (F.col("n") == F.col("times")), head).otherwise(F.col("row.text"))
-    return rows.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op3(docs: DataFrame) -> DataFrame:
