@@ -2,7 +2,8 @@
 
 A set of arrays is cut into shards by the leading bits of a 64-bit key, so that the shards in order are one sorted
 array. Each shard is one ``.npy`` file per column. Where the shared folder is mounted (``file:``), workers map the
-files; elsewhere they read them through pyarrow's file systems.
+files; elsewhere they read them through pyarrow's file systems. A task holds its arrays in a Folder, which goes with the
+task: a worker that Spark uses again keeps none of them.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Keys that a task gathers before it sorts them.
-HELD_KEYS = 4_000_000
+HELD_KEYS = 2_000_000
 SHARDS = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
-_OPEN: dict[str, np.ndarray] = {}
 
 
 def _local(uri: str) -> str | None:
@@ -47,25 +47,35 @@ def save(uri: str, array: np.ndarray) -> None:
     store.move(part, path)
 
 
-def load(uri: str) -> np.ndarray:
-    """The array, mapped where the folder is mounted; kept open for the worker's life."""
-    if uri not in _OPEN:
-        if path := _local(uri):
-            _OPEN[uri] = np.load(path, mmap_mode="r")
-        else:
-            from pyarrow import fs
+class Folder:
+    """The arrays below a URI, opened when asked for. Pickles as the URI alone, so that each task opens its own."""
 
-            store, path = fs.FileSystem.from_uri(uri)
-            with store.open_input_file(path) as f:
-                _OPEN[uri] = np.load(io.BytesIO(f.read()))
-    return _OPEN[uri]
+    def __init__(self, uri: str):
+        self.uri, self._open = uri, {}
+
+    def __getstate__(self) -> dict:
+        return {"uri": self.uri, "_open": {}}
+
+    def get(self, name: str) -> np.ndarray:
+        """The array, mapped where the folder is mounted, else read whole."""
+        if name not in self._open:
+            uri = f"{self.uri}/{name}.npy"
+            if path := _local(uri):
+                self._open[name] = np.load(path, mmap_mode="r")
+            else:
+                from pyarrow import fs
+
+                store, path = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(path) as f:
+                    self._open[name] = np.load(io.BytesIO(f.read()))
+        return self._open[name]
 
 
 class Sharded:
     """Shards of sorted keys with value columns; shards: shard -> number of keys. Pickles as a few numbers."""
 
     def __init__(self, uri: str, bits: int, shards: dict[int, int]):
-        self.uri, self.bits, self.shards = uri, bits, shards
+        self.folder, self.bits, self.shards = Folder(uri), bits, shards
         counts = np.array([shards.get(s, 0) for s in range(1 << bits)], np.int64)
         self.base = np.concatenate([[0], np.cumsum(counts)])
 
@@ -74,7 +84,7 @@ class Sharded:
         return int(self.base[-1])
 
     def column(self, name: str, shard: int) -> np.ndarray:
-        return load(f"{self.uri}/{name}-{shard:05d}.npy")
+        return self.folder.get(f"{name}-{shard:05d}")
 
     def find(self, keys: np.ndarray, *columns: str) -> tuple[np.ndarray, ...]:
         """Position of each key in the whole array (-1: absent), then its values (0 where absent)."""

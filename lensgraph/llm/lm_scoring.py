@@ -187,7 +187,7 @@ class Scorer:
     """Scores batches of texts against a model's mapped arrays."""
 
     def __init__(self, model: Model):
-        self.m = model
+        self.m, self.folder = model, arrays.Folder(f"{model.uri}/sums")
         m = model
         self.rest = sum(d * k for d, k in zip(m.word_discounts, m.word_kinds, strict=True)) / m.continuations if m.continuations else 1.0
 
@@ -198,7 +198,7 @@ class Scorer:
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             for value, kind in zip(out, kinds, strict=True):
-                value[a:b] = arrays.load(f"{self.m.uri}/sums/{kind}-{int(part[a]):05d}.npy")[ids[a:b] - part[a] * PART_WORDS]
+                value[a:b] = self.folder.get(f"{kind}-{int(part[a]):05d}")[ids[a:b] - part[a] * PART_WORDS]
         return out
 
     def texts(self, seq: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:

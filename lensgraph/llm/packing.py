@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW) -
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder = tokens.encoder(tokenizer)
+        encoder = tokens.Encoder(tokenizer)
         for batch in batches:
             texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for a, b in tokens.blocks(texts):

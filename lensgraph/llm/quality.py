@@ -1,10 +1,16 @@
 """Quality classifier: document evidence combined with host and path posteriors by hierarchical empirical Bayes.
 
-A logistic model of character and repetition features gives each document's own probability of being good. Sums of
-those probabilities by host and by path (a part of a host) are shrunk: a path towards its host, a host towards the
-mean of all, each with a strength that the spread between the groups yields (method of moments). A path with few
-documents so takes its host's or the global rate. A document's posterior odds are its own odds times the ratio of its
-path's rate to the mean rate.
+A logistic model of character and repetition features gives each document's own probability p of being good. Of these,
+counts, sums and sums of squares by path (a part of a host) give three variances, by the method of moments for nested
+groups: w within paths, t between the paths of one host, u between hosts. With m_p, m_h and m the means of a path, a
+host and all, and n_p, n_h the documents,
+
+    rate(host) = m          + (m_h - m)          * u / (u + w / n_h + t * sum over its paths of (n_p / n_h)^2)
+    rate(path) = rate(host) + (m_p - rate(host)) * t / (t + w / n_p)
+
+so that a path with few documents takes its host's rate, and a host with few the global one. A document's site rate is
+that of its path with the document itself left out of m_p, m_h, n_p and n_h. Its posterior odds are its own odds times
+the ratio of the odds of its site rate to those of m.
 
 The logistic model is fitted on at most SAMPLE labelled rows (about; by a hash of the id); rates and scores cover all
 rows. Group sums are map-side combined, so a host with a third of all rows is a few partial sums.
@@ -16,7 +22,6 @@ with none); rows are scored one by one; an empty table gives no rows; other colu
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +37,8 @@ SAMPLE, RIDGE, KEEP = 20_000, 1.0, 0.5
 #: Bytes whose shares are features by themselves; others count by class.
 _MARKS = np.frombuffer(b".,;:!?'\"()[]{}<>|#$%&*@/\\=+-_~^`", np.uint8)
 _CLASSES = [(97, 123), (65, 91), (48, 58), (128, 256), (32, 33), (10, 11)]
+_SAME = np.arange(256, dtype=np.uint8)
+_IN_LINE = _SAME != 10
 N_FEATURES = len(_MARKS) + len(_CLASSES) + 5
 
 
@@ -65,14 +72,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return [(np.bincount(o[first], minlength=n) / np.maximum(total, 1))[:, None], (most / np.maximum(total, 1))[:, None]]
 
     out += [np.log1p(size / np.maximum(held, 1))[:, None], *spread(hashed, word_owner, held)]
-    # lines: sums of word hashes between line ends
-    line_of = np.cumsum(data == 10) if len(data) else np.zeros(0, np.int64)
-    starts = np.flatnonzero(np.diff(np.concatenate([[-1], line_of + owner])) != 0) if len(data) else np.zeros(0, np.int64)
-    mixed = np.cumsum(words.mix((data.astype(np.uint64) + np.uint64(1)) * (np.arange(len(data), dtype=np.uint64) - np.repeat(starts, np.diff(np.append(starts, len(data)))).astype(np.uint64) + np.uint64(7))), dtype=np.uint64) if len(data) else np.zeros(0, np.uint64)
-    ends = np.append(starts[1:], len(data)) - 1
-    sums = mixed[ends] - np.where(starts > 0, mixed[starts - 1], np.uint64(0)) if len(starts) else np.zeros(0, np.uint64)
-    lines = np.bincount(owner[starts], minlength=n) if len(starts) else np.zeros(n)
-    out += spread(sums, owner[starts], lines)
+    line, line_begins = words.hashes(data, offsets, _IN_LINE, _SAME)
+    lines = np.diff(line_begins)
+    out += spread(line, np.repeat(np.arange(n), lines), lines)
     return np.concatenate(out, axis=1)
 
 
@@ -128,27 +130,51 @@ def evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, fields)
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
-    """How many documents a group's prior is worth: from the spread of the groups' means."""
-    r = groups.agg(F.count("*").alias("g"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("n") * (F.col("s") / F.col("n") - mean) ** 2).alias("ss")).first()
-    if not r.n or r.g < 2 or r.n * r.n <= r.nn:
-        return 100.0
-    within = mean * (1 - mean)
-    between = (r.ss - (r.g - 1) * within) / (r.n - r.nn / r.n)
-    return float(np.clip(within / between - 1, 1.0, 1e6)) if between > 0 else 1e6
+@dataclass
+class Prior:
+    """Mean of all documents' probabilities, and the variances within paths, between paths of a host, between hosts."""
+
+    mean: float
+    within: float
+    paths: float
+    hosts: float
 
 
-def site_rates(scored: DataFrame) -> tuple[DataFrame, float]:
-    """(_host, _path, rate) from rows with _host, _path and _evidence; and the mean of all."""
+def site_sums(scored: DataFrame) -> tuple[DataFrame, Prior]:
+    """Per (_h, _p): np, sp (documents and sum of probabilities of the path), nh, sh (of the host), ch (see module); and the prior.
+
+    scored: rows with _host, _path and _evidence.
+    """
+    own = 1 / (1 + F.exp(-F.col("_evidence")))
+    paths = written(scored.groupBy(F.col("_host").alias("_h"), F.col("_path").alias("_p")).agg(F.count("*").alias("np"), F.sum(own).alias("sp"), F.sum(own * own).alias("qp")), "paths")
+    hosts = paths.groupBy(F.col("_h").alias("_k")).agg(F.sum("np").alias("nh"), F.sum("sp").alias("sh"), F.sum(F.col("np") * F.col("np")).alias("nn"))
+    sites = written(paths.join(hosts, F.col("_h").eqNullSafe(F.col("_k"))).drop("_k"), "sites")
+    n, nh, mp, mh = F.col("np").cast("double"), F.col("nh").cast("double"), F.col("sp") / F.col("np"), F.col("sh") / F.col("nh")
+    total = sites.agg(F.sum(n).alias("n"), F.sum("sp").alias("s")).first()
+    mean = (total.s or 0.0) / (total.n or 1.0)
+    r = sites.agg(
+        F.count("*").alias("p"), F.sum(n / nh).alias("h_docs"), F.sum(F.col("qp") - F.col("sp") * mp).alias("ssw"), F.sum(n * (mp - mh) ** 2).alias("ssp"),
+        F.sum(n * (mh - mean) ** 2).alias("ssh"), F.sum(n * n / nh).alias("inner"), F.sum(n * n).alias("pp"), F.sum(n * nh).alias("hh"),
+    ).first()
+    if not total.n:
+        return sites, Prior(0.5, 0.0, 0.0, 0.0)
+    n, hosts_n = total.n, round(r.h_docs)  # sum of np / nh over paths counts each host once
+    within = max(r.ssw, 0.0) / (n - r.p) if n > r.p else mean * (1 - mean)
+    between = max(0.0, (r.ssp - within * (r.p - hosts_n)) / (n - r.inner)) if n - r.inner > 1e-9 * n else 0.0
+    spread = n - r.hh / n
+    outer = max(0.0, (r.ssh - between * (r.inner - r.pp / n) - within * (hosts_n - 1)) / spread) if spread > 1e-9 * n else 0.0
+    return sites, Prior(float(np.clip(mean, 1e-6, 1 - 1e-6)), within, between, outer)
+
+
+def site_rate(prior: Prior) -> Column:
+    """Rate of the site of a row with _evidence and the sums of site_sums(), the row itself left out."""
     own = 1 / (1 + F.exp(-F.col("_evidence")))
-    paths = written(scored.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum(own).alias("s")), "paths")
-    hosts = written(paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts")
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    mean = float(np.clip((total.s or 0.0) / (total.n or 1), 1e-6, 1 - 1e-6))
-    a, b = _strength(hosts, mean), _strength(paths, mean)
-    host = hosts.select(F.col("_host").alias("h"), ((F.col("s") + a * mean) / (F.col("n") + a)).alias("host_rate"))
-    rate = paths.join(host, F.col("_host").eqNullSafe(F.col("h"))).select("_host", "_path", ((F.col("s") + b * F.col("host_rate")) / (F.col("n") + b)).alias("rate"))
-    return rate, mean
+    n, nh = F.col("np") - 1, F.col("nh") - 1
+    mean, w, t, u = (F.lit(float(x)) for x in (prior.mean, prior.within, prior.paths, prior.hosts))
+    noise = w / nh + t * F.col("nn") / (F.col("nh") * F.col("nh"))
+    host = F.when((nh > 0) & (u > 0), mean + ((F.col("sh") - own) / nh - mean) * u / (u + noise)).otherwise(mean)
+    path = F.when((n > 0) & (t > 0), host + ((F.col("sp") - own) / n - host) * t / (t + w / n)).otherwise(host)
+    return F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), path))
 
 
 def classified(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep: list[str]) -> DataFrame:
@@ -158,12 +184,11 @@ def classified(docs: DataFrame, labels: DataFrame, host: Column, path: Column, k
     """
     rows = docs.select(F.struct(*keep).alias("_keep"), host.alias("_host"), path.alias("_path"), "text")
     model = train(docs, labels)
-    rate, mean = site_rates(evidence(rows, model, ["_host", "_path"]))
-    rate = written(rate.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), "rate"), "rates")
+    sites, prior = site_sums(evidence(rows, model, ["_host", "_path"]))
     scored = evidence(rows, model, ["_keep", "_host", "_path"])
-    out = scored.join(rate, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
-    odds = F.col("_evidence") + F.log(F.col("rate") / (1 - F.col("rate"))) - math.log(mean / (1 - mean))
-    return out.select("_keep", (1 / (1 + F.exp(-F.col("_evidence")))).alias("doc_score"), F.col("rate").alias("site_rate"), (1 / (1 + F.exp(-odds))).alias("quality_score"))
+    out = scored.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p"))).withColumn("_rate", site_rate(prior))
+    odds = F.col("_evidence") + F.log(F.col("_rate") / (1 - F.col("_rate"))) - float(_logit(prior.mean))
+    return out.select("_keep", (1 / (1 + F.exp(-F.col("_evidence")))).alias("doc_score"), F.col("_rate").alias("site_rate"), (1 / (1 + F.exp(-odds))).alias("quality_score"))
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -167,7 +167,7 @@ def write(docs: DataFrame, uri: str, tokenizer: str, end_id: int | None = 1, id_
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        encoder, part, number = tokens.encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, number = tokens.Encoder(tokenizer), TaskContext.get().partitionId(), 0
         doc_ids, held, lengths, total = [], [], [], 0
 
         def close():

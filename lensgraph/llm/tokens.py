@@ -18,7 +18,7 @@ MEMO_WORDS = 250_000
 #: Marks that the pre-tokenizer takes as one run after letters.
 _MARKS = ".,;:!?#$%&*()-/|+=@^_~`"
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_encoders: dict[str, Encoder] = {}
+_loaded: dict[str, object] = {}
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,14 +39,24 @@ class _Memo(dict):
         return ids
 
 
-class Encoder:
-    """Encodes texts with the tokenizer in a file whose pre-tokenizer takes runs of letters and runs of other marks."""
-
-    def __init__(self, path: str):
+def _tokenizer(path: str):
+    """The library's tokenizer, loaded once in a worker's life."""
+    if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        _loaded[path] = Tokenizer.from_file(path)
+    return _loaded[path]
+
+
+class Encoder:
+    """Encodes texts with the tokenizer in a file whose pre-tokenizer takes runs of letters and runs of other marks.
+
+    The memo goes with the encoder, so a task that makes one leaves no memo in a worker that Spark uses again.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.old: dict[str, bytes] = {}
@@ -79,13 +89,6 @@ class Encoder:
         return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").split(" "))) for t in texts]
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for each file in a worker's life."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def blocks(texts: list, most: int = 1 << 20):
     """Ranges of rows with about `most` characters together."""
     row = 0

@@ -1,7 +1,8 @@
 """Words of whole texts as 64-bit hashes, many texts at a time.
 
 A word is a run of bytes outside space and 09-0D, with A-Z lower-cased. Texts are taken from Arrow's buffers; no
-Python object is made per word. The hash is a polynomial over the word's bytes modulo 2**64, then mixed.
+Python object is made per word. A word is read eight bytes at a time; every eight bytes are mixed by multiplication
+and xor with shifts, together with their place in the word, and the word's hash is the mixed sum of these.
 """
 
 from __future__ import annotations
@@ -12,24 +13,15 @@ import numpy as np
 import pyarrow as pa
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-CHUNK_BYTES = 2 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes and rows of texts taken together; a longer text is taken alone.
+CHUNK_BYTES, CHUNK_ROWS = 512 << 10, 4096
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[list(SPACES)] = False
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, n of each at least."""
-    if len(_powers[0]) < n:
-        n = 1 << int(np.ceil(np.log2(n)))
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            row = np.full(n, base, np.uint64)
-            row[0] = 1
-            _powers[k] = np.cumprod(row, dtype=np.uint64)
-    return _powers
+#: Keeps the lowest 0 to 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_PLACE, _LENGTH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,32 +57,50 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows from, to, their bytes, and the offsets in them; whole texts, about `most` bytes together."""
+    """Rows from, to, their bytes, and the offsets in them; whole texts, about `most` bytes and CHUNK_ROWS at most together."""
     data, offsets = buffers(texts)
     row = 0
     while row < len(texts):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
+        end = min(end, row + CHUNK_ROWS)
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
 
-def hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts, and where each text's words begin (one more entry than texts)."""
+def hashes(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray = _IN_WORD, folded: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts, and where each text's words begin (one more entry than texts).
+
+    in_word tells per byte whether it is in a word, folded which byte it counts as.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    low = _LOWER[data]
-    inside = _IN_WORD[low]
-    before, after = np.zeros(n, bool), np.zeros(n, bool)
-    before[1:], after[:-1] = inside[:-1], inside[1:]
-    edges = offsets[1:-1]
-    before[edges[edges < n]] = False
-    after[edges[edges > 0] - 1] = False
-    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    power, inverse = _tables(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    return mix((total[end] - total[start]) * inverse[start]), np.searchsorted(start, offsets)
+    inside = in_word[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = offsets[1:-1]  # a word ends with its text
+    at, to = edges[edges < n], edges[edges > 0] - 1
+    first[at] |= inside[at]
+    last[to] |= inside[to]
+    start, size = np.flatnonzero(first), np.flatnonzero(last) + 1
+    size -= start
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = folded[data]
+    eights = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    total = mix(eights[start] & _FIRST[np.minimum(size, 8)])
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        lanes = (size[more] - 1) >> 3  # further eights of each longer word
+        begin = np.cumsum(lanes) - lanes
+        place = np.arange(int(lanes.sum())) - np.repeat(begin, lanes) + 1
+        where = np.repeat(start[more], lanes) + 8 * place
+        left = np.repeat(size[more], lanes) - 8 * place
+        value = eights[where] & _FIRST[np.minimum(left, 8)]
+        total[more] += np.add.reduceat(mix(mix(value ^ (place.astype(np.uint64) * _PLACE)) + place.astype(np.uint64)), begin)
+    return mix(total ^ (size.astype(np.uint64) * _LENGTH)), np.searchsorted(start, offsets)
 
 
 def shingles(words: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

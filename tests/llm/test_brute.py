@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,14 @@ def test_kneser_ney(docs, rows):
 def test_words_and_hashes():
     x = np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64)
     assert (words.unmix(words.mix(x)) == x).all()
+    # words that a polynomial modulo a power of two takes for one
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    texts = [a, b, a + b, b + a, "a" * 8, "a" * 9, "a" * 16, "a" * 17, "a\0", "a", "a\0\0", a[:1020] + "\0" * 4, a[:1020]]
+    (_, _, data, offsets), = words.chunks(pa.array(texts))
+    assert len(set(words.hashes(data, offsets)[0].tolist())) == len(texts)
     k, c = arrays.merged(words.mix(x), np.ones(1000, int))
     assert all((a == b).all() for a, b in zip((k, c), arrays.unpack(arrays.pack(k, c))))
 
@@ -258,10 +267,53 @@ def test_quality(spark):
     assert sum(r.quality == r.predicted for r in got) / len(got) > 0.95
 
 
+def posterior(rows):
+    """Plain version of the hierarchy: (host, path, p) -> rate of each row's site without the row."""
+    n, by_path, by_host = len(rows), collections.defaultdict(list), collections.defaultdict(list)
+    for h, q, p in rows:
+        by_path[h, q].append(p)
+        by_host[h].append(p)
+    m = np.mean([p for _, _, p in rows])
+    w = sum(((np.array(x) - np.mean(x)) ** 2).sum() for x in by_path.values()) / (n - len(by_path))
+    inner = sum(len(x) ** 2 / len(by_host[h]) for (h, _), x in by_path.items())
+    t = (sum(len(x) * (np.mean(x) - np.mean(by_host[h])) ** 2 for (h, _), x in by_path.items()) - w * (len(by_path) - len(by_host))) / (n - inner)
+    t = max(t, 0.0)
+    u = sum(len(x) * (np.mean(x) - m) ** 2 for x in by_host.values()) - t * (inner - sum(len(x) ** 2 for x in by_path.values()) / n) - w * (len(by_host) - 1)
+    u = max(0.0, u / (n - sum(len(x) ** 2 for x in by_host.values()) / n))
+    out = []
+    for h, q, p in rows:
+        host, path = by_host[h], by_path[h, q]
+        rate = m
+        if len(host) > 1:
+            own = sum(len(x) ** 2 for (k, _), x in by_path.items() if k == h) / len(host) ** 2
+            rate = m + ((sum(host) - p) / (len(host) - 1) - m) * u / (u + w / (len(host) - 1) + t * own)
+        if len(path) > 1:
+            rate += ((sum(path) - p) / (len(path) - 1) - rate) * t / (t + w / (len(path) - 1))
+        out.append(rate)
+    return out, m
+
+
+def test_quality_posterior(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("doc_id") % 7)).withColumn("lang", F.when(F.col("doc_id") % 11 > 8, F.lit("one" + "x")).otherwise("lang"))
+    got = quality.op4(docs, labels).join(docs.select("doc_id", "source", "lang"), "doc_id").orderBy("doc_id").collect()
+    rates, mean = posterior([(r.source, r.lang, r.doc_score) for r in got])
+    logit = lambda p: math.log(p / (1 - p))
+    for r, rate in zip(got, rates, strict=True):
+        assert r.site_rate == pytest.approx(rate, rel=1e-6)
+        assert r.quality_score == pytest.approx(1 / (1 + math.exp(-logit(r.doc_score) - logit(rate) + logit(mean))), rel=1e-6)
+
+
 def test_small_sites_shrink(spark):
-    # a path of few documents goes to its host's rate, one of many to its own
-    e = 3.0
-    rows = [("h", "big", e)] * 300 + [("h", "bad", -e)] * 300 + [("h", "one", -e)] + [("g", "x", e)] * 300
-    rate, mean = quality.site_rates(spark.createDataFrame(rows, "_host string, _path string, _evidence double"))
-    got = {r._path: r.rate for r in rate.collect()}
-    assert got["bad"] < 0.1 < got["one"] < got["big"] and abs(got["one"] - mean) < abs(got["bad"] - mean)
+    # paths of a host are alike and hosts differ: two odd documents leave their path near its host's rate
+    rng = np.random.default_rng(0)
+    sites = [(h, f"{h}{k}", 60, mid + 0.3 * rng.normal()) for h, mid in (("f", 2), ("g", 0), ("h", -2)) for k in range(12)] + [("f", "odd", 2, -2)]
+    rows = [(h, q, float(e)) for h, q, n, mid in sites for e in mid + rng.normal(size=n)]
+    scored = spark.createDataFrame(rows, "_host string, _path string, _evidence double")
+    sums, prior = quality.site_sums(scored)
+    rated = scored.join(sums, [scored._host == sums._h, scored._path == sums._p]).withColumn("rate", quality.site_rate(prior))
+    own = F.avg(1 / (1 + F.exp(-F.col("_evidence"))))
+    got = {r._path: r for r in rated.groupBy("_path", "_host").agg(F.avg("rate").alias("rate"), own.alias("own")).collect()}
+    mean = {h: np.mean([r.own for r in got.values() if r._host == h and r._path != "odd"]) for h in "fgh"}
+    assert mean["f"] > 0.8 and got["odd"].own < 0.3 and got["odd"].rate > 0.7
+    assert all(abs(r.rate - r.own) < 0.05 for k, r in got.items() if k != "odd")
