@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensgraph.shared import written
+from lensgraph.shared import Rounds, written
 
 MOST_ROUNDS = 60
 
@@ -29,13 +29,13 @@ def _small(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that an edge names; component is the least node of the connected set.
 
-    Nulls are left out; an edge from a node to itself names the node. No edges give no rows.
+    Nodes may be of any type that has an order. Nulls are left out; an edge from a node to itself names the node. No edges give no rows.
     """
     edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
     given = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    now, seen = given.filter("a > b"), None
+    now, seen, rounds = given.filter("a > b"), None, Rounds(edges.sparkSession, "stars")
     for _ in range(MOST_ROUNDS):
-        now = written(_small(_large(now)).filter("a > b").distinct(), "stars")
+        now = rounds.written(_small(_large(now)).filter("a > b").distinct())
         digest = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if digest == seen:
             break
