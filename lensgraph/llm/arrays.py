@@ -9,6 +9,7 @@ task: a worker that Spark uses again keeps none of them.
 from __future__ import annotations
 
 import io
+import math
 import os
 import uuid
 from collections.abc import Iterator
@@ -16,9 +17,14 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from lensgraph.shared import partitions
 
 #: Keys that a task gathers before it sorts them.
 HELD_KEYS = 2_000_000
+#: Bytes of input for one shard.
+SHARD_BYTES = 32 << 20
 SHARDS = pa.schema([("shard", pa.int32()), ("blob", pa.binary())])
 
 
@@ -107,9 +113,11 @@ class Sharded:
         return (at, *values)
 
 
-def shard_bits(parts: int) -> int:
-    """Bits of the shard number: at least as many shards as shuffle partitions."""
-    return max(1, int(np.ceil(np.log2(max(2, parts)))))
+def shard_bits(docs: DataFrame) -> int:
+    """Bits of the shard number: at least as many shards as shuffle partitions, and one for every SHARD_BYTES of the
+    input as the planner knows it, so that a task's shard stays of one size as the input grows."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(1, math.ceil(math.log2(max(2, partitions(docs.sparkSession)))), min(20, math.ceil(math.log2(max(1, size / SHARD_BYTES)))))
 
 
 def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:

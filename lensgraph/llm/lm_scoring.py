@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lensgraph.llm import arrays, words
-from lensgraph.shared import new_folder, partitions, written
+from lensgraph.shared import new_folder, written
 
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -169,8 +169,7 @@ def _write_sums(df: DataFrame, uri: str, size: int) -> DataFrame:
 def train(corpus: DataFrame) -> Model:
     """Counts all texts of `corpus` (column text); the model's arrays are in the shared folder."""
     spark, corpus = corpus.sparkSession, corpus.select("text")
-    parts, uri = partitions(spark), new_folder(spark, "lm")
-    bits = arrays.shard_bits(parts)
+    bits, uri = arrays.shard_bits(corpus), new_folder(spark, "lm")
     rows = _write_words(_count_words(corpus, bits), f"{uri}/words", bits).collect()  # one small row a shard
     table = arrays.Sharded(f"{uri}/words", bits, {r.shard: r.n for r in rows})
     tokens, size = sum(r.total for r in rows), table.size

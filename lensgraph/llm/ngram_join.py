@@ -4,18 +4,20 @@
    more are kept as sorted arrays that workers map.
 2. A document's set is ordered by (frequency, hash). Two sets can only reach the threshold if they share a shingle
    within their prefixes; shingles of one document are not sent at all, they only move the others' positions.
-3. Equal sets are one class, with the least doc_id as its node. Nodes that share a prefix shingle are candidates if
-   their sizes and the positions of that shingle still allow the threshold.
-4. Candidate pairs are made distinct and verified once, with a bound from the counts of shingles by hash range (the
-   suffix filter) and then exactly.
+3. Equal sets are one class, known by two 64-bit sums over its members and its size; a class is a node. Nodes that share
+   a prefix shingle are candidates if their sizes and the positions of that shingle still allow the threshold.
+4. Candidate pairs are made distinct. Counts of a set's shingles by hash range (64 bytes) bound an intersection: only
+   pairs that this suffix filter leaves get their whole sets, and are verified once.
 
 similar_pairs() joins all nodes of a prefix shingle with one another. components() needs only who hangs together: it
 first verifies each node against one pivot of each of its shingles (the set with the fewest rarer shingles), and then
-joins only nodes that are still in different components; every link is inside a component afterwards.
+joins only nodes that are still in different components; every link is inside a component afterwards. The set of a node
+in many pairs is copied, once for every HOT of them, so that no task takes all pairs of one node.
 
 Edge cases: null and empty texts, and texts of white space, have no shingles and link with nothing; a text shorter than
-a shingle has its whole sequence as one; rows that share a doc_id are one node; a null doc_id links with nothing and has
-a null component; an empty table gives no rows; other columns are ignored.
+a shingle has its whole sequence as one; rows that share a doc_id are documents of their own, so one with another text
+keeps its own component; a null doc_id links with nothing and has a null component; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +29,19 @@ from pyspark.sql import functions as F
 
 from lensgraph.llm import arrays, words
 from lensgraph.operators.components import connected_components
-from lensgraph.shared import new_folder, partitions, written
+from lensgraph.shared import new_folder, written
 
 #: Hash ranges whose counts bound an intersection before it is computed.
 SUFFIX_RANGES = 64
+#: Pairs of one node that go to one copy of its set.
+HOT = 256
+SETS = "doc_id long, hash long, n_shingles long, node binary, tokens array<long>, places array<long>, bound binary, shingles binary"
 
 
 def frequencies(docs: DataFrame, n: int) -> arrays.Sharded:
     """Shingles of two documents or more, with the number of documents."""
     spark = docs.sparkSession
-    bits, uri = arrays.shard_bits(partitions(spark)), new_folder(spark, "shingles")
+    bits, uri = arrays.shard_bits(docs), new_folder(spark, "shingles")
 
     def count(batches):
         held = arrays.Held(bits)
@@ -61,17 +66,32 @@ def _list(values: np.ndarray, begins: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.LargeListArray.from_arrays(pa.array(begins, pa.int64()), pa.array(values, kind)).cast(pa.list_(kind))
 
 
+def bounds(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Per set, its members by hash range in units of 1 << max(0, bits of its size - 7), rounded up: one byte a range."""
+    size = np.diff(begins)
+    owner = np.repeat(np.arange(len(size)), size)
+    counts = np.bincount(owner * SUFFIX_RANGES + (values >> np.uint64(58)).astype(np.int64), minlength=len(size) * SUFFIX_RANGES).reshape(-1, SUFFIX_RANGES)
+    unit = _unit(size)[:, None]
+    return (-(-counts // unit)).astype(np.uint8)
+
+
+def _unit(size: np.ndarray) -> np.ndarray:
+    return 1 << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) + 1)).astype(np.int64) - 7)
+
+
 def sets(docs: DataFrame, table: arrays.Sharded, n: int, num: int, den: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, sig (of the set), tokens and places (of the prefix), shingles (if there are tokens)."""
+    """Per row SETS: hash is of the text, node is the class of its set, tokens and places are of the prefix; bound and shingles if there are tokens."""
 
     def run(batches):
         for batch in batches:
-            for row, end, data, offsets in words.chunks(batch.column(1)):
+            for row, end, data, offsets in words.chunks(batch.column(2)):
                 value, begins = words.shingles(*words.hashes(data, offsets), n)
                 size = np.diff(begins)
                 owner = np.repeat(np.arange(len(size)), size)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(value ^ np.uint64(0x2545F4914F6CDD1D)), dtype=np.uint64)])
-                sig = (sums[begins[1:]] - sums[begins[:-1]]).view(np.int64)
+                node = np.zeros((len(size), 2), "<u8")
+                for k, salt in enumerate((0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)):
+                    sums = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(value ^ np.uint64(salt)), dtype=np.uint64)])
+                    node[:, k] = words.mix(sums[begins[1:]] - sums[begins[:-1]] + size.astype(np.uint64))
                 at, df = table.find(value, "counts")
                 shared = np.flatnonzero(at >= 0)
                 order = shared[np.lexsort((value[shared], df[shared], owner[shared]))]
@@ -82,11 +102,14 @@ def sets(docs: DataFrame, table: arrays.Sharded, n: int, num: int, den: int) ->
                 tokens, token_owner = value[order][keep], owner[order][keep]
                 starts = np.searchsorted(token_owner, np.arange(len(size) + 1))
                 has = np.diff(starts) > 0
-                cols = [batch.column(0).slice(row, end - row), pa.array(size, pa.int64()), pa.array(sig), _list(tokens.view(np.int64), starts, pa.int64()), _list(place[keep], starts, pa.int64())]
+                bound = bounds(value, begins)
+                cols = [batch.column(0).slice(row, end - row), batch.column(1).slice(row, end - row), pa.array(size, pa.int64()), pa.array([x.tobytes() for x in node], pa.binary())]
+                cols += [_list(tokens.view(np.int64), starts, pa.int64()), _list(place[keep], starts, pa.int64())]
+                cols.append(pa.array([bound[i].tobytes() if has[i] else None for i in range(len(size))], pa.binary()))
                 cols.append(pa.array([value[begins[i] : begins[i + 1]].tobytes() if has[i] else None for i in range(len(size))], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "sig", "tokens", "places", "shingles"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "hash", "n_shingles", "node", "tokens", "places", "bound", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, sig long, tokens array<long>, places array<long>, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, SETS)
 
 
 class Joined:
@@ -96,11 +119,12 @@ class Joined:
         self.num, self.den = num, den
         self.sets = written(sets(docs, frequencies(docs, n), n, num, den), "sets")
         known = self.sets.filter("n_shingles > 0 and doc_id is not null")
-        self.reps = written(known.groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
-        with_tokens = known.filter(F.size("tokens") > 0).select("doc_id", "n_shingles", "sig", "tokens", "places")
-        nodes = with_tokens.join(self.reps, [with_tokens.doc_id == self.reps.node, with_tokens.sig == self.reps.sig, with_tokens.n_shingles == self.reps.n_shingles], "left_semi")
+        self.reps = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
+        # one document of each class stands for it; its repeated rows are equal
+        self.chosen = known.filter(F.size("tokens") > 0).join(self.reps, ["node", "doc_id"], "left_semi")
+        nodes = self.chosen.select("node", "n_shingles", "tokens", "places")
         pairs = F.explode(F.arrays_zip("tokens", "places")).alias("p")
-        rows = nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), pairs).select(F.col("p.tokens").alias("token"), "node", "n", F.col("p.places").alias("place"))
+        rows = nodes.select("node", F.col("n_shingles").alias("n"), pairs).select(F.col("p.tokens").alias("token"), "node", "n", F.col("p.places").alias("place"))
         self.rows = written(rows.distinct(), "prefixes")
 
     def may_link(self, x: str, y: str) -> Column:
@@ -114,80 +138,105 @@ class Joined:
         rest = F.least(nx - px, ny - py)  # this shingle and all after it
         return (low * den >= high * num) & short & (rest * (num + den) >= num * (nx + ny))
 
+    def with_both(self, pairs: DataFrame, column: str) -> DataFrame:
+        """Pairs (a, b) with that column of both nodes, x and y."""
+        held = self.chosen.select("node", column).filter(F.col(column).isNotNull())
+        for end, other, name in (("a", "b", "x"), ("b", "a", "y")):
+            hot = written(pairs.groupBy(end).agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select(F.col(end).alias("h"), F.ceil(F.col("k") / HOT).cast("int").alias("k")), "hot")
+            copies = held.join(hot, held.node == hot.h, "left").select(F.col("node").alias(end), F.col(column).alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("salt"))
+            dealt = pairs.join(hot, pairs[end] == hot.h, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1))).cast("int")).drop("h", "k")
+            pairs = dealt.join(copies, [end, "salt"]).drop("salt")
+        return pairs
+
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of distinct pairs (a, b) of nodes those that link."""
+        """Of distinct pairs (a, b) of nodes those that link; first the suffix filter, then the whole sets."""
         num, den = self.num, self.den
 
-        def run(batches):
+        def bounded(batches):
+            for batch in batches:
+                low = np.zeros(batch.num_rows, np.int64)
+                nx, ny = (batch.column(k).to_numpy() for k in (2, 3))
+                if batch.num_rows:
+                    x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SUFFIX_RANGES) for k in (4, 5))
+                    low = np.minimum(x * _unit(nx)[:, None], y * _unit(ny)[:, None]).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(low * (num + den) >= num * (nx + ny)))
+
+        def checked(batches):
             for batch in batches:
-                a, b = (batch.column(k).to_pylist() for k in (2, 3))
+                a, b = (batch.column(k) for k in (2, 3))
                 hit = np.zeros(batch.num_rows, bool)
-                for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                for i in range(batch.num_rows):
+                    x, y = (np.frombuffer(z[i].as_buffer(), np.uint64) for z in (a, b))
                     need = -(-num * (len(x) + len(y)) // (num + den))
-                    bound = np.minimum(*(np.bincount((z >> np.uint64(58)).astype(np.int64), minlength=SUFFIX_RANGES) for z in (x, y))).sum()
-                    hit[i] = bound >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need
+                    hit[i] = len(np.intersect1d(x, y, assume_unique=True)) >= need
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit))
 
-        held = self.sets.filter("shingles is not null").select("doc_id", "shingles")
-        one = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-        two = one.join(held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+        pairs = written(pairs, "candidates")
+        near = written(self.with_both(pairs, "bound").select("a", "b", "nx", "ny", "x", "y").mapInArrow(bounded, "a binary, b binary").distinct(), "bounded")
+        return self.with_both(near, "shingles").select("a", "b", "x", "y").mapInArrow(checked, "a binary, b binary").distinct()
+
+    def candidates(self, x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
+        """Distinct pairs (a < b) with the sizes nx, ny of prefix rows x and y that share a shingle and may link."""
+        found = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & apart & self.may_link("x", "y"))
+        swap = F.col("x.node") > F.col("y.node")
+        ends = [F.when(swap, F.col(f"{q}.{c}")).otherwise(F.col(f"{p}.{c}")) for p, q, c in (("x", "y", "node"), ("y", "x", "node"), ("x", "y", "n"), ("y", "x", "n"))]
+        return found.select(*[e.alias(name) for e, name in zip(ends, ("a", "b", "nx", "ny"), strict=True)]).distinct()
 
     def similar_pairs(self) -> DataFrame:
-        """All linked pairs (a < b) of nodes."""
-        x, y = self.rows.alias("x"), self.rows.alias("y")
-        found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & self.may_link("x", "y"))
-        return self.verified(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+        """All linked pairs (a < b) of nodes, by the least doc_ids of their classes."""
+        pairs = self.verified(self.candidates(self.rows, self.rows, F.col("x.node") < F.col("y.node")))
+        a, b = (self.reps.select(F.col("node").alias(end), F.col("doc_id").alias(f"{end}_id")) for end in "ab")
+        out = pairs.join(a, "a").join(b, "b")
+        return out.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
     def linked(self) -> DataFrame:
         """(node, component) of nodes that a link names; components are those of all links."""
         least, most = (f(F.struct("place", "node", "n")) for f in (F.min, F.max))
         pivots = self.rows.groupBy("token").agg(least.alias("p"), most.alias("q")).filter("p.node <> q.node").select("token", "p.*")
-        x, y = self.rows.alias("x"), pivots.alias("y")
-        near = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & self.may_link("x", "y"))
-        first = self.verified(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+        first = self.verified(self.candidates(self.rows, pivots, F.col("x.node") != F.col("y.node")))
         stars = written(connected_components(first), "pivoted")
         # who is left: rows outside the largest component of their shingle
         rows = written(self.rows.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node")), "prefixes")
         sizes = rows.groupBy("token", "component").count()
         top = sizes.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("token", "top")
         left = written(rows.join(top, "token").filter("component <> top").select("token", "node", "n", "place", "component"), "apart")
-        x, y = left.alias("x"), rows.alias("y")
-        apart = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & self.may_link("x", "y"))
-        second = self.verified(apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+        second = self.verified(self.candidates(left, rows, F.col("x.component") != F.col("y.component")))
         second = written(second, "links")
         if not second.limit(1).count():
             return stars
         return connected_components(second.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     def documents(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every row."""
-        nodes = self.linked()
-        classes = self.reps.join(nodes, "node", "left").select("sig", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-        rows = self.sets.select("doc_id", "n_shingles", "sig")
-        out = rows.join(classes, ["sig", "n_shingles"], "left")
-        return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+        """doc_id, hash, n_shingles, component_id, and component (a node that names the connected set) of every row."""
+        nodes = self.reps.join(self.linked(), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        nodes = nodes.join(least, "component").select("node", "component", "component_id")
+        out = self.sets.select("doc_id", "hash", "n_shingles", "node").join(nodes, "node", "left")
+        links = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+        return out.select("doc_id", "hash", "n_shingles", F.when(links, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(links, F.col("component")).alias("component"))
 
 
 def components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: sets of n-word shingles link from a Jaccard similarity of num/den."""
-    return Joined(docs, n, num, den).documents()
+    return Joined(docs, n, num, den).documents().select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of `docs` without all but one of each component: of the least doc_id, one row. Null doc_ids stay.
+    """The rows of `docs` without all but one of each component: the one of least doc_id, then least hash of the text.
 
-    Rows are known by their doc_id alone, so that no second reading need give them in the same order or partitions. Of
-    the rows that share one, the least by a hash of the text stays.
+    Rows without shingles or without a doc_id link with nothing and all stay. Rows are known by doc_id and text, so that
+    no second reading need give them in the same order or partitions; of those equal in both, one stays.
     """
-    found = Joined(docs, n, num, den).documents().filter("doc_id is not null")
-    ids = written(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1 or doc_id <> component_id"), "apart")
-    same = lambda which: which.select(F.col("doc_id").alias("_id"))
-    once = docs.join(same(ids), docs.doc_id == F.col("_id"), "left_anti")
-    again = docs.join(same(ids.filter("doc_id = component_id")), docs.doc_id == F.col("_id"), "left_semi")
-    least = again.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("_hash"), *[F.col(c) for c in docs.columns])).alias("_row"))
-    return once.unionByName(least.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
+    found = Joined(docs, n, num, den).documents().filter("component is not null")
+    rows = written(found.groupBy("doc_id", "hash").agg(F.min("component").alias("component"), F.count("*").alias("rows")), "rows")
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.sum("rows").alias("all"))
+    many = rows.join(first.filter("all > 1"), "component").withColumn("stays", F.struct("doc_id", "hash") == F.col("first"))
+    many = written(many.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "stays", "rows"), "groups")
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"))
+    same = (F.col("id") == F.col("_id")) & (F.col("own") == F.col("_hash"))
+    once = held.join(many.filter("not stays or rows > 1"), same, "left_anti").select("row")
+    again = held.join(many.filter("stays and rows > 1"), same, "left_semi").groupBy("id", "own").agg(F.min("row").alias("row"))
+    return once.unionByName(again.select("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9(docs: DataFrame) -> DataFrame:

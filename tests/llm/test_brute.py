@@ -160,8 +160,9 @@ def test_pii(spark, docs, rows):
     assert sum(len(got[i].spans) > 0 for i in rows) == sum(bool(plain_spans(r.text)) for r in rows.values())
 
 
-@pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])
-def test_join(spark, sf, n, num):
+@pytest.mark.parametrize("n,num,hot", [(3, 90, 256), (5, 80, 2)])
+def test_join(spark, sf, n, num, hot, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     near = docs.limit(40).select((F.col("doc_id") + 1000).alias("doc_id"), F.regexp_replace("text", "^[^ ]+ ", "changed ").alias("text"))
     docs = docs.select("doc_id", "text").unionByName(near).unionByName(near.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
@@ -198,6 +199,27 @@ def test_embeddings(spark):
     assert sum(r.n_links for r in got.values()) >= 0.97 * near.sum()
     assert all(got[i].n_links <= near[i].sum() for i in got)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    head = np.arange(len(x))
+    while True:
+        low = np.array([min(head[i], *head[near[i]]) if near[i].any() else head[i] for i in range(len(x))])
+        if (low == head).all():
+            break
+        head = low
+    assert sum(got[i].component_id == head[i] for i in got) >= 0.97 * len(got)
+    assert all(got[i].component_id >= head[i] for i in got)
+
+
+def test_embeddings_in_many_blocks(spark, monkeypatch):
+    # exact links whatever the blocks: one table that all meet in, cut into many blocks
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    monkeypatch.setattr(embedding_dedup, "STRIPE", 7)
+    monkeypatch.setattr(embedding_dedup, "plan", lambda n, t: (2, 24))
+    rng = np.random.default_rng(1)
+    x = (np.repeat(rng.normal(size=(6, 8)), 60, 0) + 0.25 * rng.normal(size=(360, 8))).astype(np.float32)
+    got = {r.vec_id: r for r in embedding_dedup.op10(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    assert [got[i].n_links for i in range(360)] == (near.sum(1) - 1).tolist()
 
 
 def test_mixing_matches_sql(docs, sf):

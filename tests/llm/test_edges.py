@@ -130,6 +130,22 @@ def test_join(docs, none):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "8", "9", "None"]
 
 
+def test_join_of_repeated_ids(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (5, b), (6, b + " x"), (4, None), (4, None), (None, a)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.op9(df).collect())
+    assert got == [(0, 6, None), (3, 6, 3), (4, 0, 4), (4, 0, 4), (5, 5, 5), (5, 5, 5), (5, 6, 3), (6, 6, 6)]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in ngram_join.one_of_each(df, 3, 90, 100).collect())
+    assert kept == [(0, a), (3, a), (4, ""), (4, ""), (5, b), (6, b + " x")]
+
+
+def test_embeddings_of_repeated_ids(spark):
+    v, w, z = [1.0, 0.0, 0.5], [1.0, 0.01, 0.5], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(1, v), (1, v), (2, w), (3, z), (3, v), (4, z)], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.op10(df).collect())
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (3, 2, 1, False), (4, 1, 3, False)]
+
+
 def test_embeddings(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 1.0], 1), (8, [None, 1.0], 1), (9, [1.0, 0.0, 0.0], 1), (10, [], 1), (11, [0.0, -3.0], 1), (None, [1.0, 0.0], 1), (12, [1e-30, 0.0], 0)]
