@@ -1,19 +1,22 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Seeds are the matches of four fixed patterns: e-mail addresses, IP addresses, card numbers that pass Luhn's test, phone
-numbers. What looks like an identifier but matches none of them is a candidate. Every seed and candidate has contexts,
-the word before it, the word after it, and both; a context with a kind is a lexical pattern. Over the graph of patterns
-and instances (distinct strings) confidence goes back and forth:
+Seeds are the matches of four fixed patterns (e-mail addresses, IP addresses, card numbers that pass Luhn's test, phone
+numbers) and, as a fifth kind, the value beside a word such as "token" or "password" and a sign of equality. What looks
+like an identifier but is no seed is a candidate: an at sign or a spelt-out one, a chain of digits that may be masked or
+spaced, a long run of letters and digits. Every occurrence of a seed or candidate has contexts: one, two or three words
+before it, one or two after it, and the words on both sides, with digits as 0. A context with a kind is a lexical
+pattern. Over the graph of patterns and instances (distinct strings) confidence goes back and forth:
 
-    confidence(pattern, kind)  = sum over its instances of confidence(instance, kind) / (instances + 1)
-    confidence(instance, kind) = 1 - product over its trusted patterns of (1 - confidence(pattern, kind))
+    confidence(pattern, kind)  = c / (c + other + misfits + UNSEEN * unseen + 1)
+    confidence(instance, kind) = 1 - product over its distinct occurrences of (1 - its best trusted pattern's confidence)
 
-A seed's instance has confidence 1 in its kind. A pattern is trusted from TRUSTED on, with SUPPORT sure instances; a
-candidate whose form fits the kind becomes sure from SURE on, and may then support further patterns. Sure candidates
-are found spans of that kind wherever they stand.
+c sums the confidence of the pattern's instances in that kind, other that in other kinds; misfits counts candidates
+whose form fits no kind, unseen those that fit one and are not sure. A seed has confidence 1. A pattern is trusted from
+TRUSTED on with SUPPORT sure instances. A candidate whose form fits the kind becomes sure from SURE on and then supports
+further patterns, until a round finds no more. Sure candidates are found spans wherever they stand.
 
 Positions are code points, ends exclusive. The base patterns use possessive quantifiers and look-behind, so that they
-find what the plain patterns find, in linear time.
+find what the plain patterns find, in linear time; sums over the matches of a text go in blocks of STEP.
 
 Edge cases: null and empty texts have no spans; repeated rows are found one by one; a table without candidates keeps
 just the seeds; an empty table gives no rows; other columns may have any names.
@@ -24,21 +27,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lensgraph.shared import written
+from lensgraph.shared import Rounds, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Per kind: what a text must hold, and the pattern. Each finds what its plain form finds, leftmost and greedy.
+ALL_KINDS = (*KINDS, "secret")
+_SIGN = r"""["']?+ {0,3}[=:] {0,3}["']?+"""
+_NAMES = r"(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)"
+#: Per kind: when to look, and the pattern. The first four find what their plain forms find, leftmost and greedy.
 PATTERNS = {
-    "email": ("@", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
-    "ip": (None, r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
-    "card": (None, r"[0-9](?:[ -]?+[0-9])++"),
-    "phone": ("+", r"\+[0-9][ ().0-9-]+[0-9]"),
+    "email": ("contains(_t, '@')", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    "ip": ("_digits", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": ("_digits", r"[0-9](?:[ -]?+[0-9])++"),
+    "phone": ("contains(_t, '+')", r"\+[0-9][ ().0-9-]+[0-9]"),
+    "secret": ("_named", r"""(?<![A-Za-z0-9+/_-])(?<=(?i:token|secret|passwd|password|key)["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9+/_-]{16,}+"""),
 }
-#: An at sign in a word, or a chain of seven digits or more.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D]++|[(]?+[0-9](?:[ ().-]{0,2}+[0-9]){6,}+)"
+_GROUP = r"(?:[0-9]{1,7}+|[Xx*]{2,7}+)(?![0-9Xx*])"
+#: At signs in a word and spelt out; letters with digits; digits and masks in groups; digits in one run.
+CANDIDATE = "|".join(
+    (
+        r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D]++",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: at | ?[\[({<] ?at ?[\])}>] ?)[A-Za-z0-9-]++(?:(?: dot | ?[\[({<] ?dot ?[\])}>] ?|\.)[A-Za-z0-9-]++)++",
+        r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+",
+        rf"(?<![0-9A-Za-z*])[(]?+{_GROUP}(?:[)]?+[ .-]{{1,2}}+[(]?+{_GROUP})++",
+        r"(?<![0-9A-Za-z*])[0-9]{7,}+(?![A-Za-z])",
+    )
+)
 #: Code points beside a match in which its contexts are sought.
 REACH = 60
-ROUNDS, TRUSTED, SUPPORT, SURE = 3, 0.8, 5, 0.9
+TRUSTED, SUPPORT, SURE, UNSEEN = 0.5, 5, 0.8, 0.25
+#: Matches in one block of a running sum.
+STEP = 128
 SPAN = "struct<kind:string,start:long,end:long,text:string,before:string,after:string>"
 
 
@@ -54,81 +72,146 @@ def _valid(kind: str, text: str) -> str:
         return f"{text} rlike '^(0*(25[0-5]|2[0-4][0-9]|1[0-9]{{2}}|[0-9]{{1,2}})([.]|$)){{4}}$'"
     if kind == "card":
         return f"CASE WHEN length({digits}) BETWEEN 16 AND 19 THEN {_luhn(digits)} ELSE false END"
+    if kind == "secret":
+        return f"{text} rlike '[0-9]' AND {text} rlike '[A-Za-z]'"
+    if kind == "":  # digits, or a mask in their place
+        return f"{text} rlike '[@A-WYZa-wyz]' OR ({text} rlike '[0-9]' AND length(regexp_replace({text}, '[^0-9Xx*]', '')) >= 7)"
     return f"length({digits}) BETWEEN 8 AND 15" if kind == "phone" else "true"
 
 
-def spans_of(kind: str, pattern: str, need: str | None) -> Column:
+def let(name: str, value: str, body: str) -> str:
+    """SQL of `body` in which `name` stands for `value`, computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def running(values: str, op: str, zero: str = "0L") -> str:
+    """SQL of op (sum as '+', or a function of two numbers) over all earlier elements of an array of bigint, per element.
+
+    Blocks of STEP are folded, then their totals: no array grows by one element at a time beyond a block.
+    """
+    both = lambda x, y: f"{x} + {y}" if op == "+" else f"{op}({x}, {y})"
+    fold = lambda over, of: f"aggregate({over}, named_struct('at', {zero}, 'out', cast(array() AS array<bigint>)), (s, x) -> named_struct('at', {both('s.at', of)}, 'out', concat(s.out, array(s.at))))"
+    blocks = f"transform(sequence(0, (size(v) - 1) div {STEP}), b -> {fold(f'slice(v, b * {STEP} + 1, {STEP})', 'x')})"
+    spread = f"flatten(transform(k, (z, i) -> transform(z.out, o -> {both('o', 'element_at(c, i + 1)')})))"
+    whole = let("k", blocks, let("c", f"({fold('k', 'x.at')}).out", spread))
+    return let("v", values, f"CASE WHEN size(v) = 0 THEN cast(array() AS array<bigint>) ELSE {whole} END")
+
+
+def spans_of(kind: str, guard: str, pattern: str) -> Column:
     """Valid matches of a pattern in column _t, as an array of SPAN."""
-    p = pattern.replace("\\", "\\\\")
-    guard = "_digits" if need is None else "_digits OR contains(_t, '@')" if need == "@ or digits" else f"contains(_t, '{need}')"
-    word = lambda text, first: f"lower(regexp_extract({text}, '{'^[^ ]+' if first else '[^ ]+$'}', 0))"
-    clean = lambda text: f"trim(regexp_replace({text}, '[\\\\x09-\\\\x0D]', ' '))"
-    before, after = word(clean(f"right(element_at(z.c, i), {REACH})"), False), word(clean(f"left(element_at(z.c, i + 1), {REACH})"), True)
-    start = "s.at + length(element_at(z.c, i))"
-    one = f"named_struct('kind', '{kind}', 'start', {start}, 'end', {start} + length(element_at(z.m, i)), 'text', element_at(z.m, i), 'before', {before}, 'after', {after})"
-    fold = f"aggregate(sequence(1, size(z.m)), named_struct('at', 0L, 'out', cast(array() AS array<{SPAN}>)), (s, i) -> named_struct('at', {start} + length(element_at(z.m, i)), 'out', concat(s.out, array({one}))), s -> s.out)"
+    p = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    before, after = f"right(element_at(z.c, i + 1), {REACH})", f"left(element_at(z.c, i + 2), {REACH})"
+    one = f"named_struct('kind', '{kind}', 'start', f + length(element_at(z.c, i + 1)), 'end', f + length(element_at(z.c, i + 1)) + length(m), 'text', m, 'before', {before}, 'after', {after})"
+    made = f"transform(arrays_zip(z.m, {running('transform(z.m, (m, i) -> cast(length(element_at(z.c, i + 1)) + length(m) AS bigint))', '+')}), (y, i) -> {let('m', 'y.m', let('f', 'y.`1`', one))})"
     parts = f"named_struct('c', split(_t, '{p}', -1), 'm', regexp_extract_all(_t, '{p}', 0))"
-    return F.expr(f"CASE WHEN {guard} THEN filter(flatten(transform(filter(array({parts}), z -> size(z.m) > 0), z -> {fold})), x -> {_valid(kind, 'x.text')}) ELSE cast(array() AS array<{SPAN}>) END")
+    return F.expr(f"CASE WHEN {guard} THEN filter(flatten(transform(filter(array({parts}), z -> size(z.m) > 0), z -> {made})), x -> {_valid(kind, 'x.text')}) ELSE cast(array() AS array<{SPAN}>) END")
 
 
-def seeds(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """_keep (a struct of `keep`), then _base (the seeds' spans, by kind and start) and _other (candidates that touch none of them)."""
-    text = F.coalesce("text", F.lit("")).alias("_t")
-    rows = docs.select(F.struct(*keep).alias("_keep"), text).withColumn("_digits", F.col("_t").rlike("[0-9]"))
-    base = F.concat(*[spans_of(k, p, need) for k, (need, p) in PATTERNS.items()])
-    rows = rows.withColumn("_base", base).withColumn("_other", spans_of("", CANDIDATE, "@ or digits"))
-    return rows.withColumn("_other", F.expr("filter(_other, x -> NOT exists(_base, b -> b.start < x.end AND x.start < b.end))")).drop("_t", "_digits")
+def clear_of(spans: str, seeds: str) -> str:
+    """SQL of those elements of `spans` that touch none of `seeds`."""
+    ordered = f"array_sort(concat(transform({seeds}, x -> named_struct('start', x.start, 'seed', 0, 'end', x.end, 'span', x)), transform({spans}, x -> named_struct('start', x.start, 'seed', 1, 'end', x.end, 'span', x))))"
+    upto = running("transform(q, x -> CASE WHEN x.seed = 0 THEN x.end ELSE 0L END)", "greatest")
+    after = f"reverse({running('reverse(transform(q, x -> CASE WHEN x.seed = 0 THEN x.start ELSE 9223372036854775807L END))', 'least', '9223372036854775807L')})"
+    kept = f"filter(transform(arrays_zip(q, {upto}, {after}), y -> named_struct('x', y.q, 'upto', y.`1`, 'next', y.`2`)), y -> y.x.seed = 1 AND y.upto <= y.x.start AND y.next >= y.x.end)"
+    return f"CASE WHEN size({spans}) = 0 OR size({seeds}) = 0 THEN {spans} ELSE {let('q', ordered, f'transform({kept}, y -> y.x.span)')} END"
 
 
-def fits(kind: Column, text: Column) -> Column:
-    """Whether a candidate has the form of a kind."""
-    digits = F.length(F.regexp_replace(text, "[^0-9]", ""))
-    at = F.contains(text, F.lit("@"))
+def seeds(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """_keep (a struct of `keep`), then _seed (the seeds' spans, by kind and start) and _other (candidates that touch none of them)."""
+    text = F.coalesce("text", F.lit("")).alias("_t")
+    named = F.expr(r"""contains(_t, '=') OR contains(_t, ':')""") & F.col("_t").rlike(_NAMES.replace("api[_-]?key|access[_-]?key", "key") + r"""["']?\s{0,3}[=:]""")
+    rows = docs.select(F.struct(*keep).alias("_keep"), text).withColumn("_digits", F.col("_t").rlike("[0-9]")).withColumn("_named", named & F.col("_digits"))
+    rows = rows.withColumn("_seed", F.concat(*[spans_of(k, guard, p) for k, (guard, p) in PATTERNS.items()]))
+    rows = rows.withColumn("_other", spans_of("", "_digits OR contains(_t, '@') OR contains(_t, ' dot ') OR contains(_t, 'dot]') OR contains(_t, 'dot)')", CANDIDATE))
+    return rows.withColumn("_other", F.expr(clear_of("_other", "_seed"))).drop("_t", "_digits", "_named")
+
+
+def fitting(text: Column) -> Column:
+    """The kinds whose form a string has."""
+    spelt = text.rlike(r"(?i) at |[\[({<] ?at ?[\])}>]")
+    digits = F.length(F.regexp_replace(text, "[^0-9Xx*]", ""))
+    letters = text.rlike("[A-WYZa-wyz]")
     dotted = text.rlike("^[0-9]+([.][0-9]+){3,}$")
-    return F.when(at, kind == "email").when(dotted, kind == "ip").otherwise(((kind == "phone") & digits.between(7, 15)) | ((kind == "card") & digits.between(12, 19)))
-
-
-def bootstrap(found: DataFrame) -> DataFrame:
-    """(text, kind, confidence) of the sure candidates. found: rows with _base and _other."""
-    seen = F.explode(F.concat("_base", "_other")).alias("s")
-    hits = found.select(seen).select("s.*")
-    contexts = F.explode(F.array(F.struct(F.lit("before").alias("side"), "before", F.lit("").alias("after")), F.struct(F.lit("after").alias("side"), F.lit("").alias("before"), "after"), F.struct(F.lit("both").alias("side"), "before", "after"))).alias("p")
-    edges = written(hits.select("kind", "text", contexts).filter("p.before <> '' or p.after <> ''").filter("p.side <> 'both' or (p.before <> '' and p.after <> '')").distinct(), "edges")
+    one = lambda kind, when: F.when(when, F.array(F.lit(kind))).otherwise(F.array().cast("array<string>"))
+    email = F.contains(text, F.lit("@")) | spelt
+    plain = ~email & ~letters & ~dotted
+    return F.concat(one("email", email), one("ip", dotted), one("card", plain & digits.between(12, 19)), one("phone", plain & digits.between(7, 15)), one("secret", ~email & letters & (F.length(text) >= 16) & ~F.contains(text, F.lit(" "))))
+
+
+def contexts() -> Column:
+    """The contexts of a row with before and after, as strings that name their side."""
+    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[0-9]", "0"), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    b, a = words(F.col("before")), words(F.col("after"))
+    last = lambda n: F.when(F.size(b) >= n, F.concat(F.lit(f"before{n} "), F.array_join(F.slice(b, -n, n), " ")))
+    first = lambda n: F.when(F.size(a) >= n, F.concat(F.lit(f"after{n} "), F.array_join(F.slice(a, 1, n), " ")))
+    both = F.when((F.size(b) > 0) & (F.size(a) > 0), F.concat(F.lit("both "), F.element_at(b, -1), F.lit(" | "), F.element_at(a, 1)))
+    return F.array_compact(F.array(last(1), last(2), last(3), first(1), first(2), both))
+
+
+def bootstrap(hits: DataFrame) -> DataFrame:
+    """(text, kind, confidence) of the sure candidates. hits: kind ('' for candidates), text, before, after."""
+    seen = hits.select("kind", "text", contexts().alias("ps")).withColumn("place", F.xxhash64("ps")).distinct()
+    edges = written(seen.select("kind", "text", "place", F.explode("ps").alias("p")).withColumn("fits", F.when(F.col("kind") == "", fitting(F.col("text")))), "edges")
+    known = edges.filter("kind <> ''").select("text", "kind").distinct()
+    # strings that are a seed somewhere are no candidates
+    open_ = written(edges.filter("kind = ''").join(known.select("text").distinct(), "text", "left_anti").select("text", "place", "p", "fits"), "open")
     graph = written(edges.select("p", "text").distinct(), "graph")
-    sizes = written(graph.groupBy("p").agg(F.count("*").alias("n")), "sizes")
-    known = hits.filter("kind <> ''").select("text", "kind").distinct()
-    sure = written(known.withColumn("confidence", F.lit(1.0)), "sure")
-    open_ = written(edges.filter("kind = ''").select("p", "text").distinct(), "open")
-    fresh = None
-    for _ in range(ROUNDS):
-        support = graph.join(sure, "text").groupBy("p", "kind").agg(F.sum("confidence").alias("c"), F.count(F.when(F.col("confidence") >= SURE, 1)).alias("k"))
-        trusted = support.join(sizes, "p").select("p", "kind", (F.col("c") / (F.col("n") + 1)).alias("trust"), "k").filter((F.col("trust") >= TRUSTED) & (F.col("k") >= SUPPORT))
-        new = open_.join(trusted, "p").filter(fits(F.col("kind"), F.col("text")))
-        new = new.groupBy("text", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("trust"), F.lit(0.999)))))).alias("confidence"))
-        new = written(new.join(known, ["text", "kind"], "left_anti").filter(F.col("confidence") >= TRUSTED), "new")
-        digest = new.count()
-        sure = written(known.withColumn("confidence", F.lit(1.0)).unionByName(new), "sure")
-        if digest == fresh:
-            break
-        fresh = digest
-    return new.filter(F.col("confidence") >= SURE).groupBy("text").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    sizes = graph.groupBy("p").agg(F.count("*").alias("n"))
+    misfits = open_.filter("size(fits) = 0").select("p", "text").distinct().groupBy("p").agg(F.count("*").alias("misfits"))
+    sizes = written(sizes.join(misfits, "p", "left").select("p", "n", F.coalesce("misfits", F.lit(0)).alias("misfits")), "sizes")
+    seeds_, rounds = written(known.withColumn("confidence", F.lit(1.0)), "seeds"), Rounds(hits.sparkSession, "sure")
+    sure = rounds.written(seeds_.limit(0))
+    while True:
+        held = graph.join(seeds_.unionByName(sure), "text")
+        support = held.groupBy("p", "kind").agg(F.sum("confidence").alias("c"), F.count(F.when(F.col("confidence") >= SURE, 1)).alias("k"))
+        total = held.groupBy("p").agg(F.sum("confidence").alias("all"), F.count_distinct("text").alias("known"))
+        rated = support.filter(F.col("k") >= SUPPORT).join(total, "p").join(sizes, "p")
+        unseen = F.col("n") - F.col("misfits") - F.col("known")
+        trust = F.col("c") / (F.col("all") + F.col("misfits") + UNSEEN * unseen + 1)
+        trusted = rated.select("p", "kind", F.least(trust, F.lit(0.999)).alias("trust")).filter(F.col("trust") >= TRUSTED)
+        near = open_.join(trusted, "p").filter(F.expr("array_contains(fits, kind)")).groupBy("text", "kind", "place").agg(F.max("trust").alias("trust"))
+        rated = near.groupBy("text", "kind").agg((1 - F.exp(F.sum(F.log1p(-F.col("trust"))))).alias("confidence")).filter(F.col("confidence") >= SURE)
+        best = rated.groupBy("text").agg(F.max_by(F.struct("kind", "confidence"), F.struct("confidence", "kind")).alias("b")).select("text", "b.kind", "b.confidence")
+        new = written(best.join(sure.select("text"), "text", "left_anti"), "new")
+        if not new.limit(1).count():
+            return sure
+        sure = rounds.written(sure.unionByName(new))
+
+
+def hits_of(found: DataFrame) -> DataFrame:
+    """kind, text, before, after of all seeds and candidates."""
+    return found.select(F.explode(F.concat("_seed", "_other")).alias("s")).select("s.kind", "s.text", "s.before", "s.after")
 
 
 def find(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """_keep (a struct of `keep`), then base and spans: arrays of SPAN by kind as listed and start; spans holds the found ones too."""
+    """_keep (a struct of `keep`), then base and spans: arrays of SPAN by kind as listed and start; base has the matches of
+    the four fixed patterns, spans all."""
     rows = seeds(docs, keep)
-    held = F.size("_base") + F.size("_other")
+    held = F.size("_seed") + F.size("_other")
     found = written(rows.filter(held > 0).withColumn("_row", F.monotonically_increasing_id()), "found")
-    sure = bootstrap(found.select("_base", "_other"))
+    sure = bootstrap(hits_of(found)).select("text", F.col("kind").alias("k"))
     hits = found.filter("size(_other) > 0").select("_row", F.explode("_other").alias("s")).withColumn("text", F.col("s.text"))
-    more = hits.join(sure.withColumnRenamed("kind", "k"), "text").select("_row", F.expr(f"cast(named_struct('kind', k, 'start', s.start, 'end', s.end, 'text', s.text, 'before', s.before, 'after', s.after) AS {SPAN})").alias("s"))
-    more = more.groupBy("_row").agg(F.collect_list("s").alias("_more"))
-    out = found.join(more, "_row", "left").withColumn("_all", F.when(F.col("_more").isNull(), F.col("_base")).otherwise(F.concat("_base", F.col("_more"))))
-    order = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(KINDS))
-    ranked = f"array_sort(_all, (x, y) -> CASE WHEN x.kind = y.kind THEN cast(sign(x.start - y.start) AS int) ELSE cast(sign((CASE x.kind {order} END) - (CASE y.kind {order} END)) AS int) END)"
-    out = out.select("_keep", F.col("_base").alias("base"), F.expr(f"CASE WHEN _more IS NULL THEN _base ELSE {ranked} END").alias("spans"))
+    more = hits.join(sure, "text").select("_row", F.expr(f"cast(named_struct('kind', k, 'start', s.start, 'end', s.end, 'text', s.text, 'before', s.before, 'after', s.after) AS {SPAN})").alias("s"))
+    more = more.groupBy("_row").agg(F.collect_list("s").alias("_more"))  # the spans of one text
+    out = found.join(more, "_row", "left")
+    ranked = "flatten(array(" + ", ".join(f"filter(x.all, y -> y.kind = '{k}')" for k in ALL_KINDS) + "))"
+    by_start = "array_sort(transform(concat(_seed, _more), y -> named_struct('start', y.start, 'y', y)))"
+    spans = f"CASE WHEN _more IS NULL THEN _seed ELSE {let('x', f'named_struct({chr(39)}all{chr(39)}, transform({by_start}, y -> y.y))', ranked)} END"
+    base = "filter(_seed, x -> x.kind <> 'secret')"
+    out = out.select("_keep", F.expr(base).alias("base"), F.expr(spans).alias("spans"))
     # most rows have neither seeds nor candidates; they are found again rather than written or shuffled
-    return out.unionByName(rows.filter(held == 0).select("_keep", F.col("_base").alias("base"), F.col("_base").alias("spans")))
+    return out.unionByName(rows.filter(held == 0).select("_keep", F.col("_seed").alias("base"), F.col("_seed").alias("spans")))
+
+
+def held_back(docs: DataFrame, share: float) -> DataFrame:
+    """How well patterns find seeds that they are not shown: per kind, hidden strings, found ones, and those given another kind."""
+    found = written(seeds(docs, []).select("_seed", "_other"), "found")
+    hidden = (F.col("kind") != "") & (F.pmod(F.xxhash64("text"), F.lit(10_000)) < int(share * 10_000))
+    hits = hits_of(found).withColumn("true", F.col("kind"))
+    sure = bootstrap(hits.withColumn("kind", F.when(hidden, "").otherwise(F.col("kind"))).select("kind", "text", "before", "after"))
+    strings = hits.filter(hidden).select("true", "text").distinct()
+    got = strings.join(sure.select("text", F.col("kind").alias("got")), "text", "left")
+    return got.groupBy(F.col("true").alias("kind")).agg(F.count("*").alias("hidden"), F.count(F.when(F.col("got") == F.col("true"), 1)).alias("found"), F.count(F.when(F.col("got") != F.col("true"), 1)).alias("mistaken"))
 
 
 def joined(spans: str) -> Column:
@@ -137,18 +220,24 @@ def joined(spans: str) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with each span of the text replaced by its kind in capitals and square brackets."""
+    """The rows of `docs` with each span of the text replaced by its kind in capitals and square brackets.
+
+    Spans that touch are one, with the kind of the first. A text is taken in pieces of 1024 code points, so that cutting
+    it is linear in its length and its spans.
+    """
     found = find(docs, docs.columns)
-    merged = "array_sort(spans, (x, y) -> CASE WHEN x.start <> y.start THEN cast(sign(x.start - y.start) AS int) ELSE cast(sign(y.end - x.end) AS int) END)"
-    fold = f"""aggregate({merged}, named_struct('at', 0L, 'out', cast('' AS string)), (s, x) -> CASE WHEN x.start < s.at THEN named_struct('at', greatest(s.at, x.end), 'out', s.out)
-        ELSE named_struct('at', x.end, 'out', concat(s.out, substring(_keep.text, cast(s.at + 1 AS int), cast(x.start - s.at AS int)), '[', upper(x.kind), ']')) END,
-        s -> concat(s.out, substring(_keep.text, cast(s.at + 1 AS int), length(_keep.text))))"""
+    ordered = "array_sort(transform(spans, x -> named_struct('start', x.start, 'back', -x.end, 'end', x.end, 'kind', x.kind)))"
+    part = lambda a, b: f"CASE WHEN {b} <= {a} THEN '' ELSE array_join(transform(sequence({a} div 1024, ({b} - 1) div 1024), j -> substring(element_at(t, cast(j + 1 AS int)), cast(greatest({a} - j * 1024, 0L) + 1 AS int), cast(least({b} - j * 1024, 1024L) - greatest({a} - j * 1024, 0L) AS int))), '') END"
+    pieces = f"transform(arrays_zip(q, {running('transform(q, x -> x.end)', 'greatest')}), y -> {let('u', 'y.`1`', f'CASE WHEN y.q.start < u THEN {chr(39)}{chr(39)} ELSE concat({part("u", "y.q.start")}, {chr(39)}[{chr(39)}, upper(y.q.kind), {chr(39)}]{chr(39)}) END')})"
+    tail = let("u", "array_max(transform(q, x -> x.end))", part("u", "cast(length(_keep.text) AS bigint)"))
+    fold = let("q", ordered, let("t", "regexp_extract_all(_keep.text, '(?s).{1,1024}', 0)", f"concat(array_join({pieces}, ''), {tail})"))
     text = F.expr(f"CASE WHEN _keep.text IS NULL OR size(spans) = 0 THEN _keep.text ELSE {fold} END")
     return found.select(*[(text if c == "text" else F.col("_keep").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    """Spans of all documents."""
+    """Spans of all documents; n_secret and n_spans count those of all kinds together with the found ones."""
     found = find(docs, ["doc_id"])
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) AS long)").alias(f"n_{k}") for k in KINDS]
-    return found.select("_keep.doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    more = [F.expr("cast(size(filter(spans, x -> x.kind = 'secret')) AS long)").alias("n_secret"), F.expr("cast(size(spans) AS long)").alias("n_spans")]
+    return found.select("_keep.doc_id", *counts, F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"), *more)

@@ -148,7 +148,7 @@ def plain_spans(text):
 
 def test_pii(spark, docs, rows):
     extra = {10**6: "é😀 a@b@c.d_e@f.g x..y@z-1.co- 1.2.3.4.5.6.7.8 0255.1.1.1 256.1.1.1", 10**6 + 1: "+1 (2) 3- 4567890 +12   4111 1111-1111 1111 4111111111111111222 1 2 3", 10**6 + 2: "\n\t+49 30 1234567\n4111111111111112 +1" + " " * 99, 10**6 + 3: "a" * 3000 + "@" + "b.c" * 9 + "-" * 50}
-    extra |= {2 * 10**6 + i: f"please call mobile +1 {200 + i} 555 {1000 + i} now to order {i}" for i in range(30)} | {3 * 10**6: "please call mobile 000 5550070 now for a chat"}
+    extra |= {2 * 10**6 + i: f"please call mobile +1 {200 + i} 555 {1000 + i} now to order {i}" for i in range(30)} | {3 * 10**6: "please call mobile 000 5550070 now for a chat", 3 * 10**6 + 1: 'é the token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f" of'}
     texts = {i: r.text for i, r in rows.items()} | extra
     got = {r.doc_id: r for r in pii.op5(docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(extra.items()), "doc_id long, text string"))).collect()}
     for i, t in texts.items():
@@ -157,7 +157,53 @@ def test_pii(spark, docs, rows):
         assert set(want) <= set(got[i].spans.split(",")) or not want
         assert got[i].n_phone == sum(x.startswith("phone") for x in want)
     assert got[3 * 10**6].spans == "phone:19:30"  # no pattern finds it, its contexts do
-    assert sum(len(got[i].spans) > 0 for i in rows) == sum(bool(plain_spans(r.text)) for r in rows.values())
+    # beyond the base: just the values beside "token"
+    secrets = {i: [f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "")] for i, t in texts.items()}
+    assert {i: [x for x in got[i].spans.split(",") if x and x not in plain_spans(t)] for i, t in texts.items() if i != 3 * 10**6} == {i: x for i, x in secrets.items() if i != 3 * 10**6}
+
+
+def test_pii_patterns_find_unseen(spark):
+    rng = np.random.default_rng(3)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    texts, unseen, clean = [], [], []
+    for i in range(400):
+        texts.append(f"{word()} {word()} reach me at tel: +1 ({digits(3)}) 555-{digits(4)} or mail to {word()}{i}@{word()}.com from host {rng.integers(256)}.1.2.{rng.integers(256)} today {word()}")
+        texts.append(f'{word()} export token = "{digits(10)}{word()}{digits(12)}" {word()}')
+    forms = ["{}-{}-{}".format, lambda a, b, c: f"({a}) {b}-{c}", lambda a, b, c: f"{a}{b}{c}", lambda a, b, c: f"{a} *** {c}"]
+    for i in range(60):
+        kind = i % 3
+        if kind == 0:
+            x = forms[i // 3 % 4](digits(3), digits(3), digits(4))
+            unseen.append(("phone", x, f"{word()} reach me at tel: {x} or mail {word()}"))
+        elif kind == 1:
+            x = f"{word()}{i} [at] {word()} [dot] com"
+            unseen.append(("email", x, f"{word()} or mail to {x} from {word()}"))
+        else:
+            x = f"{digits(9)}{word()}{digits(9)}"
+            unseen.append(("secret", x, f'{word()} {word()} export "{x}" {word()}' if i % 2 else f'{word()} export token = "{x}" {word()}'))
+        clean.append(f"order {digits(9)} of {word()} at {word()} part {word()}{digits(14)} on {digits(2)}-{digits(2)}-{digits(4)}")
+    rows = [(i, t) for i, t in enumerate([*texts, *clean])] + [(10_000 + i, t) for i, (_, _, t) in enumerate(unseen)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: set(r.spans.split(",")) for r in pii.op5(df).collect()}
+    hit = {kind: [f"{kind}:{t.index(x)}:{t.index(x) + len(x)}" in got[10_000 + i] for i, (k, x, t) in enumerate(unseen) if k == kind] for kind in ("phone", "email", "secret")}
+    assert all(sum(h) >= 0.45 * len(h) for h in hit.values()) and all(hit["phone"]) and all(hit["email"])
+    assert all(got[len(texts) + i] == {""} for i in range(len(clean)))  # nothing in the clean ones
+    back = {r.kind: r for r in pii.held_back(df, 0.3).collect()}
+    assert set(back) == {"phone", "email", "ip", "secret"}
+    assert all(r.found >= 0.95 * r.hidden and not r.mistaken for r in back.values())
+
+
+def test_pii_many_matches_in_a_text(spark):
+    n = 3000
+    t = " ".join(f"a{i}@b.cc" + (" x" if i % 7 else " é +1 555 123 4567") for i in range(n))
+    df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    assert pii.op5(df).first().base_sha256 == hashlib.sha256(",".join(plain_spans(t)).encode()).hexdigest()
+    want = re.sub(r"\+1 555 123 4567", "[PHONE]", re.sub(r"a[0-9]+@b[.]cc", "[EMAIL]", t))
+    assert pii.redact(df).first().text == want
+    # spans that touch are one
+    both = spark.createDataFrame([(1, "x 1.2.3.4.5.6.7.8@b.cc y" + "é" * 2000)], "doc_id long, text string")
+    assert pii.redact(both).first().text == "x [EMAIL] y" + "é" * 2000
 
 
 @pytest.mark.parametrize("n,num,hot", [(3, 90, 256), (5, 80, 2)])
