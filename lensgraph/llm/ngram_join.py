@@ -119,13 +119,14 @@ class Joined:
         self.num, self.den = num, den
         self.sets = written(sets(docs, frequencies(docs, n), n, num, den), "sets")
         known = self.sets.filter("n_shingles > 0 and doc_id is not null")
-        self.reps = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
-        # one document of each class stands for it; its repeated rows are equal
-        self.chosen = known.filter(F.size("tokens") > 0).join(self.reps, ["node", "doc_id"], "left_semi")
-        nodes = self.chosen.select("node", "n_shingles", "tokens", "places")
-        pairs = F.explode(F.arrays_zip("tokens", "places")).alias("p")
-        rows = nodes.select("node", F.col("n_shingles").alias("n"), pairs).select(F.col("p.tokens").alias("token"), "node", "n", F.col("p.places").alias("place"))
-        self.rows = written(rows.distinct(), "prefixes")
+        # the least document of each class stands for it; prefixes of a class are equal
+        prefix = F.first(F.struct(F.col("n_shingles").alias("n"), "tokens", "places")).alias("s")
+        self.nodes = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), prefix).select("node", "doc_id", "s.*"), "nodes")
+        self.rows = written(self.exploded(self.nodes), "prefixes")
+
+    def exploded(self, nodes: DataFrame, *more: str) -> DataFrame:
+        """token, node, n, place (and more columns of the nodes), one row for each shingle of a prefix."""
+        return nodes.select("node", "n", *more, F.explode(F.arrays_zip("tokens", "places")).alias("p")).select(F.col("p.tokens").alias("token"), "node", "n", F.col("p.places").alias("place"), *more)
 
     def may_link(self, x: str, y: str) -> Column:
         """Length, index prefix and positional filters of the prefix rows x and y, at one shared shingle."""
@@ -140,12 +141,15 @@ class Joined:
 
     def with_both(self, pairs: DataFrame, column: str) -> DataFrame:
         """Pairs (a, b) with that column of both nodes, x and y."""
-        held = self.chosen.select("node", column).filter(F.col(column).isNotNull())
+        held = self.sets.filter(F.col(column).isNotNull()).select("node", "doc_id", column)
+        ids = self.nodes.filter(F.size("tokens") > 0).select("node", F.col("doc_id").alias("of"))
         for end, other, name in (("a", "b", "x"), ("b", "a", "y")):
-            hot = written(pairs.groupBy(end).agg(F.count("*").alias("k")).filter(F.col("k") > HOT).select(F.col(end).alias("h"), F.ceil(F.col("k") / HOT).cast("int").alias("k")), "hot")
-            copies = held.join(hot, held.node == hot.h, "left").select(F.col("node").alias(end), F.col(column).alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("salt"))
-            dealt = pairs.join(hot, pairs[end] == hot.h, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1))).cast("int")).drop("h", "k")
-            pairs = dealt.join(copies, [end, "salt"]).drop("salt")
+            hot = pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("k")).filter(F.col("k") > HOT)
+            hot = written(hot.join(ids, "node").select("node", F.col("of").alias("doc_id"), F.ceil(F.col("k") / HOT).cast("int").alias("k")), "hot")
+            copies = held.join(hot, ["node", "doc_id"], "left").select(F.col("node").alias(end), F.col("doc_id").alias("of"), F.col(column).alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("salt"))
+            known = pairs.join(ids.withColumnRenamed("node", end), end).join(hot.select(F.col("node").alias("h"), "k"), F.col(end) == F.col("h"), "left")
+            dealt = known.withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1))).cast("int")).drop("h", "k")
+            pairs = dealt.join(copies, [end, "of", "salt"]).drop("salt", "of")
         return pairs
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -185,20 +189,23 @@ class Joined:
     def similar_pairs(self) -> DataFrame:
         """All linked pairs (a < b) of nodes, by the least doc_ids of their classes."""
         pairs = self.verified(self.candidates(self.rows, self.rows, F.col("x.node") < F.col("y.node")))
-        a, b = (self.reps.select(F.col("node").alias(end), F.col("doc_id").alias(f"{end}_id")) for end in "ab")
+        a, b = (self.nodes.select(F.col("node").alias(end), F.col("doc_id").alias(f"{end}_id")) for end in "ab")
         out = pairs.join(a, "a").join(b, "b")
         return out.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
     def linked(self) -> DataFrame:
         """(node, component) of nodes that a link names; components are those of all links."""
-        least, most = (f(F.struct("place", "node", "n")) for f in (F.min, F.max))
-        pivots = self.rows.groupBy("token").agg(least.alias("p"), most.alias("q")).filter("p.node <> q.node").select("token", "p.*")
+        least = F.min(F.struct("place", "node", "n")).alias("p")
+        pivots = self.rows.groupBy("token").agg(least, F.count("*").alias("k")).filter("k > 1").select("token", "p.*")
         first = self.verified(self.candidates(self.rows, pivots, F.col("x.node") != F.col("y.node")))
         stars = written(connected_components(first), "pivoted")
-        # who is left: rows outside the largest component of their shingle
-        rows = written(self.rows.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node")), "prefixes")
+        # who is left: shingles whose nodes are in several components, there the rows outside the largest
+        joined = self.nodes.filter(F.size("tokens") > 0).join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows, name = self.exploded(joined, "component"), F.xxhash64("component")
+        unsettled = written(rows.groupBy("token").agg(F.min(name).alias("low"), F.max(name).alias("high")).filter("low < high").select("token"), "unsettled")
+        rows = written(rows.join(unsettled, "token", "left_semi"), "prefixes")
         sizes = rows.groupBy("token", "component").count()
-        top = sizes.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1").select("token", "top")
+        top = sizes.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
         left = written(rows.join(top, "token").filter("component <> top").select("token", "node", "n", "place", "component"), "apart")
         second = self.verified(self.candidates(left, rows, F.col("x.component") != F.col("y.component")))
         second = written(second, "links")
@@ -208,7 +215,7 @@ class Joined:
 
     def documents(self) -> DataFrame:
         """doc_id, hash, n_shingles, component_id, and component (a node that names the connected set) of every row."""
-        nodes = self.reps.join(self.linked(), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        nodes = self.nodes.select("node", "doc_id").join(self.linked(), "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         nodes = nodes.join(least, "component").select("node", "component", "component_id")
         out = self.sets.select("doc_id", "hash", "n_shingles", "node").join(nodes, "node", "left")
