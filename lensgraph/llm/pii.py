@@ -31,8 +31,6 @@ from lensgraph.shared import Rounds, written
 
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
-_SIGN = r"""["']?+ {0,3}[=:] {0,3}["']?+"""
-_NAMES = r"(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)"
 #: Per kind: when to look, and the pattern. The first four find what their plain forms find, leftmost and greedy.
 PATTERNS = {
     "email": ("contains(_t, '@')", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
@@ -42,15 +40,14 @@ PATTERNS = {
     "secret": ("_named", r"""(?<![A-Za-z0-9+/_-])(?<=(?i:token|secret|passwd|password|key)["']?\s{0,3}[=:]\s{0,3}["']?)[A-Za-z0-9+/_-]{16,}+"""),
 }
 _GROUP = r"(?:[0-9]{1,7}+|[Xx*]{2,7}+)(?![0-9Xx*])"
-#: At signs in a word and spelt out; letters with digits; digits and masks in groups; digits in one run.
-CANDIDATE = "|".join(
-    (
-        r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D]++",
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: at | ?[\[({<] ?at ?[\])}>] ?)[A-Za-z0-9-]++(?:(?: dot | ?[\[({<] ?dot ?[\])}>] ?|\.)[A-Za-z0-9-]++)++",
-        r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+",
-        rf"(?<![0-9A-Za-z*])[(]?+{_GROUP}(?:[)]?+[ .-]{{1,2}}+[(]?+{_GROUP})++",
-        r"(?<![0-9A-Za-z*])[0-9]{7,}+(?![A-Za-z])",
-    )
+#: When to look, and the pattern: at signs in a word and spelt out, letters with digits, digits and masks in groups,
+#: digits in one run. Where they overlap, the leftmost counts, then the first listed.
+CANDIDATES = (
+    ("contains(_t, '@')", r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D]++"),
+    ("contains(_t, ' dot ') OR contains(_t, 'dot ]') OR contains(_t, 'dot]') OR contains(_t, 'dot)') OR contains(_t, 'at]') OR contains(_t, 'at)')", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: at | ?[\[({<] ?at ?[\])}>] ?)[A-Za-z0-9-]++(?:(?: dot | ?[\[({<] ?dot ?[\])}>] ?|\.)[A-Za-z0-9-]++)++"),
+    ("_digits", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+"),
+    ("_digits", rf"(?<![0-9A-Za-z*])[(]?+{_GROUP}(?:[)]?+[ .-]{{1,2}}+[(]?+{_GROUP})++"),
+    ("_digits", r"(?<![0-9A-Za-z*])[0-9]{7,}+(?![A-Za-z])"),
 )
 #: Code points beside a match in which its contexts are sought.
 REACH = 60
@@ -97,33 +94,36 @@ def running(values: str, op: str, zero: str = "0L") -> str:
     return let("v", values, f"CASE WHEN size(v) = 0 THEN cast(array() AS array<bigint>) ELSE {whole} END")
 
 
-def spans_of(kind: str, guard: str, pattern: str) -> Column:
-    """Valid matches of a pattern in column _t, as an array of SPAN."""
+def spans_of(kind: str, guard: str, pattern: str) -> str:
+    """SQL of the valid matches of a pattern in column _t, as an array of SPAN."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
     before, after = f"right(element_at(z.c, i + 1), {REACH})", f"left(element_at(z.c, i + 2), {REACH})"
     one = f"named_struct('kind', '{kind}', 'start', f + length(element_at(z.c, i + 1)), 'end', f + length(element_at(z.c, i + 1)) + length(m), 'text', m, 'before', {before}, 'after', {after})"
     made = f"transform(arrays_zip(z.m, {running('transform(z.m, (m, i) -> cast(length(element_at(z.c, i + 1)) + length(m) AS bigint))', '+')}), (y, i) -> {let('m', 'y.m', let('f', 'y.`1`', one))})"
     parts = f"named_struct('c', split(_t, '{p}', -1), 'm', regexp_extract_all(_t, '{p}', 0))"
-    return F.expr(f"CASE WHEN {guard} THEN filter(flatten(transform(filter(array({parts}), z -> size(z.m) > 0), z -> {made})), x -> {_valid(kind, 'x.text')}) ELSE cast(array() AS array<{SPAN}>) END")
+    return f"CASE WHEN {guard} THEN filter(flatten(transform(filter(array({parts}), z -> size(z.m) > 0), z -> {made})), x -> {_valid(kind, 'x.text')}) ELSE cast(array() AS array<{SPAN}>) END"
 
 
 def clear_of(spans: str, seeds: str) -> str:
-    """SQL of those elements of `spans` that touch none of `seeds`."""
-    ordered = f"array_sort(concat(transform({seeds}, x -> named_struct('start', x.start, 'seed', 0, 'end', x.end, 'span', x)), transform({spans}, x -> named_struct('start', x.start, 'seed', 1, 'end', x.end, 'span', x))))"
-    upto = running("transform(q, x -> CASE WHEN x.seed = 0 THEN x.end ELSE 0L END)", "greatest")
-    after = f"reverse({running('reverse(transform(q, x -> CASE WHEN x.seed = 0 THEN x.start ELSE 9223372036854775807L END))', 'least', '9223372036854775807L')})"
-    kept = f"filter(transform(arrays_zip(q, {upto}, {after}), y -> named_struct('x', y.q, 'upto', y.`1`, 'next', y.`2`)), y -> y.x.seed = 1 AND y.upto <= y.x.start AND y.next >= y.x.end)"
-    return f"CASE WHEN size({spans}) = 0 OR size({seeds}) = 0 THEN {spans} ELSE {let('q', ordered, f'transform({kept}, y -> y.x.span)')} END"
+    """SQL of those elements of the arrays in `spans` (one for each of CANDIDATES) that touch none of `seeds` and none before them."""
+    entry = lambda rank: f"x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, 'span', x)"
+    ordered = f"array_sort(concat(transform({seeds}, {entry('0L')}), flatten(transform({spans}, (c, i) -> transform(c, {entry('cast(i + 1 AS bigint)')})))))"
+    upto = running("transform(q, x -> x.end)", "greatest")
+    after = f"reverse({running('reverse(transform(q, x -> CASE WHEN x.rank = 0 THEN x.start ELSE 9223372036854775807L END))', 'least', '9223372036854775807L')})"
+    kept = f"filter(transform(arrays_zip(q, {upto}, {after}), y -> named_struct('x', y.q, 'upto', y.`1`, 'next', y.`2`)), y -> y.x.rank > 0 AND y.upto <= y.x.start AND y.next >= y.x.end)"
+    return let("q", ordered, f"transform({kept}, y -> y.x.span)")
 
 
 def seeds(docs: DataFrame, keep: list[str]) -> DataFrame:
     """_keep (a struct of `keep`), then _seed (the seeds' spans, by kind and start) and _other (candidates that touch none of them)."""
     text = F.coalesce("text", F.lit("")).alias("_t")
-    named = F.expr(r"""contains(_t, '=') OR contains(_t, ':')""") & F.col("_t").rlike(_NAMES.replace("api[_-]?key|access[_-]?key", "key") + r"""["']?\s{0,3}[=:]""")
-    rows = docs.select(F.struct(*keep).alias("_keep"), text).withColumn("_digits", F.col("_t").rlike("[0-9]")).withColumn("_named", named & F.col("_digits"))
-    rows = rows.withColumn("_seed", F.concat(*[spans_of(k, guard, p) for k, (guard, p) in PATTERNS.items()]))
-    rows = rows.withColumn("_other", spans_of("", "_digits OR contains(_t, '@') OR contains(_t, ' dot ') OR contains(_t, 'dot]') OR contains(_t, 'dot)')", CANDIDATE))
-    return rows.withColumn("_other", F.expr(clear_of("_other", "_seed"))).drop("_t", "_digits", "_named")
+    named = F.expr(r"""contains(_t, '=') OR contains(_t, ':')""") & F.col("_t").rlike(r"""(?i)(?:token|secret|passwd|password|key)["']?\s{0,3}[=:]""")
+    rows = docs.select(F.struct(*keep).alias("_keep"), text).withColumn("_digits", F.col("_t").rlike("[0-9]")).withColumn("_named", F.col("_digits") & named)
+    sure = f"concat({', '.join(spans_of(k, guard, p) for k, (guard, p) in PATTERNS.items())})"
+    others = f"array({', '.join(spans_of('', guard, p) for guard, p in CANDIDATES)})"
+    clear = let("o", others, f"CASE WHEN aggregate(o, 0, (n, c) -> n + size(c)) = 0 THEN element_at(o, 1) ELSE {clear_of('o', 's')} END")
+    # a generator of one row: what follows, filters too, then reads its columns and does not compute them again
+    return rows.select("_keep", F.expr(f"inline(array({let('s', sure, f'named_struct({chr(39)}_seed{chr(39)}, s, {chr(39)}_other{chr(39)}, {clear})')}))"))
 
 
 def fitting(text: Column) -> Column:
@@ -188,18 +188,21 @@ def find(docs: DataFrame, keep: list[str]) -> DataFrame:
     the four fixed patterns, spans all."""
     rows = seeds(docs, keep)
     held = F.size("_seed") + F.size("_other")
-    found = written(rows.filter(held > 0).withColumn("_row", F.monotonically_increasing_id()), "found")
+    wide = "text" in keep
+    found = written((rows.filter(held > 0) if wide else rows).withColumn("_row", F.monotonically_increasing_id()), "found")
     sure = bootstrap(hits_of(found)).select("text", F.col("kind").alias("k"))
     hits = found.filter("size(_other) > 0").select("_row", F.explode("_other").alias("s")).withColumn("text", F.col("s.text"))
     more = hits.join(sure, "text").select("_row", F.expr(f"cast(named_struct('kind', k, 'start', s.start, 'end', s.end, 'text', s.text, 'before', s.before, 'after', s.after) AS {SPAN})").alias("s"))
     more = more.groupBy("_row").agg(F.collect_list("s").alias("_more"))  # the spans of one text
-    out = found.join(more, "_row", "left")
+    out = found.filter("size(_other) > 0").join(more, "_row", "left").unionByName(found.filter("size(_other) = 0").withColumn("_more", F.lit(None).cast(f"array<{SPAN}>")))
     ranked = "flatten(array(" + ", ".join(f"filter(x.all, y -> y.kind = '{k}')" for k in ALL_KINDS) + "))"
     by_start = "array_sort(transform(concat(_seed, _more), y -> named_struct('start', y.start, 'y', y)))"
     spans = f"CASE WHEN _more IS NULL THEN _seed ELSE {let('x', f'named_struct({chr(39)}all{chr(39)}, transform({by_start}, y -> y.y))', ranked)} END"
     base = "filter(_seed, x -> x.kind <> 'secret')"
     out = out.select("_keep", F.expr(base).alias("base"), F.expr(spans).alias("spans"))
-    # most rows have neither seeds nor candidates; they are found again rather than written or shuffled
+    if not wide:
+        return out
+    # most rows have neither seeds nor candidates; their texts are read again rather than written
     return out.unionByName(rows.filter(held == 0).select("_keep", F.col("_seed").alias("base"), F.col("_seed").alias("spans")))
 
 
