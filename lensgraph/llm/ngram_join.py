@@ -35,7 +35,7 @@ from lensgraph.shared import new_folder, written
 SUFFIX_RANGES = 64
 #: Pairs of one node that go to one copy of its set.
 HOT = 256
-SETS = "doc_id long, hash long, n_shingles long, node binary, tokens array<long>, places array<long>, bound binary, shingles binary"
+SETS = "doc_id long, hash long, n_shingles long, class binary, tokens array<long>, places array<long>, bound binary, shingles binary"
 
 
 def frequencies(docs: DataFrame, n: int) -> arrays.Sharded:
@@ -80,7 +80,7 @@ def _unit(size: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame, table: arrays.Sharded, n: int, num: int, den: int) -> DataFrame:
-    """Per row SETS: hash is of the text, node is the class of its set, tokens and places are of the prefix; bound and shingles if there are tokens."""
+    """Per row SETS: hash is of the text, class names its set, tokens and places are of the prefix; bound and shingles if there are tokens."""
 
     def run(batches):
         for batch in batches:
@@ -107,7 +107,7 @@ def sets(docs: DataFrame, table: arrays.Sharded, n: int, num: int, den: int) ->
                 cols += [_list(tokens.view(np.int64), starts, pa.int64()), _list(place[keep], starts, pa.int64())]
                 cols.append(pa.array([bound[i].tobytes() if has[i] else None for i in range(len(size))], pa.binary()))
                 cols.append(pa.array([value[begins[i] : begins[i + 1]].tobytes() if has[i] else None for i in range(len(size))], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "hash", "n_shingles", "node", "tokens", "places", "bound", "shingles"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "hash", "n_shingles", "class", "tokens", "places", "bound", "shingles"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, SETS)
 
@@ -117,11 +117,13 @@ class Joined:
 
     def __init__(self, docs: DataFrame, n: int, num: int, den: int):
         self.num, self.den = num, den
-        self.sets = written(sets(docs, frequencies(docs, n), n, num, den), "sets")
+        # row is stored with the sets, so every reading gives a document the same one
+        self.sets = written(sets(docs, frequencies(docs, n), n, num, den).withColumn("row", F.monotonically_increasing_id()), "sets")
         known = self.sets.filter("n_shingles > 0 and doc_id is not null")
-        # the least document of each class stands for it; prefixes of a class are equal
-        prefix = F.first(F.struct(F.col("n_shingles").alias("n"), "tokens", "places")).alias("s")
-        self.nodes = written(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), prefix).select("node", "doc_id", "s.*"), "nodes")
+        # a class is named by one of its rows, which stands for it
+        self.classes = written(known.groupBy("class").agg(F.min("row").alias("node"), F.min("doc_id").alias("least")), "classes")
+        chosen = known.filter(F.size("tokens") > 0).join(self.classes.select(F.col("node").alias("row")), "row", "left_semi")
+        self.nodes = written(chosen.select(F.col("row").alias("node"), F.col("n_shingles").alias("n"), "tokens", "places"), "nodes")
         self.rows = written(self.exploded(self.nodes), "prefixes")
 
     def exploded(self, nodes: DataFrame, *more: str) -> DataFrame:
@@ -140,16 +142,19 @@ class Joined:
         return (low * den >= high * num) & short & (rest * (num + den) >= num * (nx + ny))
 
     def with_both(self, pairs: DataFrame, column: str) -> DataFrame:
-        """Pairs (a, b) with that column of both nodes, x and y."""
-        held = self.sets.filter(F.col(column).isNotNull()).select("node", "doc_id", column)
-        ids = self.nodes.filter(F.size("tokens") > 0).select("node", F.col("doc_id").alias("of"))
-        for end, other, name in (("a", "b", "x"), ("b", "a", "y")):
-            hot = pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("k")).filter(F.col("k") > HOT)
-            hot = written(hot.join(ids, "node").select("node", F.col("of").alias("doc_id"), F.ceil(F.col("k") / HOT).cast("int").alias("k")), "hot")
-            copies = held.join(hot, ["node", "doc_id"], "left").select(F.col("node").alias(end), F.col("doc_id").alias("of"), F.col(column).alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)).alias("salt"))
-            known = pairs.join(ids.withColumnRenamed("node", end), end).join(hot.select(F.col("node").alias("h"), "k"), F.col(end) == F.col("h"), "left")
-            dealt = known.withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1))).cast("int")).drop("h", "k")
-            pairs = dealt.join(copies, [end, "of", "salt"]).drop("salt", "of")
+        """Pairs (a, b) with that column of both nodes, x and y. pairs: a written table, whose size the planner knows."""
+        held = self.sets.filter(F.col(column).isNotNull()).select("row", column)
+        salts = []
+        for end, other in (("a", "b"), ("b", "a")):
+            hot = pairs.groupBy(F.col(end).alias("h")).agg(F.ceil(F.count("*") / HOT).cast("int").alias("k")).filter("k > 1")
+            salts.append((end, f"{end}_salt", F.pmod(F.xxhash64(other), F.coalesce("k", F.lit(1))).cast("int"), written(hot, "hot")))
+        for end, salt, of, hot in salts:
+            pairs = pairs.join(hot, F.col(end) == F.col("h"), "left").withColumn(salt, of).drop("h", "k")
+        pairs = written(pairs, "pairs")
+        for (end, salt, _, hot), name in zip(salts, ("x", "y"), strict=True):
+            times = F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))
+            copies = held.join(hot, F.col("row") == F.col("h"), "left").select(F.col("row").alias(end), F.col(column).alias(name), times.alias(salt))
+            pairs = pairs.join(copies, [end, salt])
         return pairs
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -176,8 +181,8 @@ class Joined:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hit))
 
         pairs = written(pairs, "candidates")
-        near = written(self.with_both(pairs, "bound").select("a", "b", "nx", "ny", "x", "y").mapInArrow(bounded, "a binary, b binary").distinct(), "bounded")
-        return self.with_both(near, "shingles").select("a", "b", "x", "y").mapInArrow(checked, "a binary, b binary").distinct()
+        near = written(self.with_both(pairs, "bound").select("a", "b", "nx", "ny", "x", "y").mapInArrow(bounded, "a long, b long").distinct(), "bounded")
+        return self.with_both(near, "shingles").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long").distinct()
 
     def candidates(self, x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
         """Distinct pairs (a < b) with the sizes nx, ny of prefix rows x and y that share a shingle and may link."""
@@ -189,7 +194,7 @@ class Joined:
     def similar_pairs(self) -> DataFrame:
         """All linked pairs (a < b) of nodes, by the least doc_ids of their classes."""
         pairs = self.verified(self.candidates(self.rows, self.rows, F.col("x.node") < F.col("y.node")))
-        a, b = (self.nodes.select(F.col("node").alias(end), F.col("doc_id").alias(f"{end}_id")) for end in "ab")
+        a, b = (self.classes.select(F.col("node").alias(end), F.col("least").alias(f"{end}_id")) for end in "ab")
         out = pairs.join(a, "a").join(b, "b")
         return out.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
@@ -200,9 +205,9 @@ class Joined:
         first = self.verified(self.candidates(self.rows, pivots, F.col("x.node") != F.col("y.node")))
         stars = written(connected_components(first), "pivoted")
         # who is left: shingles whose nodes are in several components, there the rows outside the largest
-        joined = self.nodes.filter(F.size("tokens") > 0).join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rows, name = self.exploded(joined, "component"), F.xxhash64("component")
-        unsettled = written(rows.groupBy("token").agg(F.min(name).alias("low"), F.max(name).alias("high")).filter("low < high").select("token"), "unsettled")
+        joined = self.nodes.join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = self.exploded(joined, "component")
+        unsettled = written(rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("token"), "unsettled")
         rows = written(rows.join(unsettled, "token", "left_semi"), "prefixes")
         sizes = rows.groupBy("token", "component").count()
         top = sizes.groupBy("token").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
@@ -214,11 +219,11 @@ class Joined:
         return connected_components(second.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     def documents(self) -> DataFrame:
-        """doc_id, hash, n_shingles, component_id, and component (a node that names the connected set) of every row."""
-        nodes = self.nodes.select("node", "doc_id").join(self.linked(), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        nodes = nodes.join(least, "component").select("node", "component", "component_id")
-        out = self.sets.select("doc_id", "hash", "n_shingles", "node").join(nodes, "node", "left")
+        """doc_id, hash, n_shingles, component_id, and component (the node that names the connected set) of every row."""
+        classes = self.classes.join(self.linked(), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+        classes = classes.join(least, "component").select("class", "component", "component_id")
+        out = self.sets.select("doc_id", "hash", "n_shingles", "class").join(classes, "class", "left")
         links = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
         return out.select("doc_id", "hash", "n_shingles", F.when(links, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(links, F.col("component")).alias("component"))
 
