@@ -7,8 +7,36 @@ from pyspark.sql import functions as F
 
 #: Lens names (fixed values). Their instruction texts are the caller's.
 LENSES = ("structural", "semantic", "behavioral")
-#: Class name endings and the node type they give, first match first (fixed values).
-NODE_TYPES = (("Controller", "CONTROLLER"), ("Service", "SERVICE"), ("Repository", "REPOSITORY"), ("Config", "CONFIG"), ("Entity", "ENTITY"), ("Test", "TEST"))
+#: Class name patterns and the node type they give, first match first (fixed values).
+NODE_TYPES = (
+    ("Controller$", "CONTROLLER"),
+    ("(Service|ServiceImpl)$", "SERVICE"),
+    ("(Repository|Repo)$", "REPOSITORY"),
+    ("Entity$", "ENTITY"),
+    ("(Config|Configuration)$", "CONFIG"),
+    ("Security", "SECURITY"),
+    ("(DTO|Request|Response)$", "DTO"),
+    ("(Test|Tests)$", "TEST"),
+)
+#: Marks of behavior in code, any of which gives the line (fixed values); None: how often errors are handled.
+BEHAVIORS = (
+    (("@Transactional",), "Transaction boundary: @Transactional present"),
+    (("enum", "Status"), "State machine: Status enum detected"),
+    (None, "Error handling: {} try blocks, {} catch blocks"),
+    (("@Async", "CompletableFuture"), "Async: Asynchronous execution present"),
+    (("@Retry", "@Retryable"), "Retry: Retry logic configured"),
+    ((".save(", ".delete("), "Side effects: Database write operations"),
+    (("RestTemplate", "WebClient"), "Side effects: External HTTP calls"),
+)
+#: Words that go with an entity type (fixed values).
+ENTITY_WORDS = {
+    "STATE_MACHINE": "controller endpoint api rest",
+    "CONFIG_STATE": "configuration settings properties",
+    "SECURITY_LAYER": "security authentication authorization",
+    "FILE_REGISTRY": "service repository business logic",
+    "DIAGNOSTIC_ENGINE": "test error exception debug",
+    "TEMPORAL_CONTEXT": "schedule timer async cron",
+}
 #: Priority of a node type in the queue (fixed values).
 PRIORITIES = {"CONTROLLER": 1, "SERVICE": 2, "REPOSITORY": 3, "ENTITY": 4}
 
@@ -36,11 +64,15 @@ def cache_key(text: Column, lens: Column, dim: int) -> Column:
     return F.concat_ws(":", F.md5(text.cast("binary")), lens, F.lit(str(dim)))
 
 
-def node_type(name: Column) -> Column:
-    """By the ending of a class name; UTIL if none fits."""
+def node_type(name: Column, content: Column | None = None) -> Column:
+    """By a class or Java file name, with @Entity in the content as a mark of an entity; UTIL if nothing fits."""
+    name = F.regexp_replace(name, r"\.java$", "")
     out = None
-    for ending, kind in NODE_TYPES:
-        out = F.when(name.endswith(ending), kind) if out is None else out.when(name.endswith(ending), kind)
+    for pattern, kind in NODE_TYPES:
+        hit = name.rlike(pattern)
+        if kind == "ENTITY" and content is not None:
+            hit = hit | F.coalesce(content.contains("@Entity"), F.lit(False))
+        out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("UTIL")
 
 
@@ -72,14 +104,64 @@ def basename(path: Column) -> Column:
 
 
 def behavior(text: Column) -> Column:
-    """Lines that state which marks of behavior a text holds, and how often."""
-    flags = [("async", "async"), ("retry", "retry"), ("save(", "database write"), ("http", "remote call")]
-    lines = [F.when(text.contains(mark), F.lit(f"- {name}")) for mark, name in flags]
-    tries = F.regexp_count(text, F.lit(r"try \{|try\{"))
-    lines.append(F.when(tries > 0, F.concat(F.lit("- try blocks: "), tries.cast("string"))))
+    """One line for each mark of behavior that a text holds; both words make the state machine."""
+    lines = []
+    for marks, line in BEHAVIORS:
+        if marks is None:
+            tries, catches = F.regexp_count(text, F.lit(r"try \{|try\{")), F.regexp_count(text, F.lit(r"catch \(|catch\("))
+            lines.append(F.when(tries > 0, F.concat(F.lit("- "), F.format_string(line.replace("{}", "%d"), tries, catches))))
+            continue
+        hits = [text.contains(m) for m in marks]
+        hit = hits[0]
+        for h in hits[1:]:
+            hit = (hit & h) if marks == ("enum", "Status") else (hit | h)
+        lines.append(F.when(hit, F.lit(f"- {line}")))
     return F.concat_ws("\n", *lines)
 
 
+def behavioral_context(name: Column, text: Column) -> Column:
+    """Heading and lines of behavior(): the input of the behavioral lens."""
+    return F.concat(F.lit("Runtime Analysis for "), name, F.lit(":\n"), behavior(text))
+
+
+def structural_context(node: dict[str, Column], sources: Column, targets: Column, types: Column) -> Column:
+    """A node's place in the graph as text, the input of the structural lens; types is an array, given in order."""
+    fixed = lambda c, n: F.format_string(f"%.{n}f", c.cast("double"))
+    lines = [
+        F.concat(F.lit("Node: "), node["name"]),
+        F.concat(F.lit("Node Type: "), node["node_type"]),
+        F.concat(F.lit("Entity Type: "), node["entity_type"]),
+        F.lit("\nGraph Properties:"),
+        F.concat(F.lit("- In-Degree: "), node["in_degree"].cast("string")),
+        F.concat(F.lit("- Out-Degree: "), node["out_degree"].cast("string")),
+        F.concat(F.lit("- Betweenness Centrality: "), fixed(node["betweenness"], 4)),
+        F.concat(F.lit("- PageRank: "), fixed(node["pagerank"], 6)),
+        F.concat(F.lit("- Community: "), node["community"].cast("string")),
+        F.lit("\nHyperedge Participation:"),
+        F.concat(F.lit("- As Source: "), sources.cast("string"), F.lit(" hyperedges")),
+        F.concat(F.lit("- As Target: "), targets.cast("string"), F.lit(" hyperedges")),
+        F.concat(F.lit("- Types: ["), F.array_join(F.transform(F.array_sort(F.array_distinct(types)), lambda t: F.concat(F.lit("'"), t, F.lit("'"))), ", "), F.lit("]")),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
+def entity_text(name: Column, entity: Column) -> Column:
+    """Name, entity type and the words that go with it."""
+    words = None
+    for kind, text in ENTITY_WORDS.items():
+        words = F.when(entity == kind, text) if words is None else words.when(entity == kind, text)
+    return F.concat(name, F.lit(" "), entity, F.lit(" "), words.otherwise(""))
+
+
+def surest(rules: list[tuple[Column, str, float]]) -> Column:
+    """(label, confidence) of the most confident rule (condition, label, confidence) that holds, the first of equal ones; null if none."""
+    out = None
+    for hit, label, sure in sorted(rules, key=lambda r: -r[2]):
+        one = F.struct(F.lit(label).alias("label"), F.lit(float(sure)).alias("confidence"))
+        out = F.when(hit, one) if out is None else out.when(hit, one)
+    return out
+
+
 def context(*pieces: Column) -> Column:
     """Pieces with a blank line between; nulls are skipped."""
     return F.concat_ws("\n\n", *pieces)

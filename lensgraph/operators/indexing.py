@@ -61,6 +61,56 @@ def assign(tasks: DataFrame, workers: int, at: Column) -> DataFrame:
     return mine.withColumn("claimed_by", F.concat(F.lit("agent-"), (F.pmod(F.col("turn") - 1, F.lit(workers)) + 1).cast("string"))).withColumn("claimed_at", at).withColumn("status", F.lit("CLAIMED"))
 
 
+def move(tasks: DataFrame, moves: DataFrame, at: Column) -> DataFrame:
+    """Applies (file_path, agent, status, message) to claimed tasks: PROCESSING, COMPLETED or FAILED.
+
+    Only the agent that holds a claim may move it; other moves are without effect. Several moves of one task by its
+    owner: the furthest counts (FAILED before COMPLETED before PROCESSING). A task that is done stays as it is.
+    """
+    order = F.when(F.col("status") == "FAILED", 3).when(F.col("status") == "COMPLETED", 2).otherwise(1)
+    one = moves.filter(F.col("status").isin("PROCESSING", *DONE)).groupBy(F.col("file_path").alias("_path"), F.col("agent").alias("_agent")).agg(F.max_by(F.struct("status", "message"), F.struct(order, "message")).alias("_to"))
+    joined = tasks.join(one, (F.col("file_path") == F.col("_path")) & (F.col("claimed_by") == F.col("_agent")) & F.col("status").isin(*OPEN), "left")
+    hit, done = F.col("_to").isNotNull(), F.col("_to.status").isin(*DONE)
+    changed = {"status": F.when(hit, F.col("_to.status")).otherwise(F.col("status")), "completed_at": F.when(hit & done, at).otherwise(F.col("completed_at")), "error_message": F.when(hit & (F.col("_to.status") == "FAILED"), F.col("_to.message")).otherwise(F.col("error_message"))}
+    return joined.withColumns(changed).drop("_path", "_agent", "_to")
+
+
+def populate(tasks: DataFrame, files: DataFrame, session: Column) -> DataFrame:
+    """The queue after a discovery of files (file_path, file_size, priority) for a session.
+
+    A new file is PENDING. A known file goes over to the session: done tasks of another session are PENDING again, any
+    other status stays. Tasks of files that were not found stay as they are.
+    """
+    found = files.select(F.col("file_path").alias("_path"), F.col("file_size").alias("_size"), F.col("priority").alias("_priority")).dropDuplicates(["_path"])
+    both = tasks.withColumn("_known", F.lit(True)).join(found, F.col("file_path") == F.col("_path"), "full")
+    known, seen = F.coalesce("_known", F.lit(False)), F.col("_path").isNotNull()
+    again = known & seen & F.col("status").isin(*DONE) & (F.col("session_id") != session)
+    values = {
+        "file_path": F.coalesce("file_path", "_path"),
+        "status": F.when(~known | again, "PENDING").otherwise(F.col("status")),
+        "session_id": F.when(seen, session).otherwise(F.col("session_id")),
+        "retry_count": F.when(known, F.col("retry_count")).otherwise(0),
+        "file_size": F.when(known, F.col("file_size")).otherwise(F.col("_size")),
+        "priority": F.when(known, F.col("priority")).otherwise(F.col("_priority")),
+    }
+    return both.select(*[(values[c] if c in values else F.col(c)).alias(c) for c in tasks.columns])
+
+
+def open_session(sessions: DataFrame, wanted: DataFrame, at: Column) -> DataFrame:
+    """Sessions (namespace, session_id, status, started_at) after a request (namespace, session_id) each.
+
+    A new namespace gets the session asked for, INITIALIZING; a COMPLETED one is INITIALIZING again under its own id,
+    any other is resumed with its status.
+    """
+    asked = wanted.groupBy(F.col("namespace").alias("_n")).agg(F.min("session_id").alias("_s"))
+    both = sessions.join(asked, F.col("namespace") == F.col("_n"), "full")
+    new, met = F.col("namespace").isNull(), F.col("_n").isNotNull()
+    return both.select(
+        F.coalesce("namespace", "_n").alias("namespace"), F.when(new, F.col("_s")).otherwise(F.col("session_id")).alias("session_id"),
+        F.when(new | (met & (F.col("status") == "COMPLETED")), "INITIALIZING").otherwise(F.col("status")).alias("status"), F.when(new, at).otherwise(F.col("started_at")).alias("started_at"),
+    )
+
+
 def recover_stale(tasks: DataFrame, now: Column, after: str = "interval 10 minutes") -> DataFrame:
     """Open claims older than `after` are pending again, with one more retry."""
     stale = F.col("status").isin(*OPEN) & (F.col("claimed_at") < now - F.expr(after))

@@ -36,6 +36,30 @@ def stale(spark, d):
     return out.groupBy("session_id", "status").agg(F.count("*").alias("n"), F.sum("retry_count").alias("retries"), F.count("claimed_by").alias("claims"))
 
 
+def moved(spark, d):
+    """Agents report on orders by their lines: right and wrong owners, several reports of one task."""
+    t = tasks(spark, d).withColumns({"completed_at": F.lit(None).cast("timestamp"), "error_message": F.lit(None).cast("string")})
+    to = F.element_at(F.array(F.lit("PROCESSING"), F.lit("COMPLETED"), F.lit("FAILED")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    moves = table(spark, d, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("file_path"), F.concat(F.lit("agent-"), (F.col("l_suppkey") % 3 + 1).cast("string")).alias("agent"), to.alias("status"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("message"))
+    return indexing.move(t, moves, now()).select("file_path", "status", F.col("completed_at").isNotNull().alias("ended"), "error_message")
+
+
+def populated(spark, d):
+    """Session 9 finds the orders whose number is not divisible by 7, and as many new files."""
+    o = table(spark, d, "orders").filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("file_path"), F.col("o_totalprice").alias("file_size"), F.lit(3).alias("priority"))
+    files = o.unionByName(o.withColumn("file_path", -F.col("file_path")))
+    out = indexing.populate(tasks(spark, d), files, F.when(F.col("_path") % 2 == 0, 1).otherwise(9).cast("long"))
+    return out.select("file_path", "session_id", "status", "retry_count", "priority", F.round("file_size", 2).alias("file_size"))
+
+
+def sessions(spark, d):
+    """Nations are namespaces; suppliers of small nations have sessions, customers ask for one."""
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("namespace")).agg(F.min("s_suppkey").alias("session_id"))
+    s = s.withColumns({"status": F.when(F.col("session_id") % 2 == 0, "COMPLETED").otherwise("RUNNING"), "started_at": F.lit("1990-01-01").cast("timestamp")})
+    wanted = table(spark, d, "customer").filter("c_nationkey % 2 = 0").select(F.col("c_nationkey").alias("namespace"), (F.col("c_custkey") + 1000).alias("session_id"))
+    return indexing.open_session(s, wanted, now())
+
+
 def resumed(spark, d):
     return indexing.progress(indexing.resume(tasks(spark, d)), "session_id")
 
@@ -144,6 +168,9 @@ PROGRESS = "count(*) AS total, sum((status = 'PENDING')::INT)::BIGINT AS pending
 
 QUERIES = {
     "index_claims": (claimed, f"WITH {TASKS}, r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY priority, file_size, file_path)::INT AS turn FROM tasks WHERE status = 'PENDING') SELECT file_path, session_id, turn, 'agent-' || ((turn - 1) % 4 + 1) AS claimed_by, 'CLAIMED' AS status FROM r"),
+    "index_moves": (moved, f"WITH {TASKS}, m AS (SELECT l_orderkey AS p, 'agent-' || (l_suppkey % 3 + 1) AS agent, max(CASE l_linenumber % 3 WHEN 0 THEN 1 ELSE l_linenumber % 3 + 1 END) AS step, max(CASE WHEN l_linenumber % 3 = 2 THEN 'line ' || l_linenumber END) AS message FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), j AS (SELECT tasks.*, step, message FROM tasks LEFT JOIN m ON p = file_path AND agent = claimed_by AND status IN ('CLAIMED', 'PROCESSING')) SELECT file_path, CASE step WHEN 3 THEN 'FAILED' WHEN 2 THEN 'COMPLETED' WHEN 1 THEN 'PROCESSING' ELSE status END AS status, coalesce(step >= 2, false) AS ended, CASE WHEN step = 3 THEN message END AS error_message FROM j"),
+    "index_populate": (populated, f"WITH {TASKS}, f AS (SELECT o_orderkey * s AS p, o_totalprice AS size FROM orders, (VALUES (1), (-1)) v(s) WHERE o_orderkey % 7 <> 0), j AS (SELECT *, CASE WHEN p % 2 = 0 THEN 1 ELSE 9 END AS want FROM tasks FULL JOIN f ON p = file_path) SELECT coalesce(file_path, p) AS file_path, CASE WHEN p IS NULL THEN session_id ELSE want END::BIGINT AS session_id, CASE WHEN file_path IS NULL OR (p IS NOT NULL AND status IN ('COMPLETED', 'FAILED') AND session_id <> want) THEN 'PENDING' ELSE status END AS status, CASE WHEN file_path IS NULL THEN 0 ELSE retry_count END::INT AS retry_count, CASE WHEN file_path IS NULL THEN 3 ELSE priority END::INT AS priority, round(CASE WHEN file_path IS NULL THEN size ELSE file_size END, 2) AS file_size FROM j"),
+    "index_sessions": (sessions, f"WITH s AS (SELECT s_nationkey AS n, min(s_suppkey) AS sid FROM supplier GROUP BY 1), w AS (SELECT c_nationkey AS n, min(c_custkey + 1000) AS sid FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1) SELECT coalesce(s.n, w.n) AS namespace, coalesce(s.sid, w.sid) AS session_id, CASE WHEN s.n IS NULL OR (w.n IS NOT NULL AND s.sid % 2 = 0) THEN 'INITIALIZING' WHEN s.sid % 2 = 0 THEN 'COMPLETED' ELSE 'RUNNING' END AS status, CASE WHEN s.n IS NULL THEN TIMESTAMP '{NOW}' ELSE TIMESTAMP '1990-01-01' END AS started_at FROM s FULL JOIN w ON s.n = w.n"),
     "index_stale_recovery": (stale, f"WITH {TASKS}, r AS (SELECT *, status IN ('CLAIMED', 'PROCESSING') AND claimed_at < TIMESTAMP '{NOW}' - INTERVAL 10 MINUTE AS late FROM tasks), u AS (SELECT session_id, CASE WHEN late THEN 'PENDING' ELSE status END AS status, retry_count + late::INT AS retry_count, CASE WHEN late THEN NULL ELSE claimed_by END AS claimed_by FROM r) SELECT session_id, status, count(*) AS n, sum(retry_count)::BIGINT AS retries, count(claimed_by) AS claims FROM u GROUP BY session_id, status"),
     "index_resume": (resumed, f"WITH {TASKS}, u AS (SELECT session_id, CASE WHEN status IN ('CLAIMED', 'PROCESSING') THEN 'PENDING' ELSE status END AS status FROM tasks) SELECT session_id, {PROGRESS} FROM u GROUP BY session_id"),
     "index_retry": (retried, f"WITH {TASKS}, u AS (SELECT CASE WHEN status = 'FAILED' AND retry_count < 3 THEN 'PENDING' ELSE status END AS status, retry_count + (status = 'FAILED' AND retry_count < 3)::INT AS retry_count FROM tasks) SELECT status, count(*) AS n, sum(retry_count)::BIGINT AS retries FROM u GROUP BY status"),

@@ -25,14 +25,24 @@ def token_estimates(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.sum(F.length("text")).alias("chars")).select("source", scores.token_estimate(F.col("chars")).alias("tokens"), F.round(scores.embed_cost(F.col("chars"), 0.25, 0.02), 6).alias("cost"))
 
 
+#: Endings of made-up class names, with the node type and the priority that they should give.
+ENDINGS = [("Controller", "CONTROLLER", 1), ("ServiceImpl", "SERVICE", 2), ("Repo.java", "REPOSITORY", 3), ("Configuration", "CONFIG", 5), ("Entity.java", "ENTITY", 4), ("Tests", "TEST", 5), ("Helper", "UTIL", 5), ("SecurityFilter", "SECURITY", 5), ("SecurityConfig", "CONFIG", 5), ("Response.java", "DTO", 5), ("Bean", "ENTITY", 4)]
+
+
 def node_types(spark, d):
-    """Names made of a word and an ending by size."""
-    ending = F.element_at(F.array(*[F.lit(x) for x in ("Controller", "Service", "Repository", "Config", "Entity", "Test", "Helper")]), (F.col("p_size") % 7 + 1).cast("int"))
-    n = table(spark, d, "part").select(F.concat(F.initcap(F.substring_index("p_name", " ", 1)), ending).alias("name"))
-    kind = texts.node_type(F.col("name"))
+    """Names made of a word and an ending by size; the last ending has @Entity in its content."""
+    k = F.col("p_size") % len(ENDINGS)
+    ending = F.element_at(F.array(*[F.lit(x) for x, _, _ in ENDINGS]), (k + 1).cast("int"))
+    n = table(spark, d, "part").select(F.concat(F.initcap(F.substring_index("p_name", " ", 1)), ending).alias("name"), F.when(k == len(ENDINGS) - 1, "@Entity class").alias("content"))
+    kind = texts.node_type(F.col("name"), F.col("content"))
     return n.select("name", kind.alias("kind"), texts.priority(kind).alias("priority")).groupBy("kind", "priority").agg(F.count("*").alias("files"), F.countDistinct("name").alias("names"))
 
 
+NODE_TYPES_SQL = f"""WITH n AS (SELECT upper(substr(split_part(p_name, ' ', 1), 1, 1)) || lower(substr(split_part(p_name, ' ', 1), 2)) AS w, p_size % {len(ENDINGS)} + 1 AS k FROM part),
+t AS (SELECT w || {[e[0] for e in ENDINGS]}[k] AS name, {[e[1] for e in ENDINGS]}[k] AS kind, {[e[2] for e in ENDINGS]}[k] AS priority FROM n)
+SELECT kind, priority, count(*) AS files, count(DISTINCT name) AS names FROM t GROUP BY kind, priority"""
+
+
 def classified_urls(spark, d):
     u = F.col("url")
     label, sure = texts.first_match([(u, r"\?.*page=", "LISTING", 0.95), (u, r"/(de|fr|es)/", "LOCALIZED", 0.9), (u, r"[0-9]+$", "ITEM", 0.85)])
@@ -48,9 +58,52 @@ def basenames(spark, d):
     return table(spark, d, "pages").select("page_id", texts.basename(F.col("url")).alias("name"), F.size(F.split("html", "\n")).alias("lines"), F.length(F.substring("html", 1, 1000)).alias("head"))
 
 
+#: Code that is put behind each text, in turn.
+CODE = ["@Transactional try { repo.save(x) } catch (E e) try{ y }", "enum Status @Async @Retryable", "enum async retry http save(x)", "WebClient CompletableFuture repo.delete(x) catch (E e)"]
+
+
 def behaviors(spark, d):
-    t = F.concat(F.col("text"), F.when(F.col("doc_id") % 2 == 0, "\nasync try { save(x) } catch (e)").otherwise(" retry"))
-    return table(spark, d, "documents").groupBy(texts.behavior(t).alias("behavior")).agg(F.count("*").alias("docs"))
+    code = F.element_at(F.array(*[F.lit(c) for c in CODE]), (F.col("doc_id") % 4 + 1).cast("int"))
+    t = F.concat(F.col("text"), F.lit("\n"), code)
+    return table(spark, d, "documents").groupBy(texts.behavioral_context(F.col("source"), t).alias("behavior")).agg(F.count("*").alias("docs"))
+
+
+BEHAVIOR_SQL = f"""WITH t AS (SELECT source, text || chr(10) || {CODE}[doc_id % 4 + 1] AS t FROM documents),
+c AS (SELECT *, len(regexp_extract_all(t, 'try ?\\{{')) AS tries, len(regexp_extract_all(t, 'catch ?\\(')) AS catches FROM t),
+b AS (SELECT 'Runtime Analysis for ' || source || ':' || chr(10) || concat_ws(chr(10),
+  CASE WHEN contains(t, '@Transactional') THEN '- Transaction boundary: @Transactional present' END, CASE WHEN contains(t, 'enum') AND contains(t, 'Status') THEN '- State machine: Status enum detected' END,
+  CASE WHEN tries > 0 THEN '- Error handling: ' || tries || ' try blocks, ' || catches || ' catch blocks' END, CASE WHEN contains(t, '@Async') OR contains(t, 'CompletableFuture') THEN '- Async: Asynchronous execution present' END,
+  CASE WHEN contains(t, '@Retry') THEN '- Retry: Retry logic configured' END, CASE WHEN contains(t, '.save(') OR contains(t, '.delete(') THEN '- Side effects: Database write operations' END,
+  CASE WHEN contains(t, 'RestTemplate') OR contains(t, 'WebClient') THEN '- Side effects: External HTTP calls' END) AS behavior FROM c)
+SELECT behavior, count(*) AS docs FROM b GROUP BY behavior"""
+
+
+def structural_texts(spark, d):
+    """Parts as nodes, their lines as hyperedges by flag and ship status."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count(F.when(F.col("l_linestatus") == "O", 1)).alias("sources"), F.count(F.when(F.col("l_linestatus") == "F", 1)).alias("targets"), F.collect_set("l_returnflag").alias("types"))
+    p = table(spark, d, "part").join(lines, F.col("p_partkey") == F.col("id"))
+    node = {"name": F.col("p_name"), "node_type": F.col("p_type"), "entity_type": F.col("p_brand"), "in_degree": F.col("p_size"), "out_degree": F.col("targets"), "betweenness": F.col("p_size") / 64, "pagerank": F.col("p_size") / 1024, "community": F.col("p_partkey") % 10}
+    return p.select("id", texts.structural_context(node, F.col("sources"), F.col("targets"), F.col("types")).alias("context"))
+
+
+STRUCTURAL_SQL = """WITH l AS (SELECT l_partkey AS id, count(*) FILTER (l_linestatus = 'O') AS s, count(*) FILTER (l_linestatus = 'F') AS t, list_sort(list(DISTINCT l_returnflag)) AS types FROM lineitem GROUP BY 1)
+SELECT id, concat_ws(chr(10), 'Node: ' || p_name, 'Node Type: ' || p_type, 'Entity Type: ' || p_brand, chr(10) || 'Graph Properties:', '- In-Degree: ' || p_size, '- Out-Degree: ' || t, '- Betweenness Centrality: ' || format('{:.4f}', p_size / 64.0::DOUBLE),
+'- PageRank: ' || format('{:.6f}', p_size / 1024.0::DOUBLE), '- Community: ' || p_partkey % 10, chr(10) || 'Hyperedge Participation:', '- As Source: ' || s || ' hyperedges', '- As Target: ' || t || ' hyperedges',
+'- Types: [' || array_to_string(list_transform(types, lambda x: chr(39) || x || chr(39)), ', ') || ']') AS context FROM part JOIN l ON id = p_partkey"""
+
+
+def surest_rules(spark, d):
+    """Entity types of texts by rules that overlap: the most confident counts. Then the text to embed."""
+    t = F.col("text")
+    rules = [(t.contains("th"), "FILE_REGISTRY", 0.97), (t.contains("sch"), "STATE_MACHINE", 0.99), (t.contains("ción"), "CONFIG_STATE", 0.98), (t.contains("eau"), "SECURITY_LAYER", 0.99), (t.contains("en"), "TEMPORAL_CONTEXT", 0.96)]
+    best = texts.surest(rules)
+    entity = F.coalesce(best["label"], F.lit("OTHER"))
+    return table(spark, d, "documents").select("doc_id", entity.alias("entity"), F.coalesce(best["confidence"], F.lit(0.0)).alias("confidence"), texts.entity_text(F.col("source"), entity).alias("keywords"))
+
+
+SUREST_SQL = """WITH r AS (SELECT doc_id, source, CASE WHEN contains(text, 'sch') THEN 'STATE_MACHINE' WHEN contains(text, 'eau') THEN 'SECURITY_LAYER' WHEN contains(text, 'ción') THEN 'CONFIG_STATE' WHEN contains(text, 'th') THEN 'FILE_REGISTRY' WHEN contains(text, 'en') THEN 'TEMPORAL_CONTEXT' ELSE 'OTHER' END AS entity FROM documents),
+w AS (SELECT * FROM (VALUES ('STATE_MACHINE', 0.99, 'controller endpoint api rest'), ('SECURITY_LAYER', 0.99, 'security authentication authorization'), ('CONFIG_STATE', 0.98, 'configuration settings properties'), ('FILE_REGISTRY', 0.97, 'service repository business logic'), ('TEMPORAL_CONTEXT', 0.96, 'schedule timer async cron'), ('OTHER', 0.0, '')) v(entity, confidence, words))
+SELECT doc_id, entity, confidence::DOUBLE AS confidence, source || ' ' || entity || ' ' || words AS keywords FROM r JOIN w USING (entity)"""
 
 
 def contexts(spark, d):
@@ -227,11 +280,13 @@ QUERIES = {
     "text_prompts": (prompts, "WITH t AS (SELECT item_id, text, CASE item_id % 3 WHEN 0 THEN 'find structure' WHEN 1 THEN 'find meaning' END AS i FROM benchmark) SELECT item_id, md5(CASE WHEN i IS NULL THEN text ELSE 'Instruct: ' || i || chr(10) || 'Query: ' || text END) AS instruct, md5('<Instruct>: judge' || chr(10) || '<Query>: ' || text || chr(10) || '<Document>: answer') AS rerank FROM t"),
     "text_hashes": (hashes, "SELECT doc_id, substr(sha256(text), 1, 8) AS short, sha256(text) AS content, md5(text) || ':' || lang || ':64' AS cache FROM documents"),
     "text_token_estimate": (token_estimates, "SELECT source, greatest(1, floor(sum(length(text)) / 4.0))::BIGINT AS tokens, round(sum(length(text)) * 0.25::DOUBLE / 1000 * 0.02::DOUBLE, 6) AS cost FROM documents GROUP BY source"),
-    "text_node_types": (node_types, "WITH n AS (SELECT upper(substr(split_part(p_name, ' ', 1), 1, 1)) || lower(substr(split_part(p_name, ' ', 1), 2)) AS w, p_size % 7 AS k FROM part), t AS (SELECT w || ['Controller','Service','Repository','Config','Entity','Test','Helper'][k + 1] AS name, ['CONTROLLER','SERVICE','REPOSITORY','CONFIG','ENTITY','TEST','UTIL'][k + 1] AS kind, [1,2,3,5,4,5,5][k + 1] AS priority FROM n) SELECT kind, priority, count(*) AS files, count(DISTINCT name) AS names FROM t GROUP BY kind, priority"),
+    "text_node_types": (node_types, NODE_TYPES_SQL),
+    "text_structural_context": (structural_texts, STRUCTURAL_SQL),
+    "text_surest_rule": (surest_rules, SUREST_SQL),
     "text_classify": (classified_urls, "SELECT CASE WHEN regexp_matches(url, '\\?.*page=') THEN 'LISTING' WHEN regexp_matches(url, '/(de|fr|es)/') THEN 'LOCALIZED' WHEN regexp_matches(url, '[0-9]+$') THEN 'ITEM' ELSE 'OTHER' END AS label, CASE WHEN regexp_matches(url, '\\?.*page=') THEN 0.95 WHEN regexp_matches(url, '/(de|fr|es)/') THEN 0.9 WHEN regexp_matches(url, '[0-9]+$') THEN 0.85 ELSE 0.0 END::DOUBLE AS confidence, count(*) AS pages FROM pages GROUP BY 1, 2"),
     "text_domains": (domains, "SELECT CASE p_size % 3 WHEN 0 THEN lower(p_type) WHEN 1 THEN lower(p_type) ELSE 'core' END AS domain, count(*) AS files FROM part GROUP BY 1"),
     "text_basenames": (basenames, "SELECT page_id, regexp_extract(url, '[^/]*$') AS name, len(string_split(html, chr(10)))::INT AS lines, length(substr(html, 1, 1000))::INT AS head FROM pages"),
-    "text_behavior": (behaviors, None),
+    "text_behavior": (behaviors, BEHAVIOR_SQL),
     "text_context": (contexts, "SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) || CASE WHEN count(*) > 5 THEN chr(10) || chr(10) || 'long' ELSE '' END AS context FROM conversations GROUP BY conv_id"),
     "confidence_fold": (confidence_fold, None),
     "pattern_library": (pattern_library, None),
