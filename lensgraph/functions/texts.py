@@ -125,7 +125,10 @@ def behavioral_context(name: Column, text: Column) -> Column:
 
 
 def structural_context(node: dict[str, Column], sources: Column, targets: Column, types: Column) -> Column:
-    """A node's place in the graph as text, the input of the structural lens; types is an array, given in order."""
+    """A node's place in the graph as text, the input of the structural lens; types is an array.
+
+    Figures have four and six decimals; exact halves are rounded up.
+    """
     fixed = lambda c, n: F.format_string(f"%.{n}f", c.cast("double"))
     lines = [
         F.concat(F.lit("Node: "), node["name"]),

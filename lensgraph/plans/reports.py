@@ -82,13 +82,13 @@ def structural_texts(spark, d):
     """Parts as nodes, their lines as hyperedges by flag and ship status."""
     lines = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count(F.when(F.col("l_linestatus") == "O", 1)).alias("sources"), F.count(F.when(F.col("l_linestatus") == "F", 1)).alias("targets"), F.collect_set("l_returnflag").alias("types"))
     p = table(spark, d, "part").join(lines, F.col("p_partkey") == F.col("id"))
-    node = {"name": F.col("p_name"), "node_type": F.col("p_type"), "entity_type": F.col("p_brand"), "in_degree": F.col("p_size"), "out_degree": F.col("targets"), "betweenness": F.col("p_size") / 64, "pagerank": F.col("p_size") / 1024, "community": F.col("p_partkey") % 10}
+    node = {"name": F.col("p_name"), "node_type": F.col("p_type"), "entity_type": F.col("p_brand"), "in_degree": F.col("p_size"), "out_degree": F.col("targets"), "betweenness": F.col("p_size") / 100, "pagerank": F.col("p_size") / 1000, "community": F.col("p_partkey") % 10}
     return p.select("id", texts.structural_context(node, F.col("sources"), F.col("targets"), F.col("types")).alias("context"))
 
 
 STRUCTURAL_SQL = """WITH l AS (SELECT l_partkey AS id, count(*) FILTER (l_linestatus = 'O') AS s, count(*) FILTER (l_linestatus = 'F') AS t, list_sort(list(DISTINCT l_returnflag)) AS types FROM lineitem GROUP BY 1)
-SELECT id, concat_ws(chr(10), 'Node: ' || p_name, 'Node Type: ' || p_type, 'Entity Type: ' || p_brand, chr(10) || 'Graph Properties:', '- In-Degree: ' || p_size, '- Out-Degree: ' || t, '- Betweenness Centrality: ' || format('{:.4f}', p_size / 64.0::DOUBLE),
-'- PageRank: ' || format('{:.6f}', p_size / 1024.0::DOUBLE), '- Community: ' || p_partkey % 10, chr(10) || 'Hyperedge Participation:', '- As Source: ' || s || ' hyperedges', '- As Target: ' || t || ' hyperedges',
+SELECT id, concat_ws(chr(10), 'Node: ' || p_name, 'Node Type: ' || p_type, 'Entity Type: ' || p_brand, chr(10) || 'Graph Properties:', '- In-Degree: ' || p_size, '- Out-Degree: ' || t, '- Betweenness Centrality: ' || format('{:.4f}', p_size / 100.0::DOUBLE),
+'- PageRank: ' || format('{:.6f}', p_size / 1000.0::DOUBLE), '- Community: ' || p_partkey % 10, chr(10) || 'Hyperedge Participation:', '- As Source: ' || s || ' hyperedges', '- As Target: ' || t || ' hyperedges',
 '- Types: [' || array_to_string(list_transform(types, lambda x: chr(39) || x || chr(39)), ', ') || ']') AS context FROM part JOIN l ON id = p_partkey"""
 
 
