@@ -16,10 +16,12 @@ from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from lensgraph.shared import partitions
+from lensgraph.shared import new_folder, partitions
 
 #: Keys that a task gathers before it sorts them.
 HELD_KEYS = 2_000_000
@@ -187,3 +189,36 @@ def joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All blobs of one shard as sorted keys with counts."""
     parts = [unpack(x.as_py()) for x in table["blob"]]
     return merged(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
+def stored(rows: DataFrame, *columns: str) -> Sharded:
+    """The distinct hashes of these columns of `rows` (a written table, whose size the planner knows) as sorted arrays."""
+    bits, uri = shard_bits(rows), new_folder(rows.sparkSession, "listed")
+
+    def gather(batches):
+        held = Held(bits)
+        for batch in batches:
+            yield from held.add(batch.column(0).to_numpy().view(np.uint64))
+        yield from held.flush()
+
+    def write(table: pa.Table) -> pa.Table:
+        shard = table["shard"][0].as_py()
+        keys = joined(table)[0]
+        save(f"{uri}/keys-{shard:05d}.npy", keys)
+        return pa.table({"shard": pa.array([shard], pa.int32()), "n": [len(keys)]})
+
+    hashed = rows.select(F.xxhash64(*columns)).mapInArrow(gather, "shard int, blob binary").groupBy("shard").applyInArrow(write, "shard int, n long")
+    return Sharded(uri, bits, {r.shard: r.n for r in hashed.collect()})  # one small row a shard
+
+
+def listed(table: Sharded, *columns: str) -> Column:
+    """Whether the hash of these columns is in a stored table: always true of its rows, of another by a chance of size / 2^64.
+
+    Only hashes go to the workers. A join after it settles the rest exactly, over few rows rather than all.
+    """
+
+    @F.pandas_udf("boolean")
+    def found(key: pd.Series) -> pd.Series:
+        return pd.Series(table.find(key.to_numpy().view(np.uint64))[0] >= 0)
+
+    return found(F.xxhash64(*columns))

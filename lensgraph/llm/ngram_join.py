@@ -143,7 +143,8 @@ class Joined:
 
     def with_both(self, pairs: DataFrame, column: str) -> DataFrame:
         """Pairs (a, b) with that column of both nodes, x and y. pairs: a written table, whose size the planner knows."""
-        held = self.sets.filter(F.col(column).isNotNull()).select("row", column)
+        ends = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "ends")
+        held = self.sets.filter(F.col(column).isNotNull()).select("row", column).filter(arrays.listed(arrays.stored(ends, "row"), "row"))
         salts = []
         for end, other in (("a", "b"), ("b", "a")):
             hot = pairs.groupBy(F.col(end).alias("h")).agg(F.ceil(F.count("*") / HOT).cast("int").alias("k")).filter("k > 1")
@@ -237,18 +238,22 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     """The rows of `docs` without all but one of each component: the one of least doc_id, then least hash of the text.
 
     Rows without shingles or without a doc_id link with nothing and all stay. Rows are known by doc_id and text, so that
-    no second reading need give them in the same order or partitions; of those equal in both, one stays.
+    no second reading need give them in the same order or partitions; of those equal in both, one stays. Texts of rows
+    that no group names are not shuffled.
     """
     found = Joined(docs, n, num, den).documents().filter("component is not null")
     rows = written(found.groupBy("doc_id", "hash").agg(F.min("component").alias("component"), F.count("*").alias("rows")), "rows")
     first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "hash")).alias("first"), F.sum("rows").alias("all"))
     many = rows.join(first.filter("all > 1"), "component").withColumn("stays", F.struct("doc_id", "hash") == F.col("first"))
-    many = written(many.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "stays", "rows"), "groups")
+    many = many.filter("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "stays")
+    many = written(many, "groups")
+    table = arrays.stored(many, "_id", "_hash")
     held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"))
+    named = arrays.listed(table, "id", "own")
     same = (F.col("id") == F.col("_id")) & (F.col("own") == F.col("_hash"))
-    once = held.join(many.filter("not stays or rows > 1"), same, "left_anti").select("row")
-    again = held.join(many.filter("stays and rows > 1"), same, "left_semi").groupBy("id", "own").agg(F.min("row").alias("row"))
-    return once.unionByName(again.select("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    other = held.filter(~named).unionByName(held.filter(named).join(many, same, "left_anti"))
+    again = held.filter(named).join(many.filter("stays"), same, "left_semi").groupBy("id", "own").agg(F.min("row").alias("row"))
+    return other.select("row").unionByName(again.select("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9(docs: DataFrame) -> DataFrame:
