@@ -47,6 +47,16 @@ def drift(similarity: Column) -> tuple[Column, Column]:
     return F.when(similarity < 0.7, 1 - similarity), F.when(similarity < 0.5, "HIGH").when(similarity < 0.7, "MEDIUM")
 
 
+def calibration_action(changed: Column, drifted: Column) -> Column:
+    """FULL from a drift above 10 %, else INCREMENTAL with more than 5 changed files, else CACHE with any, else null."""
+    return F.when(drifted > 0.1, "FULL").when(changed > 5, "INCREMENTAL").when(changed > 0, "CACHE")
+
+
+def needs_revalidation(validated: Column, now: Column, days: int) -> Column:
+    """Never validated, or more than `days` days ago."""
+    return validated.isNull() | (validated < now - F.make_interval(days=F.lit(days)))
+
+
 def bayes_update(prior: Column, success: Column, alpha: float = 1.0, beta: float = 1.0) -> Column:
     """One outcome: (p a + 1) / (a + b + 1) after a success, p a / (a + b + 1) after a failure."""
     return (prior * alpha + F.when(success, 1.0).otherwise(0.0)) / (alpha + beta + 1)

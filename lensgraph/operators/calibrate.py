@@ -137,6 +137,20 @@ def total_loss(alignment: float, uniformity: float, whiten: float, low_rank: flo
     return alignment + weights[0] * uniformity + weights[1] * low_rank + weights[2] * whiten
 
 
+def incremental_loss(pairs: DataFrame, cells: DataFrame, weights: tuple[float, float] = (0.5, 0.1)) -> DataFrame:
+    """One row: critical, memory, anchor and their weighted sum `total`.
+
+    pairs: (class, target, cosine); squared errors are averaged over the critical classes and over the stable ones, and
+    invalidated pairs count in neither. cells: (old, new) of the lens matrix; anchor sums their squared differences. A
+    class without pairs, or a matrix without cells, counts 0.
+    """
+    error = (F.col("target") - F.col("cosine")) ** 2
+    over = lambda *names: F.coalesce(F.avg(F.when(F.col("class").isin(*names), error)), F.lit(0.0))
+    one = pairs.agg(over("CRITICAL_NEW", "CRITICAL_MODIFIED").alias("critical"), over("STABLE").alias("memory"))
+    anchor = cells.agg(F.coalesce(F.sum((F.col("new") - F.col("old")) ** 2), F.lit(0.0)).alias("anchor"))  # one row each
+    return one.crossJoin(anchor).withColumn("total", F.col("critical") + weights[0] * F.col("memory") + weights[1] * F.col("anchor"))
+
+
 def needs_lens(average_cosine: float, average_divergence: float, effective_dimension: float) -> dict[str, bool]:
     """Both published rules: one needs all of .85, .4 and 200; the other asks for a pilot from .2 and .5 on."""
     return {"strict": average_cosine > 0.85 and average_divergence > 0.4 and effective_dimension < 200, "pilot": average_divergence > 0.2 and average_cosine > 0.5}

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lensgraph.shared import Scratch, written
@@ -92,6 +92,36 @@ def hops(edges: DataFrame, sources: DataFrame, most: int, directed: bool = True)
     return seen
 
 
+def shortest_paths(edges: DataFrame, sources: DataFrame, most: int, directed: bool = True) -> DataFrame:
+    """(source, id, hops, nodes): the nodes of a shortest path of at most `most` edges, the least list of equally short ones.
+
+    Only a level's nodes are extended: a least path begins with a least path to the node before its end.
+    """
+    links = written(edges.select("src", "dst").distinct() if directed else undirected(edges), "links")
+    front = written(sources.select(F.col("id").alias("source"), "id").distinct().withColumns({"hops": F.lit(0), "nodes": F.array("id")}), "paths")
+    seen = front
+    for k in range(1, most + 1):
+        step = front.join(links, front.id == links.src).select("source", F.col("dst").alias("id"), F.concat("nodes", F.array("dst")).alias("nodes"))
+        fresh = step.join(seen.select("source", "id"), ["source", "id"], "left_anti")
+        front = written(fresh.groupBy("source", "id").agg(F.min("nodes").alias("nodes")).select("source", "id", F.lit(k).alias("hops"), "nodes"), "paths")
+        seen = seen.unionByName(front)
+        if not front.limit(1).count():
+            break
+    return seen
+
+
+def context(edges: DataFrame, sources: DataFrame, depth: int, budget: int, directed: bool = False) -> DataFrame:
+    """(source, id, hops): at most `budget` nodes within `depth` edges of each source, the nearest first, then the least id."""
+    order = Window.partitionBy("source").orderBy("hops", "id")
+    return hops(edges, sources, depth, directed).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= budget).drop("place")
+
+
+def linked(edges: DataFrame, sources: DataFrame, most: int, links: DataFrame) -> DataFrame:
+    """(source, id, found): nodes on undirected paths of 1 to `most` edges from each source, with what `links` (src, dst) join to them."""
+    near = hops(edges, sources, most, directed=False).filter("hops > 0").select("source", "id")
+    return near.join(links.select(F.col("src").alias("id"), F.col("dst").alias("found")).distinct(), "id").select("source", "id", "found")
+
+
 def least_action(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame:
     """(source, id, action): least sum of `weight` (not negative) over paths of at most `rounds` edges."""
     links = written(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "links")

@@ -106,6 +106,42 @@ ERDOS_SQL = f"""{REC}, calls AS ({CALLS}), both_ways AS (SELECT src, dst FROM ca
 SELECT source, hops, count(*) AS nodes FROM first GROUP BY source, hops"""
 
 
+def shortest(spark, d):
+    found = graph.shortest_paths(calls(spark, d), starts(spark, d), 3)
+    return found.select("source", "id", "hops", F.array_join(F.col("nodes").cast("array<string>"), ">").alias("path"))
+
+
+def shortest_sql(most=3):
+    parts = [f"{WITH}, calls AS ({CALLS}), f0 AS (SELECT p_partkey AS source, p_partkey AS id, 0 AS hops, [p_partkey] AS nodes FROM part WHERE p_partkey % 100 = 0), s0 AS (SELECT * FROM f0)"]
+    for k in range(1, most + 1):
+        parts.append(f"f{k} AS (SELECT source, c.dst AS id, {k} AS hops, min(list_append(nodes, c.dst)) AS nodes FROM f{k - 1} f JOIN calls c ON c.src = f.id WHERE NOT EXISTS (SELECT 1 FROM s{k - 1} s WHERE s.source = f.source AND s.id = c.dst) GROUP BY source, c.dst), s{k} AS (SELECT * FROM s{k - 1} UNION ALL SELECT * FROM f{k})")
+    return ", ".join(parts) + f" SELECT source, id, hops, array_to_string(nodes, '>') AS path FROM s{most}"
+
+
+def context(spark, d):
+    return graph.context(calls(spark, d), starts(spark, d), 3, 50)
+
+
+CONTEXT_SQL = f"""{REC}, calls AS ({CALLS}), both_ways AS (SELECT src, dst FROM calls UNION SELECT dst, src FROM calls), walk AS (
+  SELECT p_partkey AS source, p_partkey AS id, 0 AS hops FROM part WHERE p_partkey % 100 = 0
+  UNION SELECT w.source, b.dst, w.hops + 1 FROM walk w JOIN both_ways b ON b.src = w.id WHERE w.hops < 3
+), first AS (SELECT source, id, min(hops) AS hops FROM walk GROUP BY source, id)
+SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY source ORDER BY hops, id) <= 50"""
+
+
+def exceptions(spark, d):
+    e = edges(spark, d)
+    found = graph.linked(calls(spark, d), starts(spark, d), 2, e.filter("rel_type = 'IMPORTS'"))
+    return found.groupBy("source", "found").agg(F.count("*").alias("through"))
+
+
+EXCEPTIONS_SQL = f"""{REC}, calls AS ({CALLS}), both_ways AS (SELECT src, dst FROM calls UNION SELECT dst, src FROM calls), walk AS (
+  SELECT p_partkey AS source, p_partkey AS id, 0 AS hops FROM part WHERE p_partkey % 100 = 0
+  UNION SELECT w.source, b.dst, w.hops + 1 FROM walk w JOIN both_ways b ON b.src = w.id WHERE w.hops < 2
+), near AS (SELECT DISTINCT source, id FROM walk WHERE id <> source)
+SELECT source, e.dst AS found, count(*) AS through FROM near JOIN edges e ON e.src = near.id WHERE e.rel_type = 'IMPORTS' GROUP BY source, e.dst"""
+
+
 def impact(spark, d):
     e = edges(spark, d).filter(F.col("rel_type").isin("CALLS", "DEPENDS_ON")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return graph.hops(e, starts(spark, d), 2).filter("hops > 0").groupBy("source").agg(F.count("*").alias("affected"), F.sum(F.when(F.col("hops") == 1, 1).otherwise(0)).alias("direct"))
@@ -339,6 +375,9 @@ QUERIES = {
     "graph_eigenvector": (eigenvector, eigenvector_sql()),
     "graph_eigenvector_converged": (eigenvector_converged, None),
     "graph_erdos_numbers": (erdos, ERDOS_SQL),
+    "graph_shortest_paths": (shortest, shortest_sql()),
+    "graph_context": (context, CONTEXT_SQL),
+    "graph_linked_exceptions": (exceptions, EXCEPTIONS_SQL),
     "graph_impact_set": (impact, IMPACT_SQL),
     "graph_least_action": (action, ACTION_SQL),
     "graph_variable_paths": (variable_paths, PATHS_SQL),

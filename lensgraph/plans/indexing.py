@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lensgraph.functions import texts
-from lensgraph.operators import indexing
+from lensgraph.functions import scores, texts
+from lensgraph.operators import calibrate, indexing
 from lensgraph.sources.tables import table
 
 NOW = "1999-06-01 00:00:00"
@@ -96,6 +96,35 @@ def detected(spark, d):
     return indexing.changes(*_versions(spark, d))
 
 
+def incremental(spark, d):
+    """Discount and tax stand for the score that a pair should have and the cosine that it has."""
+    lines = table(spark, d, "lineitem")
+    pairs = lines.select(F.col("l_partkey").alias("a"), ((F.col("l_partkey") + F.col("l_suppkey")) % 200).alias("b"), F.col("l_discount").cast("double").alias("target"), F.col("l_tax").cast("double").alias("cosine"))
+    cells = table(spark, d, "nation").select((F.col("n_nationkey") / 25).alias("old"), (F.col("n_regionkey") / 5).alias("new"))
+    out = calibrate.incremental_loss(indexing.pair_classes(pairs, detected(spark, d), "a", "b"), cells)
+    return out.select(*[F.round(c, 8).alias(c) for c in out.columns])
+
+
+INCREMENTAL_SQL = f"""WITH {VERSIONS}, pairs AS (SELECT l_partkey AS a, (l_partkey + l_suppkey) % 200 AS b, power(l_discount::DOUBLE - l_tax::DOUBLE, 2) AS e FROM lineitem),
+t AS (SELECT e, coalesce(x.change_type, '-') AS x, coalesce(y.change_type, '-') AS y FROM pairs LEFT JOIN changed x ON x.file_path = a LEFT JOIN changed y ON y.file_path = b),
+k AS (SELECT avg(e) FILTER (WHERE 'ADDED' IN (x, y) OR 'MODIFIED' IN (x, y)) AS critical, avg(e) FILTER (WHERE x = '-' AND y = '-') AS memory FROM t WHERE 'DELETED' NOT IN (x, y)),
+m AS (SELECT sum(power(n_regionkey::DOUBLE / 5 - n_nationkey::DOUBLE / 25, 2)) AS anchor FROM nation)
+SELECT round(critical, 8) AS critical, round(memory, 8) AS memory, round(anchor, 8) AS anchor, round(critical + 0.5::DOUBLE * memory + 0.1::DOUBLE * anchor, 8) AS total FROM k, m"""
+
+
+def revalidated(spark, d):
+    """An order is validated on its date, urgent ones never."""
+    seen = F.when(~F.col("o_orderpriority").startswith("1"), F.col("o_orderdate").cast("timestamp"))
+    o = table(spark, d, "orders").withColumn("seen", seen)
+    return o.filter(scores.needs_revalidation(F.col("seen"), F.lit(NOW).cast("timestamp"), 700)).select("o_orderkey", F.col("seen").isNull().alias("never"))
+
+
+def scheduled(spark, d):
+    """Per customer: open orders are changed files, the share of pending ones is the drift."""
+    by = table(spark, d, "orders").groupBy("o_custkey").agg(F.sum((F.col("o_orderstatus") == "O").cast("long")).alias("changed"), F.avg((F.col("o_orderstatus") == "P").cast("double")).alias("drifted"))
+    return by.select("o_custkey", "changed", scores.calibration_action(F.col("changed"), F.col("drifted")).alias("action"))
+
+
 def new_file_set(spark, d):
     before, _ = _versions(spark, d)
     c = indexing.changes(*_versions(spark, d))
@@ -179,6 +208,9 @@ QUERIES = {
     "index_changes": (detected, f"WITH {VERSIONS} SELECT * FROM changed WHERE change_type IS NOT NULL"),
     "index_new_file_set": (new_file_set, f"WITH {VERSIONS} SELECT f AS file_path FROM old_files WHERE f NOT IN (SELECT file_path FROM changed WHERE change_type = 'DELETED') UNION ALL SELECT file_path FROM changed WHERE change_type = 'ADDED'"),
     "index_pair_classes": (pair_classes, f"WITH {VERSIONS}, pairs AS (SELECT l_partkey AS a, (l_partkey + l_suppkey) % 200 AS b FROM lineitem), t AS (SELECT x.change_type AS x, y.change_type AS y FROM pairs LEFT JOIN changed x ON x.file_path = a LEFT JOIN changed y ON y.file_path = b) SELECT CASE WHEN x = 'DELETED' OR y = 'DELETED' THEN 'INVALIDATED' WHEN x = 'ADDED' OR y = 'ADDED' THEN 'CRITICAL_NEW' WHEN x = 'MODIFIED' OR y = 'MODIFIED' THEN 'CRITICAL_MODIFIED' ELSE 'STABLE' END AS class, count(*) AS pairs FROM t GROUP BY 1"),
+    "calibration_incremental_loss": (incremental, INCREMENTAL_SQL),
+    "calibration_schedule": (scheduled, "WITH b AS (SELECT o_custkey, sum((o_orderstatus = 'O')::INT)::BIGINT AS changed, avg((o_orderstatus = 'P')::INT) AS drifted FROM orders GROUP BY o_custkey) SELECT o_custkey, changed, CASE WHEN drifted > 0.1::DOUBLE THEN 'FULL' WHEN changed > 5 THEN 'INCREMENTAL' WHEN changed > 0 THEN 'CACHE' END AS action FROM b"),
+    "index_revalidation": (revalidated, f"WITH s AS (SELECT o_orderkey, CASE WHEN o_orderpriority NOT LIKE '1%' THEN o_orderdate::TIMESTAMP END AS seen FROM orders) SELECT o_orderkey, seen IS NULL AS never FROM s WHERE seen IS NULL OR seen < TIMESTAMP '{NOW}' - INTERVAL 700 DAY"),
     "index_routing": (routing, f"WITH {VERSIONS}, c AS (SELECT count(*) AS changed FROM changed WHERE change_type IS NOT NULL), t AS (SELECT count(*) AS total FROM part) SELECT changed, total, CASE WHEN changed > 10 THEN 'PARALLEL' ELSE 'SEQUENTIAL' END AS by_number, CASE WHEN changed / total::DOUBLE < 0.01 THEN 'SKIP' WHEN changed / total::DOUBLE < 0.1 THEN 'INCREMENTAL' ELSE 'FULL' END AS by_share FROM c, t"),
     "index_affected_set": (affected, f"WITH {VERSIONS} SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT file_path FROM changed WHERE change_type IS NOT NULL)"),
     "index_upsert": (upserted, "WITH new AS (SELECT CASE WHEN o_custkey % 10 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS id, sum(o_totalprice) AS amount FROM orders WHERE o_orderdate >= '1997-01-01' AND o_orderdate < '1997-02-01' GROUP BY 1) SELECT coalesce(c_custkey, id) AS id, CASE WHEN id IS NULL THEN c_mktsegment ELSE 'SEEN' END AS state, round(CASE WHEN id IS NULL THEN c_acctbal WHEN c_custkey IS NULL THEN amount ELSE c_acctbal + amount END, 2) AS amount FROM customer FULL JOIN new ON c_custkey = id"),
