@@ -80,18 +80,7 @@ def pagerank_sql(rounds=6, damping=0.85):
 
 
 def eigenvector(spark, d):
-    return _round(graph.power_iteration(calls(spark, d).select("src", "dst", "weight"), rounds=5, tolerance=0.0), "value")
-
-
-def eigenvector_sql(rounds=5):
-    steps = [f"{WITH}, both_ways AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM edges WHERE rel_type = 'CALLS' UNION ALL SELECT dst, src, weight FROM edges WHERE rel_type = 'CALLS') GROUP BY src, dst), v0 AS (SELECT src AS id, 1.0::DOUBLE AS value FROM both_ways GROUP BY src)"]
-    for k in range(rounds):
-        steps.append(f"w{k} AS (SELECT b.src AS id, sum(b.weight * v.value) AS value FROM both_ways b JOIN v{k} v ON v.id = b.dst GROUP BY b.src), v{k + 1} AS (SELECT id, value / (SELECT sqrt(sum(value * value)) FROM w{k}) AS value FROM w{k})")
-    return ", ".join(steps) + f" SELECT id, round(value, 6) AS value FROM v{rounds}"
-
-
-def eigenvector_converged(spark, d):
-    """eigenvector() until it moves no more than the operator's tolerance; its SQL is five rounds written out."""
+    """Until it moves no more than the operator's tolerance."""
     return _round(graph.power_iteration(calls(spark, d).select("src", "dst", "weight"), rounds=100), "value")
 
 
@@ -177,18 +166,17 @@ PATHS_SQL = f"""{WITH}, calls AS ({CALLS}), found AS (
 ) SELECT start, length, count(*) AS paths, count(DISTINCT "end") AS ends FROM found GROUP BY start, length"""
 
 
-def two_cycles(spark, d):
-    return graph.cycles(edges(spark, d).filter("rel_type = 'CALLS'"), 3).select("length", F.get("nodes", F.lit(0)).alias("first"), F.get("nodes", F.lit(1)).alias("second"), F.get("nodes", F.lit(2)).alias("third"))
-
+def cycles(spark, d):
+    """Cycles of 2 to 5 edges, each from its least node."""
+    return graph.cycles(calls(spark, d), 5).select("length", F.array_join(F.col("nodes").cast("array<string>"), ">").alias("path"))
 
-CYCLES_SQL = f"""{WITH}, calls AS ({CALLS})
-SELECT 2 AS length, a.src AS first, a.dst AS second, NULL::BIGINT AS third FROM calls a JOIN calls b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst
-UNION ALL SELECT 3, a.src, b.src, c.src FROM calls a JOIN calls b ON b.src = a.dst JOIN calls c ON c.src = b.dst AND c.dst = a.src WHERE a.src < b.src AND a.src < c.src AND b.src <> c.src"""
 
-
-def cycles_to_five(spark, d):
-    """Cycles of 2 to 5 edges; the SQL of two_cycles() ends at 3."""
-    return graph.cycles(calls(spark, d), 5)
+def cycles_sql(most=5):
+    steps = [f"{WITH}, calls AS ({CALLS}), w1 AS (SELECT src AS first, dst AS last, [src, dst] AS nodes FROM calls WHERE src < dst)"]
+    for k in range(2, most):
+        steps.append(f"w{k} AS (SELECT first, dst AS last, list_append(nodes, dst) AS nodes FROM w{k - 1} JOIN calls ON src = last WHERE dst > first AND NOT list_contains(nodes, dst))")
+    ends = [f"SELECT {k + 1} AS length, array_to_string(nodes, '>') AS path FROM w{k} JOIN calls ON src = last AND dst = first" for k in range(1, most)]
+    return ", ".join(steps) + " " + " UNION ALL ".join(ends)
 
 
 def graph_shape(spark, d):
@@ -201,11 +189,11 @@ SELECT n AS nodes, (SELECT count(*) FROM half) AS links, round(2.0::DOUBLE * (SE
 
 
 def communities(spark, d):
-    return graph.label_propagation(edges(spark, d).filter("frequency > 1 or weight >= 50"), rounds=4)
+    return graph.label_propagation(edges(spark, d), rounds=4)
 
 
 def communities_sql(rounds=4):
-    steps = [f"{WITH}, strong AS (SELECT src, dst FROM edges WHERE frequency > 1 OR weight >= 50), both_ways AS (SELECT src, dst FROM strong UNION SELECT dst, src FROM strong), l0 AS (SELECT DISTINCT src AS id, src AS label FROM both_ways)"]
+    steps = [f"{WITH}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), l0 AS (SELECT DISTINCT src AS id, src AS label FROM both_ways)"]
     for k in range(rounds):
         steps.append(f"c{k} AS (SELECT b.src AS id, l.label, count(*) AS n FROM both_ways b JOIN l{k} l ON l.id = b.dst GROUP BY b.src, l.label), l{k + 1} AS (SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS rn FROM c{k}) WHERE rn = 1)")
     return ", ".join(steps) + f" SELECT id, label FROM l{rounds}"
@@ -222,49 +210,27 @@ SELECT round(sum(inside / m2 - (ends / m2) * (ends / m2)), 6) AS modularity FROM
 
 
 def components(spark, d):
-    e = edges(spark, d).filter("frequency > 1 or weight >= 50")
-    return connected_components(e, "src", "dst")
+    return connected_components(edges(spark, d), "src", "dst")
 
 
-COMPONENTS_SQL = f"""{REC}, strong AS (SELECT src, dst FROM edges WHERE frequency > 1 OR weight >= 50), both_ways AS (SELECT src, dst FROM strong UNION SELECT dst, src FROM strong), walk AS (
-  SELECT src AS node, src AS reached FROM both_ways UNION SELECT w.node, b.dst FROM walk w JOIN both_ways b ON b.src = w.reached
-) SELECT node, min(reached) AS component FROM walk GROUP BY node"""
+WALK = f"""{REC}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk(node, component) USING KEY (node) AS (
+  SELECT src, min(least(src, dst)) FROM both_ways GROUP BY src
+  UNION SELECT b.dst, min(w.component) FROM walk w JOIN both_ways b ON b.src = w.node JOIN recurring.walk r ON r.node = b.dst WHERE w.component < r.component GROUP BY b.dst
+)"""
 
 
 def cycle_rank(spark, d):
-    return _cycle_rank(written(edges(spark, d).filter("frequency > 1 or weight >= 50"), "strong"))
-
-
-def _cycle_rank(e):
     """First Betti number of the undirected graph: links - nodes + components."""
+    e = written(edges(spark, d), "all")
     parts = connected_components(e, "src", "dst").agg(F.count("*").alias("nodes"), F.countDistinct("component").alias("components"))
     links = graph.undirected(e).filter("src < dst").agg(F.count("*").alias("links"))
     return parts.crossJoin(links).select("nodes", "links", "components", (F.col("links") - F.col("nodes") + F.col("components")).alias("cycle_rank"))
 
 
-CYCLE_RANK_SQL = f"""{REC}, strong AS (SELECT src, dst FROM edges WHERE frequency > 1 OR weight >= 50), both_ways AS (SELECT src, dst FROM strong UNION SELECT dst, src FROM strong), walk AS (
-  SELECT src AS node, src AS reached FROM both_ways UNION SELECT w.node, b.dst FROM walk w JOIN both_ways b ON b.src = w.reached
-), parts AS (SELECT node, min(reached) AS component FROM walk GROUP BY node), sizes AS (SELECT count(*) AS nodes, count(DISTINCT component) AS components FROM parts), l AS (SELECT count(*) AS links FROM both_ways WHERE src < dst)
+CYCLE_RANK_SQL = f"""{WALK}, sizes AS (SELECT count(*) AS nodes, count(DISTINCT component) AS components FROM walk), l AS (SELECT count(*) AS links FROM both_ways WHERE src < dst)
 SELECT nodes, links, components, links - nodes + components AS cycle_rank FROM sizes, l"""
 
 
-def communities_whole(spark, d):
-    """communities() over all edges; its SQL is held to the strong ones, and so is that of the three after it."""
-    return graph.label_propagation(edges(spark, d), rounds=4)
-
-
-def components_whole(spark, d):
-    return connected_components(edges(spark, d), "src", "dst")
-
-
-def cycle_rank_whole(spark, d):
-    return _cycle_rank(written(edges(spark, d), "all"))
-
-
-def composition_whole(spark, d):
-    return graph.composed(edges(spark, d), [("CALLS", "IMPORTS", "INFLUENCES")])
-
-
 def coloring(spark, d):
     e = written(edges(spark, d), "all")
     both = graph.undirected(e)
@@ -290,7 +256,7 @@ def projection(spark, d):
 
 
 def composition(spark, d):
-    return graph.composed(edges(spark, d).filter("weight > 40"), [("CALLS", "IMPORTS", "INFLUENCES")])
+    return graph.composed(edges(spark, d), [("CALLS", "IMPORTS", "INFLUENCES")])
 
 
 def structural_entropy(spark, d):
@@ -372,8 +338,7 @@ QUERIES = {
     "graph_degree": (degree, f"{WITH} SELECT p_partkey AS id, (SELECT count(*) FROM edges WHERE src = p_partkey AND rel_type = 'CALLS') AS out_degree, (SELECT count(*) FROM edges WHERE dst = p_partkey AND rel_type = 'CALLS') AS in_degree FROM part"),
     "graph_god_classes": (god_classes, f"{WITH}, ends AS (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) SELECT id, count(*) AS degree FROM ends GROUP BY id HAVING count(*) > 30"),
     "graph_pagerank": (pagerank, pagerank_sql()),
-    "graph_eigenvector": (eigenvector, eigenvector_sql()),
-    "graph_eigenvector_converged": (eigenvector_converged, None),
+    "graph_eigenvector": (eigenvector, None),
     "graph_erdos_numbers": (erdos, ERDOS_SQL),
     "graph_shortest_paths": (shortest, shortest_sql()),
     "graph_context": (context, CONTEXT_SQL),
@@ -381,22 +346,17 @@ QUERIES = {
     "graph_impact_set": (impact, IMPACT_SQL),
     "graph_least_action": (action, ACTION_SQL),
     "graph_variable_paths": (variable_paths, PATHS_SQL),
-    "graph_cycles": (two_cycles, CYCLES_SQL),
-    "graph_cycles_to_five": (cycles_to_five, None),
+    "graph_cycles": (cycles, cycles_sql()),
     "graph_shape": (graph_shape, SHAPE_SQL),
     "graph_communities": (communities, communities_sql()),
     "graph_modularity": (modularity, MODULARITY_SQL),
-    "graph_components": (components, COMPONENTS_SQL),
+    "graph_components": (components, f"{WALK} SELECT node, component FROM walk"),
     "graph_cycle_rank": (cycle_rank, CYCLE_RANK_SQL),
-    "graph_communities_whole": (communities_whole, None),
-    "graph_components_whole": (components_whole, None),
-    "graph_cycle_rank_whole": (cycle_rank_whole, None),
-    "graph_composition_whole": (composition_whole, None),
     "graph_coloring": (coloring, None),
     "graph_exclusions": (exclusions, None),
     "graph_betweenness": (betweenness, None),
     "graph_random_projection": (projection, None),
-    "graph_composition": (composition, f"{WITH}, strong AS (SELECT * FROM edges WHERE weight > 40) SELECT DISTINCT x.src, y.dst, 'INFLUENCES' AS rel_type FROM strong x JOIN strong y ON y.src = x.dst WHERE x.rel_type = 'CALLS' AND y.rel_type = 'IMPORTS'"),
+    "graph_composition": (composition, f"{WITH} SELECT DISTINCT x.src, y.dst, 'INFLUENCES' AS rel_type FROM edges x JOIN edges y ON y.src = x.dst WHERE x.rel_type = 'CALLS' AND y.rel_type = 'IMPORTS'"),
     "graph_structural_entropy": (structural_entropy, f"{WITH}, ends AS (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges), d AS (SELECT count(*)::DOUBLE AS d FROM ends GROUP BY id), t AS (SELECT sum(d) AS t FROM d) SELECT round(-sum(d / t * ln(d / t)), 6) AS entropy FROM d, t"),
     "graph_sheaf_score": (sheaf_score, f"{WITH} SELECT a.p_type AS kind, round((2.0::DOUBLE * sum(CASE WHEN a.p_type = b.p_type THEN 1 ELSE 0 END) - count(*)) / count(*), 6) AS score FROM edges e JOIN part a ON a.p_partkey = e.src JOIN part b ON b.p_partkey = e.dst GROUP BY a.p_type"),
     "graph_sensitive_flow": (sensitive_flow, f"{WITH} SELECT y.dst AS data, count(DISTINCT x.src) AS guards, count(DISTINCT x.dst) AS processes FROM edges x JOIN edges y ON y.src = x.dst JOIN part p ON p.p_partkey = y.dst WHERE x.rel_type = 'DEPENDS_ON' AND y.rel_type = 'IMPORTS' AND p.p_type = 'PROMO' AND p.p_size > 45 GROUP BY y.dst"),

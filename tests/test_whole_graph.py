@@ -42,12 +42,12 @@ def parts(near):
 
 
 def test_components(spark, sf, parts):
-    assert dict(registry.queries()["graph_components_whole"](spark, sf).collect()) == parts
+    assert dict(registry.queries()["graph_components"](spark, sf).collect()) == parts
 
 
 def test_cycle_rank(spark, sf, near, parts):
     nodes, n_links, components = len(near), sum(map(len, near.values())) // 2, len(set(parts.values()))
-    assert tuple(registry.queries()["graph_cycle_rank_whole"](spark, sf).first()) == (nodes, n_links, components, n_links - nodes + components)
+    assert tuple(registry.queries()["graph_cycle_rank"](spark, sf).first()) == (nodes, n_links, components, n_links - nodes + components)
 
 
 def test_communities(spark, sf, near):
@@ -55,7 +55,7 @@ def test_communities(spark, sf, near):
     for _ in range(4):
         votes = {n: collections.Counter(label[m] for m in near[n]) for n in near}
         label = {n: min(v, key=lambda x: (-v[x], x)) for n, v in votes.items()}
-    assert dict(registry.queries()["graph_communities_whole"](spark, sf).collect()) == label
+    assert dict(registry.queries()["graph_communities"](spark, sf).collect()) == label
 
 
 def test_composition(spark, sf, links):
@@ -64,7 +64,7 @@ def test_composition(spark, sf, links):
         if kind == "IMPORTS":
             out[a].add(b)
     want = {(a, c, "INFLUENCES") for a, b, kind, _ in links if kind == "CALLS" for c in out[b]}
-    got = registry.queries()["graph_composition_whole"](spark, sf).collect()
+    got = registry.queries()["graph_composition"](spark, sf).collect()
     assert len(got) == len(want) and set(map(tuple, got)) == want
 
 
@@ -127,7 +127,7 @@ def test_eigenvector_has_converged(spark, sf, links):
             m[at[a], at[b]] += w
             m[at[b], at[a]] += w
     want = np.abs(np.linalg.eigh(m)[1][:, -1])
-    got = dict(registry.queries()["graph_eigenvector_converged"](spark, sf).collect())
+    got = dict(registry.queries()["graph_eigenvector"](spark, sf).collect())
     assert set(got) == set(at) and np.linalg.norm(np.array([got[n] for n in at]) - want) < 1e-3
 
 
@@ -137,11 +137,11 @@ def test_cycles_to_five(spark, sf, links):
     def walk(path):
         for w in out[path[-1]]:
             if w == path[0] and len(path) > 1:
-                want.add((len(path), tuple(path)))
+                want.add((len(path), ">".join(map(str, path))))
             elif w > path[0] and w not in path and len(path) < 5:
                 walk([*path, w])
 
     for s in list(out):
         walk([s])
-    got = registry.queries()["graph_cycles_to_five"](spark, sf).collect()
-    assert len(got) == len(want) and {(r.length, tuple(r.nodes)) for r in got} == want and max(r.length for r in got) == 5
+    got = registry.queries()["graph_cycles"](spark, sf).collect()
+    assert len(got) == len(want) and {(r.length, r.path) for r in got} == want and max(r.length for r in got) == 5
