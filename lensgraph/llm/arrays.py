@@ -94,6 +94,14 @@ class Sharded:
     def column(self, name: str, shard: int) -> np.ndarray:
         return self.folder.get(f"{name}-{shard:05d}")
 
+    def keys_at(self, positions: np.ndarray) -> np.ndarray:
+        """The keys at sorted positions of the whole array."""
+        out = np.zeros(len(positions), np.uint64)
+        cuts = np.searchsorted(positions, self.base)
+        for s in np.flatnonzero(np.diff(cuts)):
+            out[cuts[s] : cuts[s + 1]] = self.column("keys", int(s))[positions[cuts[s] : cuts[s + 1]] - self.base[s]]
+        return out
+
     def find(self, keys: np.ndarray, *columns: str) -> tuple[np.ndarray, ...]:
         """Position of each key in the whole array (-1: absent), then its values (0 where absent)."""
         order = np.argsort(keys)

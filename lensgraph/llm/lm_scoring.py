@@ -1,15 +1,18 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model counted in Spark.
+"""LM scoring: an interpolated modified Kneser-Ney n-gram model of any order from 2 on, counted in Spark.
 
-Counting takes two jobs. The first counts words by their 64-bit hash; shards by leading hash bits are written as sorted
-arrays, whose positions number the words. The second counts pairs of word numbers; a pair's key is a bijection of both
-numbers, so that the stored hashes of pairs never collide. The tasks that write pair shards also sum, per word, what
-the model needs of it as a context and as a continuation. Workers map the arrays and look up whole batches.
+Every level takes one job that counts. The first counts words by their 64-bit hash; shards by leading hash bits are
+written as sorted arrays, whose positions number the words. Level k counts pairs of the number of a (k-1)-gram and of
+the word that follows; a key is a bijection of both numbers, so that the stored hashes never collide, and positions
+number the k-grams. Then, from the top down, the tasks of a level's shards sum per (k-1)-gram what the model needs of
+it as a context and as a continuation. Workers map the arrays and look up whole batches.
 
-    p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v.) + g(v) * p(w)
-    p(w)     = max(k(w) - E(k(w)), 0) / k(.) + g * 1 / (V + 1),   k(w): distinct words before w
+    p(w | u v) = max(a(uvw) - D(a(uvw)), 0) / a(uv.) + g(uv) * p(w | v)
+    p(w)       = max(a(w) - D(a(w)), 0) / a(.) + g * 1 / (V + 1)
 
-D and E have three values each, from the counts of counts (Chen and Goodman 1999). A word that training lacks gets the
-share of one of V + 1 words.
+a is the count at the top level, and below it the number of distinct words before the n-gram; the start of a text is a
+context of its own with nothing before it, so n-grams that begin with it keep their counts. A word whose context was
+never seen, or that has fewer words before it, is scored by the next lower level. D has three values a level, from its
+counts of counts (Chen and Goodman 1999). A word that training lacks gets the share of one of V + 1 words.
 
 Edge cases: a null or empty text is just its end token; a null doc_id is never held out by the query's rule; rows are
 scored one by one, so repeated rows repeat their score; with no training rows every word is unknown and its
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensgraph.llm import arrays, words
@@ -31,26 +34,29 @@ from lensgraph.shared import new_folder, written
 
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0x5BD1E9955BD1E995)
-#: Word numbers whose sums one task gathers into one file of each kind.
-PART_WORDS = 1 << 17
-#: Of a word as context: its occurrences, and how many words follow it once, twice, more often; then the distinct words before it.
+#: Words of an n-gram, the scored one included.
+ORDER = 3
+#: Numbers of n-grams whose sums one task gathers into one file of each kind.
+PART = 1 << 17
+#: Of an n-gram as context: the counts after it, and how many words follow it once, twice, more often; then the distinct words before it.
 KINDS = ("total", "one", "two", "more", "before")
 
 
 @dataclass
 class Model:
-    """Where the arrays lie, and the few numbers that hold for all of the corpus."""
+    """Where the arrays lie, and the few numbers that hold for all of the corpus. Level k is at place k - 1 of a list."""
 
     uri: str
-    words: arrays.Sharded
-    pairs: arrays.Sharded
+    levels: list[arrays.Sharded]
     tokens: int
-    known: int
-    pair_discounts: list[float]
-    word_discounts: list[float]
+    discounts: list[list[float]]
     continuations: int
     word_kinds: list[int]
 
+    @property
+    def known(self) -> int:
+        return self.levels[0].size
+
 
 def discounts(n: list[int]) -> list[float]:
     """D for counts 1, 2 and from 3 on, from the numbers n of keys with count 1 to 4."""
@@ -77,18 +83,59 @@ def _sequences(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield row, end, out, begins
 
 
-def _count_words(df: DataFrame, bits: int) -> DataFrame:
+def _before(numbers: np.ndarray, begins: np.ndarray, first: int) -> np.ndarray:
+    """The number before each token's; `first` where a text begins."""
+    out = np.empty(len(numbers), np.int64)
+    out[1:] = numbers[:-1]
+    out[begins[:-1]] = first
+    return out
+
+
+def _keys(levels: list[arrays.Sharded], context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return words.mix(context.astype(np.uint64) * np.uint64(levels[0].size + 1) + word.astype(np.uint64))
+
+
+def _parts(levels: list[arrays.Sharded], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the context and of the last word."""
+    packed, radix = words.unmix(keys), np.uint64(levels[0].size + 1)
+    return (packed // radix).astype(np.int64), (packed % radix).astype(np.int64)
+
+
+def _find(table: arrays.Sharded, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
+    distinct, where = np.unique(keys, return_inverse=True)
+    return [x[where] for x in table.find(distinct, *columns)]
+
+
+def _numbered(levels: list[arrays.Sharded], seq: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The tokens' word numbers (-1: unknown), and for each level from 2 to one above the last the number of each token's context (-1: none)."""
+    token = _find(levels[0], seq)[0]
+    contexts = [_before(token, begins, levels[0].size)]
+    for table in levels[1:]:
+        grams = np.full(len(seq), -1, np.int64)
+        both = np.flatnonzero((contexts[-1] >= 0) & (token >= 0))
+        grams[both] = _find(table, _keys(levels, contexts[-1][both], token[both]))[0]
+        contexts.append(_before(grams, begins, -1))
+    return token, contexts
+
+
+def _count(df: DataFrame, levels: list[arrays.Sharded], bits: int) -> DataFrame:
+    """Keys of the level above `levels`, by shard."""
+
     def run(batches):
         held = arrays.Held(bits)
         for batch in batches:
-            for _, _, seq, _ in _sequences(batch.column(0)):
+            for _, _, seq, begins in _sequences(batch.column(0)):
+                if levels:
+                    token, contexts = _numbered(levels, seq, begins)
+                    at = contexts[-1] >= 0
+                    seq = _keys(levels, contexts[-1][at], token[at])
                 yield from held.add(seq)
         yield from held.flush()
 
     return df.select("text").mapInArrow(run, "shard int, blob binary")
 
 
-def _write_words(df: DataFrame, uri: str, bits: int) -> DataFrame:
+def _write(df: DataFrame, uri: str) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         keys, counts = arrays.joined(table)
@@ -99,57 +146,88 @@ def _write_words(df: DataFrame, uri: str, bits: int) -> DataFrame:
     return df.groupBy("shard").applyInArrow(run, "shard int, n long, total long")
 
 
-def _count_pairs(df: DataFrame, table: arrays.Sharded, bits: int) -> DataFrame:
-    def run(batches):
-        held, size = arrays.Held(bits), table.size
-        for batch in batches:
-            for _, _, seq, begins in _sequences(batch.column(0)):
-                distinct, where = np.unique(seq, return_inverse=True)
-                ids = table.find(distinct)[0][where]
-                before = np.empty(len(ids), np.int64)
-                before[1:] = ids[:-1]
-                before[begins[:-1]] = size  # the start of a text is a context of its own
-                yield from held.add(words.mix(before.astype(np.uint64) * np.uint64(size + 1) + ids.astype(np.uint64)))
-        yield from held.flush()
+def _last(levels: list[arrays.Sharded], level: int, numbers: np.ndarray) -> np.ndarray:
+    """Numbers of the n-grams of `level`, which must be sorted, without their first word (or start)."""
+    context, word = _parts(levels, levels[level - 1].keys_at(numbers))
+    return word if level == 2 else _shorter(levels, level, context, word)
 
-    return df.select("text").mapInArrow(run, "shard int, blob binary")
 
+def _shorter(levels: list[arrays.Sharded], level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Numbers, a level lower, of n-grams given by context and last word, without the first word."""
+    if level == 2:
+        return word
+    distinct, where = np.unique(context, return_inverse=True)
+    return _find(levels[level - 2], _keys(levels, _last(levels, level - 1, distinct)[where], word))[0]
 
-def _write_pairs(df: DataFrame, uri: str, bits: int, size: int) -> DataFrame:
-    """Writes each pair shard; returns the sums of its words as blobs for the shards of word numbers."""
 
-    def run(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        keys, counts = arrays.joined(table)
-        arrays.save(f"{uri}/keys-{shard:05d}.npy", keys)
-        arrays.save(f"{uri}/counts-{shard:05d}.npy", arrays.least(counts))
-        packed = words.unmix(keys)
-        before, after = (packed // np.uint64(size + 1)).astype(np.int64), (packed % np.uint64(size + 1)).astype(np.int64)
+def _from_start(levels: list[arrays.Sharded], level: int, context: np.ndarray) -> np.ndarray:
+    """Whether n-grams with these contexts begin with the start of a text."""
+    if level == 2:
+        return context == levels[0].size
+    distinct, where = np.unique(context, return_inverse=True)
+    return _from_start(levels, level - 1, _parts(levels, levels[level - 2].keys_at(distinct))[0])[where]
+
+
+class Sums:
+    """The sums of a level's n-grams, in files by ranges of numbers."""
+
+    def __init__(self, uri: str, level: int):
+        self.folder = arrays.Folder(f"{uri}/sums-{level}")
+
+    def get(self, ids: np.ndarray, *kinds: str) -> list[np.ndarray]:
+        """Values of sorted numbers."""
+        out = [np.zeros(len(ids), np.int64) for _ in kinds]
+        part = ids // PART
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            for value, kind in zip(out, kinds, strict=True):
+                value[a:b] = self.folder.get(f"{kind}-{int(part[a]):05d}")[ids[a:b] - part[a] * PART]
+        return out
+
+
+def _shard_sums(spark: SparkSession, levels: list[arrays.Sharded], level: int, top: bool, uri: str) -> DataFrame:
+    """Of each shard of a level, the counts of its counts, and sums for the n-grams a level lower by ranges of their numbers."""
+    table, below = levels[level - 1], levels[level - 2].size
+    n_shards, n_parts = len(table.base) - 1, below // PART + 1
+
+    def run(batches):
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                yield from one(shard)
+
+    def one(shard: int):
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if table.shards.get(shard):
+            keys, counts = table.column("keys", shard)[:], table.column("counts", shard).astype(np.int64)
+        context, word = _parts(levels, keys)
+        if not top and len(keys):
+            kept = _from_start(levels, level, context)
+            counts = np.where(kept, counts, Sums(uri, level).get(table.base[shard] + np.arange(len(keys)), "before")[0])
         kinds = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        rows = {"part": [-1], "kind": ["shard"], "shard": [shard], "n": [len(keys)], "kinds": [kinds], "blob": [None]}
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([kinds], pa.list_(pa.int64())), pa.array([None], pa.binary())], names=["part", "kinds", "blob"])
         ones = np.ones(len(keys), np.int64)
-        held: dict[int, list[bytes]] = {}
-        for ids, value in ((before, counts), (before[counts == 1], ones[counts == 1]), (before[counts == 2], ones[counts == 2]), (before[counts > 2], ones[counts > 2]), (after, ones)):
-            ids, value = arrays.merged(ids.astype(np.uint64), value)
-            part = (ids // np.uint64(PART_WORDS)).astype(np.int64)
-            cuts = np.searchsorted(part, np.arange(size // PART_WORDS + 2))
-            for p in range(size // PART_WORDS + 1):
-                held.setdefault(p, []).append(arrays.pack(ids[cuts[p] : cuts[p + 1]], value[cuts[p] : cuts[p + 1]]))
-        for p, blobs in held.items():
-            for name, x in (("part", p), ("kind", "sums"), ("shard", shard), ("n", 0), ("kinds", None), ("blob", b"".join(len(x).to_bytes(4, "little") + x for x in blobs))):
-                rows[name].append(x)
-        return pa.table([pa.array(rows["part"], pa.int32()), pa.array(rows["kind"]), pa.array(rows["shard"], pa.int32()), pa.array(rows["n"], pa.int64()), pa.array(rows["kinds"], pa.list_(pa.int64())), pa.array(rows["blob"], pa.binary())], names=list(rows))
+        sums, cuts = [], []
+        for ids, value in ((context, counts), (context[counts == 1], ones[counts == 1]), (context[counts == 2], ones[counts == 2]), (context[counts > 2], ones[counts > 2]), (_shorter(levels, level, context, word), ones)):
+            sums.append(arrays.merged(ids.astype(np.uint64), value))
+            cuts.append(np.searchsorted(sums[-1][0], np.arange(n_parts + 1, dtype=np.uint64) * np.uint64(PART)))
+        for p in range(n_parts):
+            # every part has a row of the first shard, so that its files are there whatever it holds
+            if shard and all(c[p] == c[p + 1] for c in cuts):
+                continue
+            packed = [arrays.pack(ids[c[p] : c[p + 1]], value[c[p] : c[p + 1]]) for (ids, value), c in zip(sums, cuts, strict=True)]
+            blob = b"".join(len(x).to_bytes(4, "little") + x for x in packed)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["part", "kinds", "blob"])
 
-    return df.groupBy("shard").applyInArrow(run, "part int, kind string, shard int, n long, kinds array<long>, blob binary")
+    return spark.range(0, n_shards, 1, n_shards).mapInArrow(run, "part int, kinds array<long>, blob binary")
 
 
-def _write_sums(df: DataFrame, uri: str, size: int) -> DataFrame:
-    """Per range of word numbers, dense arrays of the sums; returns counts of continuation counts."""
+def _write_sums(df: DataFrame, uri: str, level: int, size: int) -> DataFrame:
+    """Per range of numbers, dense arrays of the sums; returns counts of continuation counts."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        first = part * PART_WORDS
-        n = min(PART_WORDS, size + 1 - first)
+        first = part * PART
+        n = min(PART, size + 1 - first)
         sums = {kind: np.zeros(n, np.int64) for kind in KINDS}
         for blob in table["blob"]:
             blob, at = blob.as_py(), 0
@@ -159,80 +237,85 @@ def _write_sums(df: DataFrame, uri: str, size: int) -> DataFrame:
                 sums[kind][ids.astype(np.int64) - first] += value
                 at += 4 + n_bytes
         for kind, value in sums.items():
-            arrays.save(f"{uri}/{kind}-{part:05d}.npy", arrays.least(value))
+            arrays.save(f"{uri}/sums-{level}/{kind}-{part:05d}.npy", arrays.least(value))
         kinds = [int((sums["before"] == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table({"part": pa.array([part], pa.int32()), "continuations": [int(sums["before"].sum())], "more": [int((sums["before"] > 2).sum())], "kinds": pa.array([kinds], pa.list_(pa.int64()))})
+        return pa.table({"continuations": [int(sums["before"].sum())], "more": [int((sums["before"] > 2).sum())], "kinds": pa.array([kinds], pa.list_(pa.int64()))})
+
+    return df.groupBy("part").applyInArrow(run, "continuations long, more long, kinds array<long>")
+
 
-    return df.groupBy("part").applyInArrow(run, "part int, continuations long, more long, kinds array<long>")
+def _added(rows: list) -> list[int]:
+    return [sum(r.kinds[k] for r in rows) for k in range(4)]
 
 
-def train(corpus: DataFrame) -> Model:
+def train(corpus: DataFrame, order: int = ORDER) -> Model:
     """Counts all texts of `corpus` (column text); the model's arrays are in the shared folder."""
+    if order < 2:
+        raise ValueError("the order is at least 2")
     spark, corpus = corpus.sparkSession, corpus.select("text")
     bits, uri = arrays.shard_bits(corpus), new_folder(spark, "lm")
-    rows = _write_words(_count_words(corpus, bits), f"{uri}/words", bits).collect()  # one small row a shard
-    table = arrays.Sharded(f"{uri}/words", bits, {r.shard: r.n for r in rows})
-    tokens, size = sum(r.total for r in rows), table.size
-    sums = written(_write_pairs(_count_pairs(corpus, table, bits), f"{uri}/pairs", bits, size), "lm-sums")
-    rows = sums.filter("kind = 'shard'").collect()
-    pairs = arrays.Sharded(f"{uri}/pairs", bits, {r.shard: r.n for r in rows})
-    kinds = [sum(r.kinds[k] for r in rows) for k in range(4)]
-    ends = _write_sums(sums.filter("kind = 'sums'").select("part", "blob"), f"{uri}/sums", size).collect()
-    low = [sum(r.kinds[k] for r in ends) for k in range(4)]
-    return Model(uri, table, pairs, tokens, size, discounts(kinds), discounts(low), sum(r.continuations for r in ends), [low[0], low[1], sum(r.more for r in ends)])
+    levels, tokens = [], 0
+    for level in range(1, order + 1):
+        rows = _write(_count(corpus, levels, bits), f"{uri}/grams-{level}").collect()  # one small row a shard
+        levels.append(arrays.Sharded(f"{uri}/grams-{level}", bits, {r.shard: r.n for r in rows}))
+        tokens = tokens or sum(r.total for r in rows)
+    by = []
+    for level in range(order, 1, -1):
+        sums = written(_shard_sums(spark, levels, level, level == order, uri), "lm-sums")
+        by.insert(0, discounts(_added(sums.filter("part = -1").select("kinds").collect())))
+        ends = _write_sums(sums.filter("part >= 0").select("part", "blob"), uri, level - 1, levels[level - 2].size).collect()
+    low = _added(ends)
+    return Model(uri, levels, tokens, [discounts(low), *by], sum(r.continuations for r in ends), [low[0], low[1], sum(r.more for r in ends)])
 
 
 class Scorer:
     """Scores batches of texts against a model's mapped arrays."""
 
     def __init__(self, model: Model):
-        self.m, self.folder = model, arrays.Folder(f"{model.uri}/sums")
-        m = model
-        self.rest = sum(d * k for d, k in zip(m.word_discounts, m.word_kinds, strict=True)) / m.continuations if m.continuations else 1.0
-
-    def sums(self, ids: np.ndarray, *kinds: str) -> list[np.ndarray]:
-        """Values of sorted word numbers."""
-        out = [np.zeros(len(ids), np.int64) for _ in kinds]
-        part = ids // PART_WORDS
-        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            for value, kind in zip(out, kinds, strict=True):
-                value[a:b] = self.folder.get(f"{kind}-{int(part[a]):05d}")[ids[a:b] - part[a] * PART_WORDS]
-        return out
+        self.m = m = model
+        self.sums = [Sums(m.uri, level) for level in range(1, len(m.levels))]
+        self.rest = sum(d * k for d, k in zip(m.discounts[0], m.word_kinds, strict=True)) / m.continuations if m.continuations else 1.0
 
     def texts(self, seq: np.ndarray, begins: np.ndarray) -> dict[str, np.ndarray]:
         m = self.m
-        distinct, where = np.unique(seq, return_inverse=True)
-        ids, count = m.words.find(distinct, "counts")
-        known = ids >= 0
+        token, count = _find(m.levels[0], seq, "counts")
+        known = token >= 0
         base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.known + 1)))
-        # what is asked of each distinct word, in the order of the word numbers; at the end the start of a text
-        order = np.argsort(ids[known])
-        asked = np.append(ids[known][order], m.known) if m.tokens else np.zeros(0, np.int64)
-        total, one, two, more, before = self.sums(asked, *KINDS)
-        slot = np.full(len(distinct), -1, np.int64)
-        slot[np.flatnonzero(known)[order]] = np.arange(int(known.sum()))
-        low = np.full(len(distinct), self.rest / (m.known + 1))
-        got = slot >= 0
+        p = np.full(len(seq), self.rest / (m.known + 1))
         if m.continuations:
-            low[got] += _discounted(before[slot[got]], m.word_discounts) / m.continuations
-        d = m.pair_discounts
-        share = np.ones(len(asked))
+            distinct, where = np.unique(token[known], return_inverse=True)
+            p[known] += _discounted(self.sums[0].get(distinct, "before")[0][where], m.discounts[0]) / m.continuations
+        context = _before(token, begins, m.known if m.tokens else -1)
+        for level, table in enumerate(m.levels[1:], 2):
+            p, context = self.raised(level, table, token, context, p, begins)
+        add = lambda x: np.add.reduceat(x, begins[:-1]) if len(begins) > 1 else x[:0]  # noqa: E731  no text is without its end
+        return {"n_tokens": np.diff(begins), "n_known": add(known.astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
+
+    def raised(self, level: int, table: arrays.Sharded, token: np.ndarray, context: np.ndarray, p: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of this level from those a level lower, and the contexts of the next level."""
+        d = self.m.discounts[level - 1]
+        follows = np.flatnonzero(context >= 0)
+        distinct, where = np.unique(context[follows], return_inverse=True)
+        total, one, two, more = self.sums[level - 2].get(distinct, *KINDS[:4])
         seen = total > 0
+        share = np.ones(len(distinct))
         share[seen] = (d[0] * one[seen] + d[1] * two[seen] + d[2] * more[seen]) / total[seen]
-        token, slots = ids[where], slot[where]
-        prior, prior_slot = np.empty(len(token), np.int64), np.empty(len(token), np.int64)
-        prior[1:], prior_slot[1:] = token[:-1], slots[:-1]
-        prior[begins[:-1]], prior_slot[begins[:-1]] = (m.known, len(asked) - 1) if m.tokens else (-1, -1)
-        p = low[where]
-        follows = prior_slot >= 0
-        p[follows] *= share[prior_slot[follows]]
-        both = np.flatnonzero(follows & (token >= 0))
-        keys = words.mix(prior[both].astype(np.uint64) * np.uint64(m.known + 1) + token[both].astype(np.uint64))
-        c = m.pairs.find(keys, "counts")[1]
-        p[both] += _discounted(c, d) / np.maximum(total[prior_slot[both]], 1)
-        add = lambda x: np.add.reduceat(x, begins[:-1]) if len(begins) > 1 else x[:0]  # noqa: E731  no text is without its end
-        return {"n_tokens": np.diff(begins), "n_known": add(known[where].astype(np.int64)), "base_score": add(base[where]), "score": add(np.log10(p))}
+        p = p.copy()
+        p[follows] *= share[where]
+        all_of = np.ones(len(token), np.int64)
+        all_of[follows] = np.maximum(total, 1)[where]
+        both = np.flatnonzero((context >= 0) & (token >= 0))
+        at, count = _find(table, _keys(self.m.levels, context[both], token[both]), "counts")
+        grams = np.full(len(token), -1, np.int64)
+        grams[both] = at
+        if level < len(self.m.levels):
+            first = np.zeros(len(token), bool)
+            first[(begins[:-1] + level - 2)[level - 2 < np.diff(begins)]] = True
+            held = np.flatnonzero((at >= 0) & ~first[both])
+            distinct, where = np.unique(at[held], return_inverse=True)
+            count[held] = self.sums[level - 1].get(distinct, "before")[0][where]
+        p[both] += _discounted(count, d) / all_of[both]
+        return p, _before(grams, begins, -1)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -259,9 +342,9 @@ def held_out(column: str, fold: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == fold, F.lit(False))
 
 
-def op1(docs: DataFrame) -> DataFrame:
+def op1(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Held-out scores of all documents under a model of the others."""
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out("doc_id", 1))
-    model = train(docs.filter(~F.col("held_out")))
+    model = train(docs.filter(~F.col("held_out")), order)
     out = score(docs, model, ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

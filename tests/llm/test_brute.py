@@ -37,35 +37,48 @@ def split(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def test_kneser_ney(docs, rows):
-    got = {r.doc_id: r for r in lm_scoring.op1(docs).collect()}
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney(docs, rows, order):
+    got = {r.doc_id: r for r in lm_scoring.op1(docs, order).collect()}
     seqs = {i: [*split(r.text), "\0end"] for i, r in rows.items()}
     train = [s for i, s in seqs.items() if zlib.crc32(str(i).encode()) % 5 != 1]
     c = collections.Counter(itertools.chain(*train))
     n, v = sum(c.values()), len(c)
-    pairs = collections.Counter(p for s in train for p in zip(["\0start", *s], s))
-    total, before, kinds = collections.Counter(), collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
-    for (a, b), k in pairs.items():
-        total[a] += k
-        before[b] += 1
-        kinds[a][min(k, 3) - 1] += 1
-    counts, low = collections.Counter(pairs.values()), collections.Counter(before.values())
-    d, e = lm_scoring.discounts([counts[k] for k in (1, 2, 3, 4)]), lm_scoring.discounts([low[k] for k in (1, 2, 3, 4)])
-    all_before = sum(before.values())
-    rest = sum(x * y for x, y in zip(e, [low[1], low[2], sum(k for c, k in low.items() if c > 2)])) / all_before
+
+    def grams(s, k):
+        s = s if k == 1 else ["\0start", *s]
+        return zip(*(s[i:] for i in range(k)))
+
+    # a[k]: counts at the top; below, distinct words before, but the counts of what begins with a start
+    raw = {k: collections.Counter(g for s in train for g in grams(s, k)) for k in range(1, order + 1)}
+    a = {order: raw[order]}
+    for k in range(order - 1, 0, -1):
+        a[k] = collections.Counter(g[1:] for g in raw[k + 1])
+        a[k].update({g: x for g, x in raw[k].items() if g[0] == "\0start"})
+    total, kinds, d = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), {}
+    for k in a:
+        counts = collections.Counter(a[k].values())
+        d[k] = lm_scoring.discounts([counts[x] for x in (1, 2, 3, 4)])
+        for g, x in a[k].items():
+            total[g[:-1]] += x
+            kinds[g[:-1]][min(x, 3) - 1] += 1
     cut = lambda k, by: max(k - [0, *by][min(k, 3)], 0)
 
-    def p(a, b):
-        q = cut(before[b], e) / all_before + rest / (v + 1)
-        return q if not total[a] else cut(pairs[a, b], d) / total[a] + sum(x * y for x, y in zip(d, kinds[a])) / total[a] * q
+    def p(g):
+        q = p(g[1:]) if len(g) > 1 else 1 / (v + 1)
+        if not total[g[:-1]]:
+            return q
+        by = d[len(g)]
+        return cut(a[len(g)][g], by) / total[g[:-1]] + sum(x * y for x, y in zip(by, kinds[g[:-1]])) / total[g[:-1]] * q
 
     for i, s in seqs.items():
-        r = got[i]
+        r, padded = got[i], ["\0start", *s]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(s), sum(w in c for w in s), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in s), rel=1e-9)
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["\0start", *s], s)), rel=1e-9)
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(padded[max(0, j + 1 - order) : j + 1]))) for j in range(1, len(padded))), rel=1e-9)
     # with some context, all words have a probability of one together
-    assert sum(p("the", w) for w in c) + p("the", "\0unknown") == pytest.approx(1.0)
+    for context in (max(total, key=lambda g: (len(g), total[g])), ("the",)):
+        assert sum(p((*context, w)) for w in c) + p((*context, "\0unknown")) == pytest.approx(1.0)
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
