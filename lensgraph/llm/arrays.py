@@ -80,10 +80,13 @@ class Folder:
 
 
 class Sharded:
-    """Shards of sorted keys with value columns; shards: shard -> number of keys. Pickles as a few numbers."""
+    """Shards of sorted keys with value columns; shards: shard -> number of keys. Pickles as a few numbers.
 
-    def __init__(self, uri: str, bits: int, shards: dict[int, int]):
-        self.folder, self.bits, self.shards = Folder(uri), bits, shards
+    Keys that use only their leading `width` bits are stored without the bits that the shard gives and without the unused.
+    """
+
+    def __init__(self, uri: str, bits: int, shards: dict[int, int], width: int = 64):
+        self.folder, self.bits, self.shards, self.width = Folder(uri), bits, shards, width
         counts = np.array([shards.get(s, 0) for s in range(1 << bits)], np.int64)
         self.base = np.concatenate([[0], np.cumsum(counts)])
 
@@ -99,7 +102,10 @@ class Sharded:
         out = np.zeros(len(positions), np.uint64)
         cuts = np.searchsorted(positions, self.base)
         for s in np.flatnonzero(np.diff(cuts)):
-            out[cuts[s] : cuts[s + 1]] = self.column("keys", int(s))[positions[cuts[s] : cuts[s + 1]] - self.base[s]]
+            stored = self.column("keys", int(s))[positions[cuts[s] : cuts[s + 1]] - self.base[s]]
+            if self.width < 64:
+                stored = (stored.astype(np.uint64) << np.uint64(64 - self.width)) | np.uint64(int(s) << (64 - self.bits))
+            out[cuts[s] : cuts[s + 1]] = stored
         return out
 
     def find(self, keys: np.ndarray, *columns: str) -> tuple[np.ndarray, ...]:
@@ -113,7 +119,7 @@ class Sharded:
             a, b = cuts[s], cuts[s + 1]
             if a == b or not n:
                 continue
-            mine, stored = ordered[a:b], self.column("keys", s)
+            mine, stored = narrowed(ordered[a:b], self.bits, self.width), self.column("keys", s)
             pos = np.minimum(np.searchsorted(stored, mine), n - 1)
             hit = stored[pos] == mine
             where = order[a:b][hit]
@@ -134,6 +140,14 @@ def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def narrowed(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """Keys as a shard stores them."""
+    if width == 64:
+        return keys
+    rest = (keys << np.uint64(bits)) >> np.uint64(bits + 64 - width)
+    return rest.astype(np.uint32 if width - bits <= 32 else np.uint64)
+
+
 def least(values: np.ndarray) -> np.ndarray:
     """The same unsigned values in the narrowest type."""
     return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
@@ -150,19 +164,25 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences in byte planes, then counts in byte planes: small once the shuffle compresses it."""
+    """Sorted keys as differences in byte planes, then counts in byte planes: small once the shuffle compresses it.
+
+    Low bits that no key uses are left out.
+    """
     step = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    used = int(np.bitwise_or.reduce(step))
+    unused = (used & -used).bit_length() - 1 if used else 0
+    step >>= np.uint64(unused)
     planes = np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T)
     narrow = least(counts)
     tail = np.ascontiguousarray(narrow.view(np.uint8).reshape(-1, narrow.itemsize).T)
-    return bytes([narrow.itemsize]) + planes.tobytes() + tail.tobytes()
+    return bytes([narrow.itemsize, unused]) + planes.tobytes() + tail.tobytes()
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    width = blob[0]
-    raw = np.frombuffer(blob, np.uint8, offset=1)
+    width, unused = blob[0], blob[1]
+    raw = np.frombuffer(blob, np.uint8, offset=2)
     n = len(raw) // (8 + width)
-    keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
+    keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64) << np.uint64(unused)
     return keys, np.ascontiguousarray(raw[8 * n :].reshape(width, n).T).view(f"<u{width}").ravel().astype(np.int64)
 
 

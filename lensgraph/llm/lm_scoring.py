@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lensgraph.llm import arrays, words
-from lensgraph.shared import new_folder, written
+from lensgraph.shared import new_folder
 
 #: Stands for the end of a text among the word hashes.
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -38,6 +38,8 @@ END = np.uint64(0x5BD1E9955BD1E995)
 ORDER = 3
 #: Numbers of n-grams whose sums one task gathers into one file of each kind.
 PART = 1 << 17
+#: Odd factors that spread keys.
+SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Of an n-gram as context: the counts after it, and how many words follow it once, twice, more often; then the distinct words before it.
 KINDS = ("total", "one", "two", "more", "before")
 
@@ -91,14 +93,33 @@ def _before(numbers: np.ndarray, begins: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
-def _keys(levels: list[arrays.Sharded], context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return words.mix(context.astype(np.uint64) * np.uint64(levels[0].size + 1) + word.astype(np.uint64))
+def _width(levels: list[arrays.Sharded], level: int) -> int:
+    """Bits that name any pair of a context of this level (or the start) and a word."""
+    width = ((levels[level - 2].size + 1) * (levels[0].size + 1)).bit_length()
+    if width > 64:
+        raise ValueError(f"n-grams of {level} words need keys of {width} bits, more than 64")
+    return max(width, levels[0].bits + 8)
 
 
-def _parts(levels: list[arrays.Sharded], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _keys(levels: list[arrays.Sharded], level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Leading bits of 64 that name each pair, spread evenly."""
+    width = _width(levels, level)
+    half, mask = np.uint64((width + 1) // 2), np.uint64((1 << width) - 1)
+    x = context.astype(np.uint64) * np.uint64(levels[0].size + 1) + word.astype(np.uint64)
+    for by in SPREAD:
+        x = ((x ^ (x >> half)) * np.uint64(by)) & mask
+    return (x ^ (x >> half)) << np.uint64(64 - width)
+
+
+def _parts(levels: list[arrays.Sharded], level: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the context and of the last word."""
-    packed, radix = words.unmix(keys), np.uint64(levels[0].size + 1)
-    return (packed // radix).astype(np.int64), (packed % radix).astype(np.int64)
+    width = _width(levels, level)
+    half, mask = np.uint64((width + 1) // 2), np.uint64((1 << width) - 1)
+    x = keys >> np.uint64(64 - width)
+    for by in SPREAD[::-1]:
+        x = ((x ^ (x >> half)) * np.uint64(pow(by, -1, 1 << 64))) & mask
+    x, radix = x ^ (x >> half), np.uint64(levels[0].size + 1)
+    return (x // radix).astype(np.int64), (x % radix).astype(np.int64)
 
 
 def _find(table: arrays.Sharded, keys: np.ndarray, *columns: str) -> list[np.ndarray]:
@@ -110,10 +131,10 @@ def _numbered(levels: list[arrays.Sharded], seq: np.ndarray, begins: np.ndarray)
     """The tokens' word numbers (-1: unknown), and for each level from 2 to one above the last the number of each token's context (-1: none)."""
     token = _find(levels[0], seq)[0]
     contexts = [_before(token, begins, levels[0].size)]
-    for table in levels[1:]:
+    for level, table in enumerate(levels[1:], 2):
         grams = np.full(len(seq), -1, np.int64)
         both = np.flatnonzero((contexts[-1] >= 0) & (token >= 0))
-        grams[both] = _find(table, _keys(levels, contexts[-1][both], token[both]))[0]
+        grams[both] = _find(table, _keys(levels, level, contexts[-1][both], token[both]))[0]
         contexts.append(_before(grams, begins, -1))
     return token, contexts
 
@@ -128,18 +149,18 @@ def _count(df: DataFrame, levels: list[arrays.Sharded], bits: int) -> DataFrame:
                 if levels:
                     token, contexts = _numbered(levels, seq, begins)
                     at = contexts[-1] >= 0
-                    seq = _keys(levels, contexts[-1][at], token[at])
+                    seq = _keys(levels, len(levels) + 1, contexts[-1][at], token[at])
                 yield from held.add(seq)
         yield from held.flush()
 
     return df.select("text").mapInArrow(run, "shard int, blob binary")
 
 
-def _write(df: DataFrame, uri: str) -> DataFrame:
+def _write(df: DataFrame, uri: str, bits: int, width: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
         keys, counts = arrays.joined(table)
-        arrays.save(f"{uri}/keys-{shard:05d}.npy", keys)
+        arrays.save(f"{uri}/keys-{shard:05d}.npy", arrays.narrowed(keys, bits, width))
         arrays.save(f"{uri}/counts-{shard:05d}.npy", arrays.least(counts))
         return pa.table({"shard": pa.array([shard], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())]})
 
@@ -148,7 +169,7 @@ def _write(df: DataFrame, uri: str) -> DataFrame:
 
 def _last(levels: list[arrays.Sharded], level: int, numbers: np.ndarray) -> np.ndarray:
     """Numbers of the n-grams of `level`, which must be sorted, without their first word (or start)."""
-    context, word = _parts(levels, levels[level - 1].keys_at(numbers))
+    context, word = _parts(levels, level, levels[level - 1].keys_at(numbers))
     return word if level == 2 else _shorter(levels, level, context, word)
 
 
@@ -157,7 +178,7 @@ def _shorter(levels: list[arrays.Sharded], level: int, context: np.ndarray, word
     if level == 2:
         return word
     distinct, where = np.unique(context, return_inverse=True)
-    return _find(levels[level - 2], _keys(levels, _last(levels, level - 1, distinct)[where], word))[0]
+    return _find(levels[level - 2], _keys(levels, level - 1, _last(levels, level - 1, distinct)[where], word))[0]
 
 
 def _from_start(levels: list[arrays.Sharded], level: int, context: np.ndarray) -> np.ndarray:
@@ -165,7 +186,7 @@ def _from_start(levels: list[arrays.Sharded], level: int, context: np.ndarray) -
     if level == 2:
         return context == levels[0].size
     distinct, where = np.unique(context, return_inverse=True)
-    return _from_start(levels, level - 1, _parts(levels, levels[level - 2].keys_at(distinct))[0])[where]
+    return _from_start(levels, level - 1, _parts(levels, level - 1, levels[level - 2].keys_at(distinct))[0])[where]
 
 
 class Sums:
@@ -196,52 +217,68 @@ def _shard_sums(spark: SparkSession, levels: list[arrays.Sharded], level: int, t
                 yield from one(shard)
 
     def one(shard: int):
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if table.shards.get(shard):
-            keys, counts = table.column("keys", shard)[:], table.column("counts", shard).astype(np.int64)
-        context, word = _parts(levels, keys)
-        if not top and len(keys):
+        counts = np.zeros(0, np.int64)
+        if n := table.shards.get(shard, 0):
+            counts = table.column("counts", shard).astype(np.int64)
+        numbers = table.base[shard] + np.arange(n)
+        context, word = _parts(levels, level, table.keys_at(numbers))
+        if not top and n:
             kept = _from_start(levels, level, context)
-            counts = np.where(kept, counts, Sums(uri, level).get(table.base[shard] + np.arange(len(keys)), "before")[0])
+            counts = np.where(kept, counts, Sums(uri, level).get(numbers, "before")[0])
         kinds = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([kinds], pa.list_(pa.int64())), pa.array([None], pa.binary())], names=["part", "kinds", "blob"])
-        ones = np.ones(len(keys), np.int64)
-        sums, cuts = [], []
-        for ids, value in ((context, counts), (context[counts == 1], ones[counts == 1]), (context[counts == 2], ones[counts == 2]), (context[counts > 2], ones[counts > 2]), (_shorter(levels, level, context, word), ones)):
-            sums.append(arrays.merged(ids.astype(np.uint64), value))
-            cuts.append(np.searchsorted(sums[-1][0], np.arange(n_parts + 1, dtype=np.uint64) * np.uint64(PART)))
+        order = np.argsort(context)
+        context, counts = context[order], counts[order]
+        first = np.flatnonzero(np.diff(context, prepend=-1))
+        after = [np.add.reduceat(x.astype(np.int64), first) if n else counts for x in (counts, counts == 1, counts == 2, counts > 2)]
+        context = context[first].astype(np.uint64)
+        ends, before = arrays.merged(_shorter(levels, level, *_parts(levels, level, table.keys_at(numbers))).astype(np.uint64), np.ones(n, np.int64))
+        limits = np.arange(n_parts + 1, dtype=np.uint64) * np.uint64(PART)
+        a, b = np.searchsorted(context, limits), np.searchsorted(ends, limits)
         for p in range(n_parts):
             # every part has a row of the first shard, so that its files are there whatever it holds
-            if shard and all(c[p] == c[p + 1] for c in cuts):
+            if shard and a[p] == a[p + 1] and b[p] == b[p + 1]:
                 continue
-            packed = [arrays.pack(ids[c[p] : c[p + 1]], value[c[p] : c[p + 1]]) for (ids, value), c in zip(sums, cuts, strict=True)]
-            blob = b"".join(len(x).to_bytes(4, "little") + x for x in packed)
+            x, y = slice(a[p], a[p + 1]), slice(b[p], b[p + 1])
+            pieces = [arrays.pack(context[x] - limits[p], after[0][x]), arrays.pack(ends[y] - limits[p], before[y])]
+            for values in after[1:]:
+                narrow = arrays.least(values[x])
+                pieces.append(bytes([narrow.itemsize]) + narrow.tobytes())
+            blob = b"".join(len(piece).to_bytes(4, "little") + piece for piece in pieces)
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["part", "kinds", "blob"])
 
     return spark.range(0, n_shards, 1, n_shards).mapInArrow(run, "part int, kinds array<long>, blob binary")
 
 
 def _write_sums(df: DataFrame, uri: str, level: int, size: int) -> DataFrame:
-    """Per range of numbers, dense arrays of the sums; returns counts of continuation counts."""
+    """Per range of numbers, dense arrays of the sums; counts of continuation counts, and at part -1 the counts of counts of the level above."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
+        if part < 0:
+            return out(part, 0, 0, np.array(table["kinds"].to_pylist()).sum(0).tolist())
         first = part * PART
         n = min(PART, size + 1 - first)
         sums = {kind: np.zeros(n, np.int64) for kind in KINDS}
         for blob in table["blob"]:
-            blob, at = blob.as_py(), 0
-            for kind in KINDS:
+            blob, at, pieces = blob.as_py(), 0, []
+            while at < len(blob):
                 n_bytes = int.from_bytes(blob[at : at + 4], "little")
-                ids, value = arrays.unpack(blob[at + 4 : at + 4 + n_bytes])
-                sums[kind][ids.astype(np.int64) - first] += value
+                pieces.append(blob[at + 4 : at + 4 + n_bytes])
                 at += 4 + n_bytes
+            (context, total), (ends, before) = arrays.unpack(pieces[0]), arrays.unpack(pieces[1])
+            sums["total"][context.astype(np.int64)] += total
+            sums["before"][ends.astype(np.int64)] += before
+            for kind, piece in zip(KINDS[1:4], pieces[2:], strict=True):
+                sums[kind][context.astype(np.int64)] += np.frombuffer(piece, f"<u{piece[0]}", offset=1).astype(np.int64)
         for kind, value in sums.items():
             arrays.save(f"{uri}/sums-{level}/{kind}-{part:05d}.npy", arrays.least(value))
-        kinds = [int((sums["before"] == k).sum()) for k in (1, 2, 3, 4)]
-        return pa.table({"continuations": [int(sums["before"].sum())], "more": [int((sums["before"] > 2).sum())], "kinds": pa.array([kinds], pa.list_(pa.int64()))})
+        return out(part, int(sums["before"].sum()), int((sums["before"] > 2).sum()), [int((sums["before"] == k).sum()) for k in (1, 2, 3, 4)])
+
+    def out(part: int, continuations: int, more: int, kinds: list[int]) -> pa.Table:
+        return pa.table({"part": pa.array([part], pa.int32()), "continuations": [continuations], "more": [more], "kinds": pa.array([kinds], pa.list_(pa.int64()))})
 
-    return df.groupBy("part").applyInArrow(run, "continuations long, more long, kinds array<long>")
+    return df.groupBy("part").applyInArrow(run, "part int, continuations long, more long, kinds array<long>")
 
 
 def _added(rows: list) -> list[int]:
@@ -256,14 +293,16 @@ def train(corpus: DataFrame, order: int = ORDER) -> Model:
     bits, uri = arrays.shard_bits(corpus), new_folder(spark, "lm")
     levels, tokens = [], 0
     for level in range(1, order + 1):
-        rows = _write(_count(corpus, levels, bits), f"{uri}/grams-{level}").collect()  # one small row a shard
-        levels.append(arrays.Sharded(f"{uri}/grams-{level}", bits, {r.shard: r.n for r in rows}))
+        width = 64 if level == 1 else _width(levels, level)
+        rows = _write(_count(corpus, levels, bits), f"{uri}/grams-{level}", bits, width).collect()  # one small row a shard
+        levels.append(arrays.Sharded(f"{uri}/grams-{level}", bits, {r.shard: r.n for r in rows}, width))
         tokens = tokens or sum(r.total for r in rows)
     by = []
     for level in range(order, 1, -1):
-        sums = written(_shard_sums(spark, levels, level, level == order, uri), "lm-sums")
-        by.insert(0, discounts(_added(sums.filter("part = -1").select("kinds").collect())))
-        ends = _write_sums(sums.filter("part >= 0").select("part", "blob"), uri, level - 1, levels[level - 2].size).collect()
+        sums = _shard_sums(spark, levels, level, level == order, uri)
+        rows = _write_sums(sums, uri, level - 1, levels[level - 2].size).collect()  # one small row a part
+        by.insert(0, discounts(_added([r for r in rows if r.part < 0])))
+        ends = [r for r in rows if r.part >= 0]
     low = _added(ends)
     return Model(uri, levels, tokens, [discounts(low), *by], sum(r.continuations for r in ends), [low[0], low[1], sum(r.more for r in ends)])
 
@@ -305,7 +344,7 @@ class Scorer:
         all_of = np.ones(len(token), np.int64)
         all_of[follows] = np.maximum(total, 1)[where]
         both = np.flatnonzero((context >= 0) & (token >= 0))
-        at, count = _find(table, _keys(self.m.levels, context[both], token[both]), "counts")
+        at, count = _find(table, _keys(self.m.levels, level, context[both], token[both]), "counts")
         grams = np.full(len(token), -1, np.int64)
         grams[both] = at
         if level < len(self.m.levels):
