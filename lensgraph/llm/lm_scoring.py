@@ -22,6 +22,7 @@ probability is 1 (log 0) under one unknown word. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +39,7 @@ END = np.uint64(0x5BD1E9955BD1E995)
 ORDER = 3
 #: Numbers of n-grams whose sums one task gathers into one file of each kind.
 PART = 1 << 17
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Odd factors that spread keys.
 SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Of an n-gram as context: the counts after it, and how many words follow it once, twice, more often; then the distinct words before it.
@@ -285,11 +287,26 @@ def _added(rows: list) -> list[int]:
     return [sum(r.kinds[k] for r in rows) for k in range(4)]
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each query made here go when it ends, rather than when the driver happens to collect garbage."""
+    held = spark.conf.get(FREED)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, held)
+
+
 def train(corpus: DataFrame, order: int = ORDER) -> Model:
     """Counts all texts of `corpus` (column text); the model's arrays are in the shared folder."""
     if order < 2:
         raise ValueError("the order is at least 2")
-    spark, corpus = corpus.sparkSession, corpus.select("text")
+    with _shuffles_freed(corpus.sparkSession):
+        return _trained(corpus.sparkSession, corpus.select("text"), order)
+
+
+def _trained(spark: SparkSession, corpus: DataFrame, order: int) -> Model:
     bits, uri = arrays.shard_bits(corpus), new_folder(spark, "lm")
     levels, tokens = [], 0
     for level in range(1, order + 1):
