@@ -37,8 +37,8 @@ from lensgraph.shared import new_folder
 END = np.uint64(0x5BD1E9955BD1E995)
 #: Words of an n-gram, the scored one included.
 ORDER = 3
-#: Numbers of n-grams whose sums one task gathers into one file of each kind.
-PART = 1 << 17
+#: Numbers of words, and of longer n-grams, whose sums one task gathers into one file of each kind: a word is in many shards.
+WORD_PART, PART = 1 << 17, 1 << 20
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Odd factors that spread keys.
 SPREAD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -136,7 +136,7 @@ def _numbered(levels: list[arrays.Sharded], seq: np.ndarray, begins: np.ndarray)
     for level, table in enumerate(levels[1:], 2):
         grams = np.full(len(seq), -1, np.int64)
         both = np.flatnonzero((contexts[-1] >= 0) & (token >= 0))
-        grams[both] = _find(table, _keys(levels, level, contexts[-1][both], token[both]))[0]
+        grams[both] = table.find(_keys(levels, level, contexts[-1][both], token[both]))[0]
         contexts.append(_before(grams, begins, -1))
     return token, contexts
 
@@ -191,27 +191,31 @@ def _from_start(levels: list[arrays.Sharded], level: int, context: np.ndarray) -
     return _from_start(levels, level - 1, _parts(levels, level - 1, levels[level - 2].keys_at(distinct))[0])[where]
 
 
+def _part(level: int) -> int:
+    return WORD_PART if level == 1 else PART
+
+
 class Sums:
     """The sums of a level's n-grams, in files by ranges of numbers."""
 
     def __init__(self, uri: str, level: int):
-        self.folder = arrays.Folder(f"{uri}/sums-{level}")
+        self.folder, self.part = arrays.Folder(f"{uri}/sums-{level}"), _part(level)
 
     def get(self, ids: np.ndarray, *kinds: str) -> list[np.ndarray]:
         """Values of sorted numbers."""
         out = [np.zeros(len(ids), np.int64) for _ in kinds]
-        part = ids // PART
+        part = ids // self.part
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             for value, kind in zip(out, kinds, strict=True):
-                value[a:b] = self.folder.get(f"{kind}-{int(part[a]):05d}")[ids[a:b] - part[a] * PART]
+                value[a:b] = self.folder.get(f"{kind}-{int(part[a]):05d}")[ids[a:b] - part[a] * self.part]
         return out
 
 
 def _shard_sums(spark: SparkSession, levels: list[arrays.Sharded], level: int, top: bool, uri: str) -> DataFrame:
     """Of each shard of a level, the counts of its counts, and sums for the n-grams a level lower by ranges of their numbers."""
     table, below = levels[level - 1], levels[level - 2].size
-    n_shards, n_parts = len(table.base) - 1, below // PART + 1
+    n_shards, n_parts = len(table.base) - 1, below // _part(level - 1) + 1
 
     def run(batches):
         for batch in batches:
@@ -235,7 +239,7 @@ def _shard_sums(spark: SparkSession, levels: list[arrays.Sharded], level: int, t
         after = [np.add.reduceat(x.astype(np.int64), first) if n else counts for x in (counts, counts == 1, counts == 2, counts > 2)]
         context = context[first].astype(np.uint64)
         ends, before = arrays.merged(_shorter(levels, level, *_parts(levels, level, table.keys_at(numbers))).astype(np.uint64), np.ones(n, np.int64))
-        limits = np.arange(n_parts + 1, dtype=np.uint64) * np.uint64(PART)
+        limits = np.arange(n_parts + 1, dtype=np.uint64) * np.uint64(_part(level - 1))
         a, b = np.searchsorted(context, limits), np.searchsorted(ends, limits)
         for p in range(n_parts):
             # every part has a row of the first shard, so that its files are there whatever it holds
@@ -259,8 +263,7 @@ def _write_sums(df: DataFrame, uri: str, level: int, size: int) -> DataFrame:
         part = table["part"][0].as_py()
         if part < 0:
             return out(part, 0, 0, np.array(table["kinds"].to_pylist()).sum(0).tolist())
-        first = part * PART
-        n = min(PART, size + 1 - first)
+        n = min(_part(level), size + 1 - part * _part(level))
         sums = {kind: np.zeros(n, np.int64) for kind in KINDS}
         for blob in table["blob"]:
             blob, at, pieces = blob.as_py(), 0, []
@@ -361,7 +364,7 @@ class Scorer:
         all_of = np.ones(len(token), np.int64)
         all_of[follows] = np.maximum(total, 1)[where]
         both = np.flatnonzero((context >= 0) & (token >= 0))
-        at, count = _find(table, _keys(self.m.levels, level, context[both], token[both]), "counts")
+        at, count = table.find(_keys(self.m.levels, level, context[both], token[both]), "counts")
         grams = np.full(len(token), -1, np.int64)
         grams[both] = at
         if level < len(self.m.levels):
