@@ -220,7 +220,8 @@ def _shard_sums(spark: SparkSession, levels: list[arrays.Sharded], level: int, t
     def run(batches):
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                yield from one(shard)
+                if shard == 0 or shard in table.shards:
+                    yield from one(shard)
 
     def one(shard: int):
         counts = np.zeros(0, np.int64)
@@ -253,7 +254,7 @@ def _shard_sums(spark: SparkSession, levels: list[arrays.Sharded], level: int, t
             blob = b"".join(len(piece).to_bytes(4, "little") + piece for piece in pieces)
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([None], pa.list_(pa.int64())), pa.array([blob], pa.binary())], names=["part", "kinds", "blob"])
 
-    return spark.range(0, n_shards, 1, n_shards).mapInArrow(run, "part int, kinds array<long>, blob binary")
+    return spark.range(0, n_shards, 1, max(1, len(table.shards))).mapInArrow(run, "part int, kinds array<long>, blob binary")
 
 
 def _write_sums(df: DataFrame, uri: str, level: int, size: int) -> DataFrame:
