@@ -114,10 +114,9 @@ class Sharded:
         ordered = keys[order]
         at = np.full(len(keys), -1, np.int64)
         values = [np.zeros(len(keys), np.int64) for _ in columns]
-        cuts = np.searchsorted(shard_of(ordered, self.bits), np.arange((1 << self.bits) + 1))
-        for s, n in self.shards.items():
-            a, b = cuts[s], cuts[s + 1]
-            if a == b or not n:
+        for s, a, b in runs(shard_of(ordered, self.bits)):
+            n = self.shards.get(s, 0)
+            if not n:
                 continue
             mine, stored = narrowed(ordered[a:b], self.bits, self.width), self.column("keys", s)
             pos = np.minimum(np.searchsorted(stored, mine), n - 1)
@@ -140,6 +139,14 @@ def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def runs(shards: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of each shard that these sorted shard numbers name."""
+    if len(shards):
+        cuts = np.concatenate([[0], np.flatnonzero(shards[1:] != shards[:-1]) + 1, [len(shards)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield int(shards[a]), a, b
+
+
 def narrowed(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
     """Keys as a shard stores them."""
     if width == 64:
@@ -187,11 +194,13 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blobs(keys: np.ndarray, counts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    cuts = np.searchsorted(shard_of(keys, bits), np.arange((1 << bits) + 1))
-    for s in range(1 << bits):
-        if cuts[s] < cuts[s + 1]:
-            blob = pack(keys[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]])
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([blob])], schema=SHARDS)
+    """One row a shard that has keys; rows of one batch together, since a flush may meet many shards."""
+    shards, packed = [], []
+    for s, a, b in runs(shard_of(keys, bits)):
+        shards.append(s)
+        packed.append(pack(keys[a:b], counts[a:b]))
+    if shards:
+        yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(packed, pa.binary())], schema=SHARDS)
 
 
 class Held:

@@ -77,7 +77,8 @@ class Encoder:
             name = plain.decode("ascii") if plain.isascii() else word.lower().encode().decode("latin-1").translate(self.letters)
             return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(name)])
         core = word.rstrip(_MARKS)
-        if core.isalpha():
+        # Latin-1 alone: elsewhere lowering may end in a combining mark, or the library may know no such letter
+        if core.isalpha() and max(core.lower()) < "\u0100":
             return self.young[core] + self.young[word[len(core) :]]
         return self._whole(word)
 
