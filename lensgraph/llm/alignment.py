@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ STRIPES = 128
 #: Links that a task gathers before it writes a block; pairs whose sums it holds.
 HELD, HELD_PAIRS = 2_000_000, 4_000_000
 #: Pieces in one generation of the memo, and the characters of a piece that it may hold.
-MEMO, MEMO_CHARS = 100_000, 64
+MEMO, MEMO_CHARS = 200_000, 64
 #: Bytes of links, as stored, that one task scores for a stripe.
 STRIPE_BYTES = 64 << 20
 #: A single space with no white space beside it.
@@ -70,36 +71,24 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.a_bytes, self.b, self.b_bytes = _tokenizers(a_path, b_path)
+        self.sizes = [np.array([len(t) for t in tokens]) for tokens in (self.a_bytes, self.b_bytes)]
+        #: What is said of an A id, then of a B id: inside and at the end of a group.
+        self.said = [f"{i}{mark}".encode() for tokens, marks in ((self.a_bytes, ",|"), (self.b_bytes, ",;")) for i in range(len(tokens)) for mark in marks]
         self.old: dict[str, tuple | None] = {}
         self.young: dict[str, tuple | None] = {}
 
-    def _aligned(self, raw: bytes, a_ids: list[int], b_ids: list[int]) -> tuple | None:
-        """Groups as text, links as little-endian pairs (A id above B id), numbers of A, B and groups; None if bytes differ."""
-        a_tokens, b_tokens = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_tokens) != raw or b"".join(b_tokens) != raw:
-            return None
-        i = j = a_from = b_from = 0
-        a_end, b_end = len(a_tokens[0]), len(b_tokens[0])
-        groups, links = [], []
-        while True:
-            links.append(a_ids[i] << 16 | b_ids[j])
-            a_done, b_done = a_end <= b_end, b_end <= a_end
-            if a_done and b_done:
-                groups.append(f"{','.join(map(str, a_ids[a_from : i + 1]))}|{','.join(map(str, b_ids[b_from : j + 1]))}")
-                a_from, b_from = i + 1, j + 1
-            if a_done:
-                i += 1
-                if i == len(a_ids):
-                    break
-            if b_done:
-                j += 1
-                b_end += len(b_tokens[j])
-            if a_done:
-                a_end += len(a_tokens[i])
-        return ";".join(groups).encode(), np.array(links, "<u4").tobytes(), len(a_ids), len(b_ids), len(groups)
-
-    def texts(self, texts: list[str]) -> list[list | None]:
-        """Per text the aligned pieces in turn; None for a text without tokens."""
+    def _ids(self, pieces: list[str]) -> list[tuple | None]:
+        """Ids of each piece and the space before it as 16-bit integers, by A and by B; None if bytes differ."""
+        out, a_of, b_of = [], self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        raw = [f" {p}" for p in pieces]
+        for text, a, b in zip(raw, self.a.encode_batch_fast(raw, add_special_tokens=False), self.b.encode(pieces, num_threads=1), strict=True):
+            ids, text = a.ids, text.encode()
+            whole = b"".join(map(a_of, ids)) == text == b"".join(map(b_of, b))
+            out.append((array("H", ids).tobytes(), array("H", b).tobytes()) if whole else None)
+        return out
+
+    def ids(self, texts: list[str]) -> list[tuple | None]:
+        """A and B ids of each text as 16-bit integers; None for a text without tokens."""
         cut = [CUT.split(t) if t else [] for t in texts]
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
@@ -111,16 +100,42 @@ class Aligner:
                 else:
                     fresh[piece] = None
         if fresh:
-            raw = [f" {p}" for p in fresh]
-            found = zip(fresh, raw, self.a.encode_batch(raw, add_special_tokens=False), self.b.encode(list(fresh), num_threads=1), strict=True)
-            fresh = {p: self._aligned(r.encode(), a.ids, b) for p, r, a, b in found}
+            fresh = dict(zip(fresh, self._ids(list(fresh)), strict=True))
             known.update((p, x) for p, x in fresh.items() if len(p) <= MEMO_CHARS)
         out = []
         for pieces in cut:
             held = [known[p] if p in known else fresh[p] for p in pieces]
-            out.append(held if held and None not in held else None)
+            out.append(tuple(b"".join(x) for x in zip(*held, strict=True)) if held and None not in held else None)
         return out
 
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Per text n_a, n_b, n_groups, n_links; each link's text; each link's pair (A id above B id); each text's groups.
+
+        All texts lie in one row of bytes: the ends of either side's tokens cut it so that each part is one link.
+        """
+        found = self.ids(texts)
+        sides, ends, counts = [], [], np.zeros((len(texts), 4), np.int64)
+        for k, size in enumerate(self.sizes):
+            sides.append(np.frombuffer(b"".join([x[k] for x in found if x]), "<u2").astype(np.int64))
+            ends.append(np.cumsum(size[sides[k]]))
+            counts[:, k] = [len(x[k]) // 2 if x else 0 for x in found]
+        (a, b), (a_end, b_end) = sides, ends
+        cuts = np.sort(np.concatenate([a_end, b_end]), kind="stable")  # merges two sorted runs
+        cuts = cuts[np.diff(cuts, append=-1) != 0]
+        at_a, at_b = np.searchsorted(a_end, cuts), np.searchsorted(b_end, cuts)
+        pairs = a[at_a] << 16 | b[at_b]
+        owner = np.repeat(np.arange(len(texts)), counts[:, 0])[at_a]
+        shared = (a_end[at_a] == cuts) & (b_end[at_b] == cuts)
+        counts[:, 2], counts[:, 3] = np.bincount(owner[shared], minlength=len(texts)), np.bincount(owner, minlength=len(texts))
+        of_a, of_b = np.searchsorted(cuts[shared], a_end), np.searchsorted(cuts[shared], b_end)  # group of each token
+        order = np.empty(len(a) + len(b), np.int64)
+        last = lambda group: np.diff(group, append=-1) != 0
+        order[np.arange(len(a)) + np.searchsorted(of_b, of_a)] = 2 * a + last(of_a)
+        order[np.arange(len(b)) + np.searchsorted(of_a, of_b, "right")] = 2 * (len(self.a_bytes) + b) + last(of_b)
+        upto = np.concatenate([[0], np.cumsum(counts[:, 0] + counts[:, 1])])
+        said = self.said.__getitem__
+        return counts, owner, pairs, [b"".join(map(said, order[x:y].tolist()))[:-1] for x, y in zip(upto[:-1], upto[1:], strict=True)]
+
 
 def _encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """Rows of three kinds: documents (place), links of a block and stripe, document counts of a task's pairs by stripe."""
@@ -165,20 +180,11 @@ def _encoded(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in blocks(texts):
-                pairs, owner = [], []
-                for doc_id, pieces in zip(ids[a:b], aligner.texts(texts[a:b]), strict=True):
-                    if pieces is None:
-                        rows.append((doc_id, 0, 0, 0, 0, ""))
-                        continue
-                    groups, linked, n_a, n_b, n_groups = zip(*pieces, strict=True)
-                    pairs.append(b"".join(linked))
-                    owner.append(len(rows))
-                    rows.append((doc_id, sum(n_a), sum(n_b), sum(n_groups), len(pairs[-1]) // 4, hashlib.sha256(b";".join(groups)).hexdigest()))
-                if pairs:
-                    keys = np.frombuffer(b"".join(pairs), "<u4").astype(np.uint64)
-                    keys |= np.repeat(np.array(owner, np.uint64), [len(p) // 4 for p in pairs]) << np.uint64(32)
-                    links.append(arrays.merged(keys, np.ones(len(keys), np.int64)))
-                    held += len(links[-1][0])
+                counts, owner, pairs, groups = aligner.texts([t or "" for t in texts[a:b]])
+                keys = (owner + len(rows)).astype(np.uint64) << np.uint64(32) | pairs.astype(np.uint64)
+                links.append(arrays.merged(keys, np.ones(len(keys), np.int64)))
+                held += len(links[-1][0])
+                rows += [(doc_id, *n, hashlib.sha256(g).hexdigest() if g else "") for doc_id, n, g in zip(ids[a:b], counts.tolist(), groups, strict=True)]
                 if held >= HELD or len(rows) >= HELD:
                     yield from close()
         if rows:
