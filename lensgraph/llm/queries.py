@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lensgraph.llm import alignment, embedding_dedup, exact_dedup, lm_scoring, media_gif, mixing, ngram_join, packing, pii, quality, token_codes, toxicity
+from lensgraph.llm import alignment, embedding_dedup, exact_dedup, lm_scoring, media_gif, mixing, ngram_join, packing, pii, quality, spelling, token_codes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_gif": lambda spark, sf_dir: media_gif.op8(documents(spark, sf_dir)),
         "op9_ngram_join": lambda spark, sf_dir: ngram_join.op9(documents(spark, sf_dir)),
         "op10_embedding_dedup": lambda spark, sf_dir: embedding_dedup.op10(_table(spark, sf_dir, "embeddings")),
+        "op11_spelling": lambda spark, sf_dir: spelling.op11(documents(spark, sf_dir)),
         "op12_alignment": lambda spark, sf_dir: alignment.op12(documents(spark, sf_dir)),
         "op13_exact_dedup": lambda spark, sf_dir: exact_dedup.op13(spark, f"{sf_dir}/documents.parquet"),
     }
