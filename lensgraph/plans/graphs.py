@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lensgraph.operators import graph
+from lensgraph.operators import csr, graph
 from lensgraph.operators.components import connected_components
 from lensgraph.sources.tables import LINKS_SQL, edges, hierarchy, nodes, table
 from lensgraph.shared import written
@@ -245,9 +245,7 @@ def exclusions(spark, d):
 
 def betweenness(spark, d):
     """From every node; 0 for those on no shortest path."""
-    n = nodes(spark, d).select("id")
-    found = graph.betweenness(calls(spark, d), n)
-    return _round(n.join(found, "id", "left").na.fill(0.0, ["centrality"]), "centrality", digits=4)
+    return _round(_round(csr.betweenness(calls(spark, d), nodes(spark, d)), "centrality", digits=4), "normalized", digits=10)
 
 
 def projection(spark, d):

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lensgraph.operators import graph
+from lensgraph.operators import csr, graph
 from lensgraph.operators.components import connected_components
 
 
@@ -68,7 +68,7 @@ def test_betweenness(spark, edges):
                     delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
             if w != s:
                 want[w] += delta[w]
-    got = dict(graph.betweenness(frame(spark, edges), spark.createDataFrame([(i,) for i in ids], "id long")).collect())
+    got = {r.id: r.centrality for r in csr.betweenness(frame(spark, edges), spark.createDataFrame([(i,) for i in ids], "id long")).collect()}
     assert all(abs(got.get(i, 0) - want[i]) < 1e-9 for i in ids)
 
 

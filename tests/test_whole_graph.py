@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lensgraph.operators import graph
+from lensgraph.operators import csr, graph
 from lensgraph.plans import registry
 from lensgraph.sources.tables import LINKS_SQL
 
@@ -88,8 +88,9 @@ def calls_of(links):
 
 def test_betweenness_follows_long_paths(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(24)], "src long, dst long")
-    got = dict(graph.betweenness(e, spark.createDataFrame([(0,)], "id long")).collect())
-    assert got == {i: 24 - i for i in range(1, 24)}
+    ids = spark.createDataFrame([(i,) for i in range(25)], "id long")
+    got = {r.id: r.centrality for r in csr.betweenness(e, ids, ids.filter("id = 0")).collect()}
+    assert got == {i: 24 - i if i else 0 for i in range(25)}
 
 
 def test_betweenness_from_all_nodes(spark, sf, links):
@@ -109,14 +110,19 @@ def test_betweenness_from_all_nodes(spark, sf, links):
             delta[v] = sum(sigma[v] / sigma[w] * (1 + delta[w]) for w in out[v] if dist[w] == dist[v] + 1)
             if v != s:
                 want[v] += delta[v]
-    got = dict(registry.queries()["graph_betweenness"](spark, sf).collect())
+    got = {r.id: r.centrality for r in registry.queries()["graph_betweenness"](spark, sf).collect()}
     assert sorted(got) == ids and all(abs(got[i] - want[i]) < 1e-3 for i in ids)
 
 
-def test_betweenness_by_blocks(spark):
-    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 1), (2, 4)], "src long, dst long")
-    n = spark.createDataFrame([(i,) for i in range(1, 5)], "id long")
-    assert dict(graph.betweenness(e, n, block=1).collect()) == dict(graph.betweenness(e, n).collect())
+@pytest.mark.parametrize("size", [1, 256 << 20])
+def test_betweenness_by_batches(spark, monkeypatch, size):
+    """A ring of four with a chord, a node apart, a repeated edge, a loop and a null; one source a batch, or all."""
+    monkeypatch.setattr(csr, "BATCH_BYTES", size)
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 1), (2, 4), (2, 4), (3, 3), (None, 3)], "src long, dst long")
+    n = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
+    got = {r.id: (r.centrality, r.normalized) for r in csr.betweenness(e, n).collect()}
+    assert got == {1: (3.0, 3 / 12), 2: (3.0, 3 / 12), 3: (0.0, 0.0), 4: (3.0, 3 / 12), 5: (0.0, 0.0)}
+    assert csr.betweenness(e.limit(0), n.limit(0)).count() == 0 and {r.centrality for r in csr.betweenness(e.limit(0), n).collect()} == {0.0}
 
 
 def test_eigenvector_has_converged(spark, sf, links):
