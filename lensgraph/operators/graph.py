@@ -27,21 +27,6 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(sums, "id", "left").na.fill(0, ["out_degree", "in_degree"])
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
-    """(id, rank) after `rounds` steps from 1/n; what nodes without out-edges hold is spread over all."""
-    out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    links = written(edges.join(out, "src").select("src", "dst", (1 / F.col("out")).alias("share")), "links")
-    base = written(nodes.select("id").join(out, nodes.id == out.src, "left").select("id", F.col("out").isNull().alias("dangling")), "nodes")
-    n = base.count()
-    now = base.withColumn("rank", F.lit(1.0 / max(1, n)))
-    for _ in range(rounds):
-        lost = now.agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0))).first()[0] or 0.0
-        got = links.join(now, links.src == now.id).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))
-        now = written(base.join(got, base.id == got.dst, "left").select("id", "dangling", rank.alias("rank")), "rank")
-    return now.select("id", "rank")
-
-
 def power_iteration(edges: DataFrame, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
     """(id, value): leading eigenvector of the symmetric weights, of length one; stops once no more than `tolerance` moves."""
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lensgraph.operators import csr, graph
+from lensgraph.operators import communities as louvain_communities
+from lensgraph.operators import csr, graph, messages, strong
 from lensgraph.operators.components import connected_components
 from lensgraph.sources.tables import LINKS_SQL, edges, hierarchy, nodes, table
 from lensgraph.shared import written
@@ -69,7 +70,7 @@ def god_classes(spark, d):
 
 
 def pagerank(spark, d):
-    return _round(graph.pagerank(nodes(spark, d), calls(spark, d), rounds=6), "rank", digits=8)
+    return _round(messages.pagerank(nodes(spark, d), calls(spark, d).select("src", "dst"), rounds=6), "rank", digits=8)
 
 
 def pagerank_sql(rounds=6, damping=0.85):
@@ -84,6 +85,53 @@ def eigenvector(spark, d):
     return _round(graph.power_iteration(calls(spark, d).select("src", "dst", "weight"), rounds=100), "value")
 
 
+def message_centrality(spark, d):
+    return _round(messages.centrality(nodes(spark, d), calls(spark, d).select("src", "dst", "weight"), 4), "value", digits=8)
+
+
+def message_centrality_sql(rounds=4):
+    steps = [f"{WITH}, calls AS (SELECT src, dst, weight FROM edges WHERE rel_type = 'CALLS'), v0 AS (SELECT p_partkey AS id, 1.0::DOUBLE AS value FROM part)"]
+    for k in range(rounds):
+        steps.append(f"n{k} AS (SELECT sqrt(sum(value * value)) AS norm FROM v{k}), v{k + 1} AS (SELECT p_partkey AS id, coalesce(sum(v.value * c.weight), 0) / any_value(norm) AS value FROM part CROSS JOIN n{k} LEFT JOIN calls c ON c.dst = p_partkey LEFT JOIN v{k} v ON v.id = c.src GROUP BY p_partkey)")
+    return ", ".join(steps) + f" SELECT id, round(value / (SELECT sqrt(sum(value * value)) FROM v{rounds}), 8) AS value FROM v{rounds}"
+
+
+def message_labels(spark, d):
+    return messages.least_labels(nodes(spark, d), calls(spark, d).select("src", "dst"))
+
+
+MESSAGE_LABELS_SQL = f"""{REC}, calls AS ({CALLS}), walk(id, label) USING KEY (id) AS (
+  SELECT p_partkey, p_partkey FROM part
+  UNION SELECT c.dst, min(w.label) FROM walk w JOIN calls c ON c.src = w.id JOIN recurring.walk r ON r.id = c.dst WHERE w.label < r.label GROUP BY c.dst
+) SELECT id, label FROM walk"""
+
+
+def message_distances(spark, d):
+    """Least sum of quantities from any of the start nodes."""
+    e = calls(spark, d).select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    return _round(messages.distances(nodes(spark, d), e, F.col("id") % 100 == 0), "distance")
+
+
+MESSAGE_DISTANCES_SQL = f"""{REC}, calls AS (SELECT src, dst, weight::DOUBLE AS weight FROM edges WHERE rel_type = 'CALLS'), walk(id, distance) USING KEY (id) AS (
+  SELECT p_partkey, CASE WHEN p_partkey % 100 = 0 THEN 0.0::DOUBLE ELSE 1e300::DOUBLE END FROM part
+  UNION SELECT c.dst, min(w.distance + c.weight) FROM walk w JOIN calls c ON c.src = w.id JOIN recurring.walk r ON r.id = c.dst WHERE w.distance + c.weight < r.distance GROUP BY c.dst
+) SELECT id, round(CASE WHEN distance < 1e300 THEN distance END, 6) AS distance FROM walk"""
+
+
+def strong_components(spark, d):
+    """Of the calls: on a cycle of any length or not, and with whom."""
+    return strong.strong_components(nodes(spark, d), calls(spark, d))
+
+
+STRONG_SQL = f"""{REC}, calls AS ({CALLS}), reach AS (SELECT src, dst FROM calls UNION SELECT r.src, c.dst FROM reach r JOIN calls c ON c.src = r.dst),
+mutual AS (SELECT f.src AS id, min(f.dst) AS first FROM reach f JOIN reach b ON b.src = f.dst AND b.dst = f.src GROUP BY f.src)
+SELECT p_partkey AS id, coalesce(first, p_partkey) AS component, first IS NOT NULL AS cyclic FROM part LEFT JOIN mutual ON id = p_partkey"""
+
+
+def louvain(spark, d):
+    return louvain_communities.louvain(edges(spark, d).select("src", "dst", F.col("frequency").alias("weight")))
+
+
 def erdos(spark, d):
     return graph.hops(calls(spark, d), starts(spark, d), 3, directed=False).groupBy("source", "hops").agg(F.count("*").alias("nodes"))
 
@@ -337,6 +385,11 @@ QUERIES = {
     "graph_god_classes": (god_classes, f"{WITH}, ends AS (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) SELECT id, count(*) AS degree FROM ends GROUP BY id HAVING count(*) > 30"),
     "graph_pagerank": (pagerank, pagerank_sql()),
     "graph_eigenvector": (eigenvector, None),
+    "graph_message_centrality": (message_centrality, message_centrality_sql()),
+    "graph_message_labels": (message_labels, MESSAGE_LABELS_SQL),
+    "graph_message_distances": (message_distances, MESSAGE_DISTANCES_SQL),
+    "graph_strong_components": (strong_components, STRONG_SQL),
+    "graph_louvain": (louvain, None),
     "graph_erdos_numbers": (erdos, ERDOS_SQL),
     "graph_shortest_paths": (shortest, shortest_sql()),
     "graph_context": (context, CONTEXT_SQL),

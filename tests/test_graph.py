@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lensgraph.operators import csr, graph
+from lensgraph.operators import csr, graph, messages
 from lensgraph.operators.components import connected_components
 
 
@@ -103,5 +103,5 @@ def test_projection_does_not_depend_on_order(spark, edges):
 
 def test_pagerank_sums_to_one(spark, edges):
     nodes = spark.createDataFrame([(i,) for i in range(35)], "id long")
-    got = graph.pagerank(nodes, frame(spark, edges), 8).collect()
+    got = messages.pagerank(nodes, frame(spark, edges), 8).collect()
     assert len(got) == 35 and sum(r["rank"] for r in got) == pytest.approx(1.0)
