@@ -1,21 +1,25 @@
 """Similarity search: a stated set of queries against all rows.
 
-Queries are taken in blocks of bounded size; a block is one matrix that each task multiplies with its batches of rows,
-keeping at most k rows a query and batch. Windows then choose among those. Rows are never joined with each other.
+Queries are written to the shared folder in blocks of bounded size; each task maps them and multiplies every block with its
+batches of rows, keeping what is among the k best of a query in that task. Windows then choose among those. Rows are never
+joined with each other, no query passes the driver, and the rows are read once.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lensgraph import mapped
 from lensgraph.functions.vectors import cosine
+from lensgraph.shared import new_folder, written
 
 BLOCK = 4096
+#: Candidates of all queries that a task holds before it keeps the best k of each.
+HELD = 2_000_000
+FOUND = "query_id long, row_id long, score double"
 
 
 def top_k(rows: DataFrame, vector: Column, query: list[float], k: int, least: float | None = None, id_column: str = "vec_id") -> DataFrame:
@@ -26,53 +30,94 @@ def top_k(rows: DataFrame, vector: Column, query: list[float], k: int, least: fl
     return scored.orderBy(F.desc("score"), id_column).limit(k)
 
 
-def _unit(lists: pa.Array) -> np.ndarray:
-    dim = len(lists[0]) if len(lists) else 0
-    x = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-    size = np.sqrt((x * x).sum(1, keepdims=True))
+def unit(lists: pa.Array, dim: int) -> np.ndarray:
+    """Rows of length one; not a number for a zero vector or one with nulls."""
+    x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     with np.errstate(invalid="ignore", divide="ignore"):
-        return x / size
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def usable(df: DataFrame, dim: int | None, id_column: str, vector: str) -> DataFrame:
+    """id and vector of the rows that have both, of that width."""
+    kept = df.filter(F.col(vector).isNotNull() & F.col(id_column).isNotNull() & (F.size(vector) > 0 if dim is None else F.size(vector) == dim))
+    return kept.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+
+
+class Best:
+    """The k best rows of each query so far, ties by id; all rows if k is None."""
+
+    def __init__(self, k: int | None):
+        self.k, self.parts, self.n = k, [], 0
+
+    def add(self, scores: np.ndarray, query: np.ndarray, row: np.ndarray, least: float) -> None:
+        """scores: queries x rows."""
+        scores = np.where((query[:, None] != row[None, :]) & (scores > least), scores, -np.inf)
+        if self.k is not None and scores.shape[1] > self.k:  # ties at the k-th place all stay for now
+            scores[scores < np.partition(scores, -self.k, axis=1)[:, -self.k][:, None]] = -np.inf
+        q, r = np.nonzero(np.isfinite(scores))
+        self.parts.append((query[q], row[r], scores[q, r]))
+        self.n += len(q)
+        if self.k is not None and self.n > HELD:
+            self.parts = [self.found()]
+            self.n = len(self.parts[0][0])
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q, r, s = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        if self.k is None:
+            return q, r, s
+        order = np.lexsort((r, -s, q))
+        q, r, s = q[order], r[order], s[order]
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        return q[place < self.k], r[place < self.k], s[place < self.k]
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in self.found()], names=["query_id", "row_id", "score"])
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _block(rows: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int | None, least: float) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            own, x = batch.column(0).to_numpy(), _unit(batch.column(1))
-            s = matrix @ x.T
-            s[ids[:, None] == own[None, :]] = np.nan
-            s[~(s > least)] = -np.inf
-            if k is not None and s.shape[1] > k:  # ties at the k-th place all stay; the window decides by id
-                edge = np.partition(s, -k, axis=1)[:, -k][:, None]
-                s[s < edge] = -np.inf
-            q, r = np.nonzero(np.isfinite(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[r]), pa.array(s[q, r])], names=["query_id", "row_id", "score"])
+def _blocks(queries: DataFrame, uri: str, dim: int) -> dict[int, int]:
+    """Writes blocks of queries; returns the rows of each."""
+    count = max(1, -(-queries.count() // BLOCK))
+
+    def write(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        table = table.sort_by("id")
+        mapped.put(f"{uri}/ids-{block}", 0, table["id"].to_numpy())
+        mapped.put(f"{uri}/units-{block}", 0, unit(table["vector"].combine_chunks(), dim))
+        return pa.table({"block": pa.array([block], pa.int32()), "n": [table.num_rows]})
 
-    return rows.mapInArrow(run, "query_id long, row_id long, score double")
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int"))
+    return {r.block: r.n for r in dealt.groupBy("block").applyInArrow(write, "block int, n long").collect()}  # one small row a block
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int | None, least: float = -2.0, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, row_id, score): for each query the k other rows of highest cosine above `least` (all, if k is None)."""
-    usable = lambda df: df.filter(F.col(vector).isNotNull() & (F.size(vector) > 0) & F.col(id_column).isNotNull())
-    rows = usable(rows).select(F.col(id_column).cast("long"), F.col(vector).cast("array<double>"))
-    found, held = [], []
-
-    def close():
-        ids = np.array([r[0] for r in held], np.int64)
-        x = np.array([r[1] for r in held], np.float64)
-        size = np.sqrt((x * x).sum(1, keepdims=True))
-        found.append(_block(rows, ids, x / np.where(size > 0, size, np.nan), k, least))
-        held.clear()
-
-    for r in usable(queries).select(F.col(id_column).cast("long"), F.col(vector).cast("array<double>")).toLocalIterator():
-        held.append(r)
-        if len(held) == BLOCK:
-            close()
-    if held:
-        close()
-    if not found:
-        return rows.sparkSession.createDataFrame([], "query_id long, row_id long, score double")
-    out = reduce(DataFrame.unionByName, found)
-    if k is None:
-        return out
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    """(query_id, row_id, score, and rank unless k is None): for each query the k other rows of highest cosine above `least` (all, if k is None)."""
+    spark = rows.sparkSession
+    asked = written(usable(queries, None, id_column, vector), "queries")
+    first = asked.select(F.size("vector").alias("d")).first()
+    if not first:
+        return spark.createDataFrame([], FOUND if k is None else f"{FOUND}, rank int")
+    dim, uri = first.d, new_folder(spark, "query-blocks")
+    sizes = _blocks(asked.filter(F.size("vector") == dim), uri, dim)
+
+    def run(batches):
+        blocks = [(mapped.get(f"{uri}/ids-{b}", "<i8", n), mapped.get(f"{uri}/units-{b}", "<f8", n * dim).reshape(n, dim)) for b, n in sizes.items()]
+        best = Best(k)
+        for batch in batches:
+            own, x = batch.column(0).to_numpy(), unit(batch.column(1), dim)
+            for ids, units in blocks:
+                best.add(units @ x.T, ids, own, least)
+                if k is None:
+                    yield best.batch()
+                    best = Best(None)
+        yield best.batch()
+
+    out = usable(rows, dim, id_column, vector).mapInArrow(run, FOUND)
+    return out if k is None else ranked(out, k)

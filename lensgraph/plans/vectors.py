@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lensgraph.functions import scores, vectors
 from lensgraph.operators import calibrate, search
+from lensgraph.operators.vector_index import VectorIndex
 from lensgraph.sources.tables import table
 
 DIM = 64
@@ -85,16 +86,22 @@ def knn(spark, d):
     return out.select("query_id", "row_id", "rank", F.round("score", 6).alias("score"))
 
 
+def indexed(spark, d):
+    """The same queries through an index built over all rows."""
+    out = VectorIndex.build(rows(spark, d)).search(_queries(spark, d), 10)
+    return out.select("query_id", "row_id", "rank", F.round("score", 6).alias("score"))
+
+
 def threshold_pairs(spark, d):
     """Above 0.25, as an undirected report: each pair once."""
     out = search.search(rows(spark, d), _queries(spark, d), None, 0.25)
     return out.groupBy(F.least("query_id", "row_id").alias("a"), F.greatest("query_id", "row_id").alias("b")).agg(F.round(F.max("score"), 6).alias("score")).withColumn("tier", scores.duplicate_tier(F.col("score")))
 
 
-def _scored(spark, d):
-    """Pairs of a query with another vector, their cosine, and a stand-in score: 1 where labels agree, else 0.1."""
+def _scored(spark, d, least=-2.0):
+    """Pairs of a query with another vector of cosine above `least`, and a stand-in score: 0.9 where labels agree, else 0.1."""
     e = rows(spark, d)
-    found = search.search(e, _queries(spark, d), None, -2.0)
+    found = search.search(e, _queries(spark, d), None, least)
     a, b = e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("la")), e.select(F.col("vec_id").alias("row_id"), F.col("label").alias("lb"))
     score = F.when(F.col("la") == F.col("lb"), 0.9).otherwise(0.1)
     return found.join(a, "query_id").join(b, "row_id").select("query_id", "row_id", F.round("score", 6).alias("cosine"), score.alias("score"))
@@ -111,7 +118,7 @@ def divergence(spark, d):
 
 def candidates_scored(spark, d):
     """The scorer sees only candidates above a cosine; kept if they diverge."""
-    p = _scored(spark, d).filter("cosine >= 0.2").withColumn("divergence", F.round(F.col("cosine") - F.col("score"), 6))
+    p = _scored(spark, d, 0.199999).filter("cosine >= 0.2").withColumn("divergence", F.round(F.col("cosine") - F.col("score"), 6))
     return p.filter("divergence > 0.1").select("query_id", "row_id", "cosine", "divergence")
 
 
@@ -199,6 +206,7 @@ QUERIES = {
     "vector_fusion": (fusion, None),
     "vector_manifold_distance": (manifold, f"WITH {QUERY} SELECT vec_id, round(sqrt(pow(1 - {PARTS[0]}, 2) + pow(1 - {PARTS[1]}, 2) + pow(1 - {PARTS[2]}, 2)), 6) AS distance FROM embeddings, q"),
     "vector_knn": (knn, f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, {COS}(a.{V}, b.{V}) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id)::INT AS rank FROM s) SELECT query_id, row_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5"),
+    "vector_index_search": (indexed, None),
     "vector_threshold_pairs": (threshold_pairs, f"WITH s AS (SELECT least(a.vec_id, b.vec_id) AS a, greatest(a.vec_id, b.vec_id) AS b, {COS}(a.{V}, b.{V}) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), g AS (SELECT a, b, round(max(score), 6) AS score FROM s WHERE score > 0.25 GROUP BY a, b) SELECT *, CASE WHEN score >= 0.99 THEN 'identical' WHEN score >= 0.95 THEN 'duplicate' WHEN score >= 0.85 THEN 'similar' WHEN score >= 0.75 THEN 'related' ELSE 'distinct' END AS tier FROM g"),
     "score_divergence": (divergence, f"WITH {SCORED}, x AS (SELECT *, round(cosine - score, 6) AS g FROM s) SELECT CASE WHEN abs(g) > 0.4 THEN 'HIGH' WHEN abs(g) > 0.2 THEN 'MODERATE' ELSE 'LOW' END AS band, CASE WHEN score >= 0.7 THEN 'HIGH' WHEN score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS reading, count(*) AS pairs, round(avg(g), 6) AS divergence, round(avg(abs(g)), 6) AS abs_divergence FROM x GROUP BY 1, 2"),
     "score_candidates": (candidates_scored, f"WITH {SCORED} SELECT query_id, row_id, cosine, round(cosine - score, 6) AS divergence FROM s WHERE cosine >= 0.2 AND round(cosine - score, 6) > 0.1"),
