@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensgraph.shared import partitions, written
+from lensgraph import mapped
+from lensgraph.operators.search import unit
+from lensgraph.shared import new_folder, partitions, written
 
 
 def moments(rows: DataFrame, column: str = "embedding") -> tuple[int, np.ndarray, np.ndarray]:
@@ -156,6 +158,85 @@ def needs_lens(average_cosine: float, average_divergence: float, effective_dimen
     return {"strict": average_cosine > 0.85 and average_divergence > 0.4 and effective_dimension < 200, "pilot": average_divergence > 0.2 and average_cosine > 0.5}
 
 
+def diagnosis(divergence: float, isotropy: float) -> str:
+    """What the diagnostic rule says (fixed values): unlikely below .2 and above .5, likely above .4 and below .3, else a pilot."""
+    if divergence < 0.2 and isotropy > 0.5:
+        return "UNLIKELY"
+    return "LIKELY" if divergence > 0.4 and isotropy < 0.3 else "PILOT"
+
+
+def silhouette(rows: DataFrame, label: str, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(id, label, own, other, silhouette) by cosine distance, all clusters compared and no pairs made.
+
+    The mean distance of a row to a cluster is 1 less its product with the cluster's sum of unit vectors over the number of
+    rows; its own row is taken out of both. A row alone in its cluster has silhouette 0 and a null `own`; with one cluster
+    `other` and the silhouette are null. Rows without a label or an id, and vectors that are null, zero, hold nulls or
+    have another width than the first, are left out. Each task sums its rows by cluster first; the sums are written in blocks
+    of 1024 clusters, which tasks map.
+    """
+    spark = rows.sparkSession
+    kept = rows.filter(F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull()) & F.exists(column, lambda x: x != 0) & F.col(label).isNotNull() & F.col(id_column).isNotNull())
+    first = kept.select(F.size(column).alias("d")).first()
+    d, uri = first.d if first else 1, new_folder(spark, "clusters")
+    kept = kept.filter(F.size(column) == d).select(F.col(id_column).alias("id"), F.col(label).alias("label"), F.col(column).cast("array<double>").alias("v"))
+    kind = {f.name: f.dataType.simpleString() for f in kept.schema}
+
+    def add(batches):
+        held: dict = {}
+        for batch in batches:
+            names = batch.column(1).dictionary_encode()
+            sums, counts = np.zeros((len(names.dictionary), d)), np.bincount(names.indices, minlength=len(names.dictionary))
+            np.add.at(sums, names.indices.to_numpy(), unit(batch.column(2), d))
+            for name, s, n in zip(names.dictionary.to_pylist(), sums, counts.tolist(), strict=True):
+                old = held.get(name, (0.0, 0))
+                held[name] = (old[0] + s, old[1] + n)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), _arrow(kind["label"])), pa.array([x[0].tolist() for x in held.values()], pa.list_(pa.float64())), pa.array([x[1] for x in held.values()], pa.int64())], names=["label", "s", "n"])
+
+    def join(table: pa.Table) -> pa.Table:
+        total = table["s"].combine_chunks().flatten().to_numpy().reshape(-1, d).sum(0)
+        return pa.table({"label": table["label"].slice(0, 1), "s": [total.tolist()], "n": [sum(table["n"].to_pylist())]})
+
+    fields = f"label {kind['label']}, s array<double>, n long"
+    sums = written(kept.mapInArrow(add, fields).groupBy("label").applyInArrow(join, fields), "sums")
+    blocks = max(1, -(-sums.count() // 1024))
+
+    def write(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        mapped.put(f"{uri}/sums-{block}", 0, table["s"].combine_chunks().flatten().to_numpy().reshape(-1, d))
+        mapped.put(f"{uri}/counts-{block}", 0, table["n"].to_numpy())
+        return pa.table({"block": pa.array([block] * table.num_rows, pa.int32()), "place": pa.array(range(table.num_rows), pa.int32()), "label": table["label"]})
+
+    dealt = sums.withColumn("block", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int"))
+    places = written(dealt.groupBy("block").applyInArrow(write, f"block int, place int, label {kind['label']}"), "places")
+    sizes = {r.block: r.n for r in places.groupBy("block").agg(F.count("*").alias("n")).collect()}  # one row a block of clusters
+
+    def measure(batches):
+        held = {b: (mapped.get(f"{uri}/sums-{b}", "<f8", n * d).reshape(n, d), mapped.get(f"{uri}/counts-{b}", "<i8", n)) for b, n in sizes.items()}
+        for batch in batches:
+            x, block, place = unit(batch.column(2), d), batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            own, other = np.full(len(x), np.nan), np.full(len(x), np.inf)
+            for b, (s, n) in held.items():
+                product, mine = x @ s.T, np.flatnonzero(block == b)
+                at = place[mine]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    own[mine] = 1 - (product[mine, at] - 1) / (n[at] - 1)
+                own[mine[n[at] == 1]] = np.nan
+                apart = 1 - product / n
+                apart[mine, at] = np.inf
+                other = np.minimum(other, apart.min(1))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                value = np.where(np.isnan(own), 0.0, (other - own) / np.maximum(own, other))
+            lone = np.isinf(other)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, mask=np.isnan(own)), pa.array(other, mask=lone), pa.array(value, mask=lone)], names=[id_column, label, "own", "other", "silhouette"])
+
+    out = kept.join(places, "label").select("id", "label", "v", "block", "place")
+    return out.mapInArrow(measure, f"`{id_column}` {kind['id']}, `{label}` {kind['label']}, own double, other double, silhouette double")
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[kind]
+
+
 def weighted_sample(pairs: DataFrame, target: int, same: Column, a: str = "a", b: str = "b") -> DataFrame:
     """Keeps a pair with probability weight * 2 target / pairs, by a hash: weight 0.3 within a type, else 0.7."""
     total = pairs.count()

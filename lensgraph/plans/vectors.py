@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lensgraph.functions import scores, vectors
-from lensgraph.operators import calibrate, search
+from lensgraph.operators import calibrate, lens_fit, samples, search
 from lensgraph.operators.vector_index import VectorIndex
 from lensgraph.sources.tables import table
 
@@ -191,6 +191,90 @@ def label_cohesion(spark, d):
     return s.groupBy("label").agg(F.round(F.avg("c"), 6).alias("cohesion"), F.count("*").alias("n"))
 
 
+def _fitted(spark, d):
+    p, e = _scored(spark, d), rows(spark, d)
+    pairs = p.join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("va")), "query_id").join(e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vb")), "row_id")
+    return lens_fit.LensFit(pairs.withColumnRenamed("score", "target"), e).fit(4)
+
+
+def fitted(spark, d):
+    """Terms of the loss before the first step and after each."""
+    names = ["total", "alignment", "uniformity", "low_rank", "whiten", "condition"]
+    return spark.createDataFrame([(k, *(float(h[n]) for n in names)) for k, h in enumerate(_fitted(spark, d).history)], "step int, " + ", ".join(f"{n} double" for n in names))
+
+
+def lens_bounds(spark, d):
+    """Bi-Lipschitz bounds of a fitted lens, and the factors by which it changes the distances of the pairs searched."""
+    lens = _fitted(spark, d).lens
+    least, most, condition = lens_fit.bounds(lens)
+    e = rows(spark, d).filter(F.size("embedding") == len(lens)).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    both = e.join(calibrate.transformed(e, lens, column="v").withColumnRenamed("vector", "t"), "vec_id")
+    p = _scored(spark, d).select("query_id", "row_id")
+    p = p.join(both.toDF("query_id", "va", "ta"), "query_id").join(both.toDF("row_id", "vb", "tb"), "row_id")
+    apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda i, j: (i - j) * (i - j)), F.lit(0.0), lambda s, z: s + z))
+    factor = F.try_divide(apart("ta", "tb"), apart("va", "vb"))
+    found = p.agg(F.min(factor).alias("least_seen"), F.max(factor).alias("most_seen"))
+    return found.select(F.lit(least).alias("least"), "least_seen", "most_seen", F.lit(most).alias("most"), F.lit(condition).alias("condition"))
+
+
+def exported(spark, d):
+    """Training rows by matrix index."""
+    out = lens_fit.exported(_scored(spark, d), calibrate.matrix_index(rows(spark, d)), "query_id", "row_id")
+    return out.select(F.col("i").cast("long"), F.col("j").cast("long"), "cosine", "reranker")
+
+
+def decision(spark, d):
+    """Whether a lens is worth while, by both published rules and the diagnostic one."""
+    p = _scored(spark, d).agg(F.avg("cosine").alias("c"), F.avg(F.abs(F.col("cosine") - F.col("score"))).alias("g")).first()
+    about = calibrate.spectrum(rows(spark, d)).first()
+    cosine, gap = p.c or 0.0, p.g or 0.0
+    rules = calibrate.needs_lens(cosine, gap, about.effective_dimension)
+    said = calibrate.diagnosis(gap, about.isotropy)
+    return spark.createDataFrame([(round(cosine, 6), round(gap, 6), about.effective_dimension, about.isotropy, rules["strict"], rules["pilot"], said)], "average_cosine double, average_divergence double, effective_dimension double, isotropy double, strict boolean, pilot boolean, diagnosis string")
+
+
+def _labelled(spark, d):
+    e = rows(spark, d).select("vec_id", "label")
+    a, b = e.toDF("query_id", "la"), e.toDF("row_id", "lb")
+    return _scored(spark, d).join(a, "query_id").join(b, "row_id")
+
+
+def hard_negatives(spark, d):
+    """Of each pair of labels 3 pairs, those whose cosine and score differ most being likelier."""
+    key = F.concat_ws(":", "query_id", "row_id")
+    out = samples.weighted(_labelled(spark, d), ["la", "lb"], 3, F.round(F.abs(F.col("cosine") - F.col("score")), 6), key)
+    return out.select("la", "lb", "query_id", "row_id", "cosine", "score")
+
+
+CHANCE = "(('0x' || substr(md5({key}), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+HARD_SQL = f"""WITH {SCORED}, p AS (SELECT a.label AS la, b.label AS lb, s.*, s.query_id || ':' || s.row_id AS key FROM s JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = row_id)
+SELECT la, lb, query_id, row_id, cosine, score FROM p WHERE round(abs(cosine - score), 6) > 0
+QUALIFY row_number() OVER (PARTITION BY la, lb ORDER BY -ln({CHANCE.format(key="key")}) / round(abs(cosine - score), 6), key) <= 3"""
+
+
+def sampled_top(spark, d):
+    """Of a tenth of the pairs, those of highest cosine."""
+    p = samples.bernoulli(_scored(spark, d), 0.1, F.concat_ws(":", "query_id", "row_id"))
+    return p.orderBy(F.desc("cosine"), "query_id", "row_id").limit(50).select("query_id", "row_id", "cosine")
+
+
+def stratified(spark, d):
+    """About a fifth of each label."""
+    return calibrate.stratified_sample(rows(spark, d).select("vec_id", "label"), "label", 200, "vec_id")
+
+
+def silhouette(spark, d):
+    """Cosine silhouette of the labels."""
+    out = calibrate.silhouette(rows(spark, d), "label")
+    return out.select("vec_id", "label", F.round("own", 6).alias("own"), F.round("other", 6).alias("other"), F.round("silhouette", 6).alias("silhouette"))
+
+
+SILHOUETTE_SQL = f"""WITH p AS (SELECT a.vec_id, a.label, b.label AS lb, 1 - {COS}(a.{V}, b.{V}) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+m AS (SELECT vec_id, label, lb, avg(d) AS d FROM p GROUP BY vec_id, label, lb),
+s AS (SELECT vec_id, label, max(CASE WHEN lb = label THEN d END) AS own, min(CASE WHEN lb <> label THEN d END) AS other FROM m GROUP BY vec_id, label)
+SELECT vec_id, label, round(own, 6) AS own, round(other, 6) AS other, round(CASE WHEN own IS NULL THEN 0.0 ELSE (other - own) / greatest(own, other) END, 6) AS silhouette FROM s"""
+
+
 PART = "embedding[{a}:{b}]::DOUBLE[]"
 P = [PART.format(a=16 * k + 1, b=16 * k + 16) for k in range(4)]
 Q = [f"q[{16 * k + 1}:{16 * k + 16}]" for k in range(4)]
@@ -219,5 +303,13 @@ QUERIES = {
     "calibration_lens": (lens_applied, None),
     "calibration_matrix_index": (matrix_index, "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings"),
     "calibration_sampling": (sampled, None),
+    "calibration_fit": (fitted, None),
+    "calibration_bounds": (lens_bounds, None),
+    "calibration_export": (exported, f"WITH {SCORED}, x AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings) SELECT a.idx AS i, b.idx AS j, cosine, score AS reranker FROM s JOIN x a ON a.vec_id = query_id JOIN x b ON b.vec_id = row_id"),
+    "calibration_decision": (decision, None),
+    "calibration_hard_negatives": (hard_negatives, HARD_SQL),
+    "calibration_sampled_top": (sampled_top, f"WITH {SCORED} SELECT query_id, row_id, cosine FROM s WHERE {CHANCE.format(key="query_id || ':' || row_id")} < 0.1 ORDER BY cosine DESC, query_id, row_id LIMIT 50"),
+    "calibration_stratified": (stratified, None),
+    "vector_silhouette": (silhouette, SILHOUETTE_SQL),
     "vector_label_cohesion": (label_cohesion, "WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), c AS (SELECT label, k, avg(v) AS m FROM x GROUP BY label, k), s AS (SELECT x.label, vec_id, sum(v * m) / sqrt(sum(v * v) * sum(m * m)) AS c FROM x JOIN c ON c.label = x.label AND c.k = x.k GROUP BY x.label, vec_id) SELECT label, round(avg(c), 6) AS cohesion, count(*) AS n FROM s GROUP BY label"),
 }
