@@ -26,6 +26,8 @@ from lensgraph.shared import _path, new_folder, partitions, written
 
 #: Bytes of input that one batch of the stream takes, about.
 BATCH_BYTES = 256 << 30
+#: Bits of the bitmap of hits: 4 MB.
+FILTER_BITS = 25
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -53,8 +55,9 @@ class Store:
         """Takes all files of `path` that the store has not seen, `batch_bytes` of them at a time, and ends."""
         spark = self.spark
         session = spark.newSession()  # the provider is set for this stream alone
-        for key, value in (("stateStore.providerClass", ROCKSDB), ("stateStore.rocksdb.boundedMemoryUsage", "true")):
-            session.conf.set(f"spark.sql.streaming.{key}", value)
+        # a store is closed once its task has committed, so that an executor holds on disk and in memory what runs just now
+        for key, value in (("providerClass", ROCKSDB), ("rocksdb.boundedMemoryUsage", "true"), ("unloadOnCommit", "true")):
+            session.conf.set(f"spark.sql.streaming.stateStore.{key}", value)
         session.conf.set("spark.sql.shuffle.partitions", partitions(spark))
         store, place = _path(spark, path)
         if store.getFileStatus(place).isFile():  # a stream reads folders, or what a pattern names
@@ -93,14 +96,16 @@ class Store:
     def _clashes(self, texts: DataFrame, hits: DataFrame) -> DataFrame:
         """Digests of hits whose texts differ in some byte.
 
-        Hits that are few enough to be broadcast are known to the readers, and no other text leaves its task; beyond that
-        all different texts are grouped, since a join would shuffle them once more.
+        A bitmap of fixed size, which readers are given, has a bit for each hit: texts without theirs are no hits and stay
+        in their task. Where it is full of hits all different texts are grouped, which costs more and finds the same.
         """
-        size = int(hits._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-        limit = int(self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-        if size <= limit:
-            texts = texts.join(F.broadcast(hits.select("digest")), "digest", "left_semi")
-        different = texts.groupBy("digest", "text").agg(F.count("*").alias("n"))
+        slot = (F.pmod(F.xxhash64("digest"), F.lit(1 << FILTER_BITS)) + 1).alias("slot")
+        bucket, bit = F.bitmap_bucket_number("slot"), F.bitmap_bit_position("slot")
+        marked = hits.select(slot).select(bucket.alias("bucket"), bit.alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        asked = texts.select("digest", "text", slot).select("digest", "text", bucket.alias("bucket"), bit.alias("bit"))
+        is_set = F.expr("shiftright(int(conv(hex(substring(bits, int(bit div 8) + 1, 1)), 16, 10)), int(bit % 8)) & 1 = 1")
+        near = asked.join(F.broadcast(marked), "bucket").filter(is_set)  # at most 2^FILTER_BITS bits
+        different = near.groupBy("digest", "text").agg(F.count("*").alias("n"))
         return different.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").select("digest")
 
 

@@ -45,18 +45,25 @@ def test_all_rows(spark, path):
     assert all(r.doc_id == r.keep_id for r in kept)
 
 
-@pytest.mark.parametrize("broadcast", [-1, 10 << 20])
-def test_digests_of_different_texts(spark, path, broadcast):
-    """One bit of digest: every digest is shared by many texts, so the bytes decide."""
-    store = exact_dedup.Store(spark, digest=lambda text: F.substring(F.unhex(F.sha2(text, 256)), 1, 1))
-    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
-    try:
-        for weak in (store, exact_dedup.Store(spark, digest=lambda text: F.lit(b"x"))):
-            weak.feed(path)
-            assert rows_of(weak.groups(path).withColumn("keep_id", F.col("keep.doc_id"))) == plain(ROWS)
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+@pytest.mark.parametrize("bits", [1, exact_dedup.FILTER_BITS])
+def test_digests_of_different_texts(spark, path, monkeypatch, bits):
+    """One byte of digest, or none: every digest is shared by many texts, so the bytes decide. Also with a bitmap of hits that is full."""
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+    for digest in (lambda text: F.substring(F.unhex(F.sha2(text, 256)), 1, 1), lambda text: F.lit(b"x")):
+        weak = exact_dedup.Store(spark, digest=digest)
+        weak.feed(path)
+        assert rows_of(weak.groups(path).withColumn("keep_id", F.col("keep.doc_id"))) == plain(ROWS)
+
+
+def test_only_hits_are_compared(spark, tmp_path, monkeypatch):
+    """Texts that reach the comparison are those of hits, but for the bitmap's rare mistakes."""
+    uri = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, f"text {i // 2 if i < 200 else i}") for i in range(3000)], "doc_id long, text string").write.parquet(uri)
+    store, seen = exact_dedup.Store(spark), []
+    store.feed(uri)
+    plain_group = type(spark.range(0)).groupBy
+    monkeypatch.setattr(type(spark.range(0)), "groupBy", lambda self, *c: (seen.append(self.count()) if c == ("digest", "text") else None) or plain_group(self, *c))
+    assert store.groups(uri).filter("group_size = 2").count() == 200 and 200 <= seen[0] < 220
 
 
 def test_state_grows_with_new_files(spark, tmp_path):
