@@ -79,12 +79,11 @@ class Aligner:
 
     def _ids(self, pieces: list[str]) -> list[tuple | None]:
         """Ids of each piece and the space before it as 16-bit integers, by A and by B; None if bytes differ."""
-        out, a_of, b_of = [], self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        out, b_of = [], self.b_bytes.__getitem__
         raw = [f" {p}" for p in pieces]
+        # A's tokens are bytes of the text itself: its vocabulary has every byte and nothing is normalised
         for text, a, b in zip(raw, self.a.encode_batch_fast(raw, add_special_tokens=False), self.b.encode(pieces, num_threads=1), strict=True):
-            ids, text = a.ids, text.encode()
-            whole = b"".join(map(a_of, ids)) == text == b"".join(map(b_of, b))
-            out.append((array("H", ids).tobytes(), array("H", b).tobytes()) if whole else None)
+            out.append((array("H", a.ids).tobytes(), array("H", b).tobytes()) if b"".join(map(b_of, b)) == text.encode() else None)
         return out
 
     def ids(self, texts: list[str]) -> list[tuple | None]:
@@ -99,13 +98,15 @@ class Aligner:
                     known[piece] = self.old[piece]
                 else:
                     fresh[piece] = None
+        long = [p for p in fresh if len(p) > MEMO_CHARS]
         if fresh:
-            fresh = dict(zip(fresh, self._ids(list(fresh)), strict=True))
-            known.update((p, x) for p, x in fresh.items() if len(p) <= MEMO_CHARS)
-        out = []
+            known.update(zip(fresh, self._ids(list(fresh)), strict=True))
+        of, out = known.__getitem__, []
         for pieces in cut:
-            held = [known[p] if p in known else fresh[p] for p in pieces]
+            held = list(map(of, pieces))
             out.append(tuple(b"".join(x) for x in zip(*held, strict=True)) if held and None not in held else None)
+        for piece in long:
+            del known[piece]
         return out
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
