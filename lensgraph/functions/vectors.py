@@ -33,7 +33,8 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def l2_normalize(a: Column, floor: float = 1e-8) -> Column:
     """Vector of length one; norms below `floor` count as it, so that a zero vector stays zero."""
-    return F.transform(doubles(a), lambda x: x / F.greatest(norm(a), F.lit(floor)))
+    # the norm is the one entry of an array, so that it is computed once and not for each component
+    return F.get(F.transform(F.array(F.greatest(norm(a), F.lit(floor))), lambda n: F.transform(doubles(a), lambda x: x / n)), F.lit(0))
 
 
 def mrl_truncate(a: Column, dim: int, normalize: bool = True) -> Column:

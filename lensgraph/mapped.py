@@ -54,3 +54,15 @@ def get(uri: str, kind: str, size: int) -> np.ndarray:
             with store.open_input_file(info.path) as f:
                 pieces.append(np.frombuffer(f.read(), kind))
     return np.concatenate(pieces)
+
+
+def drop(uri: str) -> None:
+    """Deletes an array that nothing reads any more."""
+    if path := _local(uri):
+        if os.path.exists(path):
+            os.remove(path)
+        return
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    store.delete_dir(path)

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lensgraph.shared import written
+from lensgraph import mapped
+from lensgraph.operators.csr import Csr
+from lensgraph.shared import Rounds, new_folder, partitions, written
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -33,9 +37,10 @@ def power_iteration(edges: DataFrame, rounds: int = 20, tolerance: float = 1e-4)
     links = written(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "weights")
     ids = links.select(F.col("src").alias("id")).distinct()
     n = ids.count()
+    held = Rounds(edges.sparkSession, "vector")
     now = ids.withColumn("value", F.lit(1.0 / max(1, n) ** 0.5))
     for _ in range(rounds):
-        new = written(links.join(now, links.dst == now.id).groupBy("src").agg(F.sum(F.col("weight") * F.col("value")).alias("value")).withColumnRenamed("src", "id"), "vector")
+        new = held.written(links.join(now, links.dst == now.id).groupBy("src").agg(F.sum(F.col("weight") * F.col("value")).alias("value")).withColumnRenamed("src", "id"))
         size = (new.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0) ** 0.5
         new = new.select("id", F.try_divide("value", F.lit(size)).alias("value"))
         moved = new.join(now.withColumnRenamed("value", "before"), "id").agg(F.sum((F.col("value") - F.col("before")) ** 2)).first()[0] or 0.0
@@ -52,14 +57,15 @@ def random_projection(edges: DataFrame, dim: int = 16, weights: tuple[float, ...
     both = written(undirected(edges), "both")
     chance = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(6))
     now = both.select(F.col("src").alias("id")).distinct().select("id", *[F.when(chance(k) == 0, 1.0).when(chance(k) == 1, -1.0).otherwise(0.0).alias(f"v{k}") for k in range(dim)])
+    steps, sums = Rounds(edges.sparkSession, "projection"), Rounds(edges.sparkSession, "sum")
     names = [f"v{k}" for k in range(dim)]
     total = now.select("id", *[(F.col(c) * weights[0]).alias(c) for c in names])
     for w in weights[1:]:
         mean = both.join(now, both.dst == now.id).groupBy("src").agg(*[F.avg(c).alias(c) for c in names])
         unit = mean.select(F.col("src").alias("id"), l2_normalize(F.array(*names)).alias("u"))
-        now = written(unit.select("id", *[F.get("u", F.lit(k)).alias(c) for k, c in enumerate(names)]), "projection")
+        now = steps.written(unit.select("id", *[F.get("u", F.lit(k)).alias(c) for k, c in enumerate(names)]))
         step = now.select("id", *[(F.col(c) * w).alias(f"{c}_") for c in names])
-        total = written(total.join(step, "id").select("id", *[(F.col(c) + F.col(f"{c}_")).alias(c) for c in names]), "sum")
+        total = sums.written(total.join(step, "id").select("id", *[(F.col(c) + F.col(f"{c}_")).alias(c) for c in names]))
     return total.select("id", F.array(*names).alias("vector"))
 
 
@@ -111,9 +117,10 @@ def least_action(edges: DataFrame, sources: DataFrame, rounds: int) -> DataFrame
     """(source, id, action): least sum of `weight` (not negative) over paths of at most `rounds` edges."""
     links = written(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "links")
     now = sources.select(F.col("id").alias("source"), "id").distinct().withColumn("action", F.lit(0.0))
+    held = Rounds(edges.sparkSession, "action")
     for _ in range(rounds):
         step = now.join(links, now.id == links.src).select("source", F.col("dst").alias("id"), (F.col("action") + F.col("weight")).alias("action"))
-        now = written(now.unionByName(step).groupBy("source", "id").agg(F.min("action").alias("action")), "action")
+        now = held.written(now.unionByName(step).groupBy("source", "id").agg(F.min("action").alias("action")))
     return now
 
 
@@ -168,9 +175,10 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, label): each node takes its neighbours' commonest label, the least of equals; all at once, `rounds` times."""
     both = written(undirected(edges), "both")
     now = both.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct()
+    held = Rounds(edges.sparkSession, "labels")
     for _ in range(rounds):
         votes = both.join(now, both.dst == now.id).groupBy("src", "label").agg(F.count("*").alias("n"))
-        now = written(votes.groupBy("src").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label")).withColumnRenamed("src", "id"), "labels")
+        now = held.written(votes.groupBy("src").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label")).withColumnRenamed("src", "id"))
     return now
 
 
@@ -184,29 +192,55 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def coloring(edges: DataFrame, priority: DataFrame) -> DataFrame:
-    """(id, color): greedy coloring in order of (priority, id), color from 1.
+    """(id, color): greedy coloring in order of (priority, id), color from 1; equals one pass in that order.
 
-    A node is colored in the round after all its neighbours of higher order, which gives what one pass in that order
-    gives. priority: (id, priority), a lower number first.
+    Nodes are numbered in that order and cut into as many ranges as there are partitions. In a round each task goes through
+    its range in order, over mapped adjacency and the colors of the round before, and colors every node whose earlier
+    neighbours have one. Dependencies only point to earlier ranges, so there are at most as many rounds as ranges, however
+    long the chains in the graph are. priority: (id, priority), a lower number first; edges to other nodes do not count.
     """
-    order = priority.select("id", "priority").distinct()
-    both = undirected(edges)
-    a, b = order.toDF("src", "pa"), order.toDF("dst", "pb")
-    before = (F.col("pb") < F.col("pa")) | ((F.col("pb") == F.col("pa")) & (F.col("dst") < F.col("src")))
-    waits = written(both.join(a, "src").join(b, "dst").filter(before).select(F.col("src").alias("id"), F.col("dst").alias("prior")), "waits")
-    need = written(order.select("id").join(waits.groupBy("id").agg(F.count("*").alias("need")), "id", "left").na.fill(0, ["need"]), "need")
-    done = written(need.filter("need = 0").select("id", F.lit(1).alias("color")), "colors")
-    last, total, count = done, need.count(), done.count()
-    while count < total:
-        have = waits.join(done.withColumnRenamed("id", "prior"), "prior").groupBy("id").agg(F.count("*").alias("have"), F.collect_set("color").alias("used"))
-        free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("used") + 1), "used"))
-        last = have.join(need, "id").filter("have = need").join(done, "id", "left_anti").select("id", free.alias("color"))
-        done = written(done.unionByName(last), "colors")
-        new = done.count()
-        if new == count:
-            raise RuntimeError("coloring stopped")
-        count = new
-    return done
+    order = priority.select("id", "priority").dropna().distinct()
+    key = order.select("id", F.struct("priority", "id").alias("key"))
+    both = undirected(edges).join(key.toDF("src", "a"), "src").join(key.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    graph = Csr(both, key.select(F.col("key").alias("id")))
+    spark, n = edges.sparkSession, graph.n
+    uri, ranges = new_folder(spark, "colors"), max(1, min(n, partitions(spark)))
+    cuts = [n * k // ranges for k in range(ranges + 1)]
+
+    def round_of(number: int):
+        def run(batches):
+            starts, targets = graph.arrays()
+            for batch in batches:
+                for part in batch.column(0).to_pylist():
+                    low, high = cuts[part], cuts[part + 1]
+                    before = mapped.get(f"{uri}/{number - 1}", "<i4", n) if number else np.zeros(n, np.int32)
+                    own = np.array(before[low:high])
+                    for v in np.flatnonzero(own == 0):
+                        near = np.asarray(targets[starts[low + v] : starts[low + v + 1]])
+                        near = near[near < low + v]
+                        used = np.where(near >= low, own[np.maximum(near - low, 0)], before[near])
+                        if (used > 0).all():
+                            free = np.ones(len(used) + 2, bool)
+                            free[0] = False
+                            free[used[used < len(free)]] = False
+                            own[v] = int(free.argmax())
+                    mapped.put(f"{uri}/{number}", low, own.astype("<i4"))
+                    yield pa.RecordBatch.from_pydict({"open": [int((own == 0).sum())]})
+
+        return run
+
+    tasks, number = spark.range(0, ranges, 1, ranges), 0
+    while n and tasks.mapInArrow(round_of(number), "open long").agg(F.sum("open")).first()[0]:
+        if number > 1:
+            mapped.drop(f"{uri}/{number - 2}")
+        number += 1
+
+    def told(batches):
+        colors = mapped.get(f"{uri}/{number}", "<i4", n)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(colors[batch.column(1).to_numpy()], pa.int32())], names=["id", "color"])
+
+    return graph.numbers.select("id.id", "number").mapInArrow(told, f"id {order.schema['id'].dataType.simpleString()}, color int")
 
 
 def composed(edges: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:

@@ -331,26 +331,6 @@ def navigation(spark, d):
     return a.join(b, F.col("b.parent") == F.col("a.child"), "left").join(c, F.col("c.parent") == F.col("b.child"), "left").groupBy(F.col("a.child").alias("hub"), F.col("b.child").alias("domain")).agg(F.count("c.child").alias("files"))
 
 
-def hub_invariants(spark, d):
-    """Of the star of a hub and its domains: degree n - 1, and a diameter of 2 from three nodes on."""
-    h = hierarchy(spark, d).filter("level = 1")
-    return h.groupBy("parent").agg(F.count("*").alias("degree")).select(F.col("parent").alias("hub"), "degree", (F.col("degree") + 1).alias("nodes"), F.when(F.col("degree") > 1, 2).otherwise(F.col("degree")).cast("int").alias("diameter"))
-
-
-def semantic_distance(spark, d):
-    """Hops weighted by the distance of their ends: here the difference of part sizes over 50."""
-    n = nodes(spark, d).select("id", "size")
-    e = calls(spark, d).join(n.toDF("src", "sa"), "src").join(n.toDF("dst", "sb"), "dst").select("src", "dst", (F.abs(F.col("sa") - F.col("sb")) / 50).alias("weight"))
-    return _round(graph.least_action(e, starts(spark, d), 2), "action").groupBy("source").agg(F.count("*").alias("nodes"), F.round(F.sum("action"), 4).alias("total"))
-
-
-SEMANTIC_SQL = f"""{REC}, calls AS ({CALLS}), weighed AS (SELECT c.src, c.dst, abs(a.p_size - b.p_size) / 50.0::DOUBLE AS weight FROM calls c JOIN part a ON a.p_partkey = c.src JOIN part b ON b.p_partkey = c.dst), walk AS (
-  SELECT p_partkey AS source, p_partkey AS id, 0 AS hops, 0.0::DOUBLE AS action FROM part WHERE p_partkey % 100 = 0
-  UNION SELECT w.source, c.dst, w.hops + 1, w.action + c.weight FROM walk w JOIN weighed c ON c.src = w.id WHERE w.hops < 2
-), least AS (SELECT source, id, round(min(action), 6) AS action FROM walk GROUP BY source, id)
-SELECT source, count(*) AS nodes, round(sum(action), 4) AS total FROM least GROUP BY source"""
-
-
 def participation(spark, d):
     """Hypergraph incidence: an order is a hyperedge, its lines' parts take part as source (even line) or target."""
     inc = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_orderkey").alias("hyperedge"), F.when(F.col("l_linenumber") % 2 == 0, "SOURCE").otherwise("TARGET").alias("direction"), F.col("l_returnflag").alias("edge_type"))
@@ -412,8 +392,6 @@ QUERIES = {
     "graph_sheaf_score": (sheaf_score, f"{WITH} SELECT a.p_type AS kind, round((2.0::DOUBLE * sum(CASE WHEN a.p_type = b.p_type THEN 1 ELSE 0 END) - count(*)) / count(*), 6) AS score FROM edges e JOIN part a ON a.p_partkey = e.src JOIN part b ON b.p_partkey = e.dst GROUP BY a.p_type"),
     "graph_sensitive_flow": (sensitive_flow, f"{WITH} SELECT y.dst AS data, count(DISTINCT x.src) AS guards, count(DISTINCT x.dst) AS processes FROM edges x JOIN edges y ON y.src = x.dst JOIN part p ON p.p_partkey = y.dst WHERE x.rel_type = 'DEPENDS_ON' AND y.rel_type = 'IMPORTS' AND p.p_type = 'PROMO' AND p.p_size > 45 GROUP BY y.dst"),
     "graph_hub_navigation": (navigation, "SELECT 'hub:' || r_regionkey AS hub, 'domain:' || n_nationkey AS domain, count(c_custkey) AS files FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY r_regionkey, n_nationkey"),
-    "graph_hub_invariants": (hub_invariants, "SELECT 'hub:' || n_regionkey AS hub, count(*) AS degree, count(*) + 1 AS nodes, (CASE WHEN count(*) > 1 THEN 2 ELSE count(*) END)::INT AS diameter FROM nation GROUP BY n_regionkey"),
-    "graph_semantic_distance": (semantic_distance, SEMANTIC_SQL),
     "hypergraph_participation": (participation, "SELECT l_partkey AS node, sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS source_count, sum(CASE WHEN l_linenumber % 2 = 0 THEN 0 ELSE 1 END)::BIGINT AS target_count, count(DISTINCT l_returnflag) AS types, count(DISTINCT l_orderkey) AS hyperedges FROM lineitem GROUP BY l_partkey"),
     "hypergraph_detach_delete": (detach_delete, "WITH kept AS (SELECT * FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 7)) SELECT (SELECT count(*) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM kept)) AS hyperedges, (SELECT count(*) FROM kept) AS incidence, (SELECT count(*) FROM part WHERE p_size > 7) AS nodes"),
     "graph_method_counts": (method_counts, f"{WITH} SELECT src, rel_type, count(*) AS targets FROM edges GROUP BY src, rel_type"),
