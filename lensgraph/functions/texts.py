@@ -93,6 +93,29 @@ def first_match(rules: list[tuple[Column, str, str, float]]) -> tuple[Column, Co
     return label, confidence
 
 
+def phased(phases: list[list[tuple[Column, str, str, float]]]) -> tuple[Column, Column]:
+    """Label and confidence over phases of rules: in each the first rule that matches, and a later phase overrides an earlier one."""
+    found = [first_match(rules) for rules in phases[::-1]]
+    return F.coalesce(*[label for label, _ in found]), F.coalesce(*[sure for _, sure in found])
+
+
+def indexed(is_class: Column, is_interface: Column, is_public: Column, lines: Column, is_configuration: Column, annotations: Column, complexity: Column) -> Column:
+    """Whether an element becomes a node: any of six conditions (fixed values); a null counts as not met."""
+    marks = F.array(*[F.lit(x) for x in ("@Service", "@Controller", "@Component")])
+    conditions = [is_class, is_interface, is_public & (lines > 20), is_configuration, F.arrays_overlap(annotations, marks), complexity > 10]
+    met = F.coalesce(conditions[0], F.lit(False))
+    for c in conditions[1:]:
+        met = met | F.coalesce(c, F.lit(False))
+    return met
+
+
+def cut_words(text: Column, length: int, prefix: str, suffix: str) -> Column:
+    """prefix, the text's leading words and suffix, `length` words in all; the text alone is cut, to none if need be."""
+    room = max(0, length - len(prefix.split()) - len(suffix.split()))
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    return F.concat_ws(" ", F.lit(prefix), F.nullif(F.array_join(F.slice(words, 1, room), " "), F.lit("")) if room else F.lit(None).cast("string"), F.lit(suffix))
+
+
 def domain(package: Column) -> Column:
     """Third part of a package under com., else the first part of a dotted one, else core."""
     parts = F.split(package, r"\.")

@@ -61,6 +61,33 @@ class OverlapScorer:
         return out
 
 
+class Retrying:
+    """An encoder that tries each of its encoders in turn, `tries` times each, until one answers; all must have one width.
+
+    What the last one raises goes on. Retries stay in the worker, so a failing call costs no task.
+    """
+
+    def __init__(self, encoders: tuple, tries: int = 3):
+        if len({e.dimension for e in encoders}) != 1:
+            raise ValueError("the encoders' widths differ")
+        self.encoders, self.tries, self.dimension = tuple(encoders), tries, encoders[0].dimension
+        self.model_id = "+".join(e.model_id for e in encoders)
+
+    def load(self) -> Retrying:
+        self.live = [e.load() for e in self.encoders]
+        return self
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        fault: Exception | None = None
+        for encoder in self.live:
+            for _ in range(self.tries):
+                try:
+                    return encoder.encode(texts)
+                except Exception as e:  # noqa: BLE001  whatever a client raises; kept and raised if all fail
+                    fault = e
+        raise fault
+
+
 def _worker(model):
     """The model of this worker, loaded at first use."""
     key = (type(model), tuple(sorted(vars(model).items())))
@@ -131,6 +158,24 @@ def score(pairs: DataFrame, scorer, a: str, b: str, instruction: Column | None =
     return got.withColumn("interpretation", interpretation(F.col("score")))
 
 
+def score_by_id(pairs: DataFrame, texts: DataFrame, scorer, symmetric: bool = False) -> DataFrame:
+    """(pair_id, score, interpretation, status) of pairs (pair_id, a_id, b_id) over texts (id, text).
+
+    A pair whose text is missing or null has a null score and status MISSING, else OK; every pair has its row.
+    """
+    a, b = texts.select(F.col("id").alias("a_id"), F.col("text").alias("a")), texts.select(F.col("id").alias("b_id"), F.col("text").alias("b"))
+    both = pairs.select("pair_id", "a_id", "b_id").join(a, "a_id", "left").join(b, "b_id", "left").select("pair_id", "a", "b")
+    out = score(both, scorer, "a", "b", symmetric=symmetric)
+    return out.select("pair_id", "score", "interpretation", F.when(F.col("score").isNull(), "MISSING").otherwise("OK").alias("status"))
+
+
+def score_batch(requests: DataFrame, scorer) -> DataFrame:
+    """(request_id, position, score, interpretation): one row for each document of (request_id, query, documents), position
+    from 0 being its place in the array, so that answers can be put in the order asked."""
+    rows = requests.select("request_id", "query", F.posexplode("documents").alias("position", "document"))
+    return score(rows, scorer, "query", "document").select("request_id", "position", "score", "interpretation")
+
+
 def rerank(queries: DataFrame, documents: DataFrame, scorer, k: int = 10) -> DataFrame:
     """For (query_id, query) and (query_id, doc_id, document): the k best documents of each query, ties by doc_id."""
     from pyspark.sql import Window

@@ -10,7 +10,7 @@ from lensgraph.functions.vectors import cosine, mrl_truncate, norm
 from lensgraph.operators import models
 from lensgraph.shared import new_folder
 from lensgraph.sources import files
-from lensgraph.sources.tables import edges, nodes, table
+from lensgraph.sources.tables import LINKS_SQL, edges, nodes, table
 from lensgraph.streaming import watch
 
 LENS_TEXTS = {"structural": "Describe the structure", "semantic": "Describe the meaning", "behavioral": "Describe the behavior"}
@@ -89,12 +89,12 @@ def streamed_latency(spark, d):
 QUERIES = {
     "model_embed": (embed, None),
     "model_embed_triple": (embed_triple, "SELECT lens, substr(sha256(t), 1, 8) AS lens_hash, (SELECT count(*) FROM benchmark) AS vectors FROM (VALUES ('structural', 'Describe the structure'), ('semantic', 'Describe the meaning'), ('behavioral', 'Describe the behavior')) l(lens, t)"),
-    "model_embedding_cache": (embedding_cache, None),
+    "model_embedding_cache": (embedding_cache, "SELECT hit, count(*) AS texts FROM (SELECT text, bool_or(item_id % 2 = 0) AS hit FROM benchmark GROUP BY text) GROUP BY hit"),
     "model_score_pairs": (score_pairs, None),
     "model_rerank": (rerank, None),
     "model_embed_request": (embed_request, "SELECT 200 AS status, n_nationkey::BIGINT AS idx, 128 AS width FROM nation WHERE n_nationkey < 5"),
     "model_lens_versions": (lens_versions, "SELECT * FROM (VALUES ('structural', true), ('semantic', false), ('behavioral', true)) v(lens, current)"),
     "model_divergence": (divergence_report, None),
-    "sink_graph_export": (graph_export, None),
+    "sink_graph_export": (graph_export, f"WITH {LINKS_SQL.strip()} SELECT rel_type, count(*) AS edges, (SELECT count(*) FROM part) AS nodes FROM edges GROUP BY rel_type"),
     "stream_latency": (streamed_latency, "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, count(*) AS n, round(avg(value), 6) AS latency, avg(value) > 200 AS optimize, avg(value) < 100 AS healthy FROM events GROUP BY 1"),
 }

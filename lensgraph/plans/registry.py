@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lensgraph.plans import graphs, indexing, models, networks, reports, vectors
+from lensgraph.plans import graphs, indexing, models, networks, reports, services, vectors
 
-MODULES = (graphs, networks, vectors, indexing, reports, models)
+MODULES = (graphs, networks, vectors, indexing, reports, models, services)
 
 
 def queries() -> dict:

@@ -288,7 +288,7 @@ QUERIES = {
     "text_basenames": (basenames, "SELECT page_id, regexp_extract(url, '[^/]*$') AS name, len(string_split(html, chr(10)))::INT AS lines, length(substr(html, 1, 1000))::INT AS head FROM pages"),
     "text_behavior": (behaviors, BEHAVIOR_SQL),
     "text_context": (contexts, "SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) || CASE WHEN count(*) > 5 THEN chr(10) || chr(10) || 'long' ELSE '' END AS context FROM conversations GROUP BY conv_id"),
-    "confidence_fold": (confidence_fold, None),
+    "confidence_fold": (confidence_fold, "WITH e AS (SELECT user_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, round(sum(CASE WHEN ok THEN pow(3.0::DOUBLE, -r) ELSE 0 END) + 0.5::DOUBLE * pow(3.0::DOUBLE, -max(r)), 6) AS confidence FROM e GROUP BY user_id"),
     "pattern_library": (pattern_library, None),
     "pattern_match": (pattern_match, "WITH e AS (SELECT event_id, event_type AS kind, value, json_extract(props, '$.k')::DOUBLE AS ek FROM events), p AS (SELECT event_type, avg(value) AS v, avg(json_extract(props, '$.k')::DOUBLE) AS k FROM events GROUP BY 1), s AS (SELECT p.event_type, 1 / (1 + abs(value - v) / 10) AS a, CASE WHEN ek < 50 THEN 1 / (1 + abs(ek - k) / 100) END AS b, CASE WHEN kind = p.event_type THEN 1.0::DOUBLE ELSE 0 END AS c FROM e, p), m AS (SELECT event_type, (a + coalesce(b, 0) + c) / (2 + (b IS NOT NULL)::INT) AS s FROM s) SELECT event_type, count(*) AS matches, round(avg(s), 6) AS similarity FROM m WHERE s > 0.7 GROUP BY event_type"),
     "session_history": (history, "WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS recency FROM events) SELECT * FROM r WHERE recency <= 10"),

@@ -26,13 +26,13 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSION
     )
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, vectors: tuple[str, ...] = ("embedding",)) -> None:
-    """Nodes, vectors and edges as Parquet; vectors in a table of their own, edges by relation."""
+def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, vectors: tuple[str, ...] = ("embedding",), mode: str = "overwrite") -> None:
+    """Nodes, vectors and edges as Parquet; vectors in a table of their own, edges by relation. mode "append" adds to what is there."""
     own = [c for c in nodes.columns if c in vectors]
-    nodes.drop(*own).write.mode("overwrite").parquet(f"{folder}/nodes")
+    nodes.drop(*own).write.mode(mode).parquet(f"{folder}/nodes")
     if own:
-        nodes.select("id", *own).write.mode("overwrite").parquet(f"{folder}/vectors")
-    edges.write.mode("overwrite").partitionBy("rel_type").parquet(f"{folder}/edges")
+        nodes.select("id", *own).write.mode(mode).parquet(f"{folder}/vectors")
+    edges.write.mode(mode).partitionBy("rel_type").parquet(f"{folder}/edges")
 
 
 def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
