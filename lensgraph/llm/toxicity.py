@@ -1,6 +1,6 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
-A word's bag holds its character 3- to 5-grams, with a mark at either end, hashed to BUCKETS rows of an embedding. A
+A word's bag holds its character 3- to 6-grams, with a mark at either end, hashed to BUCKETS rows of an embedding. A
 window of WINDOW words is the mean of its bags' rows; a softmax over two classes reads it. A text is as toxic as its
 most toxic window, since a few words decide. Training goes in rounds: under the present model each labelled text gives
 its most toxic window (first: the words that toxic texts hold far more often), toxic texts also misspelt copies of theirs, and embedding, softmax and bias are trained on all
