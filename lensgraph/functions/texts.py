@@ -46,7 +46,13 @@ def instruct(text: Column, instruction: Column) -> Column:
     return F.when(instruction.isNull() | (instruction == ""), text).otherwise(F.concat(F.lit("Instruct: "), instruction, F.lit("\nQuery: "), text))
 
 
-def rerank_prompt(query: Column, document: Column, instruction: Column) -> Column:
+#: The instruction of a prompt that has none of its own (fixed value).
+INSTRUCTION = "Given a web search query, retrieve relevant passages that answer the query"
+
+
+def rerank_prompt(query: Column, document: Column, instruction: Column | None = None) -> Column:
+    """Three lines; INSTRUCTION where none is given, or a null one."""
+    instruction = F.lit(INSTRUCTION) if instruction is None else F.coalesce(instruction, F.lit(INSTRUCTION))
     return F.concat(F.lit("<Instruct>: "), instruction, F.lit("\n<Query>: "), query, F.lit("\n<Document>: "), document)
 
 

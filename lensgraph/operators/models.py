@@ -72,6 +72,7 @@ class Retrying:
             raise ValueError("the encoders' widths differ")
         self.encoders, self.tries, self.dimension = tuple(encoders), tries, encoders[0].dimension
         self.model_id = "+".join(e.model_id for e in encoders)
+        self.key = (Retrying, tries, *(_key(e) for e in encoders))
 
     def load(self) -> Retrying:
         self.live = [e.load() for e in self.encoders]
@@ -88,9 +89,14 @@ class Retrying:
         raise fault
 
 
+def _key(model) -> tuple:
+    """What tells models apart: their own `key`, or type and parameters."""
+    return getattr(model, "key", None) or (type(model), tuple(sorted(vars(model).items())))
+
+
 def _worker(model):
     """The model of this worker, loaded at first use."""
-    key = (type(model), tuple(sorted(vars(model).items())))
+    key = _key(model)
     if key not in _loaded:
         _loaded[key] = model.load()
     return _loaded[key]

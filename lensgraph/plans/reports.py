@@ -131,9 +131,10 @@ def pattern_match(spark, d):
     """Patterns against events: mean of the similarities there are, kept above .7, ranked by similarity times confidence."""
     p = table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("v"), F.avg(F.get_json_object("props", "$.k").cast("double")).alias("k"))
     e = table(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), "value", F.get_json_object("props", "$.k").cast("double").alias("ek"))
-    j = e.crossJoin(F.broadcast(p))  # one row an event type
+    # without the same type at most two of three parts, or one of two, are there: never above .7, so only equal types meet
+    j = e.join(p, F.col("kind") == F.col("event_type"))
     a, b = 1 / (1 + F.abs(F.col("value") - F.col("v")) / 10), F.when(F.col("ek") < 50, 1 / (1 + F.abs(F.col("ek") - F.col("k")) / 100))
-    c = F.when(F.col("kind") == F.col("event_type"), 1.0).otherwise(0.0)
+    c = F.lit(1.0)
     sim = (a + F.coalesce(b, F.lit(0.0)) + c) / (2 + F.when(b.isNotNull(), 1).otherwise(0))
     return j.select("event_type", sim.alias("s")).filter("s > 0.7").groupBy("event_type").agg(F.count("*").alias("matches"), F.round(F.avg("s"), 6).alias("similarity"))
 
@@ -289,7 +290,7 @@ QUERIES = {
     "text_behavior": (behaviors, BEHAVIOR_SQL),
     "text_context": (contexts, "SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) || CASE WHEN count(*) > 5 THEN chr(10) || chr(10) || 'long' ELSE '' END AS context FROM conversations GROUP BY conv_id"),
     "confidence_fold": (confidence_fold, "WITH e AS (SELECT user_id, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, round(sum(CASE WHEN ok THEN pow(3.0::DOUBLE, -r) ELSE 0 END) + 0.5::DOUBLE * pow(3.0::DOUBLE, -max(r)), 6) AS confidence FROM e GROUP BY user_id"),
-    "pattern_library": (pattern_library, None),
+    "pattern_library": (pattern_library, "WITH e AS (SELECT user_id, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events), g AS (SELECT user_id, max(r) FILTER (WHERE ok) AS uses, count(*) FILTER (WHERE ok) AS successes, sum(pow(3.0::DOUBLE, -r)) FILTER (WHERE ok) AS s FROM e GROUP BY user_id) SELECT user_id, uses::INT AS uses, successes::INT AS successes, round(s + 0.8::DOUBLE * pow(3.0::DOUBLE, -uses), 6) AS confidence, least(uses, 10)::INT AS examples FROM g WHERE uses IS NOT NULL"),
     "pattern_match": (pattern_match, "WITH e AS (SELECT event_id, event_type AS kind, value, json_extract(props, '$.k')::DOUBLE AS ek FROM events), p AS (SELECT event_type, avg(value) AS v, avg(json_extract(props, '$.k')::DOUBLE) AS k FROM events GROUP BY 1), s AS (SELECT p.event_type, 1 / (1 + abs(value - v) / 10) AS a, CASE WHEN ek < 50 THEN 1 / (1 + abs(ek - k) / 100) END AS b, CASE WHEN kind = p.event_type THEN 1.0::DOUBLE ELSE 0 END AS c FROM e, p), m AS (SELECT event_type, (a + coalesce(b, 0) + c) / (2 + (b IS NOT NULL)::INT) AS s FROM s) SELECT event_type, count(*) AS matches, round(avg(s), 6) AS similarity FROM m WHERE s > 0.7 GROUP BY event_type"),
     "session_history": (history, "WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS recency FROM events) SELECT * FROM r WHERE recency <= 10"),
     "consensus_majority": (majority, "WITH n AS (SELECT l_partkey, l_returnflag, count(*) AS votes, sum(l_discount) AS s FROM lineitem GROUP BY 1, 2), r AS (SELECT *, sum(votes) OVER (PARTITION BY l_partkey)::BIGINT AS total, sum(s) OVER (PARTITION BY l_partkey) AS t, row_number() OVER (PARTITION BY l_partkey ORDER BY votes DESC, l_returnflag) AS rn FROM n) SELECT l_partkey, l_returnflag, votes, total, round(t / total, 6) AS confidence FROM r WHERE rn = 1"),

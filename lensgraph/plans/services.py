@@ -105,7 +105,15 @@ def calibration_dashboard(spark, d):
     return out.select("pending", "completed", F.round(F.try_divide(F.col("completed") * 100.0, F.col("pending") + F.col("completed")), 6).alias("progress"), F.round("g", 6).alias("average"), said.alias("interpretation"))
 
 
+def fallback(spark, d):
+    """Prompts of the parts: every second part has an instruction of its own."""
+    n = table(spark, d, "part")
+    own = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("Judge "), "p_type"))
+    return n.select(F.col("p_partkey").alias("id"), F.md5(texts.rerank_prompt(F.col("p_name"), F.col("p_brand"), own).cast("binary")).alias("prompt"))
+
+
 QUERIES = {
+    "text_prompt_fallback": (fallback, f"SELECT p_partkey AS id, md5('<Instruct>: ' || CASE WHEN p_partkey % 2 = 0 THEN 'Judge ' || p_type ELSE '{texts.INSTRUCTION}' END || chr(10) || '<Query>: ' || p_name || chr(10) || '<Document>: ' || p_brand) AS prompt FROM part"),
     "model_pair_scores": (pair_ids, PAIR_SQL),
     "model_batch_scores": (batch_scores, BATCH_SQL),
     "model_info": (model_info, "SELECT 'hashing-encoder-256' AS model_id, lens, substr(sha256(t), 1, 8) AS lens_hash, true AS timed FROM (VALUES ('structural', 'Describe the structure'), ('semantic', 'Describe the meaning'), ('behavioral', 'Describe the behavior')) l(lens, t)"),

@@ -281,13 +281,18 @@ Q = [f"q[{16 * k + 1}:{16 * k + 16}]" for k in range(4)]
 PARTS = [f"{COS}({P[k]}, {Q[k]})" for k in range(3)]
 DOT = "list_dot_product"
 
+FUSION_SQL = f"""WITH {QUERY}, e AS (SELECT vec_id, {P[0]} AS a, {P[1]} AS b, {P[2]} AS c, list_dot_product(q[49:64], {P[0]}) AS x, list_dot_product(q[49:64], {P[1]}) AS y, list_dot_product(q[49:64], {P[2]}) AS z FROM embeddings, q),
+w AS (SELECT *, exp(x) / (exp(x) + exp(y) + exp(z)) AS u, exp(y) / (exp(x) + exp(y) + exp(z)) AS v, exp(z) / (exp(x) + exp(y) + exp(z)) AS t FROM e),
+n AS (SELECT vec_id, unnest(a) AS a, unnest(b) AS b, unnest(c) AS c, u, v, t FROM w)
+SELECT vec_id, 48::INT AS concat_width, round(sqrt(sum(pow(0.5::DOUBLE * a + 0.25::DOUBLE * b + 0.25::DOUBLE * c, 2))), 6) AS weighted_norm, round(sqrt(sum(pow(u * a + v * b + t * c, 2))), 6) AS attention_norm FROM n GROUP BY vec_id"""
+
 QUERIES = {
     "cosine_top_k": (cosine_top_k, f"WITH {QUERY}, s AS (SELECT vec_id, {COS}({V}, q) AS score FROM embeddings, q) SELECT vec_id, round(score, 6) AS score FROM s WHERE score > 0 ORDER BY s.score DESC, vec_id LIMIT 20"),
     "vector_scores": (cosine_scores, f"WITH {QUERY} SELECT vec_id, round({COS}({V}, q), 6) AS cosine, round(1 - {COS}({V}, q), 6) AS distance, round({DOT}({V}, q), 6) AS dot, round(sqrt({DOT}({V}, {V})), 6) AS norm FROM embeddings, q"),
     "vector_mrl_truncate": (mrl, f"WITH x AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings), y AS (SELECT vec_id, v, sqrt({DOT}(v, v)) AS n FROM x) SELECT vec_id, len(v)::INT AS width, round(v[1] / n, 6) AS head, round(v[16] / n, 6) AS tail, 1.0::DOUBLE AS norm FROM y"),
     "vector_tri_lens": (tri_lens, f"WITH {QUERY}, s AS (SELECT vec_id, {PARTS[0]} * 0.5::DOUBLE + {PARTS[1]} * 0.25::DOUBLE + {PARTS[2]} * 0.25::DOUBLE AS score FROM embeddings, q) SELECT vec_id, round(score, 6) AS score FROM s WHERE score > 0.1 ORDER BY s.score DESC, vec_id LIMIT 20"),
     "vector_triple_similar": (triple_similar, f"WITH {QUERY}, s AS (SELECT vec_id, {PARTS[0]} AS a, {PARTS[1]} AS b, {PARTS[2]} AS c FROM embeddings, q) SELECT vec_id, round(least(a, b, c), 6) AS least FROM s WHERE a > 0.05 AND b > 0.05 AND c > 0.05"),
-    "vector_fusion": (fusion, None),
+    "vector_fusion": (fusion, FUSION_SQL),
     "vector_manifold_distance": (manifold, f"WITH {QUERY} SELECT vec_id, round(sqrt(pow(1 - {PARTS[0]}, 2) + pow(1 - {PARTS[1]}, 2) + pow(1 - {PARTS[2]}, 2)), 6) AS distance FROM embeddings, q"),
     "vector_knn": (knn, f"WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, {COS}(a.{V}, b.{V}) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id)::INT AS rank FROM s) SELECT query_id, row_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5"),
     "vector_index_search": (indexed, None),
