@@ -1,11 +1,12 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax, trained jointly in numpy.
 
 A word's bag holds its character 3- to 6-grams, with a mark at either end, hashed to BUCKETS rows of an embedding. A
-window of WINDOW words is the mean of its bags' rows; a softmax over two classes reads it. A text is as toxic as its
-most toxic window, since a few words decide. Training goes in rounds: under the present model each labelled text gives
-its most toxic window (first: the words that toxic texts hold far more often), toxic texts also misspelt copies of theirs, and embedding, softmax and bias are trained on all
-windows gathered so far. So misspellings that no text held share n-gram rows with what was seen. A last logistic step
-turns the highest window score into a probability for the text.
+window of WINDOW words is the mean of its bags' rows, and so is a whole text of all its n-grams; a softmax over two classes
+reads such a mean. A text's probability is a logistic function of its best window's score and of its own mean bag's, whose
+weights are learned with the labels (learned pooling): a few words may decide, and so may the text as a whole. Training
+goes in rounds: under the present model each labelled text gives its most toxic window (at first, as an initialisation, the
+words that toxic texts hold far more often), toxic texts also misspelt copies of theirs, and embedding, softmax and bias are
+trained on all windows gathered so far. So misspellings that no text held share n-gram rows with what was seen.
 
 As the softmax is linear, each bucket is one number once trained, and whole batches of texts are scored by running sums.
 
@@ -42,11 +43,19 @@ _FOLD[65:91] = np.arange(97, 123)
 
 @dataclass
 class Model:
+    """weights and bias score a bag; slope, whole and shift pool a text: its best window, its own mean bag, a constant."""
+
     weights: np.ndarray
     bias: float
     slope: float
+    whole: float
     shift: float
 
+    def chance(self, bags: Bags) -> np.ndarray:
+        """Per text the probability of label 1."""
+        high, _, mean = bags.pooled(self.weights, self.bias)
+        return 1 / (1 + np.exp(-np.clip(self.slope * high + self.whole * mean + self.shift, -30, 30)))
+
 
 class Bags:
     """The bags of many texts: for each n-gram its bucket and its word; for each word its text."""
@@ -88,8 +97,14 @@ class Bags:
 
     def best(self, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
         """Per text the highest window score, and the word where that window begins (-1: no words)."""
+        return self.pooled(weights, bias)[:2]
+
+    def pooled(self, weights: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text the highest window score, the word where that window begins (-1: no words), and the score of the text's own mean bag."""
         total, count = self.sums(weights)
         owner = np.repeat(np.arange(len(self.begins) - 1), np.diff(self.begins))
+        whole = [np.bincount(owner, weights=x, minlength=len(self.begins) - 1) for x in (total, count)]
+        mean = whole[0] / np.maximum(whole[1], 1) + bias
         for _ in range(WINDOW - 1):  # a window ends at its text's end
             follow = np.concatenate([owner[1:] == owner[:-1], [False]])
             total, count = total + np.where(follow, np.roll(total, -1), 0), count + np.where(follow, np.roll(count, -1), 0)
@@ -100,7 +115,7 @@ class Bags:
             out[has] = np.maximum.reduceat(score, self.begins[has])
             first = np.flatnonzero(score == out[owner])[::-1]
             where[owner[first]] = first
-        return out, where
+        return out, where, mean
 
     def word(self, i: int) -> bytes:
         return self.padded[self.start[i] : self.end[i]].tobytes()
@@ -138,7 +153,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
     rng = np.random.default_rng(SEED)
     share = float(labels.mean()) if len(labels) else 0.0
     if len(np.unique(labels)) < 2:
-        return Model(np.zeros(BUCKETS), 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
+        return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     # the first toxic windows begin at words that toxic texts hold far more often
     held: dict[bytes, list[int]] = {}
     for a, b in tokens.blocks(texts):  # a block at a time: the bags of all texts would not fit the driver
@@ -211,16 +226,16 @@ def fit(texts: list[str], labels: np.ndarray) -> Model:
                 grown[2] += g_bias**2
                 soft_bias -= RATE * 0.2 * g_bias / np.sqrt(grown[2])
         weights, bias = table @ (soft[:, 1] - soft[:, 0]), float(soft_bias[1] - soft_bias[0])
-    high = np.concatenate([_bags(texts[a:b]).best(weights, bias)[0] for a, b in tokens.blocks(texts)])
-    slope, shift = 1.0, 0.0
-    for _ in range(50):  # Newton's steps of a logistic fit, held back by a prior on the slope
-        p = 1 / (1 + np.exp(-np.clip(slope * high + shift, -30, 30)))
-        d, g = p * (1 - p) + 1e-6, p - labels
-        grad = np.array([(g * high).sum() + 0.1 * (slope - 1), g.sum()])
-        hess = np.array([[(d * high * high).sum() + 0.1, (d * high).sum()], [(d * high).sum(), d.sum()]])
-        step = np.linalg.solve(hess + 1e-6 * np.eye(2), grad)
-        slope, shift = slope - float(np.clip(step[0], -0.5, 0.5)), shift - float(np.clip(step[1], -1, 1))
-    return Model(weights, bias, slope, shift)
+    found = [_bags(texts[a:b]).pooled(weights, bias) for a, b in tokens.blocks(texts)]
+    x = np.stack([np.concatenate([f[0] for f in found]), np.concatenate([f[2] for f in found]), np.ones(len(texts))], 1)
+    pool_by, prior = np.array([1.0, 0.0, 0.0]), np.array([0.1, 0.1, 0.0])
+    for _ in range(50):  # Newton's steps of a logistic fit, held back by a prior on the slopes
+        p = 1 / (1 + np.exp(-np.clip(x @ pool_by, -30, 30)))
+        d = p * (1 - p) + 1e-6
+        grad = x.T @ (p - labels) + prior * (pool_by - np.array([1.0, 0.0, 0.0]))
+        hess = (x * d[:, None]).T @ x + np.diag(prior + 1e-6)
+        pool_by -= np.clip(np.linalg.solve(hess, grad), -1, 1) * np.array([0.5, 0.5, 1])
+    return Model(weights, bias, *map(float, pool_by))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
@@ -244,8 +259,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row, end, data, offsets in words.chunks(batch.column(len(keep))):
-                high, _ = Bags(data, offsets).best(model.weights, model.bias)
-                p = 1 / (1 + np.exp(-np.clip(model.slope * high + model.shift, -30, 30)))
+                p = model.chance(Bags(data, offsets))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, end - row) for k in range(len(keep))), pa.array(p)], names=[*keep, "score"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, ", ".join([*kept, "score double"]))

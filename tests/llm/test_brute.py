@@ -336,7 +336,7 @@ def test_misspellings():
     labels = np.arange(400) % 4 == 0
     texts = [t + (" worthless thing" if y else " other thing") for t, y in zip(texts, labels)]
     model = toxicity.fit(texts, labels.astype(int))
-    score = lambda t: toxicity._bags([t]).best(model.weights, model.bias)[0][0] * model.slope + model.shift
+    score = lambda t: float(np.log(model.chance(toxicity._bags([t]))[0] / (1 - model.chance(toxicity._bags([t]))[0])))
     assert score("abcdef worthless bcdefg") > 0 > score("abcdef other bcdefg")
     assert all(score(f"abcdef {w} bcdefg") > score("abcdef other bcdefg") for w in ("worhtless", "worthlesss", "worthles", "WORTH1ESS"))
 
