@@ -132,6 +132,12 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """The path below `root`, without a leading slash; the path itself if it lies elsewhere; `.` for the root."""
+    top = root.rstrip("/")
+    return F.when(path == top, ".").when(path.startswith(f"{top}/"), F.ltrim(F.substring(path, F.lit(len(top) + 1), F.length(path)), F.lit("/"))).otherwise(path)
+
+
 def behavior(text: Column) -> Column:
     """One line for each mark of behavior that a text holds; both words make the state machine."""
     lines = []

@@ -155,3 +155,15 @@ def needs_reindex(modified: Column, indexed: Column) -> Column:
 def eta_minutes(elapsed: Column, pending: Column, completed: Column) -> Column:
     """elapsed * pending / completed; null before anything is completed."""
     return F.try_divide(elapsed * pending, completed)
+
+
+def solved_by(findings: DataFrame, solutions: DataFrame) -> DataFrame:
+    """(src, dst, rel_type) from each finding (id, finding) to the solutions (id, reference) whose reference equals its text, once."""
+    found = findings.select(F.col("id").alias("src"), "finding").dropna()
+    given = solutions.select(F.col("id").alias("dst"), F.col("reference").alias("finding")).dropna()
+    return found.join(given, "finding").select("src", "dst", F.lit("SOLVED_BY").alias("rel_type")).distinct()
+
+
+def without_files(types: DataFrame, files: DataFrame) -> DataFrame:
+    """Entity types (entity_type) that no file (entity_type) has: the second cohomology check holds if there are none."""
+    return types.select("entity_type").distinct().join(files.select("entity_type").distinct(), "entity_type", "left_anti")

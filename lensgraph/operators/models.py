@@ -22,21 +22,32 @@ _loaded: dict[tuple, object] = {}
 
 
 class HashingEncoder:
-    """Signed word hashes summed into `dimension` components, of length one if asked."""
+    """Signed word hashes summed into `dimension` components, of length one if asked.
 
-    def __init__(self, dimension: int = 256, normalize: bool = True):
-        self.dimension, self.normalize = dimension, normalize
+    digest: "blake2b", or "md5", whose first eight hexadecimal digits give the component and whose ninth gives the sign
+    (8 and above: +1), so that SQL elsewhere finds the same vector.
+    """
+
+    def __init__(self, dimension: int = 256, normalize: bool = True, digest: str = "blake2b"):
+        self.dimension, self.normalize, self.digest = dimension, normalize, digest
         self.model_id = f"hashing-encoder-{dimension}"
 
     def load(self) -> HashingEncoder:
         return self
 
+    def _place(self, word: str) -> tuple[int, int]:
+        if self.digest == "md5":
+            h = hashlib.md5(word.encode()).hexdigest()
+            return int(h[:8], 16) % self.dimension, 1 if h[8] > "7" else -1
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return h % self.dimension, 1 if h >> 63 else -1
+
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dimension), np.float32)
         for i, t in enumerate(texts):
             for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dimension] += 1 if h >> 63 else -1
+                place, sign = self._place(w)
+                out[i, place] += sign
         if self.normalize:
             size = np.linalg.norm(out, axis=1, keepdims=True)
             out /= np.where(size > 0, size, 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lensgraph.functions import texts
-from lensgraph.operators import models
+from lensgraph.operators import indexing, models
 from lensgraph.plans.vectors import SCORED, _scored
 from lensgraph.shared import new_folder
 from lensgraph.sources import files
@@ -112,7 +112,42 @@ def fallback(spark, d):
     return n.select(F.col("p_partkey").alias("id"), F.md5(texts.rerank_prompt(F.col("p_name"), F.col("p_brand"), own).cast("binary")).alias("prompt"))
 
 
+def embedded(spark, d):
+    """Components that are not 0 of the vectors of the benchmark's texts, with a lens's instruction before them."""
+    t = table(spark, d, "benchmark").select("item_id", texts.instruct(F.col("text"), F.lit("Describe the meaning")).alias("said"))
+    out = models.encode(t, models.HashingEncoder(64, digest="md5"), "said", ["item_id"])
+    return out.select("item_id", F.posexplode("embedding").alias("place", "value")).filter("value <> 0").select("item_id", "place", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+EMBEDDED_SQL = f"""WITH w AS (SELECT item_id, unnest(string_split_regex(trim(lower('Instruct: Describe the meaning' || chr(10) || 'Query: ' || text)), '\\s+')) AS w FROM benchmark),
+h AS (SELECT item_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS place, CASE WHEN substr(md5(w), 9, 1) > '7' THEN 1 ELSE -1 END AS sign FROM w),
+v AS (SELECT item_id, place, sum(sign) AS x FROM h GROUP BY item_id, place), n AS (SELECT item_id, sqrt(sum(x * x)) AS n FROM v GROUP BY item_id)
+SELECT item_id, place::INT AS place, round((x / n)::DOUBLE, 5) AS value FROM v JOIN n USING (item_id) WHERE x <> 0"""
+
+
+def solved(spark, d):
+    """Errors of a user as findings, purchases as solutions; both name the hour of their kind."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.concat_ws(" ", F.lit("user"), "user_id", F.lit("hour"), F.hour("ts")).alias("said"))
+    return indexing.solved_by(e.filter("event_type = 'error'").select(F.col("event_id").alias("id"), F.col("said").alias("finding")), e.filter("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.col("said").alias("reference")))
+
+
+def typeless(spark, d):
+    """Nations that no supplier of a negative balance has."""
+    types = table(spark, d, "nation").select(F.col("n_name").alias("entity_type"), "n_nationkey")
+    have = table(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"))
+    return indexing.without_files(types, types.join(have, "n_nationkey"))
+
+
+def relative(spark, d):
+    u = table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "/").alias("path"), "url")
+    return u.select("page_id", texts.relative_path(F.concat(F.lit("/srv/"), F.element_at(F.split("path", "/"), -1)), "/srv/").alias("below"), texts.relative_path(F.col("url"), "/srv").alias("same"))
+
+
 QUERIES = {
+    "model_embed_values": (embedded, EMBEDDED_SQL),
+    "index_solved_by": (solved, "WITH e AS (SELECT event_id, event_type, user_id, hour(ts) AS h FROM events) SELECT a.event_id AS src, b.event_id AS dst, 'SOLVED_BY' AS rel_type FROM e a JOIN e b USING (user_id, h) WHERE a.event_type = 'error' AND b.event_type = 'purchase'"),
+    "graph_types_without_files": (typeless, "SELECT n_name AS entity_type FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)"),
+    "text_relative_path": (relative, "SELECT page_id, CASE WHEN string_split(regexp_replace(url, '^[a-z]+://', '/'), '/')[-1] = '' THEN '' ELSE string_split(regexp_replace(url, '^[a-z]+://', '/'), '/')[-1] END AS below, url AS same FROM pages"),
     "text_prompt_fallback": (fallback, f"SELECT p_partkey AS id, md5('<Instruct>: ' || CASE WHEN p_partkey % 2 = 0 THEN 'Judge ' || p_type ELSE '{texts.INSTRUCTION}' END || chr(10) || '<Query>: ' || p_name || chr(10) || '<Document>: ' || p_brand) AS prompt FROM part"),
     "model_pair_scores": (pair_ids, PAIR_SQL),
     "model_batch_scores": (batch_scores, BATCH_SQL),
