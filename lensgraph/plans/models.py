@@ -86,11 +86,17 @@ def streamed_latency(spark, d):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("latency", 6).alias("latency"), "optimize", "healthy")
 
 
+#: Distinct words of a text, and the score of a by b.
+WORDS = "list_distinct(string_split_regex(trim(lower({t})), '\\s+'))"
+ONE = "1 / (1 + exp(4 - 8 * (len(list_intersect({a}, {b}))::DOUBLE / len({a}))))"
+SCORED_PAIRS = f"""c AS (SELECT conv_id, turn, role, {WORDS.format(t="text")} AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS a, b.w AS b FROM c a JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'),
+s AS (SELECT ({ONE.format(a="a", b="b")} + {ONE.format(a="b", b="a")}) / 2 AS score FROM p)"""
+
 QUERIES = {
     "model_embed": (embed, None),
     "model_embed_triple": (embed_triple, "SELECT lens, substr(sha256(t), 1, 8) AS lens_hash, (SELECT count(*) FROM benchmark) AS vectors FROM (VALUES ('structural', 'Describe the structure'), ('semantic', 'Describe the meaning'), ('behavioral', 'Describe the behavior')) l(lens, t)"),
     "model_embedding_cache": (embedding_cache, "SELECT hit, count(*) AS texts FROM (SELECT text, bool_or(item_id % 2 = 0) AS hit FROM benchmark GROUP BY text) GROUP BY hit"),
-    "model_score_pairs": (score_pairs, None),
+    "model_score_pairs": (score_pairs, f"WITH {SCORED_PAIRS} SELECT CASE WHEN score >= 0.7 THEN 'HIGH' WHEN score >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END AS interpretation, count(*) AS pairs FROM s GROUP BY 1"),
     "model_rerank": (rerank, None),
     "model_embed_request": (embed_request, "SELECT 200 AS status, n_nationkey::BIGINT AS idx, 128 AS width FROM nation WHERE n_nationkey < 5"),
     "model_lens_versions": (lens_versions, "SELECT * FROM (VALUES ('structural', true), ('semantic', false), ('behavioral', true)) v(lens, current)"),
