@@ -62,7 +62,9 @@ class Store:
         store, place = _path(spark, path)
         if store.getFileStatus(place).isFile():  # a stream reads folders, or what a pattern names
             path = f"{path[:-1]}[{path[-1]}]"
-        rows = self._rows(_read(session.readStream.option("maxBytesPerTrigger", batch_bytes), path))
+        # files count whatever their age: by default a stream passes over those a week older than the newest
+        reader = session.readStream.option("maxBytesPerTrigger", batch_bytes).option("maxFileAge", "36500d")
+        rows = self._rows(_read(reader, path))
         state = rows.groupBy("digest").agg(F.max("at").alias("keep"), F.count("*").alias("n"))
         query = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", self.uri).trigger(availableNow=True).start()
         query.awaitTermination()

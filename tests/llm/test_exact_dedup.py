@@ -1,6 +1,7 @@
 """Stateful exact deduplication against a plain grouping, in several batches, with clashing digests and edge cases."""
 
 import hashlib
+import os
 from collections import defaultdict
 
 import duckdb
@@ -79,6 +80,19 @@ def test_state_grows_with_new_files(spark, tmp_path):
     assert set(row.keep.asDict()) == {"doc_id", "file", "place"}
 
 
+def test_old_files_count(spark, tmp_path):
+    """A file that is added later but is a year older."""
+    uri, store = tmp_path / "documents.parquet", exact_dedup.Store(spark)
+    spark.createDataFrame([(1, "a")], "doc_id long, text string").coalesce(1).write.parquet(str(uri))
+    store.feed(str(uri))
+    spark.createDataFrame([(2, "a")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(uri))
+    for file in uri.glob("part-*"):
+        if file.stat().st_mtime == max(f.stat().st_mtime for f in uri.glob("part-*")):
+            os.utime(file, (1_000_000_000, 1_000_000_000))
+    store.feed(str(uri))
+    assert [(r.keep.doc_id, r.n) for r in store.state().collect()] == [(2, 2)]
+
+
 def test_whole_rows(spark, path):
     got = exact_dedup.deduplicated(spark, path)
     assert got.columns == ["doc_id", "text", "digest", "at", "keep"]
