@@ -142,15 +142,29 @@ def paths(edges: DataFrame, starts: DataFrame, least: int, most: int) -> DataFra
 
 
 def cycles(edges: DataFrame, most: int) -> DataFrame:
-    """(length, nodes) of the simple directed cycles of 2 to `most` edges, each once, from its least node."""
+    """(length, nodes) of the simple directed cycles of 2 to `most` edges, each once, from its least node.
+
+    A cycle of k edges is met in the middle: a path from its least node of the first half, rounded up, and one back to
+    it of the rest. So no path longer than half of `most`, rounded up, is listed. Edges that no cycle can hold, since
+    nothing leads to their source or away from their target, go first.
+    """
     links = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).filter("_s <> _d").distinct()
-    now = links.select(F.col("_s").alias("start"), F.col("_d").alias("end"), F.array("_s", "_d").alias("nodes")).filter("end > start")
+    links = links.join(links.select(F.col("_d").alias("_s")), "_s", "left_semi").join(links.select(F.col("_s").alias("_d")), "_d", "left_semi")
+    links = written(links.select("_s", "_d"), "links")
+    out = links.filter("_d > _s").select(F.col("_s").alias("start"), F.col("_d").alias("end"), F.array("_s", "_d").alias("nodes"))
+    back = links.filter("_d < _s").select(F.col("_d").alias("start"), F.col("_s").alias("end"), F.array("_s").alias("rest"))
+    outs, backs = {1: out}, {1: back}
+    for k in range(2, (most + 1) // 2 + 1):
+        out = outs[k - 1].join(links, (F.col("end") == F.col("_s")) & (F.col("_d") > F.col("start")) & ~F.array_contains("nodes", F.col("_d")))
+        outs[k] = out.select("start", F.col("_d").alias("end"), F.concat("nodes", F.array(F.col("_d"))).alias("nodes"))
+    for k in range(2, most // 2 + 1):
+        back = backs[k - 1].join(links, (F.col("end") == F.col("_d")) & (F.col("_s") > F.col("start")) & ~F.array_contains("rest", F.col("_s")))
+        backs[k] = back.select("start", F.col("_s").alias("end"), F.concat(F.array(F.col("_s")), "rest").alias("rest"))
     found = []
     for k in range(2, most + 1):
-        closed = now.join(links, (now.end == links._s) & (now.start == links._d))
-        found.append(closed.select(F.lit(k).alias("length"), "nodes"))
-        if k < most:
-            now = now.join(links, (now.end == links._s) & (links._d > now.start) & ~F.array_contains("nodes", links._d)).select("start", F.col("_d").alias("end"), F.concat("nodes", F.array("_d")).alias("nodes"))
+        # `rest` begins with the node in the middle, where `nodes` ends
+        met = outs[k - k // 2].join(backs[k // 2].withColumn("rest", F.slice("rest", 2, most)), ["start", "end"]).filter(~F.arrays_overlap("nodes", "rest"))
+        found.append(met.select(F.lit(k).alias("length"), F.concat("nodes", "rest").alias("nodes")))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -191,13 +205,23 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return inner.agg(F.sum(F.try_divide("inside", F.lit(m2)) - F.try_divide("ends", F.lit(m2)) ** 2).alias("modularity"))
 
 
+def coloring_order(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, degree, priority): for coloring, of more neighbours first, then of a newer `at`, then of more `downloads`.
+
+    facts: (id, at, downloads), at as a number that grows with time; missing facts come last.
+    """
+    degree = undirected(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    last = lambda c: F.coalesce(-F.col(c).cast("double"), F.lit(float("inf")))
+    return degree.join(facts.select("id", "at", "downloads"), "id", "left").select("id", "degree", F.struct((-F.col("degree")).alias("degree"), last("at").alias("at"), last("downloads").alias("downloads")).alias("priority"))
+
+
 def coloring(edges: DataFrame, priority: DataFrame) -> DataFrame:
     """(id, color): greedy coloring in order of (priority, id), color from 1; equals one pass in that order.
 
     Nodes are numbered in that order and cut into as many ranges as there are partitions. In a round each task goes through
     its range in order, over mapped adjacency and the colors of the round before, and colors every node whose earlier
     neighbours have one. Dependencies only point to earlier ranges, so there are at most as many rounds as ranges, however
-    long the chains in the graph are. priority: (id, priority), a lower number first; edges to other nodes do not count.
+    long the chains in the graph are. priority: (id, priority), the lower first, a number or what `coloring_order` gives; edges to other nodes do not count.
     """
     order = priority.select("id", "priority").dropna().distinct()
     key = order.select("id", F.struct("priority", "id").alias("key"))

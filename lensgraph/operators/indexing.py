@@ -6,9 +6,11 @@ one partition only, so a claim needs no lock.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lensgraph.operators.ranks import placed
+
 OPEN = ("CLAIMED", "PROCESSING")
 DONE = ("COMPLETED", "FAILED")
 
@@ -55,9 +57,12 @@ def pair_classes(pairs: DataFrame, changed: DataFrame, a: str, b: str, key: str
 
 
 def assign(tasks: DataFrame, workers: int, at: Column) -> DataFrame:
-    """Claims all pending tasks at once: per session, in order of (priority, file_size, file_path), in turn for each worker."""
-    rank = F.row_number().over(Window.partitionBy("session_id").orderBy("priority", "file_size", "file_path"))
-    mine = tasks.filter("status = 'PENDING'").withColumn("turn", rank)
+    """Claims all pending tasks at once: per session, in order of (priority, file_size, file_path), in turn for each worker.
+
+    A session may hold any share of the queue: its order is cut into stretches.
+    """
+    mine = placed(tasks.filter("status = 'PENDING'"), ["session_id"], ["priority", "file_size", "file_path"], "turn")
+    mine = mine.withColumn("turn", (F.col("turn") + 1).cast("int"))
     return mine.withColumn("claimed_by", F.concat(F.lit("agent-"), (F.pmod(F.col("turn") - 1, F.lit(workers)) + 1).cast("string"))).withColumn("claimed_at", at).withColumn("status", F.lit("CLAIMED"))
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lensgraph.operators.ranks import quantiles
+
 
 def checks(spark, rows: list[tuple[str, DataFrame, float, str]]) -> DataFrame:
     """(check, value, target, passed): each DataFrame is one row with one number; kind is one of =, >=, <=."""
@@ -35,16 +37,21 @@ def overlap(findings: DataFrame, judge: str, finding: str) -> DataFrame:
 
 
 def profile(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: n, missing, mean, population and sample deviation, exact quartiles, and how many lie beyond 3 deviations."""
-    first = rows.agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    out = []
-    for c in columns:
-        m, s = first[f"m_{c}"], first[f"s_{c}"]
-        far = F.sum((F.abs(F.col(c) - F.lit(m)) > 3 * F.lit(s)).cast("long"))
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        out.append(rows.agg(F.lit(c).alias("column"), F.count(c).alias("n"), (F.count("*") - F.count(c)).alias("missing"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("deviation"), F.stddev_samp(c).alias("sample_deviation"), q.alias("q"), far.alias("outliers")))
-    got = reduce(DataFrame.unionByName, out)
-    return got.select("column", "n", "missing", "mean", "deviation", "sample_deviation", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))], "outliers")
+    """Per column: n, missing, mean, population and sample deviation, exact quartiles, and how many lie beyond 3 deviations.
+
+    All columns share their passes over `rows`: one for the moments, one for the outliers, one for the quartiles.
+    """
+    kinds = {"n": F.count, "mean": F.avg, "deviation": F.stddev_pop, "sample_deviation": F.stddev_samp}
+    types = {k: "long" if k == "n" else "double" for k in kinds}
+    known = rows.agg(F.count("*").alias("rows"), *[f(c).cast(types[k]).alias(f"{k}_{c}") for c in columns for k, f in kinds.items()]).first()
+    far = [F.sum((F.abs(F.col(c) - F.lit(known[f"mean_{c}"])) > 3 * F.lit(known[f"deviation_{c}"])).cast("long")).alias(f"outliers_{c}") for c in columns]
+    moment = lambda c, k: F.lit(known[f"{k}_{c}"]).cast(types[k]).alias(k)
+    one = lambda c: F.struct(F.lit(c).alias("column"), moment(c, "n"), F.lit(known["rows"] - known[f"n_{c}"]).cast("long").alias("missing"), *[moment(c, k) for k in list(kinds)[1:]], F.col(f"outliers_{c}").alias("outliers"))
+    wide = rows.agg(*far).select(F.explode(F.array(*map(one, columns))).alias("c")).select("c.*")
+    names = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    value = lambda share: F.max(F.when(F.col("share") == share, F.col("value")))
+    quartiles = quantiles(rows, columns, list(names.values())).groupBy("column").agg(*[value(s).alias(k) for k, s in names.items()])
+    return wide.join(quartiles, "column", "left").select("column", "n", "missing", "mean", "deviation", "sample_deviation", *names, "outliers")
 
 
 def missing_policy(share: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lensgraph.operators import communities as louvain_communities
-from lensgraph.operators import csr, graph, messages, strong
+from lensgraph.operators import csr, graph, messages, ranks, strong
 from lensgraph.operators.components import connected_components
 from lensgraph.sources.tables import LINKS_SQL, edges, hierarchy, nodes, table
 from lensgraph.shared import written
@@ -286,6 +286,13 @@ def coloring(spark, d):
     return graph.coloring(e, degree)
 
 
+def coloring_order(spark, d):
+    """Where each part stands in the order of coloring: by degree, last shipping day, pieces shipped."""
+    facts = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.unix_date(F.max("l_shipdate").cast("date")).alias("at"), F.sum("l_quantity").alias("downloads"))
+    order = graph.coloring_order(edges(spark, d), facts)
+    return ranks.placed(order, [], ["priority", "id"], "place").select("id", "degree", (F.col("place") + 1).alias("place"))
+
+
 def exclusions(spark, d):
     """Conflict if more than one color is needed; exclusions are the colors less one (an upper bound)."""
     return coloring(spark, d).agg(F.max("color").alias("colors"), (F.max("color") > 1).alias("conflict"), (F.max("color") - 1).alias("exclusions"))
@@ -384,6 +391,7 @@ QUERIES = {
     "graph_components": (components, f"{WALK} SELECT node, component FROM walk"),
     "graph_cycle_rank": (cycle_rank, CYCLE_RANK_SQL),
     "graph_coloring": (coloring, None),
+    "graph_coloring_order": (coloring_order, f"{WITH}, near AS (SELECT src AS id, dst AS x FROM edges UNION SELECT dst, src FROM edges), d AS (SELECT id, count(*) AS degree FROM near GROUP BY id), f AS (SELECT l_partkey, max(l_shipdate::DATE) AS newest, sum(l_quantity) AS downloads FROM lineitem GROUP BY 1) SELECT id, degree, row_number() OVER (ORDER BY degree DESC, newest DESC, downloads DESC, id) AS place FROM d JOIN f ON l_partkey = id"),
     "graph_exclusions": (exclusions, None),
     "graph_betweenness": (betweenness, None),
     "graph_random_projection": (projection, None),

@@ -10,7 +10,7 @@ from lensgraph.functions.vectors import cosine, mrl_truncate, norm
 from lensgraph.operators import models
 from lensgraph.shared import new_folder
 from lensgraph.sources import files
-from lensgraph.sources.tables import LINKS_SQL, edges, nodes, table
+from lensgraph.sources.tables import LINKS_SQL, edges, nodes, table, table_stream
 from lensgraph.streaming import watch
 
 LENS_TEXTS = {"structural": "Describe the structure", "semantic": "Describe the meaning", "behavioral": "Describe the behavior"}
@@ -79,10 +79,8 @@ def divergence_report(spark, d):
 
 def streamed_latency(spark, d):
     """The same hourly means through a stream over the table's folder (complete mode, all rows)."""
-    e = table(spark, d, "events")
-    folder = new_folder(spark, "events")
-    e.write.parquet(folder)
-    out = watch.drained(watch.latency(spark.readStream.schema(e.schema).parquet(folder), late="60 days"), f"latency_{uuid.uuid4().hex}", "complete")
+    events = table_stream(spark, d, "events", ["ts", "value"])
+    out = watch.drained(watch.latency(events, late="60 days"), f"latency_{uuid.uuid4().hex}", "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("latency", 6).alias("latency"), "optimize", "healthy")
 
 

@@ -188,8 +188,10 @@ def rfm(spark, d):
 
 
 def repeat_runs(spark, d):
+    """Each kind of event is a test with its runs: mean, deviation, and the mean deviation of all tests as consistency."""
     e = table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
-    return e.select("event_type", F.round("m", 6).alias("mean"), F.round("s", 6).alias("deviation"), (F.col("m") >= 50).alias("passed"))
+    e = e.join(F.broadcast(e.agg(F.avg("s").alias("c"))))  # one row
+    return e.select("event_type", F.round("m", 6).alias("mean"), F.round("s", 6).alias("deviation"), (F.col("m") >= 50).alias("passed"), F.round("c", 6).alias("mean_consistency"))
 
 
 def ab(spark, d):
@@ -300,7 +302,7 @@ QUERIES = {
     "profile_correlation": (correlations, "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS correlation FROM lineitem GROUP BY 1"),
     "profile_missing_policy": (missing, "WITH e AS (SELECT event_type, CASE WHEN json_extract(props, '$.k')::INT >= 20 THEN value END AS v FROM events), s AS (SELECT event_type, round(1 - count(v) / count(*)::DOUBLE, 6) AS share FROM e GROUP BY 1) SELECT *, CASE WHEN share < 0.05 THEN 'DROP_ROWS' WHEN share < 0.3 THEN 'IMPUTE' ELSE 'DROP_COLUMN' END AS policy FROM s"),
     "profile_rfm": (rfm, "SELECT o_custkey AS c_custkey, date_diff('day', max(o_orderdate)::DATE, DATE '1998-12-31')::INT AS recency, sum((o_orderdate >= '1998-01-01')::INT)::BIGINT AS frequency, round(sum(CASE WHEN o_orderdate >= '1998-01-01' THEN o_totalprice ELSE 0 END), 2) AS monetary FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1"),
-    "quality_repeat_runs": (repeat_runs, "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, avg(value) >= 50 AS passed FROM events GROUP BY 1"),
+    "quality_repeat_runs": (repeat_runs, "WITH t AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY 1) SELECT event_type, round(m, 6) AS mean, round(s, 6) AS deviation, m >= 50 AS passed, (SELECT round(avg(s), 6) FROM t) AS mean_consistency FROM t"),
     "quality_ab_test": (ab_without_p, AB_SQL),
     "quality_ab_significance": (ab, None),
     "quality_dimensions": (quality, "WITH q AS (SELECT avg((o_totalprice IS NOT NULL AND o_orderdate IS NOT NULL)::INT) AS a, avg((o_orderstatus IN ('P', 'O', 'F'))::INT) AS b, avg((o_totalprice BETWEEN 1000 AND 400000)::INT) AS c, count(DISTINCT o_orderkey) / count(*)::DOUBLE AS d FROM orders) SELECT round(a, 6) AS completeness, round(b, 6) AS consistency, round(c, 6) AS accuracy, round(d, 6) AS uniqueness, round((a + b + c + d) / 4, 6) AS quality, (a + b + c + d) / 4 >= 0.8 AS passed FROM q"),

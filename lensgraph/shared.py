@@ -46,6 +46,11 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{run}/{what}-{uuid.uuid4().hex}"
 
 
+def is_file(spark: SparkSession, uri: str) -> bool:
+    store, path = _path(spark, uri)
+    return store.getFileStatus(path).isFile()
+
+
 def delete(spark: SparkSession, uri: str) -> None:
     """Deletes a folder that nothing reads any more."""
     store, path = _path(spark, uri)

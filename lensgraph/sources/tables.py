@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lensgraph.shared import is_file
+
 #: Return flag -> relation (fixed values).
 RELATIONS = {"R": "CALLS", "A": "DEPENDS_ON", "N": "IMPORTS"}
 
@@ -27,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> DataFrame:
+    """These columns of a table as a stream of its files, whatever their age."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).select(*columns).schema
+    if is_file(spark, path):  # a stream reads folders, or what a pattern names
+        path = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFileAge", "36500d").parquet(path)
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, rel_type, weight, frequency)."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")

@@ -1,5 +1,6 @@
 import collections
 import itertools
+import math
 import random
 
 import pytest
@@ -105,3 +106,16 @@ def test_pagerank_sums_to_one(spark, edges):
     nodes = spark.createDataFrame([(i,) for i in range(35)], "id long")
     got = messages.pagerank(nodes, frame(spark, edges), 8).collect()
     assert len(got) == 35 and sum(r["rank"] for r in got) == pytest.approx(1.0)
+
+
+def test_coloring_in_the_order_of_three_facts(spark, edges):
+    near = neighbours(edges)
+    facts = {n: (n * 7 % 5, n * 3 % 4) for n in near if n % 6}
+    fact = lambda n: tuple(-x for x in facts[n]) if n in facts else (math.inf, math.inf)
+    want = {}
+    for n in sorted(near, key=lambda n: (-len(near[n]), *fact(n), n)):
+        used = {want[m] for m in near[n] if m in want}
+        want[n] = next(c for c in itertools.count(1) if c not in used)
+    order = graph.coloring_order(frame(spark, edges), spark.createDataFrame([(n, *f) for n, f in facts.items()], "id long, at long, downloads long"))
+    assert {r.id: r.degree for r in order.collect()} == {n: len(x) for n, x in near.items()}
+    assert dict(graph.coloring(frame(spark, edges), order).collect()) == want
