@@ -3,20 +3,28 @@
 All nodes whose turn it is move at once, each to the neighbouring community that gains most (the least of equals); turns go
 by a hash of node and round, so that two nodes do not swap places for ever. A round keeps its partition only as part of a
 level, and a level stands only if modularity grew by it.
+
+A level's links are compressed rows in the shared folder (see csr), and each round's communities one array beside them: a
+task maps both and moves the nodes of its range, so that a round shuffles nothing. A task holds a few numbers a node and the
+links of its range; contracted links are summed within ranges and then by Spark.
 """
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lensgraph.shared import Rounds, written
+from lensgraph import mapped
+from lensgraph.operators.csr import Csr
+from lensgraph.shared import delete, written
 
 ROUNDS, GAIN = 12, 1e-6
-
-
-def _turn(node, round_number: int):
-    return F.crc32(F.concat(node.cast("string"), F.lit(f":{round_number}")).cast("binary")) % 2 == 0
+#: Links of a range of nodes, about.
+RANGE = 1 << 19
 
 
 def quality(links: DataFrame, total: float) -> float:
@@ -25,29 +33,114 @@ def quality(links: DataFrame, total: float) -> float:
     return sums.agg(F.sum(F.col("inside") / total - (F.col("ends") / total) ** 2)).first()[0] or 0.0
 
 
-def _level(links: DataFrame, total: float) -> DataFrame:
-    """(id, community) after the moves of one level. links: a, b, w in both orders, loops once with all their weight."""
-    rounds = Rounds(links.sparkSession, "moves")
-    degree = links.groupBy("a").agg(F.sum("w").alias("k")).select(F.col("a").alias("id"), "k")
-    now = rounds.written(degree.select("id", F.col("id").alias("community"), "k", F.lit(False).alias("moved")))
-    outer, still = links.filter("a <> b"), 0
-    for number in range(ROUNDS):
-        of_b = now.select(F.col("id").alias("b"), F.col("community").alias("c"))
-        inner = outer.join(of_b, "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("near"))
-        own = now.select("id", F.col("community").alias("c"), F.lit(0.0).alias("near"))
-        choices = inner.unionByName(own).groupBy("id", "c").agg(F.sum("near").alias("near"))
-        sizes = now.groupBy(F.col("community").alias("c")).agg(F.sum("k").alias("tot"))
-        at = choices.join(sizes, "c").join(now, "id")
-        others = F.col("tot") - F.when(F.col("c") == F.col("community"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("near") - F.col("k") * others / total, 9)
-        scored = at.select("id", "community", "k", "c", gain.alias("gain"))
-        best = scored.groupBy("id", "community", "k").agg(F.max(F.struct("gain", (-F.col("c")).alias("first"))).alias("best"), F.max(F.when(F.col("c") == F.col("community"), F.col("gain"))).alias("stay"))
-        moves = (F.col("best.gain") > F.col("stay")) & _turn(F.col("id"), number)
-        now = rounds.written(best.select("id", F.when(moves, -F.col("best.first")).otherwise(F.col("community")).alias("community"), "k", moves.alias("moved")))
-        still = 0 if now.filter("moved").limit(1).count() else still + 1
-        if still == 2:  # neither half moves
-            break
-    return now.select("id", "community")
+class _Level:
+    """Moves of one level. links: a, b, w in both orders, loops once with all their weight."""
+
+    def __init__(self, links: DataFrame, total: float):
+        self.spark, self.total = links.sparkSession, total
+        sums = links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("loop"))
+        self.graph = Csr(links.toDF("src", "dst", "w"), sums.select("id"), "w")
+        self.n, self.uri = self.graph.n, self.graph.uri
+        self.ranges, uri = max(1, -(-max(self.graph.m, self.n) // RANGE)), self.uri
+
+        def write(batches):
+            for batch in batches:
+                number = batch.column(0).to_numpy()
+                cut = np.flatnonzero(np.diff(number, prepend=-2) != 1)
+                for at, end in zip(cut, np.append(cut[1:], len(number))):
+                    part = batch.slice(at, end - at)
+                    for k, (name, kind) in enumerate((("ids", "<i8"), ("degrees", "<f8"), ("loops", "<f8")), 1):
+                        mapped.put(f"{uri}/{name}", int(number[at]), part.column(k).to_numpy().astype(kind))
+                    mapped.put(f"{uri}/at-0", int(number[at]), part.column(0).to_numpy().astype("<i4"))
+                yield pa.RecordBatch.from_arrays([pa.array([len(number)])], names=["n"])
+
+        rows = self.graph.numbers.join(sums, "id").select(F.col("number").cast("long"), "id", F.col("k").cast("double"), F.col("loop").cast("double"))
+        rows.repartitionByRange(self.ranges, "number").sortWithinPartitions("number").mapInArrow(write, "n long").agg(F.sum("n")).first()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "spark"}
+
+    def part(self, k: int, number: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of range k: first node and the one after the last, communities of all nodes, and owner, target and weight of its links."""
+        starts, targets = self.graph.arrays()
+        weight = np.arange(self.n + 1) + starts  # nodes without links count too
+        low, high = (int(np.searchsorted(weight, x * weight[-1] // self.ranges)) if x < self.ranges else self.n for x in (k, k + 1))
+        at = mapped.get(f"{self.uri}/at-{number}", "<i4", self.n)
+        owner = np.repeat(np.arange(low, high), np.diff(starts[low : high + 1]))
+        some = slice(starts[low], starts[high])
+        return low, high, at, owner, targets[some], mapped.get(f"{self.uri}/weights", "<f8", self.graph.m)[some]
+
+    def over(self, task, fields: str) -> DataFrame:
+        """What `task` makes of each range."""
+
+        def run(batches):
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in task(k)], names=names)
+
+        names = [f.split()[0] for f in fields.split(", ")]
+        return self.spark.range(0, self.ranges, 1, self.ranges).mapInArrow(run, fields)
+
+    def moved(self, number: int) -> int:
+        """Writes the communities after a round, and tells how many nodes moved."""
+
+        def task(k):
+            low, high, at, owner, to, w = self.part(k, number)
+            degree, ids = mapped.get(f"{self.uri}/degrees", "<f8", self.n), mapped.get(f"{self.uri}/ids", "<i8", self.n)[low:high]
+            size = np.bincount(at, degree, self.n)
+            own = np.arange(low, high)
+            node, c, near = _summed(np.append(owner, own), np.append(at[to], at[low:high]), np.append(w, np.zeros(len(own))))
+            here = c == at[node]
+            gain = np.round(near - degree[node] * (size[c] - np.where(here, degree[node], 0.0)) / self.total, 9)
+            order = np.lexsort((c, -gain, node))
+            best = order[np.flatnonzero(np.diff(node[order], prepend=-1))]
+            turn = np.array([zlib.crc32(b"%d:%d" % (i, number)) % 2 == 0 for i in ids.tolist()], bool)
+            moves = (gain[best] > gain[here]) & turn  # one of each a node, both in their order
+            mapped.put(f"{self.uri}/at-{number + 1}", low, np.where(moves, c[best], at[low:high]).astype("<i4"))
+            return [[int(moves.sum())]]
+
+        return self.over(task, "moved long").agg(F.sum("moved")).first()[0]
+
+    def run(self) -> int:
+        """Rounds made, until neither half moves."""
+        still = 0
+        for number in range(ROUNDS):
+            still = 0 if self.moved(number) else still + 1
+            if number > 0:
+                mapped.drop(f"{self.uri}/at-{number - 1}")
+            if still == 2:
+                break
+        return number + 1
+
+    def communities(self, number: int) -> DataFrame:
+        """(id, community)."""
+
+        def task(k):
+            low, high, at, *_ = self.part(k, number)
+            ids = mapped.get(f"{self.uri}/ids", "<i8", self.n)
+            return ids[low:high], ids[at[low:high]]
+
+        return self.over(task, "id long, community long")
+
+    def contracted(self, number: int) -> DataFrame:
+        """(ca, cb, w): links between communities, in both orders, loops once."""
+
+        def task(k):
+            low, high, at, owner, to, w = self.part(k, number)
+            ids, loops = mapped.get(f"{self.uri}/ids", "<i8", self.n), mapped.get(f"{self.uri}/loops", "<f8", self.n)
+            own = np.flatnonzero(loops[low:high]) + low
+            ca, cb, sums = _summed(at[np.append(owner, own)], at[np.append(to, own)], np.append(w, loops[own]))
+            return ids[ca], ids[cb], sums
+
+        return self.over(task, "ca long, cb long, w double").groupBy("ca", "cb").agg(F.sum("w").alias("w"))
+
+
+def _summed(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, with the sums of their weights."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero((np.diff(a, prepend=-1) != 0) | (np.diff(b, prepend=-1) != 0))
+    return a[first], b[first], np.add.reduceat(w[order], first) if len(first) else w
 
 
 def louvain(edges: DataFrame, gain: float = GAIN) -> DataFrame:
@@ -64,9 +157,11 @@ def louvain(edges: DataFrame, gain: float = GAIN) -> DataFrame:
         return members
     q = quality(links.toDF("ca", "cb", "w"), total)
     while True:
-        moved = written(_level(links, total), "level")
-        ca, cb = moved.toDF("a", "ca"), moved.toDF("b", "cb")
-        joined = written(links.join(ca, "a").join(cb, "b").groupBy("ca", "cb").agg(F.sum("w").alias("w")), "contracted")
+        level = _Level(links, total)
+        last = level.run()
+        moved = written(level.communities(last), "level")
+        joined = written(level.contracted(last), "contracted")
+        delete(level.spark, level.uri)
         new = quality(joined, total)
         if new - q < gain:
             return members
