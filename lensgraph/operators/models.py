@@ -119,6 +119,16 @@ def lens_table(spark: SparkSession, instructions: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "lens string, instruction string").withColumn("lens_hash", short_hash(F.col("instruction")))
 
 
+#: Texts whose vectors a task holds as Python objects at once.
+PIECE = 512
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, PIECE):
+            yield b.slice(at, PIECE)
+
+
 def encode(rows: DataFrame, encoder, text: str = "text", keep: list[str] | None = None, batch: int = 8) -> DataFrame:
     """Columns `keep` and embedding of each row's text; null texts have a null embedding, blank ones are encoded."""
     keep = keep or []
@@ -126,7 +136,7 @@ def encode(rows: DataFrame, encoder, text: str = "text", keep: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]):
         model = _worker(encoder)
-        for b in batches:
+        for b in _pieces(batches):
             texts = b.column(len(keep)).to_pylist()
             known = [t for t in texts if t is not None]
             found = [v for i in range(0, len(known), batch) for v in model.encode(known[i : i + batch]).tolist()]
@@ -160,7 +170,7 @@ def score(pairs: DataFrame, scorer, a: str, b: str, instruction: Column | None =
 
     def run(batches: Iterator[pa.RecordBatch]):
         model = _worker(scorer)
-        for x in batches:
+        for x in _pieces(batches):
             one, two = x.column(len(kept)).to_pylist(), x.column(len(kept) + 1).to_pylist()
             at = [i for i in range(len(one)) if one[i] is not None and two[i] is not None]
             s = model.score([(one[i], two[i]) for i in at])
