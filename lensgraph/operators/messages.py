@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from lensgraph.operators import pull
 from lensgraph.shared import delete, new_folder, partitions, written
 
 
@@ -105,16 +106,12 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, damping: floa
 
 def centrality(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, value) after `rounds` steps of the weighted adjacency from all ones, of length one (L2 norm); edges: src, dst, weight."""
-    new = F.coalesce("message", F.lit(0.0))
-    out = run(nodes, edges, {"value": F.lit(1.0)}, F.col("value") / F.lit(1.0) * F.col("weight"), F.sum, lambda seen: {"value": F.try_divide(new, F.lit(seen["norm"]))}, F.lit(True), rounds, {"norm": F.sqrt(F.sum(F.col("value") * F.col("value")))})
-    norm = out.agg(F.sqrt(F.sum(F.col("value") * F.col("value")))).first()[0] or 1.0
-    return out.select("id", (F.col("value") / F.lit(norm)).alias("value"))
+    return pull.centrality(nodes, edges, rounds)
 
 
 def least_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 1 << 20) -> DataFrame:
-    """(id, label): the least id that reaches the node (itself included), along the edges; a node sends only when its label fell."""
-    fell = F.least("label", F.coalesce("message", F.col("label")))
-    return run(nodes, edges, {"label": F.col("id")}, F.col("label"), F.min, lambda seen: {"label": fell}, F.col("new_label") < F.col("label"), rounds)
+    """(id, label): the least id that reaches the node (itself included), along the edges."""
+    return pull.least_labels(nodes, edges, rounds)
 
 
 def distances(nodes: DataFrame, edges: DataFrame, sources: Column, rounds: int = 1 << 20) -> DataFrame:
