@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lensgraph.operators.graph import least_action
 from lensgraph.shared import Rounds, written
 
 
@@ -50,6 +51,24 @@ def _merged(now: DataFrame, step: DataFrame) -> DataFrame:
     return _front(known)
 
 
+def paired_actions(edges: DataFrame, teams: DataFrame, most: int) -> DataFrame:
+    """(source, id, action): least action of paths of at most `most` edges, of the pairs of members of each team alone.
+
+    A path is met in the middle: a first half, rounded up, from one member, and a last half from the other, against the
+    edges. Both are listed per member and joined within a team, so that what else a member reaches is listed for half the
+    edges only.
+    """
+    members = written(teams.select("team", "id").dropna().distinct(), "members")
+    links = written(edges.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "links")
+    turned = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    halves = []
+    for way, k, end in ((links, most - most // 2, "source"), (turned, most // 2, "id")):
+        reached = least_action(way, members.select("id"), k).select(F.col("source").alias(end), F.col("id").alias("middle"), F.col("action").alias(f"{end}_action"))
+        halves.append(members.withColumnRenamed("id", end).join(reached, end))
+    met = halves[0].join(halves[1], ["team", "middle"]).filter("source <> id")
+    return met.groupBy("source", "id").agg(F.min(F.col("source_action") + F.col("id_action")).alias("action"))
+
+
 def team_action(actions: DataFrame, teams: DataFrame) -> DataFrame:
     """(team, pairs, action, least): sum of the least actions of all ordered pairs of a team's members.
 
