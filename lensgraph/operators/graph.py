@@ -185,13 +185,7 @@ def shape(edges: DataFrame) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, label): each node takes its neighbours' commonest label, the least of equals; all at once, `rounds` times."""
-    both = written(undirected(edges), "both")
-    now = both.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct()
-    held = Rounds(edges.sparkSession, "labels")
-    for _ in range(rounds):
-        votes = both.join(now, both.dst == now.id).groupBy("src", "label").agg(F.count("*").alias("n"))
-        now = held.written(votes.groupBy("src").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label")).withColumnRenamed("src", "id"))
-    return now
+    return pull.label_propagation(edges, rounds)
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
