@@ -31,21 +31,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def power_iteration(edges: DataFrame, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
     """(id, value): leading eigenvector of the symmetric weights, of length one; stops once no more than `tolerance` moves."""
-    both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    links = written(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "weights")
-    ids = links.select(F.col("src").alias("id")).distinct()
-    n = ids.count()
-    held = Rounds(edges.sparkSession, "vector")
-    now = ids.withColumn("value", F.lit(1.0 / max(1, n) ** 0.5))
-    for _ in range(rounds):
-        new = held.written(links.join(now, links.dst == now.id).groupBy("src").agg(F.sum(F.col("weight") * F.col("value")).alias("value")).withColumnRenamed("src", "id"))
-        size = (new.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0) ** 0.5
-        new = new.select("id", F.try_divide("value", F.lit(size)).alias("value"))
-        moved = new.join(now.withColumnRenamed("value", "before"), "id").agg(F.sum((F.col("value") - F.col("before")) ** 2)).first()[0] or 0.0
-        now = new
-        if moved**0.5 < tolerance:
-            break
-    return now
+    return pull.power_iteration(edges.select("src", "dst", "weight"), rounds, tolerance)
 
 
 def random_projection(edges: DataFrame, dim: int = 16, weights: tuple[float, ...] = (0.0, 1.0, 1.0, 1.0)) -> DataFrame:
