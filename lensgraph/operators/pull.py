@@ -22,10 +22,10 @@ from lensgraph.shared import new_folder, partitions
 EDGES = 1 << 20
 
 
-def pieces(starts: np.ndarray, low: int, high: int) -> Iterator[tuple[int, int]]:
-    """Ranges of nodes from low to high of at most EDGES edges each, or of one node."""
+def pieces(starts: np.ndarray, low: int, high: int, most: int = 0) -> Iterator[tuple[int, int]]:
+    """Ranges of nodes from low to high of at most `most` (EDGES) edges each, or of one node."""
     while low < high:
-        end = min(high, max(low + 1, int(np.searchsorted(starts[: high + 1], starts[low] + EDGES, "right")) - 1))
+        end = min(high, max(low + 1, int(np.searchsorted(starts[: high + 1], starts[low] + (most or EDGES), "right")) - 1))
         yield low, end
         low = end
 
@@ -90,6 +90,19 @@ class Pull:
         return self.graph.numbers.select("id", "number").mapInArrow(told, f"id {ids}, {name} {sql}")
 
 
+def put_column(rows: DataFrame, uri: str, kind: str) -> None:
+    """Writes the array of (number, value), where the numbers are 0, 1, 2, ... each once."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                mapped.put(uri, batch.column(0)[0].as_py(), batch.column(1).to_numpy().astype(kind))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([], pa.int64())})
+
+    parts = partitions(rows.sparkSession)
+    rows.select("number", "value").repartitionByRange(parts, "number").sortWithinPartitions("number").mapInArrow(run, "n long").count()
+
+
 def least_labels(nodes: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
     """See messages.least_labels; a label is the number of a node, in the order of ids."""
     graph = Csr(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), numbers=numbered(nodes))

@@ -65,3 +65,18 @@ def test_coloring_rounds_do_not_follow_partitions(spark, links, monkeypatch):
     assert dict(graph.coloring(e, priority).collect()) == want and len(rounds) <= 2 * spark.sparkContext.defaultParallelism
 
 
+def test_sketches_by_stripes(spark, monkeypatch):
+    """The same whatever the stripe, near the exact pairs, and rounds as the longest way tells; edges to other ids do not count."""
+    from lensgraph.operators import distances
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(700)] + [(7, 7), (5, 900), (900, 6), (None, 3)]
+    e, n = spark.createDataFrame(edges, "src long, dst long"), spark.range(305)
+    exact = distances.average_path(e.filter("src < 900 and dst < 900"), n).first()
+    got = distances.average_path_estimate(e, n).first()
+    assert got.pairs == pytest.approx(exact.pairs, rel=0.05) and got.average == pytest.approx(exact.average, rel=0.03)
+    assert got.rounds <= exact.diameter + 1
+    monkeypatch.setattr(distances, "SKETCH_BYTES", 1)
+    monkeypatch.setattr(pull, "EDGES", 50)
+    again = distances.average_path_estimate(e, n).first()
+    assert again.rounds == got.rounds and again.pairs == pytest.approx(got.pairs) and again.average == pytest.approx(got.average)
