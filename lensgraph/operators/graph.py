@@ -175,11 +175,15 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row, Q of a partition (id, label) of the undirected graph."""
-    both = written(undirected(edges), "both")
-    m2 = both.count()
+    """One row, Q of a partition (id, label) of the undirected graph; a null label is a group without inner links."""
+    pairs = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src is not null and src <> dst")
+    pairs = written(pairs.distinct(), "pairs")
+    m2 = 2 * pairs.count()
     a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("la")), labels.select(F.col("id").alias("dst"), F.col("label").alias("lb"))
-    inner = both.join(a, "src").join(b, "dst").groupBy("la").agg(F.sum((F.col("la") == F.col("lb")).cast("long")).alias("inside"), F.count("*").alias("ends"))
+    links = pairs.join(a, "src").join(b, "dst").groupBy("la", "lb").agg(F.count("*").alias("n"))
+    inside = F.when(F.col("la") == F.col("lb"), F.col("n")).otherwise(0)
+    ends = F.explode(F.array(*[F.struct(F.col(c).alias("label"), inside.alias("inside"), F.col("n").alias("ends")) for c in ("la", "lb")]))
+    inner = links.select(ends.alias("e")).select("e.*").groupBy("label").agg(F.sum("inside").alias("inside"), F.sum("ends").alias("ends"))
     return inner.agg(F.sum(F.try_divide("inside", F.lit(m2)) - F.try_divide("ends", F.lit(m2)) ** 2).alias("modularity"))
 
 
