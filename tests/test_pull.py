@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from lensgraph.operators import csr, graph, messages, pull
+from lensgraph.operators import graph, messages, pull
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +80,40 @@ def test_sketches_by_stripes(spark, monkeypatch):
     monkeypatch.setattr(pull, "EDGES", 50)
     again = distances.average_path_estimate(e, n).first()
     assert again.rounds == got.rounds and again.pairs == pytest.approx(got.pairs) and again.average == pytest.approx(got.average)
+
+
+def test_rounds_in_bounded_pieces(spark, few, links):
+    """Labels, votes and values are the same however few edges a task holds at once."""
+    e = spark.createDataFrame([(a, b, 1.0 + a % 3) for a, b in links if a % 7], "src long, dst long, weight double")
+    n, pairs = spark.range(63), [(a, b) for a, b in links if a % 7]
+    least = list(range(63))
+    for _ in range(63):
+        for a, b in pairs:
+            least[b] = min(least[b], least[a])
+    assert dict(messages.least_labels(n, e).collect()) == dict(enumerate(least))
+    near = collections.defaultdict(set)
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    label = {x: x for x in near}
+    for _ in range(3):
+        votes = {x: collections.Counter(label[y] for y in near[x]) for x in near}
+        label = {x: min(v, key=lambda y: (-v[y], y)) for x, v in votes.items()}
+    assert dict(graph.label_propagation(e, 3).collect()) == label
+    m, value = np.zeros((63, 63)), np.ones(63)
+    for a, b in pairs:
+        m[b, a] += 1.0 + a % 3
+    for _ in range(2):
+        value = m @ value
+    got = dict(messages.centrality(n, e, 2).collect())
+    assert np.allclose([got[x] for x in range(63)], value / np.linalg.norm(value))
+    want = np.abs(np.linalg.eigh(m + m.T)[1][:, -1])
+    assert all(abs(v - want[x]) < 1e-3 for x, v in graph.power_iteration(e, 200, 1e-7).collect())
+
+
+def test_modularity_with_a_null_label(spark):
+    """As in SQL, a null label is a group with nothing inside; its links were lost before."""
+    e = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 4)], "src long, dst long")
+    labels = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None)], "id long, label string")
+    assert graph.modularity(e, labels).first()[0] == pytest.approx(2 / 6 - (3 / 6) ** 2 - (2 / 6) ** 2 - (1 / 6) ** 2)
