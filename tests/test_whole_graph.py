@@ -125,6 +125,45 @@ def test_betweenness_by_batches(spark, monkeypatch, size):
     assert csr.betweenness(e.limit(0), n.limit(0)).count() == 0 and {r.centrality for r in csr.betweenness(e.limit(0), n).collect()} == {0.0}
 
 
+def plain_dependencies(out, source):
+    dist, sigma, queue = {source: 0}, collections.Counter({source: 1}), [source]
+    for v in queue:
+        for w in out[v]:
+            if w not in dist:
+                dist[w] = dist[v] + 1
+                queue.append(w)
+            if dist[w] == dist[v] + 1:
+                sigma[w] += sigma[v]
+    delta = collections.Counter()
+    for v in reversed(queue):
+        delta[v] = sum(sigma[v] / sigma[w] * (1 + delta[w]) for w in out[v] if dist[w] == dist[v] + 1)
+    del delta[source]
+    return delta
+
+
+def test_betweenness_searches_a_part_as_small_as_it_is(spark, monkeypatch):
+    """Copies that do not meet: a batch's arrays are as long as what it reaches, and its width does not shrink with the copies. Hubs have their own way."""
+    monkeypatch.setattr(csr, "HUB", 5)
+    rng, links = np.random.default_rng(3), set()
+    for copy in range(4):
+        links |= {(int(a) + 40 * copy, int(b) + 40 * copy) for a, b in rng.integers(0, 40, (110, 2)) if a != b} | {(40 * copy + k, 40 * copy) for k in range(1, 9)}
+    out, want = collections.defaultdict(set), collections.Counter()
+    for a, b in links:
+        out[a].add(b)
+    for s in range(160):
+        want.update(plain_dependencies(out, s))
+    monkeypatch.setattr(csr, "BATCH_BYTES", 36 * 40 * csr.SOURCES)
+    e = spark.createDataFrame(sorted(links), "src long, dst long")
+    got = {r.id: r.centrality for r in csr.betweenness(e, spark.range(160)).collect()}
+    assert set(got) == set(range(160)) and all(abs(got[i] - want[i]) < 1e-9 for i in got)
+    at = np.array(sorted(links))
+    starts, targets = np.searchsorted(at[:, 0], np.arange(161)), at[:, 1].astype(np.int32)
+    for s in (0, 45, 159):
+        assert set(csr.reached(starts, targets, np.array([s]))) <= set(range(s // 40 * 40, s // 40 * 40 + 40))
+    one = csr.dependencies(starts, targets, *csr.turned(starts, targets), np.array([0, 45, 159]))
+    assert np.allclose(one, [sum(plain_dependencies(out, s)[i] for s in (0, 45, 159)) for i in range(160)])
+
+
 def test_eigenvector_has_converged(spark, sf, links):
     at = {n: i for i, n in enumerate(sorted({x for a, b, kind, _ in links if kind == "CALLS" for x in (a, b)}))}
     m = np.zeros((len(at), len(at)))
