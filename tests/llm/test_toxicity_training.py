@@ -64,3 +64,21 @@ def test_words_of_clean_texts_too_begin_windows(monkeypatch):
     model = toxicity.fit(texts, np.array(labels, np.int64))
     high, _ = toxicity._bags(["zorvex", *filler]).best(model.weights, model.bias)
     assert high[0] > np.quantile(high[1:], 0.95)
+
+
+def test_slight_excess_of_common_words_begins_no_window():
+    """Toxic texts are longer here, so they hold every common word somewhat more often; what tells are words that only they hold."""
+    rng = np.random.default_rng(5)
+    common, bad = (["".join(chr(97 + int(c)) for c in rng.integers(0, 26, 6)) for _ in range(n)] for n in (20, 10))
+    texts, labels = [], []
+    for i in range(3000):
+        y = i % 2
+        words = [common[int(k)] for k in rng.integers(0, 20, 20 if y else 15)]
+        words[3] = bad[int(rng.integers(10))] if y else words[3]
+        texts.append(" ".join(words))
+        labels.append(y)
+    labels = np.array(labels)
+    model = toxicity.fit(texts[:2000], labels[:2000])
+    assert ((model.chance(toxicity._bags(texts[2000:])) >= 0.5) == labels[2000:]).mean() > 0.98
+    high, _ = toxicity._bags([*bad, *common]).best(model.weights, model.bias)
+    assert high[:10].min() > high[10:].max()
