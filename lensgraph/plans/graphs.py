@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lensgraph.operators import communities as louvain_communities
 from lensgraph.operators import csr, graph, messages, ranks, strong
 from lensgraph.operators.components import connected_components
-from lensgraph.sources.tables import LINKS_SQL, edges, hierarchy, nodes, table
+from lensgraph.sources.tables import LINKS_SQL, edges, hierarchy, links, nodes, table
 from lensgraph.shared import written
 
 WITH = f"WITH {LINKS_SQL.strip()}"
@@ -129,7 +129,8 @@ SELECT p_partkey AS id, coalesce(first, p_partkey) AS component, first IS NOT NU
 
 
 def louvain(spark, d):
-    return louvain_communities.louvain(edges(spark, d).select("src", "dst", F.col("frequency").alias("weight")))
+    """A pair weighs as many links as it has, so links are added at once, not by type first."""
+    return louvain_communities.louvain(links(spark, d).select("src", "dst", F.lit(1).alias("weight")))
 
 
 def erdos(spark, d):
